@@ -115,3 +115,157 @@ def _():
 def _():
     return q("live", """SELECT CAST(h.range AS INTEGER) AS hour, count(v.id) AS count
 FROM range(24) h LEFT JOIN v ON v.hour_of_day = h.range GROUP BY h.range ORDER BY 1""")
+
+
+@oracle("violation_type_norm")
+def _():
+    return f"""WITH {violations_cte('live').split(',' + chr(10) + 'c0 AS')[0]},
+r AS (SELECT id, nullif(violation_type, '') AS violation_type FROM raw)
+SELECT id, {_vtype('live')} AS type_live, {_vtype('batch')} AS type_batch FROM r"""
+
+
+@oracle("finite_or_null")
+def _():
+    return q("live", "SELECT id, CASE WHEN resolution_minutes < 0 THEN NULL ELSE sqrt(resolution_minutes) END AS root_minutes FROM v")
+
+
+@oracle("junction_label")
+def _():
+    lbl = "trim(split_part(regexp_replace(junction_name, '^BTP\\d+\\s*-\\s*', ''), ',', 1))"
+    return q("live", f"""SELECT junction_name, {lbl} AS label,
+  CASE WHEN length({lbl}) > 18 THEN substr({lbl}, 1, 16) || '…' ELSE {lbl} END AS kpi_label, count(*) AS count
+FROM v WHERE junction_name IS NOT NULL GROUP BY junction_name""")
+
+
+@oracle("data_profile")
+def _():
+    return q("live", """SELECT (SELECT count(*) FROM v) AS total_records,
+  (SELECT min(created_datetime) FROM v) AS date_from, (SELECT max(created_datetime) FROM v) AS date_to,
+  (SELECT count(DISTINCT junction_name) FROM v) AS unique_junctions,
+  (SELECT string_agg(violation_type || ':' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, violation_type)
+     FROM (SELECT violation_type, count(*) AS n, min(id) AS f FROM v GROUP BY 1 ORDER BY n DESC, f LIMIT 5)) AS top_violation_types""")
+
+
+DAYS = "('Monday',0),('Tuesday',1),('Wednesday',2),('Thursday',3),('Friday',4),('Saturday',5),('Sunday',6)"
+
+
+@oracle("day_of_week")
+def _():
+    return q("live", f"""SELECT d.i AS day_index, d.n AS day_of_week, count(v.id) AS count
+FROM (VALUES {DAYS}) d(n, i) LEFT JOIN v ON v.day_of_week = d.n GROUP BY d.i, d.n""")
+
+
+@oracle("day_of_week_batch")
+def _():
+    return q("batch", "SELECT day_of_week, count(*) AS count FROM v WHERE day_of_week IS NOT NULL GROUP BY 1")
+
+
+@oracle("hourly_batch")
+def _():
+    return q("batch", "SELECT hour_of_day AS hour, count(*) AS count FROM v WHERE hour_of_day IS NOT NULL GROUP BY 1")
+
+
+@oracle("weekly_trend")
+def _():
+    return q("live", "SELECT week_number AS week, count(*) AS count FROM v WHERE week_number IS NOT NULL GROUP BY 1")
+
+
+@oracle("top_junctions")
+def _():
+    return q("live", """SELECT junction_name, n AS count, round(lat, 9) AS lat, round(lon, 9) AS lon FROM (
+  SELECT junction_name, count(*) AS n, avg(latitude) AS lat, avg(longitude) AS lon, min(id) AS f
+  FROM v WHERE junction_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 10)""")
+
+
+@oracle("top_junctions_batch")
+def _():
+    return q("batch", """SELECT junction_name, n AS count FROM (
+  SELECT junction_name, count(*) AS n, min(id) AS f FROM v
+  WHERE junction_name IS NOT NULL AND junction_name NOT IN ('No Junction', 'nan', 'NULL')
+  GROUP BY 1 ORDER BY n DESC, f LIMIT 15)""")
+
+
+def _half_even_pct(num: str, den: str, scale: int) -> str:
+    n = f"(CAST({num} AS BIGINT) * {scale})"
+    return (f"(CAST((({n}) // ({den})) + CASE WHEN 2 * (({n}) % ({den})) > ({den}) OR "
+            f"(2 * (({n}) % ({den})) = ({den}) AND (({n}) // ({den})) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / {scale}e0)")
+
+
+@oracle("vehicle_mix")
+def _():
+    return q("live", f"""SELECT vehicle_type, n AS count, {_half_even_pct('n * 100', 't', 10)} AS percentage FROM (
+  SELECT vehicle_type, count(*) AS n, (SELECT greatest(count(*), 1) FROM v) AS t FROM v
+  WHERE vehicle_type IS NOT NULL GROUP BY 1)""")
+
+
+@oracle("vehicle_mix_batch")
+def _():
+    return q("batch", """SELECT vehicle_type AS type, n AS count FROM (
+  SELECT vehicle_type, count(*) AS n, min(id) AS f FROM v WHERE vehicle_type IS NOT NULL
+  GROUP BY 1 ORDER BY n DESC, f LIMIT 8)""")
+
+
+@oracle("violation_mix")
+def _():
+    return q("live", "SELECT violation_type, count(*) AS count FROM v WHERE violation_type IS NOT NULL GROUP BY 1")
+
+
+@oracle("violation_mix_batch")
+def _():
+    return q("batch", """SELECT violation_type, n AS count FROM (
+  SELECT violation_type, count(*) AS n, min(id) AS f FROM v GROUP BY 1 ORDER BY n DESC, f LIMIT 10)""")
+
+
+@oracle("resolution_buckets")
+def _():
+    return q("live", """SELECT b.i AS bucket_index, b.name AS bucket, count(m) AS count
+FROM (VALUES (0, '<30min'), (1, '30-60min'), (2, '1-2hrs'), (3, '2-6hrs'), (4, '>6hrs')) b(i, name)
+LEFT JOIN (SELECT resolution_minutes AS m,
+   CASE WHEN resolution_minutes < 30 THEN 0 WHEN resolution_minutes < 60 THEN 1 WHEN resolution_minutes < 120 THEN 2
+        WHEN resolution_minutes < 360 THEN 3 ELSE 4 END AS i
+   FROM v WHERE resolution_minutes >= 0) x ON x.i = b.i
+GROUP BY b.i, b.name""")
+
+
+@oracle("resolution_buckets_batch")
+def _():
+    return q("batch", """SELECT b.i AS bucket_index, b.name AS bucket, count(m) AS count
+FROM (VALUES (0, '0-30 min'), (1, '30-60 min'), (2, '1-2 hrs'), (3, '2-4 hrs'), (4, '4+ hrs')) b(i, name)
+LEFT JOIN (SELECT resolution_minutes AS m,
+   CASE WHEN resolution_minutes <= 30 THEN 0 WHEN resolution_minutes <= 60 THEN 1 WHEN resolution_minutes <= 120 THEN 2
+        WHEN resolution_minutes <= 240 THEN 3 ELSE 4 END AS i
+   FROM v WHERE resolution_minutes BETWEEN 0 AND 1440) x ON x.i = b.i
+GROUP BY b.i, b.name""")
+
+
+@oracle("peak_kpi")
+def _():
+    return q("live", """SELECT count(*) FILTER (WHERE hour_of_day IN (7, 8, 9, 17, 18, 19, 20)) AS peak_violations,
+  count(*) AS total_violations FROM v""")
+
+
+@oracle("top6_share")
+def _():
+    return q("live", """SELECT violation_type, n AS count, CAST(floor((n * 100 * 2 + s) / (2 * s)) AS BIGINT) AS share_pct FROM (
+  SELECT *, sum(n) OVER () AS s FROM (
+    SELECT violation_type, count(*) AS n, min(id) AS f FROM v WHERE violation_type IS NOT NULL
+    GROUP BY 1 ORDER BY n DESC, f LIMIT 6))""")
+
+
+HEAT = """cells AS (
+  SELECT round_even(latitude * 1e4, 0) / 1e4 AS lat, round_even(longitude * 1e4, 0) / 1e4 AS lon, count(*) AS n
+  FROM v GROUP BY 1, 2),
+hc AS (SELECT lat, lon, n AS count, n / max(n) OVER () AS weight FROM cells)"""
+
+
+@oracle("heatmap")
+def _():
+    return q("live", "SELECT lat, lon, count, weight FROM hc", HEAT)
+
+
+@oracle("heatmap_thinned")
+def _():
+    return q("live", """SELECT position, lat, lon, count, weight FROM (
+  SELECT *, row_number() OVER (ORDER BY count DESC, lat, lon) - 1 AS position, count(*) OVER () AS total FROM hc) x
+WHERE total <= 5000 OR position IN (
+  SELECT DISTINCT CAST(floor(i.range * (total / 5000e0)) AS BIGINT) FROM range(5000) i)""", HEAT)

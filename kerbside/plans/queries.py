@@ -41,3 +41,126 @@ def clean_batch(spark, sf_dir):
 @query("hourly")
 def hourly(spark, sf_dir):
     return ts.hourly(violations(spark, sf_dir, "live"), "live")
+
+
+@query("violation_type_norm")
+def violation_type_norm(spark, sf_dir):
+    from kerbside.functions.text import normalize_violation_type
+    from kerbside.profiles import BATCH, LIVE
+    from kerbside.sources.fixture import load_violations_raw
+    raw = load_violations_raw(spark, sf_dir)
+    vt = F.nullif(F.col("violation_type"), F.lit(""))
+    return raw.select("id", normalize_violation_type(vt, LIVE).alias("type_live"),
+                      normalize_violation_type(vt, BATCH).alias("type_batch"))
+
+
+@query("finite_or_null")
+def finite_or_null_q(spark, sf_dir):
+    from kerbside.functions.text import finite_or_null
+    v = violations(spark, sf_dir, "live")
+    return v.select("id", finite_or_null(F.sqrt("resolution_minutes")).alias("root_minutes"))
+
+
+@query("junction_label")
+def junction_label_q(spark, sf_dir):
+    from kerbside.functions.text import junction_label
+    v = violations(spark, sf_dir, "live")
+    g = v.filter(F.col("junction_name").isNotNull()).groupBy("junction_name").agg(F.count(F.lit(1)).alias("count"))
+    lbl = junction_label(F.col("junction_name"))
+    return g.select("junction_name", lbl.alias("label"),
+                    F.when(F.char_length(lbl) > 18, F.concat(F.substring(lbl, 1, 16), F.lit("…"))).otherwise(lbl).alias("kpi_label"),
+                    "count")
+
+
+@query("data_profile")
+def data_profile(spark, sf_dir):
+    return ts.data_profile(violations(spark, sf_dir, "live"))
+
+
+@query("day_of_week")
+def day_of_week(spark, sf_dir):
+    return ts.day_of_week(violations(spark, sf_dir, "live"), "live")
+
+
+@query("day_of_week_batch")
+def day_of_week_batch(spark, sf_dir):
+    return ts.day_of_week(violations(spark, sf_dir, "batch"), "batch")
+
+
+@query("hourly_batch")
+def hourly_batch(spark, sf_dir):
+    return ts.hourly(violations(spark, sf_dir, "batch"), "batch")
+
+
+@query("weekly_trend")
+def weekly_trend(spark, sf_dir):
+    return ts.weekly_trend(violations(spark, sf_dir, "live"))
+
+
+@query("top_junctions")
+def top_junctions(spark, sf_dir):
+    t = ts.top_junctions(violations(spark, sf_dir, "live"), "live")
+    return t.select("junction_name", "count", r9(F.col("lat")).alias("lat"), r9(F.col("lon")).alias("lon"))
+
+
+@query("top_junctions_batch")
+def top_junctions_batch(spark, sf_dir):
+    return ts.top_junctions(violations(spark, sf_dir, "batch"), "batch")
+
+
+@query("vehicle_mix")
+def vehicle_mix(spark, sf_dir):
+    return ts.vehicle_mix(violations(spark, sf_dir, "live"), "live")
+
+
+@query("vehicle_mix_batch")
+def vehicle_mix_batch(spark, sf_dir):
+    return ts.vehicle_mix(violations(spark, sf_dir, "batch"), "batch")
+
+
+@query("violation_mix")
+def violation_mix(spark, sf_dir):
+    return ts.violation_mix(violations(spark, sf_dir, "live"), "live")
+
+
+@query("violation_mix_batch")
+def violation_mix_batch(spark, sf_dir):
+    return ts.violation_mix(violations(spark, sf_dir, "batch"), "batch")
+
+
+@query("resolution_buckets")
+def resolution_buckets(spark, sf_dir):
+    return ts.resolution_buckets(violations(spark, sf_dir, "live"), "live")
+
+
+@query("resolution_buckets_batch")
+def resolution_buckets_batch(spark, sf_dir):
+    return ts.resolution_buckets(violations(spark, sf_dir, "batch"), "batch")
+
+
+@query("peak_kpi")
+def peak_kpi(spark, sf_dir):
+    return ts.peak_kpi(violations(spark, sf_dir, "live"))
+
+
+@query("top6_share")
+def top6_share(spark, sf_dir):
+    return ts.top6_share(violations(spark, sf_dir, "live"))
+
+
+@query("heatmap")
+def heatmap(spark, sf_dir):
+    from kerbside.operators.heatmap import heat_cells
+    return heat_cells(violations(spark, sf_dir, "live"))
+
+
+@query("heatmap_thinned")
+def heatmap_thinned(spark, sf_dir):
+    from kerbside.operators.heatmap import heat_points
+    return heat_points(violations(spark, sf_dir, "live"))
+
+
+@query("map_sample")
+def map_sample(spark, sf_dir):
+    from kerbside.operators.heatmap import map_sample as ms
+    return ms(violations(spark, sf_dir, "batch"))
