@@ -1,13 +1,46 @@
-"""Shared inputs of the query catalogue: cleaned records per profile."""
+"""Shared inputs of the query catalogue: cleaned and labelled records.
+
+Labelled records are computed once per (session, folder, profile) and kept
+as a reliable checkpoint — the same reuse a pipeline run makes of its labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.operators.clean import clean
+from kerbside.operators.clusters import cluster_summary, label_points
+from kerbside.operators.score import score
 from kerbside.sources.fixture import load_violations_raw
 
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def clear_memo() -> None:
+    _MEMO.clear()
+
+
+def _key(spark: SparkSession, *parts) -> tuple:
+    return (spark.sparkContext.applicationId, *parts)
+
 
 def violations(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:
     """Cleaned records for a test-data folder."""
     return clean(load_violations_raw(spark, sf_dir), profile)
+
+
+def labeled(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:
+    k = _key(spark, sf_dir, profile, "labeled")
+    if k not in _MEMO:
+        _MEMO[k] = label_points(violations(spark, sf_dir, profile), profile).checkpoint(eager=True)
+    return _MEMO[k]
+
+
+def clusters(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:
+    return cluster_summary(labeled(spark, sf_dir, profile), profile)
+
+
+def scored(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:
+    k = _key(spark, sf_dir, profile, "scored")
+    if k not in _MEMO:
+        _MEMO[k] = score(clusters(spark, sf_dir, profile), profile).checkpoint(eager=True)
+    return _MEMO[k]

@@ -269,3 +269,147 @@ def _():
   SELECT *, row_number() OVER (ORDER BY count DESC, lat, lon) - 1 AS position, count(*) OVER () AS total FROM hc) x
 WHERE total <= 5000 OR position IN (
   SELECT DISTINCT CAST(floor(i.range * (total / 5000e0)) AS BIGINT) FROM range(5000) i)""", HEAT)
+
+
+def _hav(a: str, b: str) -> str:
+    return (f"2 * asin(sqrt(pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + "
+            f"cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2)))")
+
+
+def pairs_cte(profile: str) -> str:
+    """``pts`` and ``pairs(a, b)``: every ordered pair within eps, self included
+    (3×3 grid equi-join with the exact distance as a residual)."""
+    eps = EPS[profile]
+    return f"""pts AS (SELECT id, latitude AS lat, longitude AS lon FROM v),
+g AS (SELECT {eps:.6e} * (1 + 1e-9) AS h,
+        degrees(2 * asin(least(1e0, sin(radians({eps:.6e}) / 2) / cos(radians(max(abs(lat))) + radians({eps:.6e}))))) * (1 + 1e-9) AS w
+      FROM pts),
+pc AS (SELECT id, lat, lon, CAST(floor(lat / g.h) AS BIGINT) AS ci, CAST(floor(lon / g.w) AS BIGINT) AS cj FROM pts, g),
+pairs AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b
+  FROM pc a CROSS JOIN (VALUES (-1), (0), (1)) di(d) CROSS JOIN (VALUES (-1), (0), (1)) dj(d)
+  JOIN pc b ON b.ci = a.ci + di.d AND b.cj = a.cj + dj.d
+  WHERE {_hav('a', 'b')} <= radians({eps:.6e}))"""
+
+
+def dbscan_cte(profile: str, rounds: int = 12) -> str:
+    """``lab(id, cluster_label)``: core = ≥ min_samples pairs; components by
+    unrolled min-label rounds with pointer jumping; clusters numbered by their
+    smallest core id; border points take the smallest neighbouring cluster."""
+    m = MIN_SAMPLES[profile]
+    parts = [pairs_cte(profile),
+             f"core AS (SELECT a AS id FROM pairs GROUP BY a HAVING count(*) >= {m})",
+             "ce AS MATERIALIZED (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core))",
+             "l0 AS (SELECT id, id AS l FROM core)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"p{i} AS MATERIALIZED (SELECT ce.a AS id, min(l.l) AS l FROM ce JOIN l{i-1} l ON l.id = ce.b GROUP BY ce.a)")
+        parts.append(f"l{i} AS MATERIALIZED (SELECT x.id, least(x.l, y.l) AS l FROM p{i} x JOIN p{i} y ON y.id = x.l)")
+    parts.append(f"""roots AS (SELECT l AS root, CAST(dense_rank() OVER (ORDER BY l) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT l FROM l{rounds}))""")
+    parts.append(f"corelab AS (SELECT l{rounds}.id, roots.k FROM l{rounds} JOIN roots ON roots.root = l{rounds}.l)")
+    parts.append("""border AS (SELECT p.a AS id, min(c.k) AS k FROM pairs p JOIN corelab c ON c.id = p.b
+  WHERE p.a NOT IN (SELECT id FROM core) GROUP BY p.a)""")
+    parts.append("""lab AS (SELECT pts.id, CAST(COALESCE(corelab.k, border.k, -1) AS INTEGER) AS cluster_label
+  FROM pts LEFT JOIN corelab ON corelab.id = pts.id LEFT JOIN border ON border.id = pts.id)""")
+    return ",\n".join(parts)
+
+
+@oracle("eps_neighbors")
+def _():
+    return q("live", "SELECT a AS id, count(*) AS neighbor_count FROM pairs GROUP BY a", pairs_cte("live"))
+
+
+@oracle("dbscan_live")
+def _():
+    return q("live", "SELECT id, cluster_label FROM lab", dbscan_cte("live"))
+
+
+@oracle("dbscan_batch")
+def _():
+    return q("batch", "SELECT id, cluster_label FROM lab", dbscan_cte("batch"))
+
+
+def summary_cte(profile: str) -> str:
+    """``cs``: cluster summary over ``lab`` (arrays as sorted '|' text)."""
+    live = profile == "live"
+    sent = "('nan', 'None', '')"
+    vt_ok = f"vehicle_type IS NOT NULL AND vehicle_type NOT IN {sent}" if live else "vehicle_type IS NOT NULL"
+    res_ok = "resolution_minutes >= 0 AND isfinite(resolution_minutes)" if live else "resolution_minutes BETWEEN 0 AND 10000"
+    if live:
+        junc = f"COALESCE(array_to_string(list_sort(list_distinct(list(junction_name) FILTER (WHERE junction_name NOT IN {sent}))), '|'), '')"
+        stat = f"COALESCE(array_to_string(list_sort(list_distinct(list(police_station) FILTER (WHERE police_station NOT IN {sent}))), '|'), '')"
+        dom_filter = f"WHERE violation_type IS NOT NULL AND violation_type NOT IN {sent}"
+    else:
+        junc = ("COALESCE(array_to_string(list_sort(list_distinct(list(junction_name) FILTER (WHERE junction_name NOT IN "
+                "('No Junction', 'nan', 'NULL', ''))))[1:6], '|'), '')")
+        stat = "NULL"
+        dom_filter = "WHERE violation_type IS NOT NULL"
+    station_cte = ""
+    if not live:
+        station_cte = """,
+st AS (SELECT cluster_label, array_to_string(list(police_station ORDER BY f)[1:4], '|') AS stations FROM (
+  SELECT cluster_label, police_station, min(id) AS f FROM lv WHERE police_station IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"""
+    return f"""lv AS (SELECT v.*, lab.cluster_label FROM v JOIN lab ON lab.id = v.id WHERE lab.cluster_label >= 0),
+dom AS (SELECT cluster_label, arg_min(violation_type, (-n, f)) AS d FROM (
+  SELECT cluster_label, violation_type, count(*) AS n, min(id) AS f FROM lv {dom_filter} GROUP BY 1, 2) GROUP BY 1){station_cte},
+cs0 AS (SELECT cluster_label AS cluster_id, avg(latitude) AS centroid_lat, avg(longitude) AS centroid_lon,
+   count(*) AS violation_count, count(DISTINCT vehicle_type) FILTER (WHERE {vt_ok}) AS unique_vehicle_types,
+   avg(CAST(is_peak_hour AS INTEGER)) AS peak_hour_ratio,
+   COALESCE(avg(resolution_minutes) FILTER (WHERE {res_ok}), 0e0) AS avg_resolution_minutes,
+   {junc} AS junctions_covered, {stat} AS stations0,
+   min(created_datetime) AS first_seen, max(created_datetime) AS last_seen,
+   list_sort(list_distinct(list(junction_name) FILTER (WHERE {'junction_name NOT IN ' + sent if live else "junction_name NOT IN ('No Junction', 'nan', 'NULL', '')"}))) AS jlist
+  FROM lv GROUP BY cluster_label),
+cs AS (SELECT cs0.cluster_id, centroid_lat, centroid_lon, violation_count, unique_vehicle_types,
+   COALESCE(dom.d, 'Unknown') AS dominant_violation_type, peak_hour_ratio, avg_resolution_minutes, junctions_covered,
+   COALESCE({'stations0' if live else 'st.stations'}, '') AS police_stations_involved, first_seen, last_seen,
+   {'COALESCE(len(jlist), 0)' if live else 'least(COALESCE(len(jlist), 0), 6)'} AS n_junctions
+  FROM cs0 LEFT JOIN dom ON dom.cluster_label = cs0.cluster_id{'' if live else ' LEFT JOIN st ON st.cluster_label = cs0.cluster_id'})"""
+
+
+CS_COLS = ("cluster_id, round(centroid_lat, 9) AS centroid_lat, round(centroid_lon, 9) AS centroid_lon, violation_count, "
+           "unique_vehicle_types, dominant_violation_type, round(peak_hour_ratio, 9) AS peak_hour_ratio, "
+           "round(avg_resolution_minutes, 9) AS avg_resolution_minutes, junctions_covered, police_stations_involved, "
+           "first_seen, last_seen")
+
+
+@oracle("cluster_summary")
+def _():
+    return q("live", f"SELECT {CS_COLS} FROM cs", dbscan_cte("live") + ",\n" + summary_cte("live"))
+
+
+@oracle("cluster_summary_batch")
+def _():
+    return q("batch", f"SELECT {CS_COLS} FROM cs", dbscan_cte("batch") + ",\n" + summary_cte("batch"))
+
+
+COLORS = "CASE {t} WHEN 'Critical' THEN '#ef4444' WHEN 'High' THEN '#f97316' WHEN 'Medium' THEN '#eab308' ELSE '#22c55e' END"
+
+
+@oracle("impact_live")
+def _():
+    norm = "CASE WHEN max({x}) OVER () = min({x}) OVER () THEN 5e-1 ELSE ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) END"
+    inv = "(1e0 / CASE WHEN avg_resolution_minutes = 0 OR avg_resolution_minutes IS NULL THEN 1e-6 ELSE avg_resolution_minutes END)"
+    raw = (f"(35e-2 * {norm.format(x='CAST(violation_count AS DOUBLE)')} + 25e-2 * {norm.format(x='peak_hour_ratio')} + "
+           f"20e-2 * {norm.format(x=inv)} + 10e-2 * {norm.format(x='CAST(unique_vehicle_types AS DOUBLE)')} + "
+           f"10e-2 * {norm.format(x='CAST(n_junctions AS DOUBLE)')}) * 100e0")
+    body = f"""SELECT {CS_COLS}, impact_score,
+  CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 50 THEN 'High' WHEN impact_score >= 25 THEN 'Medium' ELSE 'Low' END AS priority_tier,
+  {COLORS.format(t="CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 50 THEN 'High' WHEN impact_score >= 25 THEN 'Medium' ELSE 'Low' END")} AS priority_color,
+  CASE WHEN peak_hour_ratio >= 5e-1 THEN 'Morning & Evening Rush Hours (7-9 AM, 5-8 PM)'
+       WHEN peak_hour_ratio >= 3e-1 THEN 'Evening Rush Hours (5-8 PM)' ELSE 'Business Hours (10 AM - 4 PM)' END AS recommended_enforcement_time
+FROM (SELECT *, round_even(least(greatest({raw}, 0e0), 100e0), 4) AS impact_score FROM cs)"""
+    return q("live", body, dbscan_cte("live") + ",\n" + summary_cte("live"))
+
+
+@oracle("impact_batch")
+def _():
+    peak_n = "CAST(round(peak_hour_ratio * violation_count) AS BIGINT)"
+    body = f"""SELECT {CS_COLS}, impact_score,
+  CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 55 THEN 'High' WHEN impact_score >= 35 THEN 'Medium' ELSE 'Low' END AS priority_tier,
+  {COLORS.format(t="CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 55 THEN 'High' WHEN impact_score >= 35 THEN 'Medium' ELSE 'Low' END")} AS priority_color,
+  CASE WHEN peak_hour_ratio > 5e-1 THEN '7-9 AM and 5-8 PM' ELSE '10 AM - 4 PM' END AS recommended_enforcement_time
+FROM (SELECT *, least(CAST(
+    (CASE WHEN violation_count > 500 THEN 40 WHEN violation_count > 200 THEN 30 WHEN violation_count > 100 THEN 20 ELSE 10 END)
+  + (CASE WHEN avg_resolution_minutes > 120 THEN 20 WHEN avg_resolution_minutes > 60 THEN 15 WHEN avg_resolution_minutes > 30 THEN 10 ELSE 5 END)
+  + least(unique_vehicle_types * 2, 10) AS DOUBLE) + {_half_even_pct(peak_n + ' * 30', 'violation_count', 10)}, 100e0) AS impact_score FROM cs)"""
+    return q("batch", body, dbscan_cte("batch") + ",\n" + summary_cte("batch"))

@@ -164,3 +164,59 @@ def heatmap_thinned(spark, sf_dir):
 def map_sample(spark, sf_dir):
     from kerbside.operators.heatmap import map_sample as ms
     return ms(violations(spark, sf_dir, "batch"))
+
+
+def _cluster_out(df):
+    """Cluster rows for comparison: means at 9 places, sets as sorted text."""
+    cols = []
+    for c in df.columns:
+        if c in ("centroid_lat", "centroid_lon", "avg_resolution_minutes", "peak_hour_ratio"):
+            cols.append(r9(F.col(c)).alias(c))
+        elif c in ("junctions_covered", "police_stations_involved"):
+            cols.append(F.array_join(F.col(c), "|").alias(c))
+        else:
+            cols.append(F.col(c))
+    return df.select(*cols)
+
+
+@query("eps_neighbors")
+def eps_neighbors(spark, sf_dir):
+    from kerbside.operators.spatial import neighbor_counts
+    v = violations(spark, sf_dir, "live").select("id", "latitude", "longitude")
+    return neighbor_counts(v, 8e-4)
+
+
+@query("dbscan_live")
+def dbscan_live(spark, sf_dir):
+    from kerbside.plans.inputs import labeled
+    return labeled(spark, sf_dir, "live").select("id", "cluster_label")
+
+
+@query("dbscan_batch")
+def dbscan_batch(spark, sf_dir):
+    from kerbside.plans.inputs import labeled
+    return labeled(spark, sf_dir, "batch").select("id", "cluster_label")
+
+
+@query("cluster_summary")
+def cluster_summary_q(spark, sf_dir):
+    from kerbside.plans.inputs import clusters
+    return _cluster_out(clusters(spark, sf_dir, "live"))
+
+
+@query("cluster_summary_batch")
+def cluster_summary_batch_q(spark, sf_dir):
+    from kerbside.plans.inputs import clusters
+    return _cluster_out(clusters(spark, sf_dir, "batch"))
+
+
+@query("impact_live")
+def impact_live(spark, sf_dir):
+    from kerbside.plans.inputs import scored
+    return _cluster_out(scored(spark, sf_dir, "live"))
+
+
+@query("impact_batch")
+def impact_batch(spark, sf_dir):
+    from kerbside.plans.inputs import scored
+    return _cluster_out(scored(spark, sf_dir, "batch"))
