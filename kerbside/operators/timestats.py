@@ -57,7 +57,8 @@ def weekly_trend(df: DataFrame) -> DataFrame:
               .orderBy("week"))
 
 
-def top_junctions(df: DataFrame, profile: Profile | str = "live", n: int | None = None) -> DataFrame:
+def top_junctions(df: DataFrame, profile: Profile | str = "live", n: int | None = None,
+                  keep_first_id: bool = False) -> DataFrame:
     """Busiest junctions.
 
     live: top 10 by count with mean latitude/longitude (``No Junction`` is a
@@ -78,10 +79,11 @@ def top_junctions(df: DataFrame, profile: Profile | str = "live", n: int | None
         F.avg("longitude").alias("lon"),
         F.min("id").alias("_first"),
     )
-    return g.orderBy(F.desc("count"), "_first").limit(n).select("junction_name", "count", "lat", "lon")
+    extra = [F.col("_first").alias("first_id")] if keep_first_id else []
+    return g.orderBy(F.desc("count"), "_first").limit(n).select("junction_name", "count", "lat", "lon", *extra)
 
 
-def vehicle_mix(df: DataFrame, profile: Profile | str = "live") -> DataFrame:
+def vehicle_mix(df: DataFrame, profile: Profile | str = "live", keep_first_id: bool = False) -> DataFrame:
     """Vehicle-type counts.  live: with percentage of all rows (null types
     included in the denominator, at least 1), 1 decimal; batch: top 8 and the
     key named ``type``.  Order: count desc, then first appearance."""
@@ -95,10 +97,12 @@ def vehicle_mix(df: DataFrame, profile: Profile | str = "live") -> DataFrame:
     return (g.crossJoin(F.broadcast(total))
              .select("vehicle_type", "count",
                      ratio_half_even(F.col("count") * 100, F.col("_total"), 10).alias("percentage"), "_first")
-             .orderBy(F.desc("count"), "_first").drop("_first"))
+             .orderBy(F.desc("count"), "_first")
+             .withColumnRenamed("_first", "first_id")
+             .drop(*([] if keep_first_id else ["first_id"])))
 
 
-def violation_mix(df: DataFrame, profile: Profile | str = "live") -> DataFrame:
+def violation_mix(df: DataFrame, profile: Profile | str = "live", keep_first_id: bool = False) -> DataFrame:
     """Violation-type counts, descending (batch: top 10)."""
     p = get_profile(profile)
     g = (df.filter(F.col("violation_type").isNotNull())
@@ -107,7 +111,8 @@ def violation_mix(df: DataFrame, profile: Profile | str = "live") -> DataFrame:
     out = g.orderBy(F.desc("count"), "_first")
     if p.name == "batch":
         out = out.limit(10)
-    return out.select("violation_type", "count")
+    extra = [F.col("_first").alias("first_id")] if keep_first_id else []
+    return out.select("violation_type", "count", *extra)
 
 
 def resolution_buckets(df: DataFrame, profile: Profile | str = "live") -> DataFrame:

@@ -385,31 +385,174 @@ def _():
 COLORS = "CASE {t} WHEN 'Critical' THEN '#ef4444' WHEN 'High' THEN '#f97316' WHEN 'Medium' THEN '#eab308' ELSE '#22c55e' END"
 
 
+def scored_cte(profile: str) -> str:
+    """``sc``: ``cs`` plus impact_score, priority_tier, priority_color,
+    recommended_enforcement_time."""
+    if profile == "live":
+        norm = "CASE WHEN max({x}) OVER () = min({x}) OVER () THEN 5e-1 ELSE ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) END"
+        inv = "(1e0 / CASE WHEN avg_resolution_minutes = 0 OR avg_resolution_minutes IS NULL THEN 1e-6 ELSE avg_resolution_minutes END)"
+        raw = (f"(35e-2 * {norm.format(x='CAST(violation_count AS DOUBLE)')} + 25e-2 * {norm.format(x='peak_hour_ratio')} + "
+               f"20e-2 * {norm.format(x=inv)} + 10e-2 * {norm.format(x='CAST(unique_vehicle_types AS DOUBLE)')} + "
+               f"10e-2 * {norm.format(x='CAST(n_junctions AS DOUBLE)')}) * 100e0")
+        score = f"round_even(least(greatest({raw}, 0e0), 100e0), 4)"
+        cuts = (75, 50, 25)
+        window = ("CASE WHEN peak_hour_ratio >= 5e-1 THEN 'Morning & Evening Rush Hours (7-9 AM, 5-8 PM)' "
+                  "WHEN peak_hour_ratio >= 3e-1 THEN 'Evening Rush Hours (5-8 PM)' ELSE 'Business Hours (10 AM - 4 PM)' END")
+    else:
+        peak_n = "CAST(round(peak_hour_ratio * violation_count) AS BIGINT)"
+        score = f"""least(CAST(
+    (CASE WHEN violation_count > 500 THEN 40 WHEN violation_count > 200 THEN 30 WHEN violation_count > 100 THEN 20 ELSE 10 END)
+  + (CASE WHEN avg_resolution_minutes > 120 THEN 20 WHEN avg_resolution_minutes > 60 THEN 15 WHEN avg_resolution_minutes > 30 THEN 10 ELSE 5 END)
+  + least(unique_vehicle_types * 2, 10) AS DOUBLE) + {_half_even_pct(peak_n + ' * 30', 'violation_count', 10)}, 100e0)"""
+        cuts = (75, 55, 35)
+        window = "CASE WHEN peak_hour_ratio > 5e-1 THEN '7-9 AM and 5-8 PM' ELSE '10 AM - 4 PM' END"
+    tier = (f"CASE WHEN impact_score >= {cuts[0]} THEN 'Critical' WHEN impact_score >= {cuts[1]} THEN 'High' "
+            f"WHEN impact_score >= {cuts[2]} THEN 'Medium' ELSE 'Low' END")
+    return f"""sc0 AS (SELECT *, {score} AS impact_score FROM cs),
+sc AS (SELECT *, {tier} AS priority_tier, {COLORS.format(t=tier)} AS priority_color,
+   {window} AS recommended_enforcement_time FROM sc0)"""
+
+
+def scored_q(profile: str, body: str, extra: str = "") -> str:
+    ctes = dbscan_cte(profile) + ",\n" + summary_cte(profile) + ",\n" + scored_cte(profile)
+    if extra:
+        ctes += ",\n" + extra
+    return q(profile, body, ctes)
+
+
+SC_COLS = CS_COLS + ", impact_score, priority_tier, priority_color, recommended_enforcement_time"
+
+
 @oracle("impact_live")
 def _():
-    norm = "CASE WHEN max({x}) OVER () = min({x}) OVER () THEN 5e-1 ELSE ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) END"
-    inv = "(1e0 / CASE WHEN avg_resolution_minutes = 0 OR avg_resolution_minutes IS NULL THEN 1e-6 ELSE avg_resolution_minutes END)"
-    raw = (f"(35e-2 * {norm.format(x='CAST(violation_count AS DOUBLE)')} + 25e-2 * {norm.format(x='peak_hour_ratio')} + "
-           f"20e-2 * {norm.format(x=inv)} + 10e-2 * {norm.format(x='CAST(unique_vehicle_types AS DOUBLE)')} + "
-           f"10e-2 * {norm.format(x='CAST(n_junctions AS DOUBLE)')}) * 100e0")
-    body = f"""SELECT {CS_COLS}, impact_score,
-  CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 50 THEN 'High' WHEN impact_score >= 25 THEN 'Medium' ELSE 'Low' END AS priority_tier,
-  {COLORS.format(t="CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 50 THEN 'High' WHEN impact_score >= 25 THEN 'Medium' ELSE 'Low' END")} AS priority_color,
-  CASE WHEN peak_hour_ratio >= 5e-1 THEN 'Morning & Evening Rush Hours (7-9 AM, 5-8 PM)'
-       WHEN peak_hour_ratio >= 3e-1 THEN 'Evening Rush Hours (5-8 PM)' ELSE 'Business Hours (10 AM - 4 PM)' END AS recommended_enforcement_time
-FROM (SELECT *, round_even(least(greatest({raw}, 0e0), 100e0), 4) AS impact_score FROM cs)"""
-    return q("live", body, dbscan_cte("live") + ",\n" + summary_cte("live"))
+    return scored_q("live", f"SELECT {SC_COLS} FROM sc")
 
 
 @oracle("impact_batch")
 def _():
-    peak_n = "CAST(round(peak_hour_ratio * violation_count) AS BIGINT)"
-    body = f"""SELECT {CS_COLS}, impact_score,
-  CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 55 THEN 'High' WHEN impact_score >= 35 THEN 'Medium' ELSE 'Low' END AS priority_tier,
-  {COLORS.format(t="CASE WHEN impact_score >= 75 THEN 'Critical' WHEN impact_score >= 55 THEN 'High' WHEN impact_score >= 35 THEN 'Medium' ELSE 'Low' END")} AS priority_color,
-  CASE WHEN peak_hour_ratio > 5e-1 THEN '7-9 AM and 5-8 PM' ELSE '10 AM - 4 PM' END AS recommended_enforcement_time
-FROM (SELECT *, least(CAST(
-    (CASE WHEN violation_count > 500 THEN 40 WHEN violation_count > 200 THEN 30 WHEN violation_count > 100 THEN 20 ELSE 10 END)
-  + (CASE WHEN avg_resolution_minutes > 120 THEN 20 WHEN avg_resolution_minutes > 60 THEN 15 WHEN avg_resolution_minutes > 30 THEN 10 ELSE 5 END)
-  + least(unique_vehicle_types * 2, 10) AS DOUBLE) + {_half_even_pct(peak_n + ' * 30', 'violation_count', 10)}, 100e0) AS impact_score FROM cs)"""
+    return scored_q("batch", f"SELECT {SC_COLS} FROM sc")
+
+
+def _ts_text(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+@oracle("dashboard_live")
+def _():
+    return scored_q("live", f"""SELECT (SELECT count(*) FROM v) AS total_violations, (SELECT count(*) FROM sc) AS active_clusters,
+  (SELECT count(*) FROM sc WHERE priority_tier = 'Critical') AS critical_zones,
+  (SELECT COALESCE(round_even(avg(resolution_minutes), 1), 0e0) FROM v) AS avg_resolution_minutes,
+  (SELECT COALESCE({_ts_text('min(created_datetime)')}, '') FROM v) AS date_from,
+  (SELECT COALESCE({_ts_text('max(created_datetime)')}, '') FROM v) AS date_to""")
+
+
+@oracle("dashboard_batch")
+def _():
+    return scored_q("batch", """SELECT (SELECT count(*) FROM v) AS total_violations, (SELECT count(*) FROM sc) AS active_clusters,
+  (SELECT count(*) FROM sc WHERE priority_tier = 'Critical') AS critical_zones,
+  (SELECT COALESCE(round_even(avg(resolution_minutes) FILTER (WHERE resolution_minutes BETWEEN 0 AND 10000), 1), 0e0) FROM v)
+    AS avg_resolution_minutes""")
+
+
+@oracle("ingest_summary")
+def _():
+    return scored_q("live", """SELECT 'success' AS status, (SELECT count(*) FROM v) AS records_processed,
+  (SELECT count(*) FROM sc) AS clusters_found, (SELECT count(*) FROM sc WHERE priority_tier = 'Critical') AS critical_zones""")
+
+
+def _templates_values() -> str:
+    from kerbside.operators.recommend import REC_FIELDS, TEMPLATES
+    rows = []
+    for i, t in enumerate(TEMPLATES):
+        vals = ", ".join("'" + t[f].replace("'", "''") + "'" for f in REC_FIELDS)
+        rows.append(f"({i}, {vals})")
+    return "tpl AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(template_id, " + ", ".join(REC_FIELDS) + "))"
+
+
+TOP5 = "top5 AS (SELECT *, CAST(row_number() OVER (ORDER BY impact_score DESC, cluster_id) - 1 AS INTEGER) AS rank FROM sc ORDER BY impact_score DESC, cluster_id LIMIT 5)"
+REC_SQL_COLS = ("rank, cluster_id, violation_count, impact_score, priority_tier, recommended_enforcement_time, "
+                "description, patrol_time_window, enforcement_action, estimated_congestion_reduction, mock")
+
+
+@oracle("recommend_template")
+def _():
+    return scored_q("live", f"SELECT {REC_SQL_COLS} FROM (SELECT top5.*, tpl.*, true AS mock FROM top5 JOIN tpl ON tpl.template_id = top5.rank % 5)",
+                    TOP5 + ",\n" + _templates_values())
+
+
+@oracle("recommend_overlay")
+def _():
+    # expected model entries: ranks 0..3 in reverse order (position 3 - rank), rank 1 under id -1,
+    # rank 3 without a congestion figure; then match by id, else by position, else template
+    entries = """ent AS (SELECT 3 - rank AS pos, CASE WHEN rank = 1 THEN -1 ELSE cluster_id END AS eid,
+    'Model note for hotspot ' || CAST(cluster_id AS VARCHAR) AS e_description,
+    'Window ' || recommended_enforcement_time AS e_window, 'Action for ' || dominant_violation_type AS e_action,
+    CASE WHEN rank = 3 THEN NULL ELSE CAST(rank * 5 + 10 AS VARCHAR) || '%' END AS e_cong
+  FROM top5 WHERE rank <= 3),
+pick AS (SELECT t.rank, COALESCE((SELECT min(pos) FROM ent WHERE ent.eid = t.cluster_id),
+                                 (SELECT pos FROM ent WHERE ent.pos = t.rank)) AS pos FROM top5 t)"""
+    body = f"""SELECT {REC_SQL_COLS} FROM (
+  SELECT top5.*,
+    CASE WHEN e.pos IS NULL THEN tpl.description ELSE COALESCE(e.e_description, '') END AS description,
+    CASE WHEN e.pos IS NULL THEN tpl.patrol_time_window ELSE COALESCE(e.e_window, '') END AS patrol_time_window,
+    CASE WHEN e.pos IS NULL THEN tpl.enforcement_action ELSE COALESCE(e.e_action, '') END AS enforcement_action,
+    CASE WHEN e.pos IS NULL THEN tpl.estimated_congestion_reduction ELSE COALESCE(e.e_cong, '') END AS estimated_congestion_reduction,
+    e.pos IS NULL AS mock
+  FROM top5 JOIN pick ON pick.rank = top5.rank LEFT JOIN ent e ON e.pos = pick.pos JOIN tpl ON tpl.template_id = top5.rank % 5)"""
+    return scored_q("live", body, TOP5 + ",\n" + _templates_values() + ",\n" + entries)
+
+
+@oracle("geojson_features")
+def _():
+    body = f"""SELECT cluster_id, CAST(to_json({{'type': 'Feature',
+  'geometry': {{'type': 'Point', 'coordinates': [round(centroid_lon, 9), round(centroid_lat, 9)]}},
+  'properties': {{'cluster_id': cluster_id, 'violation_count': violation_count,
+     'dominant_violation_type': dominant_violation_type, 'peak_hour_ratio': round(peak_hour_ratio, 9),
+     'avg_resolution_minutes': round(avg_resolution_minutes, 9), 'impact_score': impact_score,
+     'priority_tier': priority_tier, 'priority_color': priority_color,
+     'recommended_enforcement_time': recommended_enforcement_time,
+     'junctions_covered': COALESCE(string_split(NULLIF(junctions_covered, ''), '|'), []),
+     'police_stations_involved': COALESCE(string_split(NULLIF(police_stations_involved, ''), '|'), []),
+     'first_seen': {_ts_text('first_seen')}, 'last_seen': {_ts_text('last_seen')}}}}}) AS VARCHAR) AS feature FROM sc"""
+    return scored_q("live", body)
+
+
+@oracle("snapshot_backfill")
+def _():
+    body = f"""SELECT cluster_id, violation_count, round(peak_hour_ratio, 9) AS peak_hour_ratio,
+  violation_count / 10e0 AS impact_score,
+  CASE WHEN violation_count / 10e0 >= 75 THEN 'Critical' WHEN violation_count / 10e0 >= 55 THEN 'High'
+       WHEN violation_count / 10e0 >= 35 THEN 'Medium' ELSE 'Low' END AS priority_tier,
+  {COLORS.format(t="CASE WHEN violation_count / 10e0 >= 75 THEN 'Critical' WHEN violation_count / 10e0 >= 55 THEN 'High' WHEN violation_count / 10e0 >= 35 THEN 'Medium' ELSE 'Low' END")} AS priority_color,
+  CASE WHEN peak_hour_ratio > 5e-1 THEN '7-9 AM and 5-8 PM' ELSE '10 AM - 4 PM' END AS recommended_enforcement_time,
+  {_ts_text('first_seen')} AS first_seen
+FROM cs"""
     return q("batch", body, dbscan_cte("batch") + ",\n" + summary_cte("batch"))
+
+
+@oracle("insight_context")
+def _():
+    hourly = """hr AS (SELECT CAST(h.range AS INTEGER) AS hour, count(v.id) AS n FROM range(24) h LEFT JOIN v ON v.hour_of_day = h.range GROUP BY 1),
+dw AS (SELECT d.i, d.n AS day, count(v.id) AS n FROM (VALUES ('Monday',0),('Tuesday',1),('Wednesday',2),('Thursday',3),('Friday',4),('Saturday',5),('Sunday',6)) d(n, i)
+       LEFT JOIN v ON v.day_of_week = d.n GROUP BY 1, 2)"""
+    body = f"""SELECT (SELECT count(*) FROM v) AS total_violations,
+  (SELECT {_ts_text('min(created_datetime)')} FROM v) AS date_from, (SELECT {_ts_text('max(created_datetime)')} FROM v) AS date_to,
+  (SELECT string_agg(CAST(cluster_id AS VARCHAR), '|' ORDER BY violation_count DESC, cluster_id) FROM
+     (SELECT * FROM cs ORDER BY violation_count DESC, cluster_id LIMIT 5)) AS top_cluster_ids,
+  (SELECT string_agg(format('{{}}:00-{{}}:59={{}}', hour, hour, n), '|' ORDER BY n DESC, hour) FROM
+     (SELECT * FROM hr ORDER BY n DESC, hour LIMIT 5)) AS top_5_hours,
+  (SELECT format('{{}}:00 with {{}} violations', hour, n) FROM hr ORDER BY n DESC, hour LIMIT 1) AS peak_hour,
+  (SELECT format('{{}} with {{}} violations', day, n) FROM dw ORDER BY n DESC, i LIMIT 1) AS peak_day,
+  (SELECT string_agg(day || '=' || CAST(n AS VARCHAR), '|' ORDER BY i) FROM dw) AS day_of_week_breakdown,
+  (SELECT string_agg(junction_name || '=' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, f) FROM
+     (SELECT junction_name, count(*) AS n, min(id) AS f FROM v WHERE junction_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 10)) AS top_junctions,
+  (SELECT string_agg(vehicle_type || '=' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, f) FROM
+     (SELECT vehicle_type, count(*) AS n, min(id) AS f FROM v WHERE vehicle_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 6)) AS vehicle_types,
+  (SELECT string_agg(violation_type || '=' || CAST(n AS VARCHAR), '|' ORDER BY n DESC, f) FROM
+     (SELECT violation_type, count(*) AS n, min(id) AS f FROM v WHERE violation_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 6)) AS violation_types,
+  (SELECT '<30min=' || count(*) FILTER (WHERE resolution_minutes >= 0 AND resolution_minutes < 30)
+      || '|30-60min=' || count(*) FILTER (WHERE resolution_minutes >= 30 AND resolution_minutes < 60)
+      || '|1-2hrs=' || count(*) FILTER (WHERE resolution_minutes >= 60 AND resolution_minutes < 120)
+      || '|2-6hrs=' || count(*) FILTER (WHERE resolution_minutes >= 120 AND resolution_minutes < 360)
+      || '|>6hrs=' || count(*) FILTER (WHERE resolution_minutes >= 360) FROM v) AS resolution_time_distribution"""
+    return q("live", body, dbscan_cte("live") + ",\n" + summary_cte("live") + ",\n" + hourly)

@@ -220,3 +220,124 @@ def impact_live(spark, sf_dir):
 def impact_batch(spark, sf_dir):
     from kerbside.plans.inputs import scored
     return _cluster_out(scored(spark, sf_dir, "batch"))
+
+
+@query("dashboard_live")
+def dashboard_live(spark, sf_dir):
+    from kerbside.operators.outputs import dashboard
+    from kerbside.plans.inputs import labeled, scored
+    d = dashboard(labeled(spark, sf_dir, "live"), scored(spark, sf_dir, "live"), "live")
+    return d.select("total_violations", "active_clusters", "critical_zones", "avg_resolution_minutes",
+                    F.col("date_range.from").alias("date_from"), F.col("date_range.to").alias("date_to"))
+
+
+@query("dashboard_batch")
+def dashboard_batch(spark, sf_dir):
+    from kerbside.operators.outputs import dashboard
+    from kerbside.plans.inputs import labeled, scored
+    return dashboard(labeled(spark, sf_dir, "batch"), scored(spark, sf_dir, "batch"), "batch")
+
+
+@query("ingest_summary")
+def ingest_summary(spark, sf_dir):
+    from kerbside.operators.outputs import ingest_summary as ing
+    from kerbside.plans.inputs import labeled, scored
+    return ing(labeled(spark, sf_dir, "live"), scored(spark, sf_dir, "live"))
+
+
+REC_OUT = ["rank", "cluster_id", "violation_count", "impact_score", "priority_tier", "recommended_enforcement_time",
+           "description", "patrol_time_window", "enforcement_action", "estimated_congestion_reduction", "mock"]
+
+
+@query("recommend_template")
+def recommend_template(spark, sf_dir):
+    from kerbside.operators.recommend import recommend_from_templates
+    from kerbside.plans.inputs import scored
+    return recommend_from_templates(scored(spark, sf_dir, "live"), 5).select(*REC_OUT)
+
+
+def standin_responses(prompt):
+    """Stand-in for model answers (the model call is outside the engine): one
+    response text for the prompt rows, entries in reverse order, rank 1 with
+    an unknown cluster id, rank 3 without a congestion figure, rank 4 absent,
+    wrapped in a code fence with prose around it.  Only formats rows."""
+    e = prompt.filter(F.col("rank") <= 3).select(
+        "rank",
+        F.struct(
+            F.when(F.col("rank") == 1, F.lit(-1)).otherwise(F.col("cluster_id")).alias("cluster_id"),
+            F.concat(F.lit("Model note for hotspot "), F.col("cluster_id").cast("string")).alias("description"),
+            F.concat(F.lit("Window "), F.col("recommended_enforcement_time")).alias("patrol_time_window"),
+            F.concat(F.lit("Action for "), F.col("dominant_violation_type")).alias("enforcement_action"),
+            F.when(F.col("rank") == 3, F.lit(None).cast("string"))
+             .otherwise(F.concat((F.col("rank") * 5 + 10).cast("string"), F.lit("%"))).alias("estimated_congestion_reduction"),
+        ).alias("e"))
+    arr = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("k"), F.col("e")))), lambda x: x["e"])
+    return e.agg(F.concat(F.lit("Here are the recommendations:\n```json\n"), F.to_json(arr),
+                          F.lit("\n```\nLet me know [if] you need more.")).alias("response"))
+
+
+@query("recommend_overlay")
+def recommend_overlay(spark, sf_dir):
+    from kerbside.operators.recommend import prompt_rows, recommend_with_responses, top_clusters
+    from kerbside.plans.inputs import scored
+    s = scored(spark, sf_dir, "live")
+    responses = standin_responses(prompt_rows(top_clusters(s, 5)))
+    return recommend_with_responses(s, responses, 5).select(*REC_OUT)
+
+
+def _rounded_scored(df):
+    return df.withColumns({c: r9(F.col(c)) for c in ("centroid_lat", "centroid_lon", "peak_hour_ratio", "avg_resolution_minutes")})
+
+
+@query("geojson_features")
+def geojson_features(spark, sf_dir):
+    from kerbside.operators.outputs import geojson_features as gj
+    from kerbside.plans.inputs import scored
+    return gj(_rounded_scored(scored(spark, sf_dir, "live")))
+
+
+@query("insight_context")
+def insight_context(spark, sf_dir):
+    from kerbside.operators.outputs import insight_context as ic
+    from kerbside.plans.inputs import clusters, labeled
+    lab = labeled(spark, sf_dir, "live")
+    return ic(lab, clusters(spark, sf_dir, "live"), ts.hourly(lab, "live"), ts.day_of_week(lab, "live"),
+              ts.top_junctions(lab, "live", keep_first_id=True), ts.vehicle_mix(lab, "live", keep_first_id=True),
+              ts.violation_mix(lab, "live", keep_first_id=True), ts.resolution_buckets(lab, "live"))
+
+
+@query("snapshot_backfill")
+def snapshot_backfill(spark, sf_dir):
+    """Batch cluster summary stored as an older snapshot (no score columns),
+    read back and back-filled."""
+    import uuid
+    from kerbside.plans.inputs import clusters
+    from kerbside.session import ensure_checkpoint_dir
+    from kerbside.sources.snapshot import backfill_clusters, publish, read_published
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots/{uuid.uuid4().hex}"
+    publish(spark, root, "r1", {"clusters": clusters(spark, sf_dir, "batch")})
+    back = backfill_clusters(read_published(spark, root, "clusters"))
+    return back.select(F.col("cluster_id").cast("int").alias("cluster_id"), "violation_count",
+                       r9(F.col("peak_hour_ratio")).alias("peak_hour_ratio"), "impact_score", "priority_tier",
+                       "priority_color", "recommended_enforcement_time", "first_seen")
+
+
+@query("report_sections")
+def report_sections(spark, sf_dir):
+    from kerbside.operators.outputs import dashboard
+    from kerbside.operators.recommend import recommend_from_templates
+    from kerbside.plans.inputs import labeled, scored
+    from kerbside.sources.report import report_rows
+    lab = labeled(spark, sf_dir, "live")
+    sc = _rounded_scored(scored(spark, sf_dir, "live"))
+    stats = {
+        "hourly": (ts.hourly(lab, "live"), "hour"),
+        "day_of_week": (ts.day_of_week(lab, "live"), "day_of_week"),
+        "weekly_trend": (ts.weekly_trend(lab), "week"),
+        "top_junctions": (ts.top_junctions(lab, "live").withColumns({"lat": r9(F.col("lat")), "lon": r9(F.col("lon"))}),
+                          "junction_name"),
+        "vehicle_types": (ts.vehicle_mix(lab, "live"), "vehicle_type"),
+        "violation_types": (ts.violation_mix(lab, "live"), "violation_type"),
+        "resolution_buckets": (ts.resolution_buckets(lab, "live"), "bucket"),
+    }
+    return report_rows(dashboard(lab, sc, "live"), sc, stats, recommend_from_templates(sc, 5))
