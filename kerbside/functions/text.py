@@ -25,15 +25,6 @@ def title_case(c: Column) -> Column:
     )
 
 
-def _first_json_element(s: Column) -> Column:
-    """First element of a strict JSON array of strings, else null.
-
-    ``from_json`` ignores trailing text, so the text must also end in ``]``;
-    single quotes are not JSON and are refused."""
-    arr = F.from_json(s, "array<string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    return F.when(s.endswith("]"), F.get(arr, 0))
-
-
 def normalize_violation_type(c: Column, profile: Profile) -> Column:
     """First element of a JSON-array violation type, title-cased.
 
@@ -41,31 +32,31 @@ def normalize_violation_type(c: Column, profile: Profile) -> Column:
            other ``[``-text that is not valid JSON → brackets stripped, text
            before the first comma, quotes stripped; ``[]`` stays ``[]``.
     batch: null, ``nan``, ``NULL`` → ``Unknown``; invalid array text → first
-           double-quoted text, else the whole string."""
+           double-quoted text, else the whole string.
+
+    ``from_json`` ignores trailing text and by default accepts single quotes;
+    the text must end in ``]`` and single quotes are refused, as in strict
+    JSON.  The choice of text comes first and title-casing runs once."""
     s = py_strip(c)
     starts = s.startswith("[")
-    arr = F.from_json(s, "array<string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    valid_json = s.endswith("]") & arr.isNotNull()
+    arr = F.from_json(F.when(starts & s.endswith("]"), s), "array<string>",
+                      {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    valid = arr.isNotNull()
     first = F.get(arr, 0)
     if profile.type_fallback == "strip":
         stripped = F.regexp_replace(s, r"^[\[\]]+|[\[\]]+$", "")
         stripped = py_strip(F.substring_index(stripped, ",", 1))
         stripped = F.regexp_replace(F.regexp_replace(stripped, '^"+|"+$', ""), "^'+|'+$", "")
-        body = (
-            F.when(starts & valid_json & first.isNotNull(), title_case(first))
-            .when(starts & valid_json, title_case(s))
-            .when(starts, F.when(stripped != "", title_case(stripped)).otherwise(F.lit("Unknown")))
-            .when(s != "", title_case(s))
-            .otherwise(F.lit("Unknown"))
-        )
-        return F.when(c.isNull(), F.lit("Unknown")).otherwise(body)
+        chosen = (F.when(valid & first.isNotNull(), first)
+                   .when(valid, s)
+                   .when(starts, F.nullif(stripped, F.lit("")))
+                   .otherwise(F.nullif(s, F.lit(""))))
+        return F.coalesce(title_case(chosen), F.lit("Unknown"))
     quoted = F.regexp_extract(s, r'"([^"]+)"', 1)
-    body = (
-        F.when(starts & valid_json & first.isNotNull(), title_case(first))
-        .when(starts & ~valid_json & (quoted != ""), title_case(quoted))
-        .otherwise(title_case(s))
-    )
-    return F.when(c.isNull() | c.isin("nan", "NULL", ""), F.lit("Unknown")).otherwise(body)
+    chosen = (F.when(valid & first.isNotNull(), first)
+               .when(starts & ~valid & (quoted != ""), quoted)
+               .otherwise(s))
+    return F.when(c.isNull() | c.isin("nan", "NULL", ""), F.lit("Unknown")).otherwise(title_case(chosen))
 
 
 def junction_label(c: Column) -> Column:

@@ -33,6 +33,8 @@ the cluster checkpoint folder.
 from __future__ import annotations
 
 import math
+import os
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ from kerbside.operators.components import connected_components
 from kerbside.operators.spatial import eps_pairs, lon_reach_deg, max_abs_lat
 from kerbside.session import ensure_checkpoint_dir
 
+_TIMING = os.environ.get("KERBSIDE_TIMING") == "1"
+
+
+class _Clock:
+    def __init__(self):
+        self.t = time.time()
+
+    def __call__(self, label: str) -> None:
+        if _TIMING:
+            now = time.time()
+            print(f"[dbscan] {label}: {now - self.t:.2f}s", flush=True)
+            self.t = now
+
+
 SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
 SALT_TARGET = 20_000  # points of one sub-cell handled by one task in salted joins
 
@@ -68,6 +84,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     eps_rad = math.radians(eps_deg)
     eps_in = F.lit(eps_rad)
     a = eps_deg * SUB_FRACTION
+    clock = _Clock()
 
     # 1. weighted distinct locations; pid (smallest record id) names the location
     loc = (df.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
@@ -77,6 +94,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     mlat = max_abs_lat(loc, "lat")
     ki = math.ceil(eps_deg / a)
     kj = math.ceil(lon_reach_deg(eps_deg, mlat) * (1 + 1e-9) / a)
+    clock("locations")
 
     # 2. sub-cell weights and 3×3 block weights
     cells = loc.groupBy("ci", "cj").agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("npts"))
@@ -86,6 +104,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     cells = (cells.join(block, ["ci", "cj"])
                   .withColumn("nsalt", F.greatest(F.lit(1), F.ceil(F.col("npts") / F.lit(salt_target))).cast("int"))
                   .checkpoint(eager=True))
+    clock("cells")
 
     # 3. sparse-block locations count outer-ring neighbours exactly
     sparse = loc.join(cells.filter(F.col("B") < m).select("ci", "cj", "B"), ["ci", "cj"])
@@ -109,6 +128,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
               .select("pid", "lat", "lon", "ci", "cj",
                       ((F.col("B") >= m) | ((F.col("B") + F.coalesce(F.col("ring_w"), F.lit(0))) >= m)).alias("core"))
               .checkpoint(eager=True))
+    clock("core test")
 
     # 4. core sub-cells (graph nodes) and free adjacency edges
     ccells = (pts.filter("core").groupBy("ci", "cj")
@@ -122,6 +142,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                  .select("src", "dst"))
     comp0 = connected_components(ccells.select("node"), adj)
     c0 = ccells.join(comp0.withColumnRenamed("label", "c0"), "node").checkpoint(eager=True)
+    clock("adjacency components")
 
     # 5. outer-ring sub-cell pairs whose components still differ
     A = c0.select(F.col("node").alias("src"), F.col("c0").alias("c0a"), F.col("lat0").alias("alat0"),
@@ -164,12 +185,14 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     comp1 = connected_components(c0.select(F.col("c0").alias("node")).distinct(),
                                  ring_edges.select(F.col("c0a").alias("src"), F.col("c0b").alias("dst")))
     roots = c0.join(comp1.select(F.col("node").alias("c0"), F.col("label").alias("root")), "c0")
+    clock("ring edges + components")
 
     # 6. cluster numbers in order of the smallest core record id
     numbered = global_index(roots.select("root").distinct(), [F.col("root")], "cl")
     cell_label = (roots.join(numbered, "root")
                        .select("ci", "cj", F.col("cl").cast("int").alias("cluster_label"))
                        .checkpoint(eager=True))
+    clock("numbering")
 
     # 7. labels of locations: core → own sub-cell; border → smallest label of a
     #    core neighbour (whole 3×3 block, exact ring neighbours); else −1
@@ -188,6 +211,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                     .join(core_lab.union(border_lab), "pid", "left")
                     .select("lat", "lon", F.coalesce(F.col("cluster_label"), F.lit(-1)).cast("int").alias("cluster_label"))
                     .checkpoint(eager=True))
+    clock("labels")
 
     # 8. back to records (records of one location share its label)
     out = df.join(loc_label, (df[lat] == loc_label["lat"]) & (df[lon] == loc_label["lon"]), "left")

@@ -23,9 +23,21 @@ def _key(spark: SparkSession, *parts) -> tuple:
     return (spark.sparkContext.applicationId, *parts)
 
 
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in raw records for a test-data folder, materialised once per
+    session like an input table (spread over the session's parallelism; a
+    real input is a file scan with many splits)."""
+    k = _key(spark, sf_dir, "raw")
+    if k not in _MEMO:
+        raw = load_violations_raw(spark, sf_dir)
+        n = max(spark.sparkContext.defaultParallelism, 1)
+        _MEMO[k] = raw.repartition(n).checkpoint(eager=True)
+    return _MEMO[k]
+
+
 def violations(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:
     """Cleaned records for a test-data folder."""
-    return clean(load_violations_raw(spark, sf_dir), profile)
+    return clean(raw_records(spark, sf_dir), profile)
 
 
 def labeled(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:

@@ -47,8 +47,8 @@ def hourly(spark, sf_dir):
 def violation_type_norm(spark, sf_dir):
     from kerbside.functions.text import normalize_violation_type
     from kerbside.profiles import BATCH, LIVE
-    from kerbside.sources.fixture import load_violations_raw
-    raw = load_violations_raw(spark, sf_dir)
+    from kerbside.plans.inputs import raw_records
+    raw = raw_records(spark, sf_dir)
     vt = F.nullif(F.col("violation_type"), F.lit(""))
     return raw.select("id", normalize_violation_type(vt, LIVE).alias("type_live"),
                       normalize_violation_type(vt, BATCH).alias("type_batch"))
