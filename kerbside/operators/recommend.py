@@ -134,10 +134,16 @@ def recommend_with_responses(scored: DataFrame, responses: DataFrame, n: int = 5
     templates.  A response that cannot be parsed gives templates for all."""
     top = top_clusters(scored, n)
     entries, _ = parse_responses(responses, text)
-    by_id = (entries.filter(F.col("cluster_id").isNotNull())
+    # both overlay tables are cut to at most n rows before any broadcast:
+    # entries naming a top cluster (semi-join with the broadcast top-n ids) and
+    # entries at positions < n
+    ids = F.broadcast(top.select("cluster_id"))
+    by_id = (entries.join(ids, "cluster_id", "left_semi")
                     .groupBy("cluster_id")
                     .agg(F.min(F.struct("pos", *REC_FIELDS, "mock")).alias("m")))
-    by_pos = entries.select(F.col("pos").alias("rank"), F.struct("pos", *REC_FIELDS, "mock").alias("p"))
+    by_pos = (entries.filter(F.col("pos") < n)
+                     .groupBy(F.col("pos").alias("rank"))
+                     .agg(F.min(F.struct("pos", *REC_FIELDS, "mock")).alias("p")))
     t = templates(scored.sparkSession)
     joined = (top.join(F.broadcast(by_id), "cluster_id", "left")
                  .join(F.broadcast(by_pos), "rank", "left")
