@@ -1,0 +1,56 @@
+"""The whole job: clean → cluster → summarise → score → statistics →
+recommendations → outputs, optionally published as one snapshot run."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerbside.operators import timestats as ts
+from kerbside.operators.clean import clean
+from kerbside.operators.clusters import cluster_summary, label_points
+from kerbside.operators.heatmap import heat_points, map_sample
+from kerbside.operators.outputs import dashboard, geojson_features, ingest_summary
+from kerbside.operators.recommend import recommend_from_templates, recommend_with_responses
+from kerbside.operators.score import score
+from kerbside.profiles import get_profile
+from kerbside.session import ensure_checkpoint_dir
+from kerbside.sources.snapshot import publish
+
+
+def run_pipeline(spark: SparkSession, raw: DataFrame, profile: str = "live", out_root: str | None = None,
+                 run_id: str | None = None, responses: DataFrame | None = None, top_n: int = 5) -> dict[str, DataFrame]:
+    """Run every stage on raw records.  Labels and scored clusters are
+    checkpointed once and reused by every later output.  With ``out_root``
+    the sections are written as one run and the run pointer is moved last."""
+    p = get_profile(profile)
+    ensure_checkpoint_dir(spark)
+    records = clean(raw, p)
+    labeled = label_points(records, p).checkpoint(eager=True)
+    scored = score(cluster_summary(labeled, p), p).checkpoint(eager=True)
+    recs = (recommend_with_responses(scored, responses, top_n) if responses is not None
+            else recommend_from_templates(scored, top_n))
+    out = {
+        "labeled": labeled,
+        "clusters": scored,
+        "recommendations": recs,
+        "dashboard": dashboard(labeled, scored, p, as_of=F.current_timestamp().cast("string")),
+        "hourly": ts.hourly(labeled, p),
+        "day_of_week": ts.day_of_week(labeled, p),
+        "weekly_trend": ts.weekly_trend(labeled),
+        "top_junctions": ts.top_junctions(labeled, p),
+        "vehicle_types": ts.vehicle_mix(labeled, p),
+        "violation_types": ts.violation_mix(labeled, p),
+        "resolution_buckets": ts.resolution_buckets(labeled, p),
+        "heat_points": heat_points(labeled),
+        "features": geojson_features(scored),
+        "summary": ingest_summary(labeled, scored),
+    }
+    if p.name == "batch":
+        out["map_points"] = map_sample(labeled)
+    if out_root:
+        sections = {k: v for k, v in out.items() if k != "labeled"}
+        publish(spark, out_root, run_id or uuid.uuid4().hex, sections)
+    return out
