@@ -29,6 +29,17 @@ def clean(raw: DataFrame, profile: Profile | str = "live") -> DataFrame:
     ``week_number`` int, ``month`` int; ``violation_type`` normalised."""
     p = get_profile(profile)
     df = ensure_columns(with_alias_columns(raw))
+    # predicates implied by the row filter, stated on the raw text columns so
+    # the source can evaluate them (Parquet pushdown) before any parsing
+    pre = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    if p.status_mode == "deny_invalid":
+        pre = pre & ~F.col("validation_status").eqNullSafe("INVALID")
+    else:
+        pre = pre & F.col("validation_status").isNotNull()
+    if p.drop_null_created:
+        pre = pre & F.col("created_datetime").isNotNull()
+    df = df.filter(pre)
+
     # every empty text cell is missing (``NULL``/``NA`` text stays text)
     text_cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text_cols})
@@ -49,7 +60,7 @@ def clean(raw: DataFrame, profile: Profile | str = "live") -> DataFrame:
     keep = (
         F.col("latitude").isNotNull() & (F.col("latitude") != 0)
         & F.col("longitude").isNotNull() & (F.col("longitude") != 0)
-        & F.coalesce(status_ok, F.lit(False))
+        & status_ok
     )
     if p.drop_null_created:
         keep = keep & F.col("created_datetime").isNotNull()

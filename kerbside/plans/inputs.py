@@ -1,7 +1,9 @@
 """Shared inputs of the query catalogue: cleaned and labelled records.
 
-Labelled records are computed once per (session, folder, profile) and kept
-as a reliable checkpoint — the same reuse a pipeline run makes of its labels."""
+Raw stand-in records, labelled records and scored clusters are computed
+once per (session, folder, profile) and written as parquet tables in the
+shared checkpoint folder — the reuse a pipeline run makes of its labels, with
+column pruning and filter pushdown for every later scan."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbside.operators.clean import clean
 from kerbside.operators.clusters import cluster_summary, label_points
 from kerbside.operators.score import score
+from kerbside.session import materialize
 from kerbside.sources.fixture import load_violations_raw
 
 _MEMO: dict[tuple, DataFrame] = {}
@@ -31,7 +34,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     if k not in _MEMO:
         raw = load_violations_raw(spark, sf_dir)
         n = max(spark.sparkContext.defaultParallelism, 1)
-        _MEMO[k] = raw.repartition(n).checkpoint(eager=True)
+        _MEMO[k] = materialize(raw.repartition(n), "raw_records")
     return _MEMO[k]
 
 
@@ -43,7 +46,7 @@ def violations(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataF
 def labeled(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:
     k = _key(spark, sf_dir, profile, "labeled")
     if k not in _MEMO:
-        _MEMO[k] = label_points(violations(spark, sf_dir, profile), profile).checkpoint(eager=True)
+        _MEMO[k] = materialize(label_points(violations(spark, sf_dir, profile), profile), f"labeled_{profile}")
     return _MEMO[k]
 
 
@@ -54,5 +57,5 @@ def clusters(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFra
 def scored(spark: SparkSession, sf_dir: str, profile: str = "live") -> DataFrame:
     k = _key(spark, sf_dir, profile, "scored")
     if k not in _MEMO:
-        _MEMO[k] = score(clusters(spark, sf_dir, profile), profile).checkpoint(eager=True)
+        _MEMO[k] = materialize(score(clusters(spark, sf_dir, profile), profile), f"scored_{profile}")
     return _MEMO[k]

@@ -16,7 +16,7 @@ from kerbside.operators.outputs import dashboard, geojson_features, ingest_summa
 from kerbside.operators.recommend import recommend_from_templates, recommend_with_responses
 from kerbside.operators.score import score
 from kerbside.profiles import get_profile
-from kerbside.session import ensure_checkpoint_dir
+from kerbside.session import ensure_checkpoint_dir, materialize
 from kerbside.sources.snapshot import publish
 
 
@@ -28,8 +28,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, profile: str = "live", out
     p = get_profile(profile)
     ensure_checkpoint_dir(spark)
     records = clean(raw, p)
-    labeled = label_points(records, p).checkpoint(eager=True)
-    scored = score(cluster_summary(labeled, p), p).checkpoint(eager=True)
+    labeled = materialize(label_points(records, p), f"labeled_{p.name}")
+    scored = materialize(score(cluster_summary(labeled, p), p), f"scored_{p.name}")
     recs = (recommend_with_responses(scored, responses, top_n) if responses is not None
             else recommend_from_templates(scored, top_n))
     out = {

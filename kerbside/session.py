@@ -50,3 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kerbside-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read
+    it back: lineage is cut, and later scans prune columns and push filters
+    (a checkpointed frame is an RDD scan and cannot)."""
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
