@@ -61,6 +61,7 @@ class _Clock:
 
 SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
 SALT_TARGET = 20_000  # points of one sub-cell handled by one task in salted joins
+MICRO = 8  # micro-cells per sub-cell side in the pair refinement
 HOT_ROWS = 1_000_000  # records at one location that make it a hot join key
 HOT_BROADCAST_MAX = 200_000  # most hot locations attached by broadcast
 
@@ -171,19 +172,48 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     sure = cand.filter(F.col("upper") <= eps_in * (1 - 1e-9)).select("c0a", "c0b")
     open_pairs = cand.filter(F.col("upper") > eps_in * (1 - 1e-9)).select("src", "dst", "c0a", "c0b")
 
+    # 5b. undecided sub-cell pairs are refined on micro-cells (side a/MICRO):
+    #     at most MICRO² micro-cells per sub-cell, so at most MICRO⁴ micro pairs
+    #     per sub-cell pair whatever the density; exact point pairs are tested
+    #     only inside micro pairs whose boxes straddle eps (salted by size)
+    mu = a / MICRO
     core_pts = (pts.filter("core").join(ccells.select("ci", "cj", "node"), ["ci", "cj"])
-                   .select("node", "pid", "lat", "lon"))
-    node_salt = ccells.select("node", "ci", "cj").join(cells.select("ci", "cj", "nsalt"), ["ci", "cj"]).select("node", "nsalt")
-    left = (open_pairs.join(core_pts.withColumnRenamed("node", "src"), "src")
-                      .join(node_salt.withColumnRenamed("node", "dst"), "dst")
-                      .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
-                      .select("src", "dst", "c0a", "c0b", "salt", F.col("lat").alias("plat"), F.col("lon").alias("plon")))
-    right = (core_pts.join(node_salt, "node")
-                     .select(F.col("node").alias("dst"), F.pmod(F.xxhash64("pid"), F.col("nsalt")).cast("int").alias("salt"),
-                             F.col("lat").alias("qlat"), F.col("lon").alias("qlon")))
-    tested = (left.join(right, ["dst", "salt"])
+                   .select("node", "pid", "lat", "lon",
+                           F.floor(F.col("lat") / mu).alias("mi"), F.floor(F.col("lon") / mu).alias("mj")))
+    micro = (core_pts.groupBy("node", "mi", "mj")
+                     .agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"),
+                          F.max("lon").alias("lon1"), F.count(F.lit(1)).alias("npts")))
+    ma = micro.select(F.col("node").alias("src"), F.col("mi").alias("ami"), F.col("mj").alias("amj"),
+                      F.col("lat0").alias("alat0"), F.col("lat1").alias("alat1"),
+                      F.col("lon0").alias("alon0"), F.col("lon1").alias("alon1"))
+    mb = micro.select(F.col("node").alias("dst"), F.col("mi").alias("bmi"), F.col("mj").alias("bmj"),
+                      F.col("lat0").alias("blat0"), F.col("lat1").alias("blat1"),
+                      F.col("lon0").alias("blon0"), F.col("lon1").alias("blon1"), F.col("npts").alias("bnpts"))
+    mpairs = (open_pairs.join(ma, "src").join(mb, "dst")
+                        .withColumns({"lower": lower, "upper": upper})
+                        .filter(F.col("lower") <= eps_in * (1 + 1e-9))
+                        .checkpoint(eager=True))
+    sure_micro = mpairs.filter(F.col("upper") <= eps_in * (1 - 1e-9)).select("c0a", "c0b")
+    open_micro = (mpairs.filter(F.col("upper") > eps_in * (1 - 1e-9))
+                        .select("src", "dst", "c0a", "c0b", "ami", "amj", "bmi", "bmj",
+                                F.greatest(F.lit(1), F.ceil(F.col("bnpts") / F.lit(salt_target))).cast("int").alias("nsalt")))
+    left = (open_micro.join(core_pts.select(F.col("node").alias("src"), F.col("mi").alias("ami"), F.col("mj").alias("amj"),
+                                            F.col("lat").alias("plat"), F.col("lon").alias("plon")),
+                            ["src", "ami", "amj"])
+                      .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1))))
+    right = core_pts.select(F.col("node").alias("dst"), F.col("mi").alias("bmi"), F.col("mj").alias("bmj"),
+                            F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("pid").alias("qid"))
+    right = (right.join(micro.select(F.col("node").alias("dst"), F.col("mi").alias("bmi"), F.col("mj").alias("bmj"),
+                                     F.greatest(F.lit(1), F.ceil(F.col("npts") / F.lit(salt_target))).cast("int").alias("nsalt")),
+                        ["dst", "bmi", "bmj"])
+                  .withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("nsalt")).cast("int")).drop("nsalt"))
+    tested = (left.join(right, ["dst", "bmi", "bmj", "salt"])
                   .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= eps_in)
                   .select("c0a", "c0b"))
+    sure = sure.union(sure_micro)
+    if _TIMING:
+        print(f"[dbscan] undecided cell pairs={open_pairs.count()} micro pairs={mpairs.count()} "
+              f"open micro pairs={open_micro.count()}", flush=True)
     ring_edges = sure.union(tested).distinct()
     comp1 = connected_components(c0.select(F.col("c0").alias("node")).distinct(),
                                  ring_edges.select(F.col("c0a").alias("src"), F.col("c0b").alias("dst")))

@@ -123,3 +123,25 @@ def test_components_path_and_isolated(spark):
     lab = {r.node: r.label for r in connected_components(nodes, edges).collect()}
     assert {lab[i] for i in range(n)} == {0}
     assert [lab[n], lab[n + 1], lab[n + 2]] == [n, n + 1, n + 2]
+
+
+def gap_blobs(phi, lon, g):
+    """Blob A: grid with lat ≤ phi, lon ≤ lon plus two edge points; blob B:
+    grid with lat ≥ phi+0.0004, lon ≥ lon+g plus two edge points.  The
+    nearest cross pairs sit close to eps, inside boxes that straddle eps."""
+    a = [(phi - 1e-4 * r, lon - 4e-5 - 1e-4 * c) for r in range(4) for c in range(5)]
+    a += [(phi, lon), (phi, lon - 3e-5)]
+    b = [(phi + 4.3e-4 + 1e-4 * r, lon + g + 4e-5 + 1e-4 * c) for r in range(4) for c in range(5)]
+    b += [(phi + 4e-4, lon + g), (phi + 3.7e-4, lon + g + 3e-5)]
+    return a + b
+
+
+def test_dense_clusters_across_a_gap_use_micro_refinement(spark):
+    rows = []
+    for k, g in enumerate((7.0e-4, 7.2e-4)):
+        for lat, lon in gap_blobs(12.9 + 0.01 * k, 77.5, g):
+            rows.append((len(rows), lat, lon))
+    got = labels(dbscan(pts(spark, rows), EPS, 5))
+    want = brute_dbscan(rows, EPS, 5)
+    assert got == want
+    assert len({v for v in want.values() if v >= 0}) == 3   # joined at 0.99 eps, apart at 1.01 eps
