@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from kerbside.functions.geo import haversine
 from kerbside.functions.ordering import global_index
 from kerbside.operators.components import connected_components
-from kerbside.operators.spatial import eps_pairs, lon_reach_deg, max_abs_lat
+from kerbside.operators.spatial import (HOT_BROADCAST_MAX, HOT_ROWS, attach_by_location, eps_pairs,
+                                       lon_reach_deg, max_abs_lat)
 from kerbside.session import ensure_checkpoint_dir
 
 _TIMING = os.environ.get("KERBSIDE_TIMING") == "1"
@@ -62,8 +63,6 @@ class _Clock:
 SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
 SALT_TARGET = 20_000  # points of one sub-cell handled by one task in salted joins
 MICRO = 8  # micro-cells per sub-cell side in the pair refinement
-HOT_ROWS = 1_000_000  # records at one location that make it a hot join key
-HOT_BROADCAST_MAX = 200_000  # most hot locations attached by broadcast
 
 
 def _hav_bound(dlat_deg: Column, dlon_deg: Column, cos2: Column) -> Column:
@@ -246,27 +245,11 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                     .checkpoint(eager=True))
     clock("labels")
 
-    # 8. back to records (records of one location share its label).  A hot
-    #    location is a hot join key: locations holding ≥ hot_rows records are
-    #    few (≤ rows / hot_rows) and, when their count passes the size check,
-    #    are attached by broadcast; the rest go through a shuffle join (AQE
-    #    splits any remaining skew).
-    hot = loc.filter(F.col("w") >= hot_rows).select("lat", "lon")
-    n_hot = hot.count()
-    rl, rn = F.col(lat), F.col(lon)
-    if 0 < n_hot <= hot_broadcast_max:
-        hot_lab = loc_label.join(hot, ["lat", "lon"]).select(
-            F.col("lat").alias("_hl"), F.col("lon").alias("_hn"), F.col("cluster_label").alias("_hc"))
-        step = df.join(F.broadcast(hot_lab), (rl == F.col("_hl")) & (rn == F.col("_hn")), "left")
-        done = step.filter(F.col("_hc").isNotNull()).withColumn("cluster_label", F.col("_hc")).drop("_hl", "_hn", "_hc")
-        rest = step.filter(F.col("_hc").isNull()).drop("_hl", "_hn", "_hc")
-        cold = loc_label.join(hot, ["lat", "lon"], "left_anti").select(
-            F.col("lat").alias("_cl"), F.col("lon").alias("_cn"), "cluster_label")
-        rest = rest.join(cold, (rl == F.col("_cl")) & (rn == F.col("_cn")), "left").drop("_cl", "_cn")
-        out = done.unionByName(rest)
-    else:
-        lab = loc_label.select(F.col("lat").alias("_cl"), F.col("lon").alias("_cn"), "cluster_label")
-        out = df.join(lab, (rl == F.col("_cl")) & (rn == F.col("_cn")), "left").drop("_cl", "_cn")
+    # 8. back to records (records of one location share its label); hot
+    #    locations are attached by a size-checked broadcast
+    loc_w = loc_label.join(loc.select("lat", "lon", "w"), ["lat", "lon"])
+    out = attach_by_location(df, loc_w, ["cluster_label"], lat, lon, hot_rows=hot_rows,
+                             hot_broadcast_max=hot_broadcast_max)
     clock("attach")
     return out.withColumn("cluster_label", F.coalesce(F.col("cluster_label"), F.lit(-1)).cast("int"))
 

@@ -145,3 +145,11 @@ def test_dense_clusters_across_a_gap_use_micro_refinement(spark):
     want = brute_dbscan(rows, EPS, 5)
     assert got == want
     assert len({v for v in want.values() if v >= 0}) == 3   # joined at 0.99 eps, apart at 1.01 eps
+
+
+def test_neighbor_counts_with_duplicates(spark):
+    from kerbside.operators.spatial import neighbor_counts
+    rows = [(i, 12.9, 77.5) for i in range(50)] + [(100, 12.9, 77.5005), (101, 12.9, 77.502)]
+    for hot in (10, 10**6):
+        got = {r.id: r.neighbor_count for r in neighbor_counts(pts(spark, rows), EPS, hot_rows=hot).collect()}
+        assert got[0] == 51 and got[49] == 51 and got[100] == 51 and got[101] == 1
