@@ -556,3 +556,52 @@ dw AS (SELECT d.i, d.n AS day, count(v.id) AS n FROM (VALUES ('Monday',0),('Tues
       || '|2-6hrs=' || count(*) FILTER (WHERE resolution_minutes >= 120 AND resolution_minutes < 360)
       || '|>6hrs=' || count(*) FILTER (WHERE resolution_minutes >= 360) FROM v) AS resolution_time_distribution"""
     return q("live", body, dbscan_cte("live") + ",\n" + summary_cte("live") + ",\n" + hourly)
+
+
+@oracle("report_sections")
+def _():
+    arr = "COALESCE(string_split(NULLIF({c}, ''), '|'), [])"
+    cl = (f"'cluster_id': cluster_id, 'centroid_lat': round(centroid_lat, 9), 'centroid_lon': round(centroid_lon, 9), "
+          f"'violation_count': violation_count, 'unique_vehicle_types': unique_vehicle_types, "
+          f"'dominant_violation_type': dominant_violation_type, 'peak_hour_ratio': round(peak_hour_ratio, 9), "
+          f"'avg_resolution_minutes': round(avg_resolution_minutes, 9), "
+          f"'junctions_covered': {arr.format(c='junctions_covered')}, "
+          f"'police_stations_involved': {arr.format(c='police_stations_involved')}, "
+          f"'first_seen': {_ts_text('first_seen')}, 'last_seen': {_ts_text('last_seen')}, "
+          f"'impact_score': impact_score, 'priority_tier': priority_tier, 'priority_color': priority_color, "
+          f"'recommended_enforcement_time': recommended_enforcement_time")
+    extra = """hr AS (SELECT CAST(h.range AS INTEGER) AS hour, count(v.id) AS n FROM range(24) h LEFT JOIN v ON v.hour_of_day = h.range GROUP BY 1),
+dw AS (SELECT d.i, d.n AS day, count(v.id) AS n FROM (VALUES ('Monday',0),('Tuesday',1),('Wednesday',2),('Thursday',3),('Friday',4),('Saturday',5),('Sunday',6)) d(n, i)
+       LEFT JOIN v ON v.day_of_week = d.n GROUP BY 1, 2),
+wk AS (SELECT week_number AS week, count(*) AS n FROM v WHERE week_number IS NOT NULL GROUP BY 1),
+tj AS (SELECT junction_name, count(*) AS n, round(avg(latitude), 9) AS lat, round(avg(longitude), 9) AS lon, min(id) AS f
+       FROM v WHERE junction_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 10),
+vt AS (SELECT vehicle_type, count(*) AS n FROM v WHERE vehicle_type IS NOT NULL GROUP BY 1),
+vl AS (SELECT violation_type, count(*) AS n FROM v WHERE violation_type IS NOT NULL GROUP BY 1),
+rb AS (SELECT b.i, b.name, count(m) AS n
+  FROM (VALUES (0, '<30min'), (1, '30-60min'), (2, '1-2hrs'), (3, '2-6hrs'), (4, '>6hrs')) b(i, name)
+  LEFT JOIN (SELECT resolution_minutes AS m,
+     CASE WHEN resolution_minutes < 30 THEN 0 WHEN resolution_minutes < 60 THEN 1 WHEN resolution_minutes < 120 THEN 2
+          WHEN resolution_minutes < 360 THEN 3 ELSE 4 END AS i FROM v WHERE resolution_minutes >= 0) x ON x.i = b.i
+  GROUP BY b.i, b.name)"""
+    body = f"""SELECT 'dashboard' AS section, '' AS item, CAST(to_json({{
+    'total_violations': (SELECT count(*) FROM v), 'active_clusters': (SELECT count(*) FROM sc),
+    'critical_zones': (SELECT count(*) FROM sc WHERE priority_tier = 'Critical'),
+    'avg_resolution_minutes': (SELECT COALESCE(round_even(avg(resolution_minutes), 1), 0e0) FROM v),
+    'date_range': {{'from': (SELECT COALESCE({_ts_text('min(created_datetime)')}, '') FROM v),
+                   'to': (SELECT COALESCE({_ts_text('max(created_datetime)')}, '') FROM v)}}}}) AS VARCHAR) AS payload
+UNION ALL SELECT 'clusters', CAST(cluster_id AS VARCHAR), CAST(to_json({{{cl}}}) AS VARCHAR) FROM sc
+UNION ALL SELECT 'time_stats.hourly', CAST(hour AS VARCHAR), CAST(to_json({{'hour': hour, 'count': n}}) AS VARCHAR) FROM hr
+UNION ALL SELECT 'time_stats.day_of_week', day, CAST(to_json({{'day_index': i, 'day_of_week': day, 'count': n}}) AS VARCHAR) FROM dw
+UNION ALL SELECT 'time_stats.weekly_trend', CAST(week AS VARCHAR), CAST(to_json({{'week': week, 'count': n}}) AS VARCHAR) FROM wk
+UNION ALL SELECT 'time_stats.top_junctions', junction_name,
+  CAST(to_json({{'junction_name': junction_name, 'count': n, 'lat': lat, 'lon': lon}}) AS VARCHAR) FROM tj
+UNION ALL SELECT 'time_stats.vehicle_types', vehicle_type, CAST(to_json({{'vehicle_type': vehicle_type, 'count': n,
+  'percentage': {_half_even_pct('n * 100', '(SELECT greatest(count(*), 1) FROM v)', 10)}}}) AS VARCHAR) FROM vt
+UNION ALL SELECT 'time_stats.violation_types', violation_type, CAST(to_json({{'violation_type': violation_type, 'count': n}}) AS VARCHAR) FROM vl
+UNION ALL SELECT 'time_stats.resolution_buckets', name, CAST(to_json({{'bucket_index': i, 'bucket': name, 'count': n}}) AS VARCHAR) FROM rb
+UNION ALL SELECT 'recommendations', CAST(rank AS VARCHAR), CAST(to_json({{{cl}, 'rank': rank,
+  'description': description, 'patrol_time_window': patrol_time_window, 'enforcement_action': enforcement_action,
+  'estimated_congestion_reduction': estimated_congestion_reduction, 'mock': true}}) AS VARCHAR)
+  FROM (SELECT top5.*, tpl.* FROM top5 JOIN tpl ON tpl.template_id = top5.rank % 5)"""
+    return scored_q("live", body, TOP5 + ",\n" + _templates_values() + ",\n" + extra)
