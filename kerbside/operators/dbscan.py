@@ -20,7 +20,8 @@ Spark design (grid DBSCAN, after Gan & Tao 2015):
      so few per block) count their outer-ring neighbours exactly;
    * all core points of one sub-cell form one graph node, and core sub-cells
      that are adjacent are joined by an edge without a test.
-3. Components over sub-cells: first over adjacency edges; then only sub-cell
+3. Components over sub-cells: first over adjacency edges (union-find inside
+   tiles of 32×32 sub-cells, then the cross-tile edges); then only sub-cell
    pairs in the outer ring whose components still differ are tested — by
    bounding boxes, and by exact point pairs only when the boxes cannot decide.
 4. Cluster numbers come from a distributed global index of component roots.
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from kerbside.functions.geo import haversine
 from kerbside.functions.ordering import global_index
 from kerbside.operators.components import connected_components
+from kerbside.operators.tiles import TILE, adjacency_components
 from kerbside.operators.spatial import (HOT_BROADCAST_MAX, HOT_ROWS, attach_by_location, eps_pairs,
                                        lon_reach_deg, max_abs_lat)
 from kerbside.session import ensure_checkpoint_dir
@@ -79,7 +81,7 @@ def _offsets(ki: int, kj: int, min_cheb: int, max_cheb: int | None = None) -> Co
 
 def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id", lat: str = "latitude",
            lon: str = "longitude", salt_target: int = SALT_TARGET, hot_rows: int = HOT_ROWS,
-           hot_broadcast_max: int = HOT_BROADCAST_MAX) -> DataFrame:
+           hot_broadcast_max: int = HOT_BROADCAST_MAX, tile: int = TILE) -> DataFrame:
     """``df`` plus ``cluster_label`` (int, −1 = noise)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -138,12 +140,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                  .agg(F.min("pid").alias("node"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
                       F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
                  .checkpoint(eager=True))
-    adj = (ccells.withColumn("o", F.explode(_offsets(1, 1, 1)))
-                 .select(F.col("node").alias("src"), (F.col("ci") + F.col("o.di")).alias("ci"),
-                         (F.col("cj") + F.col("o.dj")).alias("cj"))
-                 .join(ccells.select("ci", "cj", F.col("node").alias("dst")), ["ci", "cj"])
-                 .select("src", "dst"))
-    comp0 = connected_components(ccells.select("node"), adj)
+    comp0 = adjacency_components(ccells, tile=tile)
     c0 = ccells.join(comp0.withColumnRenamed("label", "c0"), "node").checkpoint(eager=True)
     clock("adjacency components")
 

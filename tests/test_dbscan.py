@@ -153,3 +153,32 @@ def test_neighbor_counts_with_duplicates(spark):
     for hot in (10, 10**6):
         got = {r.id: r.neighbor_count for r in neighbor_counts(pts(spark, rows), EPS, hot_rows=hot).collect()}
         assert got[0] == 51 and got[49] == 51 and got[100] == 51 and got[101] == 1
+
+
+def test_tile_contraction_matches_plain_components(spark):
+    """Adjacency components with tiles of 2×2 sub-cells (many cross-tile edges)
+    equal the components of the full adjacency graph."""
+    from kerbside.operators.tiles import adjacency_components
+    import random
+    rnd = random.Random(5)
+    cells = {(rnd.randrange(0, 40), rnd.randrange(0, 40)) for _ in range(700)}
+    rows = [(ci, cj, ci * 1000 + cj) for ci, cj in sorted(cells)]
+    cc = spark.createDataFrame(rows, "ci long, cj long, node long")
+    got = {r.node: r.label for r in adjacency_components(cc, tile=2).collect()}
+    parent = {n: n for _, _, n in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for ci, cj, n in rows:
+        for di in (-1, 0, 1):
+            for dj in (-1, 0, 1):
+                if (ci + di, cj + dj) in cells:
+                    a, b = find(n), find((ci + di) * 1000 + cj + dj)
+                    parent[max(a, b)] = min(a, b)
+    want = {}
+    for _, _, n in rows:
+        want.setdefault(find(n), []).append(n)
+    expect = {n: min(ns) for ns in want.values() for n in ns}
+    assert got == expect
