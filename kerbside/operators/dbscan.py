@@ -20,10 +20,11 @@ Spark design (grid DBSCAN, after Gan & Tao 2015):
      so few per block) count their outer-ring neighbours exactly;
    * all core points of one sub-cell form one graph node, and core sub-cells
      that are adjacent are joined by an edge without a test.
-3. Components over sub-cells: first over adjacency edges (union-find inside
-   tiles of 32×32 sub-cells, then the cross-tile edges); then only sub-cell
-   pairs in the outer ring whose components still differ are tested — by
-   bounding boxes, and by exact point pairs only when the boxes cannot decide.
+3. Components over sub-cells: adjacency components inside tiles of 32×32
+   sub-cells come from a bounded union-find; outer-ring sub-cell pairs whose
+   tile-local components differ are tested — by bounding boxes, then on
+   micro-cells, and by exact point pairs only where neither can decide; one
+   distributed components run joins cross-tile adjacency and ring edges.
 4. Cluster numbers come from a distributed global index of component roots.
 
 Every join on a sub-cell key is salted by that sub-cell's point count, so no
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from kerbside.functions.geo import haversine
 from kerbside.functions.ordering import global_index
 from kerbside.operators.components import connected_components
-from kerbside.operators.tiles import TILE, adjacency_components
+from kerbside.operators.tiles import TILE, cross_tile_edges, tile_local_labels
 from kerbside.operators.spatial import (HOT_BROADCAST_MAX, HOT_ROWS, attach_by_location, eps_pairs,
                                        lon_reach_deg, max_abs_lat)
 from kerbside.session import ensure_checkpoint_dir
@@ -140,11 +141,11 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                  .agg(F.min("pid").alias("node"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
                       F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
                  .checkpoint(eager=True))
-    comp0 = adjacency_components(ccells, tile=tile)
-    c0 = ccells.join(comp0.withColumnRenamed("label", "c0"), "node").checkpoint(eager=True)
-    clock("adjacency components")
+    local = tile_local_labels(ccells, tile)
+    c0 = ccells.join(local.select("node", F.col("local").alias("c0")), "node")
+    clock("tile components")
 
-    # 5. outer-ring sub-cell pairs whose components still differ
+    # 5. outer-ring sub-cell pairs whose tile-local components differ
     A = c0.select(F.col("node").alias("src"), F.col("c0").alias("c0a"), F.col("lat0").alias("alat0"),
                   F.col("lat1").alias("alat1"), F.col("lon0").alias("alon0"), F.col("lon1").alias("alon1"),
                   "ci", "cj")
@@ -211,8 +212,8 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
         print(f"[dbscan] undecided cell pairs={open_pairs.count()} micro pairs={mpairs.count()} "
               f"open micro pairs={open_micro.count()}", flush=True)
     ring_edges = sure.union(tested).distinct()
-    comp1 = connected_components(c0.select(F.col("c0").alias("node")).distinct(),
-                                 ring_edges.select(F.col("c0a").alias("src"), F.col("c0b").alias("dst")))
+    edges = ring_edges.select(F.col("c0a").alias("src"), F.col("c0b").alias("dst")).union(cross_tile_edges(local))
+    comp1 = connected_components(c0.select(F.col("c0").alias("node")).distinct(), edges)
     roots = c0.join(comp1.select(F.col("node").alias("c0"), F.col("label").alias("root")), "c0")
     clock("ring edges + components")
 

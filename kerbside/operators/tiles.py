@@ -49,23 +49,33 @@ def _tile_components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "local": local})
 
 
-def adjacency_components(ccells: DataFrame, tile: int = TILE) -> DataFrame:
-    """``ccells(ci, cj, node)`` → ``(node, label)`` for the graph joining core
-    sub-cells that are adjacent (Chebyshev distance 1)."""
+def tile_local_labels(ccells: DataFrame, tile: int = TILE) -> DataFrame:
+    """``ccells(ci, cj, node)`` → ``(node, local, ci, cj, ti, tj)`` where
+    ``local`` is the smallest node of the node's adjacency component inside
+    its tile."""
     cells = ccells.select("ci", "cj", "node").withColumns({
         "ti": F.floor(F.col("ci") / tile), "tj": F.floor(F.col("cj") / tile)})
-    local = (cells.groupBy("ti", "tj")
-                  .applyInPandas(_tile_components, "node long, local long"))
-    local = local.join(cells.select("node", "ci", "cj", "ti", "tj"), "node").checkpoint(eager=True)
-    # adjacency edges that cross a tile border, between tile-local components
+    local = cells.groupBy("ti", "tj").applyInPandas(_tile_components, "node long, local long")
+    return local.join(cells, "node").checkpoint(eager=True)
+
+
+def cross_tile_edges(local: DataFrame) -> DataFrame:
+    """Adjacency edges that cross a tile border, as edges between tile-local
+    components (``src``, ``dst``)."""
     offs = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di, dj in _NEIGHBOURS])
-    cross = (local.withColumn("o", F.explode(offs))
-                  .select(F.col("local").alias("src"), F.col("ti").alias("ati"), F.col("tj").alias("atj"),
-                          (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"))
-                  .join(local.select("ci", "cj", F.col("local").alias("dst"), F.col("ti").alias("bti"),
-                                     F.col("tj").alias("btj")), ["ci", "cj"])
-                  .filter((F.col("ati") != F.col("bti")) | (F.col("atj") != F.col("btj")))
-                  .select("src", "dst").distinct())
-    merged = connected_components(local.select(F.col("local").alias("node")).distinct(), cross)
+    return (local.withColumn("o", F.explode(offs))
+                 .select(F.col("local").alias("src"), F.col("ti").alias("ati"), F.col("tj").alias("atj"),
+                         (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"))
+                 .join(local.select("ci", "cj", F.col("local").alias("dst"), F.col("ti").alias("bti"),
+                                    F.col("tj").alias("btj")), ["ci", "cj"])
+                 .filter((F.col("ati") != F.col("bti")) | (F.col("atj") != F.col("btj")))
+                 .select("src", "dst").distinct())
+
+
+def adjacency_components(ccells: DataFrame, tile: int = TILE) -> DataFrame:
+    """``ccells(ci, cj, node)`` → ``(node, label)`` for the graph joining core
+    sub-cells that are adjacent (Chebyshev distance 1)."""
+    local = tile_local_labels(ccells, tile)
+    merged = connected_components(local.select(F.col("local").alias("node")).distinct(), cross_tile_edges(local))
     return (local.join(merged.select(F.col("node").alias("local"), "label"), "local")
                  .select("node", "label"))
