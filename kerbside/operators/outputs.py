@@ -136,3 +136,58 @@ def hour_label(hour: Column) -> Column:
 def day_index(day: Column) -> Column:
     m = F.create_map(*[x for i, d in enumerate(DAY_ORDER) for x in (F.lit(d), F.lit(i))])
     return m[day]
+
+
+def _top_list(df: DataFrame, order: list[Column], n: int | None, item: Column) -> DataFrame:
+    """First ``n`` rows (or a fixed dimension) as one ordered array column."""
+    d = df.orderBy(*order)
+    if n is not None:
+        d = d.limit(n)
+    d = d.withColumn("_o", F.row_number().over(Window.orderBy(*order)))
+    return d.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o"), item.alias("_v")))),
+                             lambda x: x["_v"]).alias("_list"))
+
+
+def insight_context_json(labeled: DataFrame, clusters: DataFrame, hourly: DataFrame, dow: DataFrame,
+                         junctions: DataFrame, vehicles: DataFrame, violations: DataFrame,
+                         buckets: DataFrame) -> DataFrame:
+    """The question context as one JSON document (``context`` column):
+    totals, date range, the first five clusters (8 fields each), the five
+    busiest hours, busiest hour and day, the weekday breakdown, the first 10
+    junctions, 6 vehicle and 6 violation types and the resolution histogram.
+    Each list is a top-k or a fixed dimension, so the document is bounded."""
+    base = labeled.agg(F.count(F.lit(1)).alias("total_violations"),
+                       F.struct(ts_text(F.min("created_datetime")).alias("from"),
+                                ts_text(F.max("created_datetime")).alias("to")).alias("date_range"))
+    cl_item = F.struct("cluster_id", "violation_count",
+                       F.coalesce("dominant_violation_type", F.lit("")).alias("dominant_violation_type"),
+                       "impact_score", "priority_tier", "avg_resolution_minutes", "peak_hour_ratio",
+                       F.coalesce("junctions_covered", F.array().cast("array<string>")).alias("junctions_covered"))
+    parts = {
+        "top_clusters": _top_list(clusters, [F.desc("violation_count"), F.asc("cluster_id")], 5, cl_item),
+        "top_5_hours": _top_list(hourly, [F.desc("count"), F.asc("hour")], 5,
+                                 F.struct(hour_label(F.col("hour")).alias("hour"), F.col("count").alias("violations"))),
+        "peak_hour": _top_list(hourly, [F.desc("count"), F.asc("hour")], 1,
+                               F.format_string("%d:00 with %d violations", F.col("hour"), F.col("count"))),
+        "peak_day": _top_list(dow, [F.desc("count"), F.asc("day_index")], 1,
+                              F.format_string("%s with %d violations", F.col("day_of_week"), F.col("count"))),
+        "day_of_week_breakdown": _top_list(dow, [F.asc("day_index")], None, F.struct("day_of_week", "count")),
+        "top_junctions": _top_list(junctions, [F.desc("count"), F.asc("first_id")], 10,
+                                   F.struct("junction_name", "count", "lat", "lon")),
+        "vehicle_types": _top_list(vehicles, [F.desc("count"), F.asc("first_id")], 6,
+                                   F.struct("vehicle_type", "count", "percentage")),
+        "violation_types": _top_list(violations, [F.desc("count"), F.asc("first_id")], 6,
+                                     F.struct("violation_type", "count")),
+        "resolution_time_distribution": _top_list(buckets, [F.asc("bucket_index")], None, F.struct("bucket", "count")),
+    }
+    out = base
+    for name, part in parts.items():
+        out = out.crossJoin(part.withColumnRenamed("_list", name))
+    ctx = F.struct(
+        "total_violations", "date_range", "top_clusters", "top_5_hours",
+        F.get(F.col("peak_hour"), 0).alias("peak_hour"), F.get(F.col("peak_day"), 0).alias("peak_day"),
+        F.map_from_entries(F.col("day_of_week_breakdown")).alias("day_of_week_breakdown"),
+        "top_junctions", "vehicle_types", "violation_types",
+        F.map_from_entries(F.col("resolution_time_distribution")).alias("resolution_time_distribution"),
+    )
+    return out.select(F.to_json(ctx, JSON_OPTS).alias("context"))

@@ -20,9 +20,13 @@ def _rows(section: str, df: DataFrame, key: str | None) -> DataFrame:
 
 
 def report_rows(dashboard: DataFrame, clusters: DataFrame, time_stats: dict[str, tuple[DataFrame, str]],
-                recommendations: DataFrame) -> DataFrame:
-    """``time_stats`` maps a statistic name to (table, key column)."""
+                recommendations: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """``time_stats`` maps a statistic name to (table, key column).  With
+    ``generated_at`` a first ``meta`` row carries the report time."""
     out = _rows("dashboard", dashboard, None).union(_rows("clusters", clusters, "cluster_id"))
+    if generated_at is not None:
+        meta = dashboard.sparkSession.createDataFrame([(generated_at,)], "generated_at string")
+        out = _rows("meta", meta, None).union(out)
     for name, (df, key) in time_stats.items():
         out = out.union(_rows(f"time_stats.{name}", df, key))
     return out.union(_rows("recommendations", recommendations, "rank"))
