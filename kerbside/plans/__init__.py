@@ -1 +1 @@
-"""Composed jobs: the query catalogue, its DuckDB oracles and the pipeline."""
+"""Composed jobs: the query catalogue, its DuckDB oracles and the whole job."""

@@ -20,7 +20,7 @@ from kerbside.session import ensure_checkpoint_dir, materialize
 from kerbside.sources.snapshot import publish
 
 
-def run_pipeline(spark: SparkSession, raw: DataFrame, profile: str = "live", out_root: str | None = None,
+def run_job(spark: SparkSession, raw: DataFrame, profile: str = "live", out_root: str | None = None,
                  run_id: str | None = None, responses: DataFrame | None = None, top_n: int = 5) -> dict[str, DataFrame]:
     """Run every stage on raw records.  Labels and scored clusters are
     checkpointed once and reused by every later output.  With ``out_root``

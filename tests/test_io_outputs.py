@@ -31,7 +31,7 @@ def test_csv_reader_keeps_arrays_newlines_and_text(spark, tmp_path):
     assert clean(df, "live").first().violation_type == "Wrong Parking"
 
 
-def test_synthetic_pipeline_and_outputs(spark, tmp_path):
+def test_synthetic_records_through_all_operators(spark, tmp_path):
     raw = synthetic_records(spark, n=500, seed=11)
     assert raw.count() == 500
     v = clean(raw, "live")

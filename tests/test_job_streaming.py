@@ -1,6 +1,6 @@
 import os
 
-from kerbside.plans.pipeline import run_pipeline
+from kerbside.plans.job import run_job
 from kerbside.sources.snapshot import read_published
 from kerbside.sources.synthetic import synthetic_records
 from kerbside.streaming.ingest import ingest_available, refresh
@@ -15,10 +15,10 @@ def _csv(rows):
     return HEADER + "".join(",".join(r) + "\n" for r in rows)
 
 
-def test_pipeline_publishes_all_sections(spark, tmp_path):
+def test_job_publishes_all_sections(spark, tmp_path):
     raw = synthetic_records(spark, n=300, seed=5)
     root = str(tmp_path / "out")
-    out = run_pipeline(spark, raw, "live", out_root=root, run_id="r1")
+    out = run_job(spark, raw, "live", out_root=root, run_id="r1")
     assert out["summary"].first().records_processed == 300
     assert read_published(spark, root, "clusters").count() == out["clusters"].count()
     assert read_published(spark, root, "hourly").count() == 24
