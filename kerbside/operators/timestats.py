@@ -184,3 +184,92 @@ def top6_share(df: DataFrame) -> DataFrame:
     return (top.crossJoin(F.broadcast(tot))
                .select("violation_type", "count",
                        ratio_half_up(F.col("count") * 100, F.col("_sum")).alias("share_pct")))
+
+
+def _bucket_index(p: Profile):
+    """Resolution bucket index 0..4 (null: skipped value)."""
+    m = F.col("resolution_minutes")
+    valid = m.isNotNull() & (m >= 0)
+    if p.bucket_max is not None:
+        valid = valid & (m <= p.bucket_max)
+    expr = None
+    for i, (_label, lo, hi) in enumerate(p.res_buckets):
+        if p.bucket_right_closed:
+            cond = (m > lo) if lo is not None else F.lit(True)
+            cond = cond & ((m <= hi) if hi is not None else F.lit(True))
+        else:
+            cond = (m >= lo) if lo is not None else F.lit(True)
+            cond = cond & ((m < hi) if hi is not None else F.lit(True))
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return F.when(valid, expr)
+
+
+_DIMS = ("hour", "day", "week", "vehicle", "violation", "junction", "bucket")
+
+
+def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFrame]:
+    """All temporal/categorical statistics from **one scan**: a single
+    ``GROUPING SETS`` aggregate (one Expand, map-side partial aggregation, one
+    shuffle of at most #groups rows per task) over hour, weekday, week,
+    vehicle type, violation type, junction and resolution bucket, plus the
+    grand total.  The aggregate is tiny (one row per distinct key) and is
+    materialised once; each statistic is derived from it and equals the
+    single-statistic functions above."""
+    from kerbside.session import materialize
+
+    p = get_profile(profile)
+    junction = F.col("junction_name")
+    if p.name == "batch":
+        junction = F.when(~junction.isin(*[s for s in JUNCTION_SENTINELS if s]), junction)
+    base = df.select(
+        F.col("hour_of_day").cast("int").alias("hour"), F.col("day_of_week").alias("day"),
+        F.col("week_number").cast("int").alias("week"), F.col("vehicle_type").alias("vehicle"),
+        F.col("violation_type").alias("violation"), junction.alias("junction"),
+        _bucket_index(p).alias("bucket"), "latitude", "longitude", "id")
+    sets = [[d] for d in _DIMS] + [[]]
+    agg = (base.groupingSets(sets, *_DIMS)
+               .agg(F.count(F.lit(1)).alias("count"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"),
+                    F.min("id").alias("first_id"), *[F.grouping(d).alias(f"g_{d}") for d in _DIMS]))
+    agg = materialize(agg, f"stats_bundle_{p.name}")
+
+    def one(d):
+        return agg.filter((F.col(f"g_{d}") == 0) & F.col(d).isNotNull())
+
+    total = agg.filter(sum(F.col(f"g_{d}") for d in _DIMS) == len(_DIMS)).select(F.col("count").alias("_total"))
+    spark = df.sparkSession
+    out = {}
+    hours = one("hour").select("hour", "count")
+    if p.name == "batch":
+        out["hourly"] = hours.orderBy("hour")
+    else:
+        out["hourly"] = (spark.range(24).select(F.col("id").cast("int").alias("hour"))
+                              .join(F.broadcast(hours), "hour", "left")
+                              .select("hour", F.coalesce("count", F.lit(0)).cast("long").alias("count")).orderBy("hour"))
+    days = spark.createDataFrame([(i, d) for i, d in enumerate(DAY_ORDER)], "day_index int, day_of_week string")
+    dcount = one("day").select(F.col("day").alias("day_of_week"), "count")
+    if p.name == "batch":
+        out["day_of_week"] = (dcount.join(F.broadcast(days), "day_of_week", "left")
+                                    .orderBy(F.desc("count"), "day_index").select("day_of_week", "count"))
+    else:
+        out["day_of_week"] = (days.join(F.broadcast(dcount), "day_of_week", "left")
+                                  .select("day_index", "day_of_week", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+                                  .orderBy("day_index"))
+    out["weekly_trend"] = one("week").select("week", "count").orderBy("week")
+    j = one("junction").orderBy(F.desc("count"), "first_id")
+    out["top_junctions"] = (j.limit(15).select(F.col("junction").alias("junction_name"), "count") if p.name == "batch"
+                            else j.limit(10).select(F.col("junction").alias("junction_name"), "count", "lat", "lon"))
+    v = one("vehicle").orderBy(F.desc("count"), "first_id")
+    if p.name == "batch":
+        out["vehicle_types"] = v.limit(8).select(F.col("vehicle").alias("type"), "count")
+    else:
+        out["vehicle_types"] = (v.crossJoin(F.broadcast(total))
+                                 .select(F.col("vehicle").alias("vehicle_type"), "count",
+                                         ratio_half_even(F.col("count") * 100, F.greatest(F.col("_total"), F.lit(1)), 10)
+                                         .alias("percentage")))
+    vio = one("violation").orderBy(F.desc("count"), "first_id")
+    out["violation_types"] = (vio.limit(10) if p.name == "batch" else vio).select(F.col("violation").alias("violation_type"), "count")
+    labels = spark.createDataFrame([(i, lbl) for i, (lbl, _, _) in enumerate(p.res_buckets)], "bucket_index int, bucket string")
+    bcount = one("bucket").select(F.col("bucket").alias("bucket_index"), "count")
+    out["resolution_buckets"] = (labels.join(F.broadcast(bcount), "bucket_index", "left")
+                                       .select("bucket_index", "bucket", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+    return out

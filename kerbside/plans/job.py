@@ -37,13 +37,8 @@ def run_job(spark: SparkSession, raw: DataFrame, profile: str = "live", out_root
         "clusters": scored,
         "recommendations": recs,
         "dashboard": dashboard(labeled, scored, p, as_of=F.current_timestamp().cast("string")),
-        "hourly": ts.hourly(labeled, p),
-        "day_of_week": ts.day_of_week(labeled, p),
-        "weekly_trend": ts.weekly_trend(labeled),
-        "top_junctions": ts.top_junctions(labeled, p),
-        "vehicle_types": ts.vehicle_mix(labeled, p),
-        "violation_types": ts.violation_mix(labeled, p),
-        "resolution_buckets": ts.resolution_buckets(labeled, p),
+        # all seven statistics from one scan (one grouping-sets aggregate)
+        **ts.bundle(labeled, p),
         "heat_points": heat_points(labeled),
         "features": geojson_features(scored),
         "summary": ingest_summary(labeled, scored),

@@ -80,3 +80,21 @@ def test_top_junctions_tie_keeps_first_appearance(spark):
     df = spark.createDataFrame([(i, j, 12.9, 77.5) for i, j in [(5, "B"), (1, "A"), (2, "C"), (3, "C"), (4, "A"), (6, "B")]],
                                "id long, junction_name string, latitude double, longitude double")
     assert [r.junction_name for r in ts.top_junctions(df, "live", n=2).collect()] == ["A", "C"]
+
+
+def test_bundle_equals_single_statistics(spark):
+    from kerbside.plans.inputs import labeled
+    for prof in ("live", "batch"):
+        lab = labeled(spark, "/root/testdata/sf0.001", prof)
+        b = ts.bundle(lab, prof)
+        single = {
+            "hourly": ts.hourly(lab, prof), "day_of_week": ts.day_of_week(lab, prof),
+            "weekly_trend": ts.weekly_trend(lab), "top_junctions": ts.top_junctions(lab, prof),
+            "vehicle_types": ts.vehicle_mix(lab, prof), "violation_types": ts.violation_mix(lab, prof),
+            "resolution_buckets": ts.resolution_buckets(lab, prof),
+        }
+        for name, df in single.items():
+            def rows(d):
+                return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())
+            assert b[name].columns == df.columns, (prof, name)
+            assert rows(b[name]) == rows(df), (prof, name)
