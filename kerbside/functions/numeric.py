@@ -25,3 +25,22 @@ def ratio_half_up(num: Column, den: Column) -> Column:
     n = num.cast("long")
     d = den.cast("long")
     return F.floor((n * 2 + d) / (d * 2)).cast("long")
+
+
+COORD_SCALE = 1e7      # coordinate means are exact at 1e-7 degree (about 1 cm)
+MICROS_PER_MINUTE = 6e7  # minute means are exact at one microsecond
+
+
+def exact_mean(c: Column, scale: float) -> Column:
+    """Mean of ``c`` that does not depend on summation order: values are
+    quantised to ``1/scale``, summed as exact decimals (no overflow at any row
+    count), and divided once.  A floating ``avg`` changes in its last bits
+    with partitioning; this gives the same double on every run and engine.
+    Null when there are no non-null values."""
+    q = F.round(c * F.lit(scale)).cast("decimal(38,0)")
+    return F.sum(q).cast("double") / F.count(c).cast("double") / F.lit(scale)
+
+
+def ratio(num: Column, den: Column) -> Column:
+    """``num/den`` as one double division of exact counts."""
+    return num.cast("double") / den.cast("double")

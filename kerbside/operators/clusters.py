@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.functions.numeric import COORD_SCALE, MICROS_PER_MINUTE, exact_mean, ratio
 from kerbside.operators.dbscan import dbscan
 from kerbside.profiles import JUNCTION_SENTINELS, SENTINEL_TEXT, Profile, get_profile
 from kerbside.schema import CLUSTER_SCHEMA
@@ -34,6 +35,9 @@ def _dominant(labeled: DataFrame, exclude_sentinels: bool) -> DataFrame:
 def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> DataFrame:
     """One row per cluster (noise dropped), ``violation_count`` descending.
 
+    Centroids and mean resolution are exact means (order-independent, see
+    ``exact_mean``), so a summary does not change with partitioning.
+
     live:  vehicle types and junction/station sets ignore sentinel text; mean
            resolution over finite values ≥ 0; full sorted sets.
     batch: sentinel junction names dropped, first 6 in sorted order; first 4
@@ -60,12 +64,12 @@ def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> Data
         junctions = F.slice(junctions, 1, p.junction_cap)
 
     main = df.groupBy("cluster_label").agg(
-        F.avg("latitude").alias("centroid_lat"),
-        F.avg("longitude").alias("centroid_lon"),
+        exact_mean(F.col("latitude"), COORD_SCALE).alias("centroid_lat"),
+        exact_mean(F.col("longitude"), COORD_SCALE).alias("centroid_lon"),
         F.count(F.lit(1)).alias("violation_count"),
         F.countDistinct(clean_text("vehicle_type")).alias("unique_vehicle_types"),
-        F.avg(F.col("is_peak_hour").cast("int")).alias("peak_hour_ratio"),
-        F.coalesce(F.avg(F.when(res_ok, res)), F.lit(0.0)).alias("avg_resolution_minutes"),
+        ratio(F.count_if(F.col("is_peak_hour")), F.count(F.lit(1))).alias("peak_hour_ratio"),
+        F.coalesce(exact_mean(F.when(res_ok, res), MICROS_PER_MINUTE), F.lit(0.0)).alias("avg_resolution_minutes"),
         junctions.alias("junctions_covered"),
         F.min("created_datetime").alias("first_seen"),
         F.max("created_datetime").alias("last_seen"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from kerbside.functions.numeric import MICROS_PER_MINUTE, exact_mean
 from kerbside.profiles import DAY_ORDER, Profile, get_profile
 
 JSON_OPTS = {"ignoreNullFields": "false"}
@@ -34,7 +35,7 @@ def dashboard(records: DataFrame, scored: DataFrame, profile: Profile | str = "l
         res = F.when((res >= 0) & (res <= 10000), res)
     rec = records.agg(
         F.count(F.lit(1)).alias("total_violations"),
-        F.coalesce(F.bround(F.avg(res), 1), F.lit(0.0)).alias("avg_resolution_minutes"),
+        F.coalesce(F.bround(exact_mean(res, MICROS_PER_MINUTE), 1), F.lit(0.0)).alias("avg_resolution_minutes"),
         F.min("created_datetime").alias("_from"), F.max("created_datetime").alias("_to"))
     cl = scored.agg(F.count(F.lit(1)).alias("active_clusters"),
                     F.count_if(F.col("priority_tier") == "Critical").alias("critical_zones"))

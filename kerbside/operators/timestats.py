@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.functions.numeric import ratio_half_even, ratio_half_up
+from kerbside.functions.numeric import COORD_SCALE, exact_mean, ratio_half_even, ratio_half_up
 from kerbside.profiles import DAY_ORDER, JUNCTION_SENTINELS, PEAK_HOURS, Profile, get_profile
 
 
@@ -75,8 +75,8 @@ def top_junctions(df: DataFrame, profile: Profile | str = "live", n: int | None
     n = n or 10
     g = base.groupBy("junction_name").agg(
         F.count(F.lit(1)).alias("count"),
-        F.avg("latitude").alias("lat"),
-        F.avg("longitude").alias("lon"),
+        exact_mean(F.col("latitude"), COORD_SCALE).alias("lat"),
+        exact_mean(F.col("longitude"), COORD_SCALE).alias("lon"),
         F.min("id").alias("_first"),
     )
     extra = [F.col("_first").alias("first_id")] if keep_first_id else []
@@ -228,7 +228,8 @@ def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFram
         _bucket_index(p).alias("bucket"), "latitude", "longitude", "id")
     sets = [[d] for d in _DIMS] + [[]]
     agg = (base.groupingSets(sets, *_DIMS)
-               .agg(F.count(F.lit(1)).alias("count"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"),
+               .agg(F.count(F.lit(1)).alias("count"), exact_mean(F.col("latitude"), COORD_SCALE).alias("lat"),
+                    exact_mean(F.col("longitude"), COORD_SCALE).alias("lon"),
                     F.min("id").alias("first_id"), *[F.grouping(d).alias(f"g_{d}") for d in _DIMS]))
     agg = materialize(agg, f"stats_bundle_{p.name}")
 

@@ -79,6 +79,11 @@ v AS (
     AND {status}{created_filter})"""
 
 
+def xmean(expr: str, scale: str) -> str:
+    """Exact, order-independent mean (values quantised to 1/scale)."""
+    return f"(CAST(sum(CAST(round(({expr}) * {scale}) AS HUGEINT)) AS DOUBLE) / CAST(count({expr}) AS DOUBLE) / {scale})"
+
+
 def q(profile: str, body: str, extra_ctes: str = "") -> str:
     ctes = violations_cte(profile)
     if extra_ctes:
@@ -172,8 +177,8 @@ def _():
 
 @oracle("top_junctions")
 def _():
-    return q("live", """SELECT junction_name, n AS count, round(lat, 9) AS lat, round(lon, 9) AS lon FROM (
-  SELECT junction_name, count(*) AS n, avg(latitude) AS lat, avg(longitude) AS lon, min(id) AS f
+    return q("live", f"""SELECT junction_name, n AS count, lat, lon FROM (
+  SELECT junction_name, count(*) AS n, {xmean('latitude', '1e7')} AS lat, {xmean('longitude', '1e7')} AS lon, min(id) AS f
   FROM v WHERE junction_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 10)""")
 
 
@@ -351,10 +356,10 @@ st AS (SELECT cluster_label, array_to_string(list(police_station ORDER BY f)[1:4
     return f"""lv AS (SELECT v.*, lab.cluster_label FROM v JOIN lab ON lab.id = v.id WHERE lab.cluster_label >= 0),
 dom AS (SELECT cluster_label, arg_min(violation_type, (-n, f)) AS d FROM (
   SELECT cluster_label, violation_type, count(*) AS n, min(id) AS f FROM lv {dom_filter} GROUP BY 1, 2) GROUP BY 1){station_cte},
-cs0 AS (SELECT cluster_label AS cluster_id, avg(latitude) AS centroid_lat, avg(longitude) AS centroid_lon,
+cs0 AS (SELECT cluster_label AS cluster_id, {xmean('latitude', '1e7')} AS centroid_lat, {xmean('longitude', '1e7')} AS centroid_lon,
    count(*) AS violation_count, count(DISTINCT vehicle_type) FILTER (WHERE {vt_ok}) AS unique_vehicle_types,
-   avg(CAST(is_peak_hour AS INTEGER)) AS peak_hour_ratio,
-   COALESCE(avg(resolution_minutes) FILTER (WHERE {res_ok}), 0e0) AS avg_resolution_minutes,
+   CAST(count(*) FILTER (WHERE is_peak_hour) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS peak_hour_ratio,
+   COALESCE({xmean(f'CASE WHEN {res_ok} THEN resolution_minutes END', '6e7')}, 0e0) AS avg_resolution_minutes,
    {junc} AS junctions_covered, {stat} AS stations0,
    min(created_datetime) AS first_seen, max(created_datetime) AS last_seen,
    list_sort(list_distinct(list(junction_name) FILTER (WHERE {'junction_name NOT IN ' + sent if live else "junction_name NOT IN ('No Junction', 'nan', 'NULL', '')"}))) AS jlist
@@ -366,10 +371,8 @@ cs AS (SELECT cs0.cluster_id, centroid_lat, centroid_lon, violation_count, uniqu
   FROM cs0 LEFT JOIN dom ON dom.cluster_label = cs0.cluster_id{'' if live else ' LEFT JOIN st ON st.cluster_label = cs0.cluster_id'})"""
 
 
-CS_COLS = ("cluster_id, round(centroid_lat, 9) AS centroid_lat, round(centroid_lon, 9) AS centroid_lon, violation_count, "
-           "unique_vehicle_types, dominant_violation_type, round(peak_hour_ratio, 9) AS peak_hour_ratio, "
-           "round(avg_resolution_minutes, 9) AS avg_resolution_minutes, junctions_covered, police_stations_involved, "
-           "first_seen, last_seen")
+CS_COLS = ("cluster_id, centroid_lat, centroid_lon, violation_count, unique_vehicle_types, dominant_violation_type, "
+           "peak_hour_ratio, avg_resolution_minutes, junctions_covered, police_stations_involved, first_seen, last_seen")
 
 
 @oracle("cluster_summary")
@@ -441,16 +444,16 @@ def _ts_text(c: str) -> str:
 def _():
     return scored_q("live", f"""SELECT (SELECT count(*) FROM v) AS total_violations, (SELECT count(*) FROM sc) AS active_clusters,
   (SELECT count(*) FROM sc WHERE priority_tier = 'Critical') AS critical_zones,
-  (SELECT COALESCE(round_even(avg(resolution_minutes), 1), 0e0) FROM v) AS avg_resolution_minutes,
+  (SELECT COALESCE(round_even({xmean('resolution_minutes', '6e7')}, 1), 0e0) FROM v) AS avg_resolution_minutes,
   (SELECT COALESCE({_ts_text('min(created_datetime)')}, '') FROM v) AS date_from,
   (SELECT COALESCE({_ts_text('max(created_datetime)')}, '') FROM v) AS date_to""")
 
 
 @oracle("dashboard_batch")
 def _():
-    return scored_q("batch", """SELECT (SELECT count(*) FROM v) AS total_violations, (SELECT count(*) FROM sc) AS active_clusters,
+    return scored_q("batch", f"""SELECT (SELECT count(*) FROM v) AS total_violations, (SELECT count(*) FROM sc) AS active_clusters,
   (SELECT count(*) FROM sc WHERE priority_tier = 'Critical') AS critical_zones,
-  (SELECT COALESCE(round_even(avg(resolution_minutes) FILTER (WHERE resolution_minutes BETWEEN 0 AND 10000), 1), 0e0) FROM v)
+  (SELECT COALESCE(round_even({xmean('CASE WHEN resolution_minutes BETWEEN 0 AND 10000 THEN resolution_minutes END', '6e7')}, 1), 0e0) FROM v)
     AS avg_resolution_minutes""")
 
 
@@ -505,10 +508,10 @@ pick AS (SELECT t.rank, COALESCE((SELECT min(pos) FROM ent WHERE ent.eid = t.clu
 @oracle("geojson_features")
 def _():
     body = f"""SELECT cluster_id, CAST(to_json({{'type': 'Feature',
-  'geometry': {{'type': 'Point', 'coordinates': [round(centroid_lon, 9), round(centroid_lat, 9)]}},
+  'geometry': {{'type': 'Point', 'coordinates': [centroid_lon, centroid_lat]}},
   'properties': {{'cluster_id': cluster_id, 'violation_count': violation_count,
-     'dominant_violation_type': dominant_violation_type, 'peak_hour_ratio': round(peak_hour_ratio, 9),
-     'avg_resolution_minutes': round(avg_resolution_minutes, 9), 'impact_score': impact_score,
+     'dominant_violation_type': dominant_violation_type, 'peak_hour_ratio': peak_hour_ratio,
+     'avg_resolution_minutes': avg_resolution_minutes, 'impact_score': impact_score,
      'priority_tier': priority_tier, 'priority_color': priority_color,
      'recommended_enforcement_time': recommended_enforcement_time,
      'junctions_covered': COALESCE(string_split(NULLIF(junctions_covered, ''), '|'), []),
@@ -519,7 +522,7 @@ def _():
 
 @oracle("snapshot_backfill")
 def _():
-    body = f"""SELECT cluster_id, violation_count, round(peak_hour_ratio, 9) AS peak_hour_ratio,
+    body = f"""SELECT cluster_id, violation_count, peak_hour_ratio,
   violation_count / 10e0 AS impact_score,
   CASE WHEN violation_count / 10e0 >= 75 THEN 'Critical' WHEN violation_count / 10e0 >= 55 THEN 'High'
        WHEN violation_count / 10e0 >= 35 THEN 'Medium' ELSE 'Low' END AS priority_tier,
@@ -561,20 +564,20 @@ dw AS (SELECT d.i, d.n AS day, count(v.id) AS n FROM (VALUES ('Monday',0),('Tues
 @oracle("report_sections")
 def _():
     arr = "COALESCE(string_split(NULLIF({c}, ''), '|'), [])"
-    cl = (f"'cluster_id': cluster_id, 'centroid_lat': round(centroid_lat, 9), 'centroid_lon': round(centroid_lon, 9), "
+    cl = (f"'cluster_id': cluster_id, 'centroid_lat': centroid_lat, 'centroid_lon': centroid_lon, "
           f"'violation_count': violation_count, 'unique_vehicle_types': unique_vehicle_types, "
-          f"'dominant_violation_type': dominant_violation_type, 'peak_hour_ratio': round(peak_hour_ratio, 9), "
-          f"'avg_resolution_minutes': round(avg_resolution_minutes, 9), "
+          f"'dominant_violation_type': dominant_violation_type, 'peak_hour_ratio': peak_hour_ratio, "
+          f"'avg_resolution_minutes': avg_resolution_minutes, "
           f"'junctions_covered': {arr.format(c='junctions_covered')}, "
           f"'police_stations_involved': {arr.format(c='police_stations_involved')}, "
           f"'first_seen': {_ts_text('first_seen')}, 'last_seen': {_ts_text('last_seen')}, "
           f"'impact_score': impact_score, 'priority_tier': priority_tier, 'priority_color': priority_color, "
           f"'recommended_enforcement_time': recommended_enforcement_time")
-    extra = """hr AS (SELECT CAST(h.range AS INTEGER) AS hour, count(v.id) AS n FROM range(24) h LEFT JOIN v ON v.hour_of_day = h.range GROUP BY 1),
+    extra = f"""hr AS (SELECT CAST(h.range AS INTEGER) AS hour, count(v.id) AS n FROM range(24) h LEFT JOIN v ON v.hour_of_day = h.range GROUP BY 1),
 dw AS (SELECT d.i, d.n AS day, count(v.id) AS n FROM (VALUES ('Monday',0),('Tuesday',1),('Wednesday',2),('Thursday',3),('Friday',4),('Saturday',5),('Sunday',6)) d(n, i)
        LEFT JOIN v ON v.day_of_week = d.n GROUP BY 1, 2),
 wk AS (SELECT week_number AS week, count(*) AS n FROM v WHERE week_number IS NOT NULL GROUP BY 1),
-tj AS (SELECT junction_name, count(*) AS n, round(avg(latitude), 9) AS lat, round(avg(longitude), 9) AS lon, min(id) AS f
+tj AS (SELECT junction_name, count(*) AS n, {xmean('latitude', '1e7')} AS lat, {xmean('longitude', '1e7')} AS lon, min(id) AS f
        FROM v WHERE junction_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 10),
 vt AS (SELECT vehicle_type, count(*) AS n FROM v WHERE vehicle_type IS NOT NULL GROUP BY 1),
 vl AS (SELECT violation_type, count(*) AS n FROM v WHERE violation_type IS NOT NULL GROUP BY 1),
@@ -587,7 +590,7 @@ rb AS (SELECT b.i, b.name, count(m) AS n
     body = f"""SELECT 'dashboard' AS section, '' AS item, CAST(to_json({{
     'total_violations': (SELECT count(*) FROM v), 'active_clusters': (SELECT count(*) FROM sc),
     'critical_zones': (SELECT count(*) FROM sc WHERE priority_tier = 'Critical'),
-    'avg_resolution_minutes': (SELECT COALESCE(round_even(avg(resolution_minutes), 1), 0e0) FROM v),
+    'avg_resolution_minutes': (SELECT COALESCE(round_even({xmean('resolution_minutes', '6e7')}, 1), 0e0) FROM v),
     'date_range': {{'from': (SELECT COALESCE({_ts_text('min(created_datetime)')}, '') FROM v),
                    'to': (SELECT COALESCE({_ts_text('max(created_datetime)')}, '') FROM v)}}}}) AS VARCHAR) AS payload
 UNION ALL SELECT 'clusters', CAST(cluster_id AS VARCHAR), CAST(to_json({{{cl}}}) AS VARCHAR) FROM sc

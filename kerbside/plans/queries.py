@@ -99,8 +99,7 @@ def weekly_trend(spark, sf_dir):
 
 @query("top_junctions")
 def top_junctions(spark, sf_dir):
-    t = ts.top_junctions(violations(spark, sf_dir, "live"), "live")
-    return t.select("junction_name", "count", r9(F.col("lat")).alias("lat"), r9(F.col("lon")).alias("lon"))
+    return ts.top_junctions(violations(spark, sf_dir, "live"), "live")
 
 
 @query("top_junctions_batch")
@@ -167,12 +166,10 @@ def map_sample(spark, sf_dir):
 
 
 def _cluster_out(df):
-    """Cluster rows for comparison: means at 9 places, sets as sorted text."""
+    """Cluster rows for comparison: sets as sorted ``|`` text."""
     cols = []
     for c in df.columns:
-        if c in ("centroid_lat", "centroid_lon", "avg_resolution_minutes", "peak_hour_ratio"):
-            cols.append(r9(F.col(c)).alias(c))
-        elif c in ("junctions_covered", "police_stations_involved"):
+        if c in ("junctions_covered", "police_stations_involved"):
             cols.append(F.array_join(F.col(c), "|").alias(c))
         else:
             cols.append(F.col(c))
@@ -286,7 +283,8 @@ def recommend_overlay(spark, sf_dir):
 
 
 def _rounded_scored(df):
-    return df.withColumns({c: r9(F.col(c)) for c in ("centroid_lat", "centroid_lon", "peak_hour_ratio", "avg_resolution_minutes")})
+    """Scored clusters as written (means are exact, nothing to round)."""
+    return df
 
 
 @query("geojson_features")
@@ -318,7 +316,7 @@ def snapshot_backfill(spark, sf_dir):
     publish(spark, root, "r1", {"clusters": clusters(spark, sf_dir, "batch")})
     back = backfill_clusters(read_published(spark, root, "clusters"))
     return back.select(F.col("cluster_id").cast("int").alias("cluster_id"), "violation_count",
-                       r9(F.col("peak_hour_ratio")).alias("peak_hour_ratio"), "impact_score", "priority_tier",
+                       "peak_hour_ratio", "impact_score", "priority_tier",
                        "priority_color", "recommended_enforcement_time", "first_seen")
 
 
@@ -334,8 +332,7 @@ def report_sections(spark, sf_dir):
         "hourly": (ts.hourly(lab, "live"), "hour"),
         "day_of_week": (ts.day_of_week(lab, "live"), "day_of_week"),
         "weekly_trend": (ts.weekly_trend(lab), "week"),
-        "top_junctions": (ts.top_junctions(lab, "live").withColumns({"lat": r9(F.col("lat")), "lon": r9(F.col("lon"))}),
-                          "junction_name"),
+        "top_junctions": (ts.top_junctions(lab, "live"), "junction_name"),
         "vehicle_types": (ts.vehicle_mix(lab, "live"), "vehicle_type"),
         "violation_types": (ts.violation_mix(lab, "live"), "violation_type"),
         "resolution_buckets": (ts.resolution_buckets(lab, "live"), "bucket"),
