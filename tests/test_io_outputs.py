@@ -71,4 +71,5 @@ def test_report_rows_written_as_lines(spark, tmp_path):
     out = str(tmp_path / "report")
     write_report(rows, out)
     lines = [json.loads(l) for f in os.listdir(out) if f.startswith("part") for l in open(os.path.join(out, f))]
-    assert len(lines) == 4 and json.loads(lines[1]["payload"]) == {"cluster_id": 0, "impact_score": 2.5}
+    by_section = {x["section"]: x for x in lines}
+    assert len(lines) == 4 and json.loads(by_section["clusters"]["payload"]) == {"cluster_id": 0, "impact_score": 2.5}
