@@ -10,22 +10,29 @@ from pyspark.sql import functions as F
 _OFFSET_RE = r"\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(Z|[+-]\d{2}(?::?\d{2})?)$"
 
 
-def parse_local_wall_clock(c: Column) -> Column:
+def parse_local_wall_clock(c: Column, formats: tuple[str, ...] = ()) -> Column:
     """Parse timestamp text keeping its wall clock; a trailing UTC offset is
     discarded (``2023-11-20 00:28:46+05:30`` → ``2023-11-20 00:28:46``).
-    Unparseable text (``NULL``, junk) → null."""
-    return _try_ntz(c)
+    ISO text is tried first, then each declared ``formats`` pattern (Spark
+    datetime patterns, e.g. ``dd/MM/yyyy HH:mm``).  Unparseable text (``NULL``,
+    junk) → null."""
+    out = _try_ntz(c)
+    for fmt in formats:
+        # parsed and converted back in the same session zone: the wall clock is kept
+        out = F.coalesce(out, F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"))
+    return out
 
 
 def _try_ntz(c: Column) -> Column:
     return c.try_cast("timestamp_ntz")
 
 
-def parse_utc(c: Column) -> Column:
+def parse_utc(c: Column, formats: tuple[str, ...] = ()) -> Column:
     """Parse timestamp text and convert it to UTC wall clock: the trailing
     offset (``Z``, ``+hh``, ``+hh:mm``, ``+hhmm``) is subtracted; text without an
-    offset is taken as UTC.  Independent of the session time zone."""
-    wall = _try_ntz(c)
+    offset is taken as UTC.  Independent of the session time zone.  Declared
+    ``formats`` are tried after ISO text (without offset)."""
+    wall = parse_local_wall_clock(c, formats)
     off = F.regexp_extract(c, _OFFSET_RE, 1)
     sign = F.when(F.substring(off, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     hh = F.substring(off, 2, 2).try_cast("int")

@@ -20,13 +20,14 @@ def _num(c):
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def clean(raw: DataFrame, profile: Profile | str = "live") -> DataFrame:
+def clean(raw: DataFrame, profile: Profile | str = "live", extra_formats: tuple[str, ...] = ()) -> DataFrame:
     """Records → cleaned ``violations`` frame (all raw columns + features).
 
     Added/retyped: ``latitude``/``longitude`` double, ``created_datetime``/
     ``closed_datetime`` timestamp_ntz, ``hour_of_day`` int, ``day_of_week``
     string, ``resolution_minutes`` double, ``is_peak_hour`` boolean,
-    ``week_number`` int, ``month`` int; ``violation_type`` normalised."""
+    ``week_number`` int, ``month`` int; ``violation_type`` normalised.
+    ``extra_formats`` are timestamp patterns tried after ISO text."""
     p = get_profile(profile)
     df = ensure_columns(with_alias_columns(raw))
     # predicates implied by the row filter, stated on the raw text columns so
@@ -49,8 +50,8 @@ def clean(raw: DataFrame, profile: Profile | str = "live") -> DataFrame:
         "id": F.col("id").cast("long"),
         "latitude": _num("latitude"),
         "longitude": _num("longitude"),
-        "created_datetime": parse(F.col("created_datetime").cast("string")),
-        "closed_datetime": parse(F.col("closed_datetime").cast("string")),
+        "created_datetime": parse(F.col("created_datetime").cast("string"), tuple(extra_formats)),
+        "closed_datetime": parse(F.col("closed_datetime").cast("string"), tuple(extra_formats)),
     })
 
     if p.status_mode == "deny_invalid":

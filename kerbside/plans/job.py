@@ -49,3 +49,29 @@ def run_job(spark: SparkSession, raw: DataFrame, profile: str = "live", out_root
         sections = {k: v for k, v in out.items() if k != "labeled"}
         publish(spark, out_root, run_id or uuid.uuid4().hex, sections)
     return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m kerbside.plans.job --input <csv folder> --out <folder>
+    [--profile live|batch] [--run-id ID]``: read CSV records, run every stage
+    and publish one snapshot run."""
+    import argparse
+
+    from kerbside.session import build_session
+    from kerbside.sources.csv import read_records_csv
+
+    ap = argparse.ArgumentParser(prog="kerbside.plans.job")
+    ap.add_argument("--input", required=True)
+    ap.add_argument("--out", required=True)
+    ap.add_argument("--profile", default="live", choices=["live", "batch"])
+    ap.add_argument("--run-id", default=None)
+    ap.add_argument("--master", default=None)
+    args = ap.parse_args(argv)
+    spark = build_session(args.master)
+    out = run_job(spark, read_records_csv(spark, args.input), args.profile, out_root=args.out, run_id=args.run_id)
+    for r in out["summary"].collect():
+        print(r.asDict())
+
+
+if __name__ == "__main__":
+    main()

@@ -72,3 +72,10 @@ def test_exact_ratio_rounding(spark):
     assert got == [0.2, 0.2, 66.7, 12.5]
     got = [r[0] for r in df.select(ratio_half_up(F.col("n") * 100, F.col("d"))).collect()]
     assert got == [0, 0, 67, 13]
+
+
+def test_declared_extra_formats(spark):
+    c = parse_local_wall_clock(F.col("s"), ("dd/MM/yyyy HH:mm",))
+    assert one(spark, c, "20/11/2023 00:28") == dt.datetime(2023, 11, 20, 0, 28)
+    assert one(spark, c, "2023-11-20 00:28:46") == dt.datetime(2023, 11, 20, 0, 28, 46)
+    assert one(spark, parse_local_wall_clock(F.col("s")), "20/11/2023 00:28") is None

@@ -40,3 +40,14 @@ def test_streaming_ingest_is_incremental(spark, tmp_path):
     assert recs.count() == 7            # INVALID rows dropped, nothing read twice
     assert recs.filter("violation_type = 'No Parking'").count() == 6
     assert out["clusters"].count() == 1  # six records 11 m apart form one hotspot
+
+
+def test_job_command_line(spark, tmp_path):
+    from kerbside.plans.job import main
+    landing = tmp_path / "csv"
+    landing.mkdir()
+    rows = [(str(i), "12.9", f"{77.5 + i * 1e-4:.4f}", "CAR", "x", "2024-01-01 08:00:00", "", "J1", "PS 1", "VALID")
+            for i in range(1, 8)]
+    (landing / "r.csv").write_text(_csv(rows))
+    main(["--input", str(landing), "--out", str(tmp_path / "pub"), "--run-id", "cli"])
+    assert read_published(spark, str(tmp_path / "pub"), "clusters").count() == 1
