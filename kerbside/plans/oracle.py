@@ -608,3 +608,30 @@ UNION ALL SELECT 'recommendations', CAST(rank AS VARCHAR), CAST(to_json({{{cl},
   'estimated_congestion_reduction': estimated_congestion_reduction, 'mock': true}}) AS VARCHAR)
   FROM (SELECT top5.*, tpl.* FROM top5 JOIN tpl ON tpl.template_id = top5.rank % 5)"""
     return scored_q("live", body, TOP5 + ",\n" + _templates_values() + ",\n" + extra)
+
+
+@oracle("temporal_stats")
+def _():
+    body = f"""SELECT 'hourly' AS stat, CAST(h.range AS VARCHAR) AS key, count(v.id) AS count,
+  NULL::DOUBLE AS lat, NULL::DOUBLE AS lon, NULL::DOUBLE AS percentage
+  FROM range(24) h LEFT JOIN v ON v.hour_of_day = h.range GROUP BY h.range
+UNION ALL SELECT 'day_of_week', d.n, count(v.id), NULL, NULL, NULL
+  FROM (VALUES {DAYS}) d(n, i) LEFT JOIN v ON v.day_of_week = d.n GROUP BY d.n
+UNION ALL SELECT 'weekly_trend', CAST(week_number AS VARCHAR), count(*), NULL, NULL, NULL
+  FROM v WHERE week_number IS NOT NULL GROUP BY week_number
+UNION ALL SELECT 'top_junctions', junction_name, n, lat, lon, NULL FROM (
+  SELECT junction_name, count(*) AS n, {xmean('latitude', '1e7')} AS lat, {xmean('longitude', '1e7')} AS lon, min(id) AS f
+  FROM v WHERE junction_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 10)
+UNION ALL SELECT 'vehicle_types', vehicle_type, n, NULL, NULL, {_half_even_pct('n * 100', 't', 10)} FROM (
+  SELECT vehicle_type, count(*) AS n, (SELECT greatest(count(*), 1) FROM v) AS t FROM v
+  WHERE vehicle_type IS NOT NULL GROUP BY 1)
+UNION ALL SELECT 'violation_types', violation_type, count(*), NULL, NULL, NULL
+  FROM v WHERE violation_type IS NOT NULL GROUP BY violation_type
+UNION ALL SELECT 'resolution_buckets', b.name, count(m), NULL, NULL, NULL
+FROM (VALUES (0, '<30min'), (1, '30-60min'), (2, '1-2hrs'), (3, '2-6hrs'), (4, '>6hrs')) b(i, name)
+LEFT JOIN (SELECT resolution_minutes AS m,
+   CASE WHEN resolution_minutes < 30 THEN 0 WHEN resolution_minutes < 60 THEN 1 WHEN resolution_minutes < 120 THEN 2
+        WHEN resolution_minutes < 360 THEN 3 ELSE 4 END AS i
+   FROM v WHERE resolution_minutes >= 0) x ON x.i = b.i
+GROUP BY b.name"""
+    return q("live", body)

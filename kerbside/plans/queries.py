@@ -338,3 +338,24 @@ def report_sections(spark, sf_dir):
         "resolution_buckets": (ts.resolution_buckets(lab, "live"), "bucket"),
     }
     return report_rows(dashboard(lab, sc, "live"), sc, stats, recommend_from_templates(sc, 5))
+
+
+@query("temporal_stats")
+def temporal_stats(spark, sf_dir):
+    """All seven statistics from one grouping-sets scan, in long form."""
+    b = ts.bundle(violations(spark, sf_dir, "live"), "live")
+    key_col = {"hourly": "hour", "day_of_week": "day_of_week", "weekly_trend": "week",
+               "top_junctions": "junction_name", "vehicle_types": "vehicle_type",
+               "violation_types": "violation_type", "resolution_buckets": "bucket"}
+    parts = []
+    for stat, df in b.items():
+        cols = set(df.columns)
+        parts.append(df.select(
+            F.lit(stat).alias("stat"), F.col(key_col[stat]).cast("string").alias("key"), F.col("count").cast("long"),
+            (F.col("lat") if "lat" in cols else F.lit(None).cast("double")).alias("lat"),
+            (F.col("lon") if "lon" in cols else F.lit(None).cast("double")).alias("lon"),
+            (F.col("percentage") if "percentage" in cols else F.lit(None).cast("double")).alias("percentage")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
