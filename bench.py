@@ -20,7 +20,7 @@ from kerbside.plans.queries import QUERIES  # noqa: E402
 from kerbside.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "clean_live", "clean_batch", "hourly", "resolution_buckets", "top_junctions", "vehicle_mix", "heatmap",
+    "clean_live", "clean_batch", "hourly", "resolution_buckets", "top_junctions", "vehicle_mix", "temporal_stats", "heatmap",
     "heatmap_thinned", "map_sample", "eps_neighbors", "dbscan_live", "cluster_summary", "impact_live",
     "dashboard_live", "recommend_template", "geojson_features", "insight_context", "dbscan_batch",
     "cluster_summary_batch", "impact_batch", "dashboard_batch",
