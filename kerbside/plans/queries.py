@@ -178,7 +178,7 @@ def _cluster_out(df):
 
 @query("eps_neighbors")
 def eps_neighbors(spark, sf_dir):
-    from kerbside.operators.spatial import neighbor_counts
+    from kerbside.operators.density import neighbor_counts
     v = violations(spark, sf_dir, "live").select("id", "latitude", "longitude")
     return neighbor_counts(v, 8e-4)
 
