@@ -8,11 +8,13 @@ bounded by geometry:
 * equal coordinates collapse into weighted locations;
 * sub-cells of side eps/(2√2): the whole 3×3 block around a location's
   sub-cell lies within eps, so its weight is added without any test;
-* each outer-ring sub-cell (Chebyshev distance 2..k) is compared with the
-  location by bounding box: entirely within eps → add its weight; entirely
-  beyond → nothing; straddling → sub-cells with few locations are tested
-  point by point, dense ones are first refined on micro-cells (side a/8) the
-  same way, and only locations inside straddling micro-cells are tested.
+* each outer-ring sub-cell (Chebyshev distance 2..k) is first compared with
+  the location's whole sub-cell by bounding boxes: entirely within eps → its
+  weight is added to every location of the sub-cell; entirely beyond →
+  nothing; otherwise it is compared with each location the same way, and
+  where it straddles eps, sub-cells with few locations are tested point by
+  point while dense ones are first refined on micro-cells (side a/8), so only
+  locations inside straddling micro-cells are tested.
 
 Joins keyed by a micro-cell are salted by its location count.
 """
@@ -77,11 +79,28 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
                   .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
     ring = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
                      for di in range(-ki, ki + 1) for dj in range(-kj, kj + 1) if max(abs(di), abs(dj)) >= 2])
-    probe = (loc.select("pid", F.col("lat").alias("plat"), F.col("lon").alias("plon"),
-                        F.explode(ring).alias("o"), "ci", "cj")
-                .select("pid", "plat", "plon", (F.col("ci") + F.col("o.di")).alias("ci"),
-                        (F.col("cj") + F.col("o.dj")).alias("cj"))
-                .join(cells, ["ci", "cj"]))
+    # sub-cell pairs first: decided for all locations of the source cell at once
+    src = cells.select(F.col("ci").alias("si"), F.col("cj").alias("sj"), F.col("lat0").alias("slat0"),
+                       F.col("lat1").alias("slat1"), F.col("lon0").alias("slon0"), F.col("lon1").alias("slon1"))
+    cpairs = (src.withColumn("o", F.explode(ring))
+                 .withColumns({"ci": F.col("si") + F.col("o.di"), "cj": F.col("sj") + F.col("o.dj")}).drop("o")
+                 .join(cells, ["ci", "cj"]))
+    gap_lat = F.greatest(F.lit(0.0), F.col("lat0") - F.col("slat1"), F.col("slat0") - F.col("lat1"))
+    gap_lon = F.greatest(F.lit(0.0), F.col("lon0") - F.col("slon1"), F.col("slon0") - F.col("lon1"))
+    span_lat = F.greatest(F.col("lat1") - F.col("slat0"), F.col("slat1") - F.col("lat0"))
+    span_lon = F.greatest(F.col("lon1") - F.col("slon0"), F.col("slon1") - F.col("lon0"))
+    maxabs = F.greatest(F.abs("lat0"), F.abs("lat1"), F.abs("slat0"), F.abs("slat1"))
+    cpairs = (cpairs.withColumns({"lower": _bound(gap_lat, gap_lon, F.pow(F.cos(F.radians(maxabs)), 2)),
+                                  "upper": _bound(span_lat, span_lon, F.lit(1.0))})
+                    .filter(F.col("lower") <= lo_ok)
+                    .checkpoint(eager=True))
+    cell_full = (cpairs.filter(F.col("upper") <= hi_ok)
+                       .groupBy(F.col("si").alias("ci"), F.col("sj").alias("cj")).agg(F.sum("W").alias("cell_w")))
+    open_cells = cpairs.filter(F.col("upper") > hi_ok).select("si", "sj", "ci", "cj", "W", "npts", "lat0", "lat1",
+                                                              "lon0", "lon1")
+    probe = (loc.select(F.col("ci").alias("si"), F.col("cj").alias("sj"), "pid",
+                        F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+                .join(open_cells, ["si", "sj"]))
     probe = _point_box_bounds(probe).filter(F.col("lower") <= lo_ok).checkpoint(eager=True)
     full = probe.filter(F.col("upper") <= hi_ok).select("pid", F.col("W").alias("wq"))
     straddle = probe.filter(F.col("upper") > hi_ok)
@@ -113,7 +132,8 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
                     .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= F.lit(eps))
                     .select("pid", "wq"))
     ring_w = full.union(few_w).union(mfull).union(mpart_w).groupBy("pid").agg(F.sum("wq").alias("ring_w"))
-    per_loc = (loc.join(block, ["ci", "cj"]).join(ring_w, "pid", "left")
-                  .select("lat", "lon", "w", (F.col("B") + F.coalesce(F.col("ring_w"), F.lit(0))).alias("neighbor_count")))
+    per_loc = (loc.join(block, ["ci", "cj"]).join(cell_full, ["ci", "cj"], "left").join(ring_w, "pid", "left")
+                  .select("lat", "lon", "w", (F.col("B") + F.coalesce(F.col("cell_w"), F.lit(0))
+                                              + F.coalesce(F.col("ring_w"), F.lit(0))).alias("neighbor_count")))
     recs = points.select(F.col(id_col).alias("id"), F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
     return attach_by_location(recs, per_loc, ["neighbor_count"], hot_rows=hot_rows).select("id", "neighbor_count")
