@@ -134,11 +134,6 @@ def hour_label(hour: Column) -> Column:
     return F.format_string("%d:00-%d:59", hour, hour)
 
 
-def day_index(day: Column) -> Column:
-    m = F.create_map(*[x for i, d in enumerate(DAY_ORDER) for x in (F.lit(d), F.lit(i))])
-    return m[day]
-
-
 def _top_list(df: DataFrame, order: list[Column], n: int | None, item: Column) -> DataFrame:
     """First ``n`` rows (or a fixed dimension) as one ordered array column."""
     d = df.orderBy(*order)

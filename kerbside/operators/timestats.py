@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kerbside.functions.numeric import COORD_SCALE, exact_mean, ratio_half_even, ratio_half_up
 from kerbside.profiles import DAY_ORDER, JUNCTION_SENTINELS, PEAK_HOURS, Profile, get_profile

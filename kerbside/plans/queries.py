@@ -23,11 +23,6 @@ def query(name: str):
     return deco
 
 
-def r9(c):
-    """Order-dependent floating results (means) are compared at 9 places."""
-    return F.round(c, 9)
-
-
 @query("clean_live")
 def clean_live(spark, sf_dir):
     return clean_ops.clean_projection(violations(spark, sf_dir, "live"))

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.operators.clean import clean
-from kerbside.plans.job import run_job
 from kerbside.schema import RAW_SCHEMA
 
 
@@ -69,4 +68,4 @@ def refresh(spark: SparkSession, landing: str, table: str, checkpoint: str, out_
     return out
 
 
-__all__ = ["stream_records", "ingest_available", "refresh", "run_job"]
+__all__ = ["stream_records", "ingest_available", "refresh"]
