@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from kerbside.schema import ensure_columns
 
 
-def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Read incident records from CSV files under ``path``.
 
-    ``multiLine`` + ``escape='"'`` read JSON arrays inside quoted cells with
-    doubled quotes; ``NULL``/``NA`` stay text; both forms of empty cell become
-    null; missing known columns are added as nulls."""
+    ``escape='"'`` reads JSON arrays inside quoted cells with doubled quotes;
+    ``NULL``/``NA`` stay text; both forms of empty cell become null; missing
+    known columns are added as nulls.  ``multi_line`` keeps newlines inside
+    quoted cells but makes every file one split; with many files (the usual
+    layout at scale) that is free, for one huge file without embedded newlines
+    pass ``multi_line=False`` so Spark can split it."""
     df = (spark.read
                .option("header", True)
-               .option("multiLine", True)
+               .option("multiLine", multi_line)
                .option("quote", '"')
                .option("escape", '"')
                .option("inferSchema", False)
