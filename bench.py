@@ -30,7 +30,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", app="kerbside-bench", shuffle_partitions=max(8, 2 * cpus),
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus))))
+    spark = build_session(f"local[{cpus}]", app="kerbside-bench", shuffle_partitions=parts,
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     clear_memo()
     times: dict[str, float] = {}
