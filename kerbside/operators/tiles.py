@@ -10,13 +10,20 @@ smallest node id of the component."""
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.operators.components import connected_components
 
+# The per-tile function travels with the task (pickled by value): Python
+# workers need numpy/pandas only, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TILE = 32  # sub-cells per tile side (≤ TILE² rows per union-find group)
 
 _NEIGHBOURS = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1) if (di, dj) != (0, 0)]
