@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kerbside.schema import ensure_columns
 
 
-def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True, order_key: str = "id") -> DataFrame:
     """Read incident records from CSV files under ``path``.
 
     ``escape='"'`` reads JSON arrays inside quoted cells with doubled quotes;
@@ -17,7 +17,12 @@ def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     known columns are added as nulls.  ``multi_line`` keeps newlines inside
     quoted cells but makes every file one split; with many files (the usual
     layout at scale) that is free, for one huge file without embedded newlines
-    pass ``multi_line=False`` so Spark can split it."""
+    pass ``multi_line=False`` so Spark can split it.
+
+    Record order decides cluster numbering and tie rules.  ``order_key="id"``
+    uses the numeric ``id`` column; ``order_key="position"`` replaces ``id``
+    by the position in the files (numbered at read time, before any shuffle:
+    file order, then row order), for inputs without a numeric id."""
     df = (spark.read
                .option("header", True)
                .option("multiLine", multi_line)
@@ -29,4 +34,6 @@ def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
                .option("recursiveFileLookup", True)
                .csv(path))
     df = df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    if order_key == "position":
+        df = df.withColumn("id", F.monotonically_increasing_id() + 1)
     return ensure_columns(df)

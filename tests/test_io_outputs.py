@@ -73,3 +73,12 @@ def test_report_rows_written_as_lines(spark, tmp_path):
     lines = [json.loads(l) for f in os.listdir(out) if f.startswith("part") for l in open(os.path.join(out, f))]
     by_section = {x["section"]: x for x in lines}
     assert len(lines) == 4 and json.loads(by_section["clusters"]["payload"]) == {"cluster_id": 0, "impact_score": 2.5}
+
+
+def test_csv_position_order_key(spark, tmp_path):
+    p = tmp_path / "pos"
+    p.mkdir()
+    (p / "a.csv").write_text("id,latitude,longitude\nX9,12.9,77.5\nA1,12.91,77.51\nB2,12.92,77.52\n")
+    rows = read_records_csv(spark, str(p), order_key="position").orderBy("id").collect()
+    assert [r.latitude for r in rows] == ["12.9", "12.91", "12.92"]
+    assert [r.id for r in rows] == sorted(r.id for r in rows)
