@@ -9,18 +9,22 @@ changing connectivity:
 * small-star: every node ``u`` links itself and its smaller neighbours to the
   smallest of them.
 
+Every edge is kept once, directed from its larger to its smaller end, so a
+node's smaller neighbours are exactly its out-neighbours and its larger
+neighbours its in-neighbours (half the data of a symmetric edge list).
+
 The number of rounds is logarithmic in the graph size (plain min-label
 propagation needs as many rounds as the graph's diameter, which a long chain
 of cells makes unbounded).  At the fixed point the graph is a forest of stars
-whose centres are the component minima; the stop test is one aggregate:
-every node with a smaller neighbour has degree 1.
+whose centres are the component minima: no node has two out-edges, and no
+node has both an out-edge and an in-edge — a one-aggregate stop test.
 
 Each round's edge list is written as a reliable checkpoint to the cluster
 checkpoint folder (``checkpoint_every`` rounds; default every round): a lost
 executor recomputes at most one round, and every round plans against a short
 lineage (persisting instead keeps the whole history in each plan, which
-measured slower).  A star centre with many leaves is a
-hot key; the joins on it are sort-merge joins that AQE splits when skewed.
+measured slower).  A star centre with many leaves is a hot key; the joins on
+it are sort-merge joins that AQE splits when skewed.
 """
 
 from __future__ import annotations
@@ -32,42 +36,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _sym(e: DataFrame) -> DataFrame:
-    """Both directions, no self loops, no duplicates."""
-    return (e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+def _directed(e: DataFrame) -> DataFrame:
+    """Each undirected edge once, from larger to smaller end; no self loops."""
+    return (e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
              .filter(F.col("src") != F.col("dst")).distinct())
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    m = e.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-    return (e.filter(F.col("dst") > F.col("src")).join(m, "src")
-             .select(F.col("dst").alias("src"), F.col("m").alias("dst")))
+    # m(u) = smallest of u and its neighbours = smallest out-neighbour (or u)
+    m = e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
+    # each in-edge (v -> u) becomes (v -> m(u))
+    return (e.join(m, e.dst == m.node, "left")
+             .select("src", F.coalesce(F.col("m"), F.col("dst")).alias("dst"))
+             .distinct())
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.filter(F.col("dst") < F.col("src"))
-    m = low.groupBy("src").agg(F.min("dst").alias("m"))
-    leaves = low.join(m, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-    centre = m.select(F.col("src"), F.col("m").alias("dst"))
-    return leaves.union(centre)
+    # m = smallest out-neighbour of u; u and its other out-neighbours link to it
+    m = e.groupBy("src").agg(F.min("dst").alias("m"))
+    leaves = (e.join(m, "src").filter(F.col("dst") != F.col("m"))
+               .select(F.col("dst").alias("src"), F.col("m").alias("dst")))
+    centre = m.select("src", F.col("m").alias("dst"))
+    return leaves.union(centre).distinct()
 
 
 def _converged(e: DataFrame) -> bool:
-    per = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"),
-                               F.count_if(F.col("dst") < F.col("src")).alias("lower"))
-    return per.filter((F.col("lower") > 0) & (F.col("deg") > 1)).limit(1).count() == 0
+    ends = (e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+             .union(e.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
+    per = ends.groupBy("node").agg(F.sum("o").alias("out"), F.sum("i").alias("inn"))
+    bad = per.filter((F.col("out") > 1) | ((F.col("out") >= 1) & (F.col("inn") >= 1)))
+    return bad.limit(1).count() == 0
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
                          checkpoint_every: int = 1) -> DataFrame:
     """``nodes(node long)``, ``edges(src long, dst long)`` → ``(node, label)``
     with ``label`` = smallest node id of the node's component."""
-    e = _sym(edges).checkpoint(eager=True)
+    e = _directed(edges).checkpoint(eager=True)
     rounds = 0
     for r in range(max_rounds):
         if _converged(e):
             break
-        e2 = _sym(_small_star(_sym(_large_star(e))))
+        e2 = _small_star(_large_star(e))
         if (r + 1) % checkpoint_every == 0:
             e2 = e2.checkpoint(eager=True)
         else:
@@ -79,6 +89,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         raise RuntimeError("connected components did not converge")
     if os.environ.get("KERBSIDE_TIMING") == "1":
         print(f"[components] rounds={rounds}", flush=True)
-    centre = e.filter(F.col("dst") < F.col("src")).select(F.col("src").alias("node"), F.col("dst").alias("label"))
+    centre = e.select(F.col("src").alias("node"), F.col("dst").alias("label"))
     return (nodes.select("node").distinct().join(centre, "node", "left")
                  .select("node", F.coalesce(F.col("label"), F.col("node")).alias("label")))

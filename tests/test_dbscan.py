@@ -194,3 +194,29 @@ def test_density_counts_match_pair_counts(spark):
     for dense in (64, 1):
         got = {r.id: r.neighbor_count for r in dense_counts(v, EPS, dense_cell=dense, salt_target=3).collect()}
         assert got == want
+
+
+def test_components_random_graphs_match_union_find(spark):
+    import random
+    rnd = random.Random(9)
+    for n, m in ((60, 40), (200, 180), (300, 600)):
+        pairs = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)]
+        nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
+        edges = spark.createDataFrame(pairs, "src long, dst long")
+        got = {r.node: r.label for r in connected_components(nodes, edges).collect()}
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+        for a, b in pairs:
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+        groups = {}
+        for i in range(n):
+            groups.setdefault(find(i), []).append(i)
+        want = {i: min(g) for g in groups.values() for i in g}
+        assert got == want
