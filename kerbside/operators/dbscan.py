@@ -153,9 +153,25 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                    F.col("lat1").alias("blat1"), F.col("lon0").alias("blon0"), F.col("lon1").alias("blon1"),
                    "ci", "cj")
     cand = (A.withColumn("o", F.explode(_offsets(ki, kj, 2)))
-             .withColumns({"ci": F.col("ci") + F.col("o.di"), "cj": F.col("cj") + F.col("o.dj")}).drop("o")
+             .withColumns({"ai": F.col("ci"), "aj": F.col("cj"), "di": F.col("o.di"), "dj": F.col("o.dj"),
+                           "ci": F.col("ci") + F.col("o.di"), "cj": F.col("cj") + F.col("o.dj")}).drop("o")
              .join(Bc, ["ci", "cj"])
              .filter(F.col("c0a") < F.col("c0b")))
+    # a pair joined by a straight king path of core sub-cells is already
+    # connected through adjacency (every step moves ≤ 1 in each direction):
+    # drop it.  Bounded work (≤ k−1 lookups per pair); inside dense areas every
+    # pair is bridged, so only pairs across real gaps reach the tests below.
+    k = F.greatest(F.abs("di"), F.abs("dj"))
+    steps = (cand.select("src", "dst", "ai", "aj", "di", "dj", k.alias("k"))
+                 .withColumn("t", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
+                 .select("src", "dst", "k",
+                         (F.col("ai") + F.round(F.col("t") * F.col("di") / F.col("k")).cast("long")).alias("ci"),
+                         (F.col("aj") + F.round(F.col("t") * F.col("dj") / F.col("k")).cast("long")).alias("cj")))
+    bridged = (steps.join(ccells.select("ci", "cj"), ["ci", "cj"])
+                    .groupBy("src", "dst", "k").agg(F.count(F.lit(1)).alias("n"))
+                    .filter(F.col("n") == F.col("k") - 1)
+                    .select("src", "dst"))
+    cand = cand.join(bridged, ["src", "dst"], "left_anti")
     gap_lat = F.greatest(F.lit(0.0), F.col("blat0") - F.col("alat1"), F.col("alat0") - F.col("blat1"))
     gap_lon = F.greatest(F.lit(0.0), F.col("blon0") - F.col("alon1"), F.col("alon0") - F.col("blon1"))
     span_lat = F.greatest(F.col("blat1") - F.col("alat0"), F.col("alat1") - F.col("blat0"))
