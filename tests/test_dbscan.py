@@ -220,3 +220,22 @@ def test_components_random_graphs_match_union_find(spark):
             groups.setdefault(find(i), []).append(i)
         want = {i: min(g) for g in groups.values() for i in g}
         assert got == want
+
+
+def test_dense_grid_across_tiny_tiles(spark):
+    """A dense grid with a hole and a detached strip; 2×2-sub-cell tiles put
+    almost every pair across a tile border (bridge filter, ring tests)."""
+    rows, i = [], 0
+    for r in range(40):
+        for c in range(40):
+            if 15 <= r <= 22 and 15 <= c <= 22:
+                continue  # hole
+            rows.append((i, 12.9 + r * 9e-5, 77.5 + c * 9e-5))
+            i += 1
+    for r in range(40):
+        rows.append((i, 12.9 + r * 9e-5, 77.5 + 39 * 9e-5 + 8.1e-4))  # strip just beyond eps
+        i += 1
+    df = pts(spark, rows)
+    got = labels(dbscan(df, EPS, 5, tile=2))
+    want = labels(dbscan_plain(df, EPS, 5))
+    assert got == want
