@@ -103,7 +103,9 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     clock("locations")
 
     # 2. sub-cell weights and 3×3 block weights
-    cells = loc.groupBy("ci", "cj").agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("npts"))
+    cells = loc.groupBy("ci", "cj").agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("npts"),
+                                        F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
+                                        F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
     block = (cells.withColumn("o", F.explode(_offsets(1, 1, 0)))
                   .select((F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"), "W")
                   .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
@@ -112,23 +114,38 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                   .checkpoint(eager=True))
     clock("cells")
 
-    # 3. sparse-block locations count outer-ring neighbours exactly
+    # 3. sparse-block locations count outer-ring neighbours exactly: a ring
+    #    sub-cell whose box lies within eps adds its weight, one beyond eps
+    #    adds nothing, and only straddling sub-cells are enumerated (salted)
     sparse = loc.join(cells.filter(F.col("B") < m).select("ci", "cj", "B"), ["ci", "cj"])
     probe = (sparse.withColumn("o", F.explode(_offsets(ki, kj, 2)))
                    .select(F.col("pid").alias("p"), F.col("lat").alias("plat"), F.col("lon").alias("plon"),
                            (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"))
-                   .join(cells.select("ci", "cj", "nsalt"), ["ci", "cj"])
-                   .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
-                   .drop("nsalt"))
+                   .join(cells.select("ci", "cj", "W", "nsalt", "lat0", "lat1", "lon0", "lon1"), ["ci", "cj"]))
+    gap_lat = F.greatest(F.lit(0.0), F.col("lat0") - F.col("plat"), F.col("plat") - F.col("lat1"))
+    gap_lon = F.greatest(F.lit(0.0), F.col("lon0") - F.col("plon"), F.col("plon") - F.col("lon1"))
+    far_lat = F.greatest(F.abs(F.col("plat") - F.col("lat0")), F.abs(F.col("plat") - F.col("lat1")))
+    far_lon = F.greatest(F.abs(F.col("plon") - F.col("lon0")), F.abs(F.col("plon") - F.col("lon1")))
+    p_cos2 = F.pow(F.cos(F.radians(F.greatest(F.abs("plat"), F.abs("lat0"), F.abs("lat1")))), 2)
+    probe = (probe.withColumns({"lower": _hav_bound(gap_lat, gap_lon, p_cos2),
+                                "upper": _hav_bound(far_lat, far_lon, F.lit(1.0))})
+                  .filter(F.col("lower") <= eps_in * (1 + 1e-9))
+                  .checkpoint(eager=True))
+    # ring sub-cells wholly within eps of p: (p, cell, weight)
+    ring_full = probe.filter(F.col("upper") <= eps_in * (1 - 1e-9)).select("p", "ci", "cj", "W")
+    straddle = (probe.filter(F.col("upper") > eps_in * (1 - 1e-9))
+                     .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
+                     .select("p", "plat", "plon", "ci", "cj", "salt"))
     salted_loc = (loc.join(cells.select("ci", "cj", "nsalt"), ["ci", "cj"])
                      .withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("nsalt")).cast("int"))
                      .select("ci", "cj", "salt", F.col("pid").alias("q"), F.col("lat").alias("qlat"),
                              F.col("lon").alias("qlon"), F.col("w").alias("wq")))
-    ring_pairs = (probe.join(salted_loc, ["ci", "cj", "salt"])
-                       .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= eps_in)
-                       .select("p", "q", "wq")
-                       .checkpoint(eager=True))
-    ring_w = ring_pairs.groupBy("p").agg(F.sum("wq").alias("ring_w"))
+    ring_pairs = (straddle.join(salted_loc, ["ci", "cj", "salt"])
+                          .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= eps_in)
+                          .select("p", "q", "wq")
+                          .checkpoint(eager=True))
+    ring_w = (ring_pairs.select("p", "wq").union(ring_full.select("p", F.col("W").alias("wq")))
+                        .groupBy("p").agg(F.sum("wq").alias("ring_w")))
     pts = (loc.join(cells.select("ci", "cj", "B"), ["ci", "cj"])
               .join(ring_w, F.col("pid") == F.col("p"), "left")
               .select("pid", "lat", "lon", "ci", "cj",
@@ -252,7 +269,11 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                           .join(pts.filter("core").select(F.col("pid").alias("q"), "ci", "cj"), "q")
                           .join(cell_label, ["ci", "cj"])
                           .select(F.col("p").alias("pid"), "cluster_label"))
-    border_lab = block_lab.union(ring_lab).groupBy("pid").agg(F.min("cluster_label").alias("cluster_label"))
+    full_lab = (ring_full.join(noncore.select(F.col("pid").alias("p")), "p")
+                         .join(cell_label, ["ci", "cj"])
+                         .select(F.col("p").alias("pid"), "cluster_label"))
+    border_lab = (block_lab.union(ring_lab).union(full_lab)
+                           .groupBy("pid").agg(F.min("cluster_label").alias("cluster_label")))
     loc_label = (pts.select("pid", "lat", "lon")
                     .join(core_lab.union(border_lab), "pid", "left")
                     .select("lat", "lon", F.coalesce(F.col("cluster_label"), F.lit(-1)).cast("int").alias("cluster_label"))
