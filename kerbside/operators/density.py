@@ -92,8 +92,7 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
     maxabs = F.greatest(F.abs("lat0"), F.abs("lat1"), F.abs("slat0"), F.abs("slat1"))
     cpairs = (cpairs.withColumns({"lower": _bound(gap_lat, gap_lon, F.pow(F.cos(F.radians(maxabs)), 2)),
                                   "upper": _bound(span_lat, span_lon, F.lit(1.0))})
-                    .filter(F.col("lower") <= lo_ok)
-                    .checkpoint(eager=True))
+                    .filter(F.col("lower") <= lo_ok))
     cell_full = (cpairs.filter(F.col("upper") <= hi_ok)
                        .groupBy(F.col("si").alias("ci"), F.col("sj").alias("cj")).agg(F.sum("W").alias("cell_w")))
     open_cells = cpairs.filter(F.col("upper") > hi_ok).select("si", "sj", "ci", "cj", "W", "npts", "lat0", "lat1",
@@ -101,7 +100,7 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
     probe = (loc.select(F.col("ci").alias("si"), F.col("cj").alias("sj"), "pid",
                         F.col("lat").alias("plat"), F.col("lon").alias("plon"))
                 .join(open_cells, ["si", "sj"]))
-    probe = _point_box_bounds(probe).filter(F.col("lower") <= lo_ok).checkpoint(eager=True)
+    probe = _point_box_bounds(probe).filter(F.col("lower") <= lo_ok)
     full = probe.filter(F.col("upper") <= hi_ok).select("pid", F.col("W").alias("wq"))
     straddle = probe.filter(F.col("upper") > hi_ok)
 
