@@ -99,3 +99,26 @@ def test_template_and_overlay(spark):
     assert out[2].mock and out[2].description == TEMPLATES[2]["description"]
     bad = recommend_with_responses(sc, spark.createDataFrame([("no json",)], "response string"), 5).collect()
     assert all(r.mock for r in bad)
+
+
+@pytest.mark.parametrize("profile,score,tier", [
+    ("live", 74.9999, "High"), ("live", 75.0, "Critical"), ("live", 49.9999, "Medium"), ("live", 50.0, "High"),
+    ("live", 24.9999, "Low"), ("live", 25.0, "Medium"),
+    ("batch", 74.9, "High"), ("batch", 75.0, "Critical"), ("batch", 54.9, "Medium"), ("batch", 55.0, "High"),
+    ("batch", 34.9, "Low"), ("batch", 35.0, "Medium"),
+])
+def test_tier_cuts_both_sides(spark, profile, score, tier):
+    from kerbside.operators.score import priority_tier
+    df = spark.createDataFrame([(score,)], "s double")
+    assert df.select(priority_tier(F.col("s"), profile)).first()[0] == tier
+
+
+@pytest.mark.parametrize("profile,ratio,window", [
+    ("live", 0.5, "Morning & Evening Rush Hours (7-9 AM, 5-8 PM)"), ("live", 0.4999, "Evening Rush Hours (5-8 PM)"),
+    ("live", 0.3, "Evening Rush Hours (5-8 PM)"), ("live", 0.2999, "Business Hours (10 AM - 4 PM)"),
+    ("batch", 0.5, "10 AM - 4 PM"), ("batch", 0.5001, "7-9 AM and 5-8 PM"),
+])
+def test_patrol_window_edges(spark, profile, ratio, window):
+    from kerbside.operators.score import patrol_window
+    df = spark.createDataFrame([(ratio,)], "r double")
+    assert df.select(patrol_window(F.col("r"), profile)).first()[0] == window
