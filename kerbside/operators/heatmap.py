@@ -51,14 +51,33 @@ def heat_points(df: DataFrame, cap: int = HEAT_POINT_CAP) -> DataFrame:
                    .select("position", "lat", "lon", "count", "weight"))
 
 
+_P = 2147483647  # fixed value: the prime 2^31 - 1 of the sample hash
+
+
+def sample_hash(id_col, seed: int):
+    """Seeded pseudo-random key of an integer id from exact long arithmetic
+    (an LCG step, a squaring step and a mix modulo 2^31−1; every product stays
+    below 2^63), so any engine computes the same key and the sample does not
+    depend on partitioning."""
+    x = F.pmod(id_col.cast("long"), F.lit(_P))
+    h1 = F.pmod(x * F.lit(1103515245) + F.lit(12345), F.lit(_P))
+    h2 = F.pmod(h1 * h1, F.lit(_P))
+    return F.pmod(h2 * F.lit(48271) + h1 * F.lit(16807) + F.lit(seed), F.lit(_P))
+
+
+def round_decimal(c, places: int):
+    """Half-to-even rounding of the value's 7-decimal text (engine-independent)."""
+    return F.bround(c.cast("decimal(18,7)"), places).cast("double")
+
+
 def map_sample(df: DataFrame, n: int = MAP_SAMPLE_SIZE, seed: int = MAP_SAMPLE_SEED) -> DataFrame:
     """Exactly ``min(n, rows)`` records, chosen by a seeded hash of the id —
     the same rows under any partitioning.  Top-k per partition, then merge."""
-    pick = (df.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), F.col("id")).limit(n))
+    pick = df.orderBy(sample_hash(F.col("id"), seed), F.col("id")).limit(n)
     j = F.col("junction_name")
     return pick.select(
-        F.bround("latitude", 6).alias("latitude"),
-        F.bround("longitude", 6).alias("longitude"),
+        round_decimal(F.col("latitude"), 6).alias("latitude"),
+        round_decimal(F.col("longitude"), 6).alias("longitude"),
         F.col("violation_type"),
         F.col("hour_of_day").alias("hour"),
         F.when(j.isNull() | (j == "No Junction"), F.lit("")).otherwise(j).alias("junction_name"),

@@ -635,3 +635,17 @@ LEFT JOIN (SELECT resolution_minutes AS m,
    FROM v WHERE resolution_minutes >= 0) x ON x.i = b.i
 GROUP BY b.name"""
     return q("live", body)
+
+
+@oracle("map_sample")
+def _():
+    p = 2147483647
+    h1 = f"((((id % {p}) + {p}) % {p}) * 1103515245 + 12345) % {p}"
+    body = f"""SELECT CAST(round_even(CAST(latitude AS DECIMAL(18,7)), 6) AS DOUBLE) AS latitude,
+  CAST(round_even(CAST(longitude AS DECIMAL(18,7)), 6) AS DOUBLE) AS longitude,
+  violation_type, hour_of_day AS hour,
+  CASE WHEN junction_name IS NULL OR junction_name = 'No Junction' THEN '' ELSE junction_name END AS junction_name
+FROM (SELECT *, (((h1 * h1) % {p}) * 48271 + h1 * 16807 + 42) % {p} AS k
+      FROM (SELECT *, {h1} AS h1 FROM v))
+ORDER BY k, id LIMIT 3000"""
+    return q("batch", body)

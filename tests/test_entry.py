@@ -14,7 +14,7 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) <= {"map_sample"}
+    assert set(q) == set(o)
 
 
 def test_some_queries_match_oracle_at_small_scale(spark):
