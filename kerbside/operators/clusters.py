@@ -73,6 +73,9 @@ def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> Data
         junctions.alias("junctions_covered"),
         F.min("created_datetime").alias("first_seen"),
         F.max("created_datetime").alias("last_seen"),
+        # live: the station set comes from the same aggregate (no second pass)
+        *([] if p.station_cap else
+          [F.array_sort(F.collect_set(clean_text("police_station"))).alias("police_stations_involved")]),
     )
     if p.station_cap:
         st = (df.filter(F.col("police_station").isNotNull())
@@ -81,11 +84,9 @@ def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> Data
                 .agg(F.slice(F.array_sort(F.collect_list(F.struct("first_id", "police_station"))), 1, p.station_cap)
                      .alias("_st")))
         stations = st.select("cluster_label", F.transform("_st", lambda s: s["police_station"]).alias("police_stations_involved"))
-    else:
-        stations = (df.groupBy("cluster_label")
-                      .agg(F.array_sort(F.collect_set(clean_text("police_station"))).alias("police_stations_involved")))
+        main = main.join(stations, "cluster_label", "left")
     dom = _dominant(df, exclude_sentinels=live)
-    out = (main.join(stations, "cluster_label", "left").join(dom, "cluster_label", "left")
+    out = (main.join(dom, "cluster_label", "left")
                .select(
                    F.col("cluster_label").cast("int").alias("cluster_id"), "centroid_lat", "centroid_lon",
                    "violation_count", "unique_vehicle_types",
