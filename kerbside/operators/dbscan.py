@@ -17,19 +17,24 @@ Spark design (grid DBSCAN, after Gan & Tao 2015):
    * a location whose 3×3 block weighs ≥ min_samples is core — no distance
      test at all;
    * only locations in sparse blocks (< min_samples records in the 3×3 block,
-     so few per block) count their outer-ring neighbours exactly;
+     so few per block) count their outer-ring neighbours exactly — ring
+     sub-cells whose box lies within eps add their weight, those beyond add
+     nothing, only straddling ones are enumerated;
    * all core points of one sub-cell form one graph node, and core sub-cells
      that are adjacent are joined by an edge without a test.
 3. Components over sub-cells: adjacency components inside tiles of 32×32
    sub-cells come from a bounded union-find; outer-ring sub-cell pairs whose
-   tile-local components differ are tested — by bounding boxes, then on
-   micro-cells, and by exact point pairs only where neither can decide; one
-   distributed components run joins cross-tile adjacency and ring edges.
+   tile-local components differ and that no straight path of core sub-cells
+   bridges are tested — by bounding boxes, then on micro-cells, and by exact
+   point pairs only where neither can decide; one distributed components run
+   joins cross-tile adjacency and ring edges.
 4. Cluster numbers come from a distributed global index of component roots.
 
-Every join on a sub-cell key is salted by that sub-cell's point count, so no
-task receives an unbounded group.  Intermediate tables are checkpointed to
-the cluster checkpoint folder.
+Joins that pair the locations of two sub-cells are salted by the sub-cell's
+location count, so no task receives an unbounded group; joins that attach a
+one-row-per-cell value to locations rely on AQE's skew-join split, and hot
+locations are attached to records by a size-checked broadcast.  Intermediate
+tables are checkpointed to the cluster checkpoint folder.
 """
 
 from __future__ import annotations
