@@ -239,3 +239,16 @@ def test_dense_grid_across_tiny_tiles(spark):
     got = labels(dbscan(df, EPS, 5, tile=2))
     want = labels(dbscan_plain(df, EPS, 5))
     assert got == want
+
+
+def test_empty_and_single_record_inputs(spark):
+    from kerbside.operators.clusters import cluster_summary
+    from kerbside.operators.score import score_live
+    empty = pts(spark, [])
+    assert dbscan(empty, EPS, 5).count() == 0
+    one = pts(spark, [(1, 12.9, 77.5)])
+    assert labels(dbscan(one, EPS, 1)) == {1: 0}
+    assert labels(dbscan(one, EPS, 2)) == {1: -1}
+    lab = violations(spark, "/root/testdata/sf0.001", "live").limit(0)
+    summ = cluster_summary(dbscan(lab, EPS, 5), "live")
+    assert summ.count() == 0 and score_live(summ).count() == 0
