@@ -32,8 +32,9 @@ Spark design (grid DBSCAN, after Gan & Tao 2015):
 
 Joins that pair the locations of two sub-cells are salted by the sub-cell's
 location count, so no task receives an unbounded group; joins that attach a
-one-row-per-cell value to locations rely on AQE's skew-join split, and hot
-locations are attached to records by a size-checked broadcast.  Intermediate
+one-row-per-cell value to all locations send hot sub-cells through a
+size-checked broadcast (``join_per_cell``), and hot locations are attached to
+records the same way.  Intermediate
 tables are checkpointed to the cluster checkpoint folder.
 """
 
@@ -50,8 +51,8 @@ from kerbside.functions.geo import haversine
 from kerbside.functions.ordering import global_index
 from kerbside.operators.components import connected_components
 from kerbside.operators.tiles import TILE, cross_tile_edges, tile_local_labels
-from kerbside.operators.spatial import (HOT_BROADCAST_MAX, HOT_ROWS, attach_by_location, eps_pairs,
-                                       lon_reach_deg, max_abs_lat)
+from kerbside.operators.spatial import (HOT_BROADCAST_MAX, HOT_CELL, HOT_ROWS, attach_by_location, eps_pairs,
+                                       join_per_cell, lon_reach_deg, max_abs_lat)
 from kerbside.session import ensure_checkpoint_dir
 
 _TIMING = os.environ.get("KERBSIDE_TIMING") == "1"
@@ -87,7 +88,7 @@ def _offsets(ki: int, kj: int, min_cheb: int, max_cheb: int | None = None) -> Co
 
 def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id", lat: str = "latitude",
            lon: str = "longitude", salt_target: int = SALT_TARGET, hot_rows: int = HOT_ROWS,
-           hot_broadcast_max: int = HOT_BROADCAST_MAX, tile: int = TILE) -> DataFrame:
+           hot_broadcast_max: int = HOT_BROADCAST_MAX, tile: int = TILE, hot_cell: int = HOT_CELL) -> DataFrame:
     """``df`` plus ``cluster_label`` (int, −1 = noise)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -117,6 +118,8 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     cells = (cells.join(block, ["ci", "cj"])
                   .withColumn("nsalt", F.greatest(F.lit(1), F.ceil(F.col("npts") / F.lit(salt_target))).cast("int"))
                   .checkpoint(eager=True))
+    hot_cells = cells.filter(F.col("npts") >= hot_cell).select("ci", "cj")
+    n_hot = hot_cells.count()
     clock("cells")
 
     # 3. sparse-block locations count outer-ring neighbours exactly: a ring
@@ -141,7 +144,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     straddle = (probe.filter(F.col("upper") > eps_in * (1 - 1e-9))
                      .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
                      .select("p", "plat", "plon", "ci", "cj", "salt"))
-    salted_loc = (loc.join(cells.select("ci", "cj", "nsalt"), ["ci", "cj"])
+    salted_loc = (join_per_cell(loc, cells.select("ci", "cj", "nsalt"), ["ci", "cj"], hot_cells, n_hot)
                      .withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("nsalt")).cast("int"))
                      .select("ci", "cj", "salt", F.col("pid").alias("q"), F.col("lat").alias("qlat"),
                              F.col("lon").alias("qlon"), F.col("w").alias("wq")))
@@ -151,7 +154,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                           .checkpoint(eager=True))
     ring_w = (ring_pairs.select("p", "wq").union(ring_full.select("p", F.col("W").alias("wq")))
                         .groupBy("p").agg(F.sum("wq").alias("ring_w")))
-    pts = (loc.join(cells.select("ci", "cj", "B"), ["ci", "cj"])
+    pts = (join_per_cell(loc, cells.select("ci", "cj", "B"), ["ci", "cj"], hot_cells, n_hot)
               .join(ring_w, F.col("pid") == F.col("p"), "left")
               .select("pid", "lat", "lon", "ci", "cj",
                       ((F.col("B") >= m) | ((F.col("B") + F.coalesce(F.col("ring_w"), F.lit(0))) >= m)).alias("core"))
@@ -212,7 +215,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     #     per sub-cell pair whatever the density; exact point pairs are tested
     #     only inside micro pairs whose boxes straddle eps (salted by size)
     mu = a / MICRO
-    core_pts = (pts.filter("core").join(ccells.select("ci", "cj", "node"), ["ci", "cj"])
+    core_pts = (join_per_cell(pts.filter("core"), ccells.select("ci", "cj", "node"), ["ci", "cj"], hot_cells, n_hot)
                    .select("node", "pid", "lat", "lon",
                            F.floor(F.col("lat") / mu).alias("mi"), F.floor(F.col("lon") / mu).alias("mj")))
     micro = (core_pts.groupBy("node", "mi", "mj")
@@ -264,7 +267,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
 
     # 7. labels of locations: core → own sub-cell; border → smallest label of a
     #    core neighbour (whole 3×3 block, exact ring neighbours); else −1
-    core_lab = pts.filter("core").join(cell_label, ["ci", "cj"]).select("pid", "cluster_label")
+    core_lab = join_per_cell(pts.filter("core"), cell_label, ["ci", "cj"], hot_cells, n_hot).select("pid", "cluster_label")
     noncore = pts.filter(~F.col("core"))
     block_lab = (noncore.withColumn("o", F.explode(_offsets(1, 1, 0)))
                         .select("pid", (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"))

@@ -101,3 +101,23 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
     per_loc = loc.join(counts, loc.pid == counts.id_a).select("lat", "lon", "w", "neighbor_count")
     recs = points.select(F.col(id_col).alias("id"), F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
     return attach_by_location(recs, per_loc, ["neighbor_count"], hot_rows=hot_rows).select("id", "neighbor_count")
+
+
+HOT_CELL = 200_000  # locations in one sub-cell that make it a hot join key
+
+
+def join_per_cell(rows: DataFrame, values: DataFrame, keys: list[str], hot_keys: DataFrame | None,
+                  n_hot: int, hot_broadcast_max: int = HOT_BROADCAST_MAX) -> DataFrame:
+    """Inner join of many rows per cell with one row of ``values`` per cell.
+
+    A cell holding very many locations is a hot key.  ``hot_keys`` lists the
+    cells over the threshold (``n_hot`` of them, at most rows/threshold); when
+    that count passes the size check their values are joined by broadcast and
+    only the other rows go through the shuffle join."""
+    if hot_keys is None or not (0 < n_hot <= hot_broadcast_max):
+        return rows.join(values, keys)
+    hk = F.broadcast(hot_keys.select(*keys))
+    hot_vals = values.join(hk, keys)
+    hot_part = rows.join(F.broadcast(hot_vals), keys)
+    cold_part = rows.join(hk, keys, "left_anti").join(values.join(hk, keys, "left_anti"), keys)
+    return hot_part.unionByName(cold_part)

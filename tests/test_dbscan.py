@@ -93,7 +93,7 @@ def test_hot_location_skew(spark):
     salted joins still give the textbook result."""
     rows = [(i, 12.9, 77.5) for i in range(300)]
     rows += [(1000 + i, 12.9 + 0.0001 * (i % 30), 77.5 + 0.0001 * (i // 30)) for i in range(600)]
-    got = labels(dbscan(pts(spark, rows), EPS, 5, salt_target=50, hot_rows=100))
+    got = labels(dbscan(pts(spark, rows), EPS, 5, salt_target=50, hot_rows=100, hot_cell=5))
     assert len(got) == 900
     assert got == brute_dbscan(rows, EPS, 5)
 
