@@ -1,7 +1,9 @@
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 
+SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -17,16 +19,28 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert set(q) == set(o)
 
 
-def test_some_queries_match_oracle_at_small_scale(spark):
-    sf = "/root/testdata/sf0.001"
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    for name in ("hourly", "resolution_buckets", "dbscan_live", "impact_batch", "heatmap_thinned"):
-        s = entry.queries()[name](spark, sf)
-        rel = con.sql(entry.oracle_sql()[name])
-        assert sorted(s.columns) == sorted(rel.columns), name
-        srows = sorted(tuple(str(r[c]) for c in sorted(s.columns)) for r in s.collect())
-        idx = {c: i for i, c in enumerate(rel.columns)}
-        drows = sorted(tuple(str(r[idx[c]]) for c in sorted(rel.columns)) for r in rel.fetchall())
-        assert srows == drows, name
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if hasattr(v, "isoformat"):
+        return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
+    return repr(v) if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_matches_oracle_at_small_scale(spark, duck, name):
+    s = entry.queries()[name](spark, SF)
+    rel = duck.sql(entry.oracle_sql()[name])
+    assert sorted(s.columns) == sorted(rel.columns), name
+    cols = sorted(s.columns)
+    srows = sorted(str(tuple(_norm(r[c]) for c in cols)) for r in s.collect())
+    idx = {c: i for i, c in enumerate(rel.columns)}
+    drows = sorted(str(tuple(_norm(r[idx[c]]) for c in cols)) for r in rel.fetchall())
+    assert srows == drows, name
