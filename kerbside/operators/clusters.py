@@ -17,31 +17,22 @@ def label_points(df: DataFrame, profile: Profile | str = "live") -> DataFrame:
     return dbscan(df, p.eps_deg, p.min_samples)
 
 
-def _dominant(labeled: DataFrame, exclude_sentinels: bool) -> DataFrame:
-    """Most common violation type per cluster; ties go to the type seen first
-    (smallest record id).  Two aggregates, no window: pre-aggregate per
-    (cluster, type), then take the minimum of (−count, first id, type)."""
-    vt = F.col("violation_type")
-    base = labeled.filter(vt.isNotNull())
-    if exclude_sentinels:
-        base = base.filter(~vt.isin(*SENTINEL_TEXT))
-    per_type = base.groupBy("cluster_label", "violation_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    return per_type.groupBy("cluster_label").agg(
-        F.min(F.struct((-F.col("n")).alias("neg"), F.col("first_id"), F.col("violation_type")))
-         .getField("violation_type").alias("dominant_violation_type"))
-
-
 def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> DataFrame:
     """One row per cluster (noise dropped), ``violation_count`` descending.
 
-    Centroids and mean resolution are exact means (order-independent, see
-    ``exact_mean``), so a summary does not change with partitioning.
-
     live:  vehicle types and junction/station sets ignore sentinel text; mean
            resolution over finite values ≥ 0; full sorted sets.
     batch: sentinel junction names dropped, first 6 in sorted order; first 4
-           stations in order of appearance; mean resolution on 0..10000."""
+           stations in order of appearance; mean resolution on 0..10000.
+
+    One scan: a single grouping-sets aggregate over (cluster), (cluster,
+    violation type) for the dominant type (ties → first seen) and, in batch,
+    (cluster, station) for the first-appearance order.  The aggregate is small
+    (clusters × types/stations), written once, and every column is derived
+    from it.  Centroids and mean resolution are exact means (order-independent,
+    see ``exact_mean``), so a summary does not change with partitioning."""
+    from kerbside.session import materialize
+
     p = get_profile(profile)
     live = p.name == "live"
     df = labeled.filter(F.col("cluster_label") >= 0)
@@ -63,7 +54,13 @@ def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> Data
     if p.junction_cap:
         junctions = F.slice(junctions, 1, p.junction_cap)
 
-    main = df.groupBy("cluster_label").agg(
+    vt = F.col("violation_type")
+    keyed = df.withColumns({
+        "_vt": F.when(vt.isNotNull() & ~vt.isin(*SENTINEL_TEXT), vt) if live else vt,
+        "_st": F.col("police_station"),
+    })
+    sets = [["cluster_label"], ["cluster_label", "_vt"]] + ([["cluster_label", "_st"]] if p.station_cap else [])
+    aggs = [
         exact_mean(F.col("latitude"), COORD_SCALE).alias("centroid_lat"),
         exact_mean(F.col("longitude"), COORD_SCALE).alias("centroid_lon"),
         F.count(F.lit(1)).alias("violation_count"),
@@ -73,19 +70,27 @@ def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> Data
         junctions.alias("junctions_covered"),
         F.min("created_datetime").alias("first_seen"),
         F.max("created_datetime").alias("last_seen"),
-        # live: the station set comes from the same aggregate (no second pass)
-        *([] if p.station_cap else
-          [F.array_sort(F.collect_set(clean_text("police_station"))).alias("police_stations_involved")]),
-    )
+        F.min("id").alias("first_id"),
+        F.grouping("_vt").alias("g_vt"),
+        F.grouping("_st").alias("g_st"),
+    ]
+    if not p.station_cap:
+        aggs.append(F.array_sort(F.collect_set(clean_text("police_station"))).alias("stations_all"))
+    grouped = materialize(keyed.groupingSets(sets, "cluster_label", "_vt", "_st").agg(*aggs), f"cluster_agg_{p.name}")
+
+    main = grouped.filter((F.col("g_vt") == 1) & (F.col("g_st") == 1))
+    dom = (grouped.filter((F.col("g_vt") == 0) & F.col("_vt").isNotNull())
+                  .groupBy("cluster_label")
+                  .agg(F.min(F.struct((-F.col("violation_count")).alias("neg"), F.col("first_id"), F.col("_vt")))
+                       .getField("_vt").alias("dominant_violation_type")))
     if p.station_cap:
-        st = (df.filter(F.col("police_station").isNotNull())
-                .groupBy("cluster_label", "police_station").agg(F.min("id").alias("first_id"))
-                .groupBy("cluster_label")
-                .agg(F.slice(F.array_sort(F.collect_list(F.struct("first_id", "police_station"))), 1, p.station_cap)
-                     .alias("_st")))
-        stations = st.select("cluster_label", F.transform("_st", lambda s: s["police_station"]).alias("police_stations_involved"))
+        st = (grouped.filter((F.col("g_st") == 0) & F.col("_st").isNotNull())
+                     .groupBy("cluster_label")
+                     .agg(F.slice(F.array_sort(F.collect_list(F.struct("first_id", "_st"))), 1, p.station_cap).alias("_s")))
+        stations = st.select("cluster_label", F.transform("_s", lambda x: x["_st"]).alias("police_stations_involved"))
         main = main.join(stations, "cluster_label", "left")
-    dom = _dominant(df, exclude_sentinels=live)
+    else:
+        main = main.withColumnRenamed("stations_all", "police_stations_involved")
     out = (main.join(dom, "cluster_label", "left")
                .select(
                    F.col("cluster_label").cast("int").alias("cluster_id"), "centroid_lat", "centroid_lon",
