@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.geo import haversine
-from kerbside.operators.spatial import HOT_ROWS, attach_by_location, lon_reach_deg, max_abs_lat
+from kerbside.operators.spatial import (HOT_CELL, HOT_ROWS, attach_by_location, join_per_cell, lon_reach_deg,
+                                       max_abs_lat)
 
 SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
 MICRO = 8
@@ -54,7 +55,7 @@ def _point_box_bounds(df: DataFrame) -> DataFrame:
 
 def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat: str = "latitude",
                     lon: str = "longitude", dense_cell: int = DENSE_CELL, salt_target: int = SALT_TARGET,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int = HOT_ROWS, hot_cell: int = HOT_CELL) -> DataFrame:
     """``(id, neighbor_count)`` for every record of ``points``."""
     eps = math.radians(eps_deg)
     lo_ok, hi_ok = F.lit(eps * (1 + 1e-9)), F.lit(eps * (1 - 1e-9))
@@ -131,7 +132,11 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
                     .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= F.lit(eps))
                     .select("pid", "wq"))
     ring_w = full.union(few_w).union(mfull).union(mpart_w).groupBy("pid").agg(F.sum("wq").alias("ring_w"))
-    per_loc = (loc.join(block, ["ci", "cj"]).join(cell_full, ["ci", "cj"], "left").join(ring_w, "pid", "left")
+    # per-cell weights to every location: hot sub-cells by size-checked broadcast
+    cell_vals = block.join(cell_full, ["ci", "cj"], "left")
+    hot_cells = cells.filter(F.col("npts") >= hot_cell).select("ci", "cj")
+    per_loc = (join_per_cell(loc, cell_vals, ["ci", "cj"], hot_cells, hot_cells.count())
+                  .join(ring_w, "pid", "left")
                   .select("lat", "lon", "w", (F.col("B") + F.coalesce(F.col("cell_w"), F.lit(0))
                                               + F.coalesce(F.col("ring_w"), F.lit(0))).alias("neighbor_count")))
     recs = points.select(F.col(id_col).alias("id"), F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))

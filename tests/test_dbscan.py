@@ -191,8 +191,8 @@ def test_density_counts_match_pair_counts(spark):
     from kerbside.operators.spatial import neighbor_counts as pair_counts
     v = violations(spark, "/root/testdata/sf0.001", "live").select("id", "latitude", "longitude")
     want = {r.id: r.neighbor_count for r in pair_counts(v, EPS).collect()}
-    for dense in (64, 1):
-        got = {r.id: r.neighbor_count for r in dense_counts(v, EPS, dense_cell=dense, salt_target=3).collect()}
+    for dense, hot in ((64, 10**9), (1, 3)):
+        got = {r.id: r.neighbor_count for r in dense_counts(v, EPS, dense_cell=dense, salt_target=3, hot_cell=hot).collect()}
         assert got == want
 
 
