@@ -74,13 +74,14 @@ _SPACE[9:14] = True
 _SPACE[32] = True
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts in one buffer: start and end
-    byte of each word, and per text the index of its first word (n + 1 values)."""
+def word_spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are not ``between`` words; as given, of
+    ``[^\\x20\\x09-\\x0D]``) of the texts in one buffer: start and end byte of each
+    word, and per text the index of its first word (n + 1 values)."""
     if len(data) == 0:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(offs), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
@@ -95,7 +96,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower_ascii: bool) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower_ascii: bool, between: np.ndarray = _SPACE) -> np.ndarray:
     """64-bit hash of every word: a polynomial over random byte values, mixed."""
     if len(starts) == 0:
         return np.zeros(0, _U64)
@@ -108,7 +109,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower_as
     powers[0] = 1
     powers[1:] = _MULT
     np.multiply.accumulate(powers, out=powers)
-    vals = (_LOWER if lower_ascii else _EXACT)[body]
+    table = _LOWER if lower_ascii else _EXACT
+    if between is not _SPACE:
+        table = np.where(between, np.uint64(0), table)
+    vals = table[body]
     vals *= powers[pos]
     # separators inside a run hash to zero, so only the word's own bytes count
     return mix64(np.add.reduceat(vals, rel) + (ends - starts).astype(_U64))

@@ -1,4 +1,4 @@
-"""Query catalogue of the subpackage: one query per operator, and the pipeline."""
+"""Query catalogue of the subpackage: one query per operator."""
 
 from __future__ import annotations
 
@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbside.llm.langid import op5_language_id
+from kerbside.llm.ngram_join import op1_ngram_jaccard_join
+from kerbside.llm.quality_model import op3_quality_classifier
+from kerbside.llm.robust_rules import op4_quality_rules
 from kerbside.llm.ss_packing import op7_packing
 from kerbside.llm.stratified_shards import op9_sharding
+from kerbside.llm.string_tiling import op6_decontamination
 from kerbside.llm.token_index import op2_token_files
 from kerbside.llm.url_rules import SQL as URL_SQL
 from kerbside.llm.url_rules import op8_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_files": op2_token_files,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
