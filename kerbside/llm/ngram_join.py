@@ -47,7 +47,10 @@ WORDS, PERCENT = 5, 80
 #: Shingles in at least HEAVY documents go last in the order, the DEMOTED most frequent ones.
 HEAVY, DEMOTED = 64, 1 << 18
 #: Rounds against one member per list before all remaining pairs are tested.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: 64-bit words of a set's parity bitmap.
+MAP_WORDS = 16
+_MAP = [f"w{i}" for i in range(MAP_WORDS)]
 _FLUSH = 3_000_000  # shingles a task holds before it sends them on
 _CHUNK_SHINGLES = 1 << 18  # shingles tested against one set in one go
 
@@ -136,18 +139,28 @@ def _set_id(s: np.ndarray) -> np.uint64:
     return mix64(np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s))], dtype=np.uint64))[0]
 
 
-def _describe(order, k: int, id_type):
-    """(id, text hash, text) → (id, th, n, grp, node)."""
+def _parity(s: np.ndarray) -> np.ndarray:
+    """The set's parity bitmap: a bit is set if an odd number of shingles hash to it,
+    so two bitmaps differ in at most as many bits as the sets differ in shingles."""
+    bits = np.bincount((mix64(s + np.uint64(77)) % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _describe(order, k: int):
+    """(id, text hash, text) → (id, th, n, grp, node, w0 …); w: the parity bitmap."""
     def run(batches):
         for batch in batches:
-            n, grp, node = [], [], []
+            n, grp, node, maps = [], [], [], [np.zeros((0, MAP_WORDS), dtype=np.int64)]
             for _, data, offs in text_chunks(batch.column(2)):
                 for s in shingle_sets(data, offs, k):
+                    prefix = order.value.prefix(s)[0] if len(s) else s
                     n.append(len(s))
-                    grp.append(int(_group_id(order.value.prefix(s)[0], len(s)).view(np.int64)) if len(s) else None)
+                    grp.append(int(_group_id(prefix, len(s)).view(np.int64)) if len(s) else None)
                     node.append(int(_set_id(s).view(np.int64)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(node, pa.int64())],
-                                             names=["id", "th", "n", "grp", "node"])
+                    maps.append(_parity(s)[None, :])
+            w = np.ascontiguousarray(np.concatenate(maps).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), pa.array(node, pa.int64()),
+                                              *[pa.array(x) for x in w]], names=["id", "th", "n", "grp", "node", *_MAP])
 
     return run
 
@@ -163,15 +176,17 @@ def _post(order, parts: int, k: int):
             tok = np.concatenate([h[0] for h in held])
             grp = np.concatenate([np.full(len(h[0]), h[2], np.int64) for h in held])
             n = np.concatenate([np.full(len(h[0]), h[3], np.int32) for h in held])
+            pos = np.concatenate([np.arange(len(h[0]), dtype=np.int32) for h in held])
             heavy = np.concatenate([h[1] for h in held])
             # a frequent shingle's postings are spread by group, all others meet by shingle
             b = np.where(heavy, grp.view(np.uint64) % np.uint64(parts), _bucket(tok, parts)).astype(np.int64)
             by = np.lexsort((grp, b))
-            tok, grp, n, heavy, b = tok[by], grp[by], n[by], heavy[by], b[by]
+            tok, grp, n, pos, heavy, b = tok[by], grp[by], n[by], pos[by], heavy[by], b[by]
             cut = np.searchsorted(b, np.arange(parts + 1))
             full = np.flatnonzero(cut[1:] > cut[:-1])
-            cols = [[a[cut[x]: cut[x + 1]].tobytes() for x in full] for a in (tok, grp, n, heavy)]
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "tok", "grp", "n", "heavy"])
+            cols = [[a[cut[x]: cut[x + 1]].tobytes() for x in full] for a in (tok, grp, n, pos, heavy)]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]],
+                                              names=["bucket", "tok", "grp", "n", "pos", "heavy"])
 
         for batch in batches:
             for _, data, offs in text_chunks(batch.column(0)):
@@ -193,71 +208,75 @@ def _post(order, parts: int, k: int):
 
 
 def _lists(t: pa.Table) -> pa.Table:
-    """One bucket's postings → (list, grp, n); lists with one group go, equal lists count once."""
+    """One bucket's postings → (list, grp, pos); lists with one group go.  Of equal
+    lists the one earliest in the order stays: it holds every member's least position."""
     col = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[c]])
-    tok, grp, n, heavy = col("tok", np.uint64), col("grp", np.int64), col("n", np.int32), col("heavy", bool)
+    tok, grp, pos, heavy = col("tok", np.uint64), col("grp", np.int64), col("pos", np.int32), col("heavy", bool)
     by = np.lexsort((grp, tok))
-    tok, grp, n, heavy = tok[by], grp[by], n[by], heavy[by]
+    tok, grp, pos, heavy = tok[by], grp[by], pos[by], heavy[by]
     once = np.append(True, (tok[1:] != tok[:-1]) | (grp[1:] != grp[:-1]))
-    tok, grp, n, heavy = tok[once], grp[once], n[once], heavy[once]
-    hot = (mix64(tok[heavy]).view(np.int64), grp[heavy], n[heavy])
-    tok, grp, n = tok[~heavy], grp[~heavy], n[~heavy]
+    tok, grp, pos, heavy = tok[once], grp[once], pos[once], heavy[once]
+    hot = (mix64(tok[heavy]).view(np.int64), grp[heavy], pos[heavy])
+    tok, grp, pos = tok[~heavy], grp[~heavy], pos[~heavy]
+    cold = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
     if len(tok):
         at = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         size = np.diff(np.append(at, len(tok)))
         name = mix64(np.add.reduceat(mix64(grp.view(np.uint64)), at) + size.astype(np.uint64))  # by its groups
-        _, first = np.unique(name, return_index=True)
+        order = np.lexsort((pos[at], name))
+        first = order[np.append(True, name[order][1:] != name[order][:-1])]
         keep = np.zeros(len(at), dtype=bool)
         keep[first] = True
-        keep &= size > 1
-        rows = np.repeat(keep, size)
-        cold = (np.repeat(name, size)[rows].view(np.int64), grp[rows], n[rows])
-    else:
-        cold = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
-    return pa.table({"list": np.concatenate([cold[0], hot[0]]), "grp": np.concatenate([cold[1], hot[1]]), "n": np.concatenate([cold[2], hot[2]]).astype(np.int64)})
+        rows = np.repeat(keep & (size > 1), size)
+        cold = (np.repeat(name, size)[rows].view(np.int64), grp[rows], pos[rows])
+    return pa.table({"list": np.concatenate([cold[0], hot[0]]), "grp": np.concatenate([cold[1], hot[1]]), "pos": np.concatenate([cold[2], hot[2]])})
 
 
 def _blobs(k: int):
     def run(batches):
         for batch in batches:
-            node, blob = [], []
+            node, n, blob = [], [], []
             for _, data, offs in text_chunks(batch.column(0)):
                 for s in shingle_sets(data, offs, k):
                     node.append(int(_set_id(s).view(np.int64)) if len(s) else None)
+                    n.append(len(s))
                     blob.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["node", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], names=["node", "n", "blob"])
 
     return run
 
 
+def _links(own: np.ndarray, s: np.ndarray, n_own: int, n: int) -> bool:
+    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+    both = int((own[at] == s).sum())
+    return 100 * both >= PERCENT * (n + n_own - both)
+
+
 def _test(batches):
     """Rows sorted by (b, chunk, role): a set, then its partners → the pairs that link."""
-    own, b = None, None
+    own, b, n_own = None, None, 0
     for batch in batches:
-        src, dst = [], []
-        col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("b", "role", "a", "blob")}
-        roles, bs, ass = col["role"].to_pylist(), col["b"].to_pylist(), col["a"].to_pylist()
+        out = []
+        col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("b", "role", "a", "n", "blob")}
+        roles, bs, ass, ns = (col[c].to_pylist() for c in ("role", "b", "a", "n"))
         for i, role in enumerate(roles):
             s = np.frombuffer(col["blob"][i].as_buffer(), np.uint64)
             if role == 0:
-                own, b = s, bs[i]
-            elif bs[i] == b:
-                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                both = int((own[at] == s).sum())
-                if 100 * both >= PERCENT * (len(s) + len(own) - both):
-                    src.append(ass[i])
-                    dst.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+                own, b, n_own = s, bs[i], ns[i]
+            elif bs[i] == b and _links(own, s, n_own, ns[i]):
+                out.append((ass[i], b))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """``pairs(a, b, na)`` → the pairs (src, dst) whose sets link."""
+    """``pairs(a, b, na)`` whose ``sets(node, n, blob)`` link."""
     load = pairs.groupBy("b").agg(F.expr(f"int(ceil(sum(na) / {_CHUNK_SHINGLES}))").alias("chunks"))
     cut = pairs.join(load, "b").select("a", "b", F.expr("pmod(xxhash64(a), chunks)").alias("chunk"))
-    partners = cut.join(sets.withColumnRenamed("node", "a"), "a").select("b", "chunk", F.lit(1).alias("role"), "a", "blob")
-    owners = cut.select("b", "chunk").distinct().join(sets.withColumnRenamed("node", "b"), "b").select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("a"), "blob")
+    partners = cut.join(sets.withColumnRenamed("node", "a"), "a").select("b", "chunk", F.lit(1).alias("role"), "a", "n", "blob")
+    owners = (cut.select("b", "chunk").distinct().join(sets.withColumnRenamed("node", "b"), "b")
+                 .select("b", "chunk", F.lit(0).alias("role"), F.col("b").alias("a"), "n", "blob"))
     rows = partners.unionByName(owners).repartition(parts, "b", "chunk").sortWithinPartitions("b", "chunk", "role")
-    return rows.mapInArrow(_test, "src long, dst long")
+    return rows.mapInArrow(_test, "a long, b long")
 
 
 def _parts(df: DataFrame) -> int:
@@ -276,25 +295,22 @@ def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: s
     spark, parts = docs.sparkSession, _parts(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(shingle_order(rows, k, heavy, demoted))
-    described = materialize(rows.mapInArrow(_describe(order, k, None), "id long, th long, n long, grp long, node long"), "shingled")
-    nodes = described.filter("n > 0").groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("th").alias("th"), F.min("id").alias("id"))
-    postings = rows.select("text").mapInArrow(_post(order, parts, k), "bucket int, tok binary, grp binary, n binary, heavy binary")
-    lists = postings.groupBy("bucket").applyInArrow(_lists, "list long, grp long, n long").distinct()
+    described = materialize(rows.mapInArrow(_describe(order, k), "id long, th long, n long, grp long, node long, " + ", ".join(f"{w} long" for w in _MAP)), "shingled")
+    nodes = described.filter("n > 0").groupBy("node").agg(F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("th").alias("th"), F.min("id").alias("id"),
+                                                               *[F.min(w).alias(w) for w in _MAP])
+    postings = rows.select("text").mapInArrow(_post(order, parts, k), "bucket int, tok binary, grp binary, n binary, pos binary, heavy binary")
+    lists = postings.groupBy("bucket").applyInArrow(_lists, "list long, grp long, pos int").groupBy("list", "grp").agg(F.min("pos").alias("pos"))
     # groups → their sets; a group with several sets is a list of its own
     members = nodes.select("node", "grp", "n")
-    grown = (lists.select("list", "grp").join(members, "grp").select("list", "node", "n")
-                  .unionByName(members.select(F.xxhash64(F.lit(3), "grp").alias("list"), "node", "n")))
+    grown = (lists.join(members, "grp").select("list", "node", "n", "pos")
+                  .unionByName(members.select(F.xxhash64(F.lit(3), "grp").alias("list"), "node", "n", F.lit(0).alias("pos"))))
     # two sets of Jaccard 0.8 have sizes within a factor 1.25: they share one of these classes
     cls = F.floor(F.log("n") / F.lit(float(np.log(100 / PERCENT))) + 1e-9).cast("int")
-    grown = (grown.withColumn("c", F.explode(F.array(cls, cls + 1))).select(F.xxhash64("list", "c").alias("list"), "node", "n").distinct())
-    sizes = grown.groupBy("list").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"))
-    one = sizes.filter("m > 1").groupBy("m", "sig").agg(F.min("list").alias("list")).select("list")  # equal lists once
+    grown = grown.withColumn("c", F.explode(F.array(cls, cls + 1))).select(F.xxhash64("list", "c").alias("list"), "node", "n", "pos")
+    sizes = grown.groupBy("list").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.sum("pos").alias("p"))
+    one = sizes.filter("m > 1").groupBy("m", "sig").agg(F.min(F.struct("p", "list")).alias("o")).select("o.list")  # equal lists once, the earliest
     lists = materialize(grown.join(one, "list"), "lists")
-    wanted = lists.select("node").distinct().join(nodes.select("node", "th"), "node").select("th")
-    texts = rows.select("th", "text").join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    sets = materialize(texts.select("text").mapInArrow(_blobs(k), "node long, blob binary"), "sets")
-
-    label = nodes.select("node", F.col("node").alias("comp"))  # every set alone
+    label = nodes.select("node", F.col("node").alias("comp"), *_MAP)  # every set alone
     tested = spark.createDataFrame([], "a long, b long")
     for r in range(HUB_ROUNDS + 1):
         own = lists.join(label, "node")
@@ -304,24 +320,35 @@ def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: s
             break
         if r < HUB_ROUNDS:
             turn = F.xxhash64("node", F.pmod("list", F.lit(2)), F.lit(r))
-            hub = own.groupBy("list").agg(F.min(F.struct(turn.alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("h")).select("list", "h.b", "h.nb", "h.cb")
-            pairs = own.join(hub, "list").filter("comp != cb").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
+            seen = {"b": "node", "nb": "n", "pb": "pos", "cb": "comp", **{f"b{w}": w for w in _MAP}}
+            hub = own.groupBy("list").agg(F.min(F.struct(turn.alias("t"), *[F.col(c).alias(x) for x, c in seen.items()])).alias("h"))
+            other, apart = hub.select(F.col("list").alias("of"), *[f"h.{x}" for x in seen]), F.col("comp") != F.col("cb")
         else:
-            other = own.select("list", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = own.join(other, "list").filter("comp < cb").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
-        pairs = (pairs.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "na").distinct()
+            other = own.select(*[F.col(c).alias(x) for x, c in {"of": "list", "b": "node", "nb": "n", "pb": "pos", "cb": "comp", **{f"b{w}": w for w in _MAP}}.items()])
+            apart = F.col("comp") < F.col("cb")
+        # sizes must fit; what follows their first common shingle must still hold enough shingles; and the bitmaps
+        # must not differ in more bits than linked sets may differ in shingles
+        room = F.expr(f"{100 + PERCENT} * least(n - pos, nb - pb) >= {PERCENT} * (n + nb) AND 100 * least(n, nb) >= {PERCENT} * greatest(n, nb)")
+        differ = " + ".join(f"bit_count({w} ^ b{w})" for w in _MAP)
+        near = F.expr(f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (n + nb)")
+        pairs = own.join(other, (F.col("list") == F.col("of")) & apart & room & near).select(F.col("node").alias("a"), "b", F.col("n").alias("na"))
+        pairs = (pairs.distinct()
                       .join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
         pairs = materialize(pairs, "pairs")
         tested = tested.unionByName(pairs.select("a", "b"))
+        # whole sets for the pairs that are left; a small list of texts is sent to the scan, a large one joined
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(ends.join(nodes.select("node", "th"), "node").select("th"), "wanted")
+        texts = rows.select("th", "text").join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+        sets = materialize(texts.select("text").mapInArrow(_blobs(k), "node long, n long, blob binary"), "sets").dropDuplicates(["node"])
         links = verify(pairs, sets, parts)
         # components of the components found so far
-        edges = (links.join(label.select(F.col("node").alias("src"), F.col("comp").alias("x")), "src")
-                      .join(label.select(F.col("node").alias("dst"), F.col("comp").alias("y")), "dst").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct())
-        ends = edges.select(F.col("src").alias("node"))
+        edges = (links.join(label.select(F.col("node").alias("a"), F.col("comp").alias("src")), "a")
+                      .join(label.select(F.col("node").alias("b"), F.col("comp").alias("dst")), "b").select("src", "dst").distinct())
         edges = materialize(edges, "links")
         ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node")))
         joined = connected_components(ends, edges).select(F.col("node").alias("comp"), F.col("label").alias("to"))
-        label = materialize(label.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        label = materialize(label.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), *_MAP), "labels")
     least = label.join(nodes.select("node", "id"), "node").groupBy("comp").agg(F.min("id").alias("component_id"))
     names = label.join(least, "comp").select("node", "component_id")
     return (described.join(names, "node", "left")

@@ -131,7 +131,8 @@ def estimate(vectors: DataFrame) -> DataFrame:
         d = _distance(x, [F.col(c) for c in _MEAN], [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in range(_P)])
         # distances in fixed point: the quantile is exact and needs one counter per distinct value
         near = near.select(*_KEY, "n", *[f"x_{i}" for i in range(_P)], F.least(F.round(d * 64), F.lit(1e6)).cast("long").alias("d"))
-        limit = near.groupBy(*_KEY).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit"))
+        # written, so that its known size decides how it is joined (a sort-merge join would send a hot group to one task)
+        limit = materialize(near.groupBy(*_KEY).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "mcd")
         inner = near.join(limit, _KEY).filter(F.col("d") <= F.col("limit"))
         sums = inner.groupBy(*_KEY).agg(
             F.first("n").alias("n"), F.count("*").alias("h"), *[F.sum(x[i]).alias(f"s_{i}") for i in range(_P)],
