@@ -290,8 +290,10 @@ def shingle_order(texts: DataFrame, k: int = WORDS, heavy: int = HEAVY, demoted:
     return Order(top["key"].to_numpy(), top["df"].to_numpy(), parts)
 
 
-def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, demoted: int = DEMOTED) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, set_id (equal for equal sets)."""
+def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, demoted: int = DEMOTED,
+            with_text_hash: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, set_id (equal for equal sets),
+    class_node (equal within a class); on request th, the text's hash."""
     spark, parts = docs.sparkSession, _parts(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(shingle_order(rows, k, heavy, demoted))
@@ -350,10 +352,23 @@ def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: s
         joined = connected_components(ends, edges).select(F.col("node").alias("comp"), F.col("label").alias("to"))
         label = materialize(label.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), *_MAP), "labels")
     least = label.join(nodes.select("node", "id"), "node").groupBy("comp").agg(F.min("id").alias("component_id"))
-    names = label.join(least, "comp").select("node", "component_id")
+    names = label.join(least, "comp").select("node", "component_id", F.col("comp").alias("class_node"))
     return (described.join(names, "node", "left")
                      .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("node").alias("set_id")))
+                             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("node").alias("set_id"), "class_node", *(["th"] if with_text_hash else [])))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one per class of linked documents (the first by id, then by
+    text hash); columns unchanged.  Rows without words are in classes of their own."""
+    named = classes(docs, id_col=id_col, text_col=text_col, with_text_hash=True)
+    kept = (named.filter("n_shingles > 0").groupBy("class_node").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("th"))).alias("k"))
+                 .select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th")).distinct())
+    none = named.filter("n_shingles = 0").select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
+    kept = kept.unionByName(none)
+    own = docs.withColumn("__t", F.xxhash64(text_col))
+    one = own.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi").drop("__t")
+    return one
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbside.llm.fuzzy_lines import op10_fuzzy_lines
 from kerbside.llm.langid import op5_language_id
 from kerbside.llm.ngram_join import op1_ngram_jaccard_join
 from kerbside.llm.quality_model import op3_quality_classifier
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
 #: DuckDB SQL where SQL can state the whole result; the others are held against
