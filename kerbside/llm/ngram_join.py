@@ -359,10 +359,10 @@ def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: s
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one per class of linked documents (the first by id, then by
-    text hash); columns unchanged.  Rows without words are in classes of their own."""
+    """The rows of ``docs``, one per class of linked documents (the first by id, null
+    ids last, then by text hash); columns unchanged.  Rows without words are in classes of their own."""
     named = classes(docs, id_col=id_col, text_col=text_col, with_text_hash=True)
-    kept = (named.filter("n_shingles > 0").groupBy("class_node").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("th"))).alias("k"))
+    kept = (named.filter("n_shingles > 0").groupBy("class_node").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("th"))).alias("k"))
                  .select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th")).distinct())
     none = named.filter("n_shingles = 0").select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
     kept = kept.unionByName(none)
