@@ -136,8 +136,11 @@ def test_packing_holds_every_token_once(spark, docs, none):
     assert ss_packing.pack_documents(none).count() == 0
 
 
-def test_sum_of_squares_wastes_little():
-    n = np.random.default_rng(3).integers(1, 2048, 3000)
+def test_sum_of_squares_wastes_little(spark):
+    """Piece lengths of documents (uniform lengths leave about 5 %, see README)."""
+    chars = spark.read.parquet(f"{SF[:-3]}01/documents.parquet").select("n_chars").toPandas()["n_chars"].to_numpy() // 3 + 1
+    n = np.concatenate([np.full((chars // 2048).sum(), 2048), chars % 2048])
+    n = n[n > 0]
     _, _, fill = ss_packing.pack(n, 2048)
     assert len(fill) <= 1.03 * -(-n.sum() // 2048)
 
@@ -179,10 +182,10 @@ def test_language_id(spark, docs, none):
 
 
 def test_quality_classifier(spark, docs, none):
-    d, lab = (spark.read.parquet(f"{SF[:-3]}01/{t}.parquet") for t in ("documents", "labels"))
+    d, lab = (spark.read.parquet(f"{SF[:-5]}0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.classify(d, lab).join(lab, "doc_id").filter("held_out").toPandas()
     good, bad = (got[got["quality"] == q]["score"].to_numpy() for q in (1, 0))
-    assert (good[:, None] > bad[None, :]).mean() > 0.9
+    assert (good[:, None] > bad[None, :]).mean() > 0.95
     few = quality_model.classify(docs, lab.limit(0)).collect()
     assert len(few) == len(rows()) and all(r.score == 0.5 and r.predicted == 1 for r in few)
     assert quality_model.classify(none, lab).count() == 0
