@@ -236,7 +236,7 @@ def test_shards_match_the_mixture(spark, docs, none):
 def test_line_dedup_matches_all_pairs(spark, docs, none):
     got = fuzzy_lines.line_components(docs).collect()
     lines = sorted({x for r in rows() for x in (r[1] or "").split("\n") if WORD.search(x)})
-    sets = [frozenset(x[i:i + 8] for i in range(len(x)) if i == 0 or not "a" <= x[i - 1] <= "z") for x in lines]
+    sets = [frozenset(x[i:i + 5] for i in range(max(1, len(x) - 4))) for x in lines]
     assert len({g.component_id for g in got}) == len(set(closed(sets))) == sum(
         c for c in collections.Counter(g.component_id for g in {(g.component_id, str(g.doc_id), g.th, g.line_no): g for g in got if g.kept}.values()).values())
     out = fuzzy_lines.dedupe_lines(docs)
@@ -244,6 +244,23 @@ def test_line_dedup_matches_all_pairs(spark, docs, none):
     assert fuzzy_lines.line_components(none).count() == 0 and fuzzy_lines.dedupe_lines(none).count() == 0
 
 
+def test_line_classes_equal_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
+    more = [t.replace("e", "\u00e9", 2) + "\n" + (t.split("\n")[0] + " x") + "\n\n" for t in texts if t][:30]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", *more, "ab", "ab", "abc\n", "abcd "])], "doc_id long, text string").repartition(4)
+    got = fuzzy_lines.line_components(docs).collect()
+    line = {(r.doc_id, i): x for r in docs.collect() for i, x in enumerate((r.text or "").split("\n")) if WORD.search(x)}
+    assert {(g.doc_id, g.line_no) for g in got} == set(line) and len(got) == len(line)
+    lines = sorted(set(line.values()))
+    classes = dict(zip(lines, closed([frozenset(x[i:i + 5] for i in range(max(1, len(x) - 4))) for x in lines])))
+    mine, theirs = collections.defaultdict(set), collections.defaultdict(set)
+    for g in got:
+        mine[g.component_id].add((g.doc_id, g.line_no))
+        theirs[classes[line[g.doc_id, g.line_no]]].add((g.doc_id, g.line_no))
+    assert {frozenset(x) for x in mine.values()} == {frozenset(x) for x in theirs.values()}
+    assert {(g.doc_id, g.line_no) for g in got if g.kept} == {min(x) for x in mine.values()}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
