@@ -5,7 +5,10 @@ at least ``min_samples`` points (itself included) lie within eps; core points
 within eps of each other share a cluster; clusters are numbered 0, 1, … in the
 order of their smallest core record id; a non-core point within eps of core
 points takes the smallest such cluster number; everything else is −1.
-Record ``id`` is the order key.
+Record ``id`` is only the order key: ids may repeat or be missing (missing ids
+come last, ties go by coordinates), and rows in equal rows out.  Longitudes wrap
+at ±180°; the width of a neighbourhood in degrees of longitude follows from each
+cell's own latitude, so a record near a pole widens no other cell's ring.
 
 Spark design (grid DBSCAN, after Gan & Tao 2015):
 
@@ -52,7 +55,7 @@ from kerbside.functions.ordering import global_index
 from kerbside.operators.components import connected_components
 from kerbside.operators.tiles import TILE, cross_tile_edges, tile_local_labels
 from kerbside.operators.spatial import (HOT_BROADCAST_MAX, HOT_CELL, HOT_ROWS, attach_by_location, eps_pairs,
-                                       join_per_cell, lon_reach_deg, max_abs_lat)
+                                       columns_around, grid, join_per_cell, ring_join)
 from kerbside.session import ensure_checkpoint_dir
 
 _TIMING = os.environ.get("KERBSIDE_TIMING") == "1"
@@ -76,7 +79,7 @@ MICRO = 8  # micro-cells per sub-cell side in the pair refinement
 
 def _hav_bound(dlat_deg: Column, dlon_deg: Column, cos2: Column) -> Column:
     """Central angle for the given coordinate gaps and cos φ1·cos φ2 bound."""
-    h = F.pow(F.sin(F.radians(dlat_deg) / 2), 2) + cos2 * F.pow(F.sin(F.radians(dlon_deg) / 2), 2)
+    h = F.pow(F.sin(F.radians(dlat_deg) / 2), 2) + cos2 * F.pow(F.sin(F.radians(F.least(dlon_deg, F.lit(180.0))) / 2), 2)
     return F.lit(2.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
@@ -98,22 +101,20 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     a = eps_deg * SUB_FRACTION
     clock = _Clock()
 
-    # 1. weighted distinct locations; pid (smallest record id) names the location
+    # 1. weighted distinct locations; pid names the location (ids need not be
+    #    unique or present), oid (smallest record id) only orders the clusters
+    n = columns_around(a)
     loc = (df.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-             .agg(F.count(F.lit(1)).alias("w"), F.min(F.col(id_col)).alias("pid"))
-             .withColumns({"ci": F.floor(F.col("lat") / a), "cj": F.floor(F.col("lon") / a)})
-             .checkpoint(eager=True))
-    mlat = max_abs_lat(loc, "lat")
-    ki = math.ceil(eps_deg / a)
-    kj = math.ceil(lon_reach_deg(eps_deg, mlat) * (1 + 1e-9) / a)
+             .agg(F.count(F.lit(1)).alias("w"), F.min(F.col(id_col)).alias("oid")))
+    loc = grid(loc, a).withColumn("pid", F.monotonically_increasing_id()).checkpoint(eager=True)
     clock("locations")
 
     # 2. sub-cell weights and 3×3 block weights
     cells = loc.groupBy("ci", "cj").agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("npts"),
                                         F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                                        F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
+                                        F.min("x").alias("lon0"), F.max("x").alias("lon1"))
     block = (cells.withColumn("o", F.explode(_offsets(1, 1, 0)))
-                  .select((F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"), "W")
+                  .select((F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(n)).alias("cj"), "W")
                   .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
     cells = (cells.join(block, ["ci", "cj"])
                   .withColumn("nsalt", F.greatest(F.lit(1), F.ceil(F.col("npts") / F.lit(salt_target))).cast("int"))
@@ -126,10 +127,9 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     #    sub-cell whose box lies within eps adds its weight, one beyond eps
     #    adds nothing, and only straddling sub-cells are enumerated (salted)
     sparse = loc.join(cells.filter(F.col("B") < m).select("ci", "cj", "B"), ["ci", "cj"])
-    probe = (sparse.withColumn("o", F.explode(_offsets(ki, kj, 2)))
-                   .select(F.col("pid").alias("p"), F.col("lat").alias("plat"), F.col("lon").alias("plon"),
-                           (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"))
-                   .join(cells.select("ci", "cj", "W", "nsalt", "lat0", "lat1", "lon0", "lon1"), ["ci", "cj"]))
+    sparse = sparse.select("ci", "cj", F.col("pid").alias("p"), F.col("lat").alias("plat"), F.col("x").alias("plon"))
+    probe = (ring_join(sparse, cells.select("ci", "cj", "W", "nsalt", "lat0", "lat1", "lon0", "lon1"), eps_deg, a)
+                   .withColumns({"lon0": F.col("lon0") + F.col("shift"), "lon1": F.col("lon1") + F.col("shift")}))
     gap_lat = F.greatest(F.lit(0.0), F.col("lat0") - F.col("plat"), F.col("plat") - F.col("lat1"))
     gap_lon = F.greatest(F.lit(0.0), F.col("lon0") - F.col("plon"), F.col("plon") - F.col("lon1"))
     far_lat = F.greatest(F.abs(F.col("plat") - F.col("lat0")), F.abs(F.col("plat") - F.col("lat1")))
@@ -147,7 +147,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     salted_loc = (join_per_cell(loc, cells.select("ci", "cj", "nsalt"), ["ci", "cj"], hot_cells, n_hot)
                      .withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("nsalt")).cast("int"))
                      .select("ci", "cj", "salt", F.col("pid").alias("q"), F.col("lat").alias("qlat"),
-                             F.col("lon").alias("qlon"), F.col("w").alias("wq")))
+                             F.col("x").alias("qlon"), F.col("w").alias("wq")))
     ring_pairs = (straddle.join(salted_loc, ["ci", "cj", "salt"])
                           .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= eps_in)
                           .select("p", "q", "wq")
@@ -156,7 +156,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                         .groupBy("p").agg(F.sum("wq").alias("ring_w")))
     pts = (join_per_cell(loc, cells.select("ci", "cj", "B"), ["ci", "cj"], hot_cells, n_hot)
               .join(ring_w, F.col("pid") == F.col("p"), "left")
-              .select("pid", "lat", "lon", "ci", "cj",
+              .select("pid", "oid", "lat", "lon", "x", "ci", "cj",
                       ((F.col("B") >= m) | ((F.col("B") + F.coalesce(F.col("ring_w"), F.lit(0))) >= m)).alias("core"))
               .checkpoint(eager=True))
     clock("core test")
@@ -164,7 +164,8 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     # 4. core sub-cells (graph nodes) and free adjacency edges
     ccells = (pts.filter("core").groupBy("ci", "cj")
                  .agg(F.min("pid").alias("node"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                      F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
+                      F.min("x").alias("lon0"), F.max("x").alias("lon1"),
+                      F.min(F.struct(F.col("oid").isNull().alias("without"), "oid", "lat", "lon")).alias("first"))
                  .checkpoint(eager=True))
     local = tile_local_labels(ccells, tile)
     c0 = ccells.join(local.select("node", F.col("local").alias("c0")), "node")
@@ -177,10 +178,8 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     Bc = c0.select(F.col("node").alias("dst"), F.col("c0").alias("c0b"), F.col("lat0").alias("blat0"),
                    F.col("lat1").alias("blat1"), F.col("lon0").alias("blon0"), F.col("lon1").alias("blon1"),
                    "ci", "cj")
-    cand = (A.withColumn("o", F.explode(_offsets(ki, kj, 2)))
-             .withColumns({"ai": F.col("ci"), "aj": F.col("cj"), "di": F.col("o.di"), "dj": F.col("o.dj"),
-                           "ci": F.col("ci") + F.col("o.di"), "cj": F.col("cj") + F.col("o.dj")}).drop("o")
-             .join(Bc, ["ci", "cj"])
+    cand = (ring_join(A, Bc, eps_deg, a)
+             .withColumns({"blon0": F.col("blon0") + F.col("shift"), "blon1": F.col("blon1") + F.col("shift")})
              .filter(F.col("c0a") < F.col("c0b")))
     # a pair joined by a straight king path of core sub-cells is already
     # connected through adjacency (every step moves ≤ 1 in each direction):
@@ -191,7 +190,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                  .withColumn("t", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
                  .select("src", "dst", "k",
                          (F.col("ai") + F.round(F.col("t") * F.col("di") / F.col("k")).cast("long")).alias("ci"),
-                         (F.col("aj") + F.round(F.col("t") * F.col("dj") / F.col("k")).cast("long")).alias("cj")))
+                         F.pmod(F.col("aj") + F.round(F.col("t") * F.col("dj") / F.col("k")).cast("long"), F.lit(n)).alias("cj")))
     bridged = (steps.join(ccells.select("ci", "cj"), ["ci", "cj"])
                     .groupBy("src", "dst", "k").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") == F.col("k") - 1)
@@ -208,7 +207,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     cand = cand.withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_in * (1 + 1e-9))
     cand = cand.checkpoint(eager=True)
     sure = cand.filter(F.col("upper") <= eps_in * (1 - 1e-9)).select("c0a", "c0b")
-    open_pairs = cand.filter(F.col("upper") > eps_in * (1 - 1e-9)).select("src", "dst", "c0a", "c0b")
+    open_pairs = cand.filter(F.col("upper") > eps_in * (1 - 1e-9)).select("src", "dst", "c0a", "c0b", "shift")
 
     # 5b. undecided sub-cell pairs are refined on micro-cells (side a/MICRO):
     #     at most MICRO² micro-cells per sub-cell, so at most MICRO⁴ micro pairs
@@ -216,8 +215,8 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     #     only inside micro pairs whose boxes straddle eps (salted by size)
     mu = a / MICRO
     core_pts = (join_per_cell(pts.filter("core"), ccells.select("ci", "cj", "node"), ["ci", "cj"], hot_cells, n_hot)
-                   .select("node", "pid", "lat", "lon",
-                           F.floor(F.col("lat") / mu).alias("mi"), F.floor(F.col("lon") / mu).alias("mj")))
+                   .select("node", "pid", "lat", F.col("x").alias("lon"),
+                           F.floor(F.col("lat") / mu).alias("mi"), F.floor(F.col("x") / mu).alias("mj")))
     micro = (core_pts.groupBy("node", "mi", "mj")
                      .agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"),
                           F.max("lon").alias("lon1"), F.count(F.lit(1)).alias("npts")))
@@ -228,6 +227,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                       F.col("lat0").alias("blat0"), F.col("lat1").alias("blat1"),
                       F.col("lon0").alias("blon0"), F.col("lon1").alias("blon1"), F.col("npts").alias("bnpts"))
     mpairs = (open_pairs.join(ma, "src").join(mb, "dst")
+                        .withColumns({"blon0": F.col("blon0") + F.col("shift"), "blon1": F.col("blon1") + F.col("shift")})
                         .withColumns({"lower": lower, "upper": upper})
                         .filter(F.col("lower") <= eps_in * (1 + 1e-9))
                         .checkpoint(eager=True))
@@ -253,13 +253,14 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
         print(f"[dbscan] undecided cell pairs={open_pairs.count()} micro pairs={mpairs.count()} "
               f"open micro pairs={open_micro.count()}", flush=True)
     ring_edges = sure.union(tested).distinct()
-    edges = ring_edges.select(F.col("c0a").alias("src"), F.col("c0b").alias("dst")).union(cross_tile_edges(local))
+    edges = ring_edges.select(F.col("c0a").alias("src"), F.col("c0b").alias("dst")).union(cross_tile_edges(local, n))
     comp1 = connected_components(c0.select(F.col("c0").alias("node")).distinct(), edges)
     roots = c0.join(comp1.select(F.col("node").alias("c0"), F.col("label").alias("root")), "c0")
     clock("ring edges + components")
 
     # 6. cluster numbers in order of the smallest core record id
-    numbered = global_index(roots.select("root").distinct(), [F.col("root")], "cl")
+    firsts = roots.groupBy("root").agg(F.min("first").alias("first")).select("root", "first.*")
+    numbered = global_index(firsts, [F.col("without"), F.col("oid"), F.col("lat"), F.col("lon")], "cl").select("root", "cl")
     cell_label = (roots.join(numbered, "root")
                        .select("ci", "cj", F.col("cl").cast("int").alias("cluster_label"))
                        .checkpoint(eager=True))
@@ -270,7 +271,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     core_lab = join_per_cell(pts.filter("core"), cell_label, ["ci", "cj"], hot_cells, n_hot).select("pid", "cluster_label")
     noncore = pts.filter(~F.col("core"))
     block_lab = (noncore.withColumn("o", F.explode(_offsets(1, 1, 0)))
-                        .select("pid", (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"))
+                        .select("pid", (F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(n)).alias("cj"))
                         .join(cell_label, ["ci", "cj"])
                         .select("pid", "cluster_label"))
     ring_lab = (ring_pairs.join(noncore.select(F.col("pid").alias("p")), "p")

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.geo import haversine
-from kerbside.operators.spatial import (HOT_CELL, HOT_ROWS, attach_by_location, join_per_cell, lon_reach_deg,
-                                       max_abs_lat)
+from kerbside.operators.spatial import (HOT_CELL, HOT_ROWS, attach_by_location, columns_around, grid, join_per_cell,
+                                       ring_join)
 
 SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
 MICRO = 8
@@ -37,7 +37,7 @@ SALT_TARGET = 20_000
 
 
 def _bound(dlat, dlon, cos2):
-    h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cos2 * F.pow(F.sin(F.radians(dlon) / 2), 2)
+    h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cos2 * F.pow(F.sin(F.radians(F.least(dlon, F.lit(180.0))) / 2), 2)
     return F.lit(2.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
@@ -62,30 +62,25 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
     a = eps_deg * SUB_FRACTION
     mu = a / MICRO
     loc = (points.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-                 .agg(F.count(F.lit(1)).alias("w"), F.min(F.col(id_col)).alias("pid"))
-                 .withColumns({"ci": F.floor(F.col("lat") / a), "cj": F.floor(F.col("lon") / a),
-                               "mi": F.floor(F.col("lat") / mu), "mj": F.floor(F.col("lon") / mu)})
-                 .checkpoint(eager=True))
-    ki = math.ceil(eps_deg / a)
-    kj = math.ceil(lon_reach_deg(eps_deg, max_abs_lat(loc, "lat")) * (1 + 1e-9) / a)
+                 .agg(F.count(F.lit(1)).alias("w")))
+    loc = (grid(loc, a).withColumns({"mi": F.floor(F.col("lat") / mu), "mj": F.floor(F.col("x") / mu),
+                                     "pid": F.monotonically_increasing_id()})
+                       .checkpoint(eager=True))
 
     cells = (loc.groupBy("ci", "cj")
                 .agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("npts"),
                      F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                     F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
+                     F.min("x").alias("lon0"), F.max("x").alias("lon1"))
                 .checkpoint(eager=True))
     near = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (-1, 0, 1) for dj in (-1, 0, 1)])
     block = (cells.withColumn("o", F.explode(near))
-                  .select((F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"), "W")
+                  .select((F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(columns_around(a))).alias("cj"), "W")
                   .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
-    ring = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"))
-                     for di in range(-ki, ki + 1) for dj in range(-kj, kj + 1) if max(abs(di), abs(dj)) >= 2])
     # sub-cell pairs first: decided for all locations of the source cell at once
-    src = cells.select(F.col("ci").alias("si"), F.col("cj").alias("sj"), F.col("lat0").alias("slat0"),
+    src = cells.select("ci", "cj", F.col("lat0").alias("slat0"),
                        F.col("lat1").alias("slat1"), F.col("lon0").alias("slon0"), F.col("lon1").alias("slon1"))
-    cpairs = (src.withColumn("o", F.explode(ring))
-                 .withColumns({"ci": F.col("si") + F.col("o.di"), "cj": F.col("sj") + F.col("o.dj")}).drop("o")
-                 .join(cells, ["ci", "cj"]))
+    cpairs = (ring_join(src, cells, eps_deg, a).withColumnsRenamed({"ai": "si", "aj": "sj"})
+                 .withColumns({"lon0": F.col("lon0") + F.col("shift"), "lon1": F.col("lon1") + F.col("shift")}))
     gap_lat = F.greatest(F.lit(0.0), F.col("lat0") - F.col("slat1"), F.col("slat0") - F.col("lat1"))
     gap_lon = F.greatest(F.lit(0.0), F.col("lon0") - F.col("slon1"), F.col("slon0") - F.col("lon1"))
     span_lat = F.greatest(F.col("lat1") - F.col("slat0"), F.col("slat1") - F.col("lat0"))
@@ -97,9 +92,9 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
     cell_full = (cpairs.filter(F.col("upper") <= hi_ok)
                        .groupBy(F.col("si").alias("ci"), F.col("sj").alias("cj")).agg(F.sum("W").alias("cell_w")))
     open_cells = cpairs.filter(F.col("upper") > hi_ok).select("si", "sj", "ci", "cj", "W", "npts", "lat0", "lat1",
-                                                              "lon0", "lon1")
+                                                              "lon0", "lon1", "shift")
     probe = (loc.select(F.col("ci").alias("si"), F.col("cj").alias("sj"), "pid",
-                        F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+                        F.col("lat").alias("plat"), F.col("x").alias("plon"))
                 .join(open_cells, ["si", "sj"]))
     probe = _point_box_bounds(probe).filter(F.col("lower") <= lo_ok)
     full = probe.filter(F.col("upper") <= hi_ok).select("pid", F.col("W").alias("wq"))
@@ -107,7 +102,7 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
 
     # straddling sub-cells with few locations: test their locations directly
     few = straddle.filter(F.col("npts") <= dense_cell).select("pid", "plat", "plon", "ci", "cj")
-    few_w = (few.join(loc.select("ci", "cj", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("w").alias("wq")),
+    few_w = (few.join(loc.select("ci", "cj", F.col("lat").alias("qlat"), F.col("x").alias("qlon"), F.col("w").alias("wq")),
                       ["ci", "cj"])
                 .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= F.lit(eps))
                 .select("pid", "wq"))
@@ -115,9 +110,10 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
     micro = (loc.groupBy("ci", "cj", "mi", "mj")
                 .agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("mpts"),
                      F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                     F.min("lon").alias("lon0"), F.max("lon").alias("lon1")))
-    many = straddle.filter(F.col("npts") > dense_cell).select("pid", "plat", "plon", "ci", "cj")
-    mprobe = _point_box_bounds(many.join(micro, ["ci", "cj"])).filter(F.col("lower") <= lo_ok)
+                     F.min("x").alias("lon0"), F.max("x").alias("lon1")))
+    many = straddle.filter(F.col("npts") > dense_cell).select("pid", "plat", "plon", "ci", "cj", "shift").join(micro, ["ci", "cj"])
+    many = many.withColumns({"lon0": F.col("lon0") + F.col("shift"), "lon1": F.col("lon1") + F.col("shift")})
+    mprobe = _point_box_bounds(many).filter(F.col("lower") <= lo_ok)
     mfull = mprobe.filter(F.col("upper") <= hi_ok).select("pid", F.col("W").alias("wq"))
     mpart = (mprobe.filter(F.col("upper") > hi_ok)
                    .withColumn("nsalt", F.greatest(F.lit(1), F.ceil(F.col("mpts") / F.lit(salt_target))).cast("int"))
@@ -126,7 +122,7 @@ def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat:
     msalt = (loc.join(micro.select("ci", "cj", "mi", "mj", "mpts"), ["ci", "cj", "mi", "mj"])
                 .withColumn("salt", F.pmod(F.xxhash64("pid"), F.greatest(F.lit(1), F.ceil(F.col("mpts") / F.lit(salt_target))))
                             .cast("int"))
-                .select("ci", "cj", "mi", "mj", "salt", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
+                .select("ci", "cj", "mi", "mj", "salt", F.col("lat").alias("qlat"), F.col("x").alias("qlon"),
                         F.col("w").alias("wq")))
     mpart_w = (mpart.join(msalt, ["ci", "cj", "mi", "mj", "salt"])
                     .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= F.lit(eps))

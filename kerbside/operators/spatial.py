@@ -23,11 +23,74 @@ def lon_reach_deg(eps_deg: float, max_abs_lat: float) -> float:
     """Largest longitude difference (degrees) of two points within ``eps``
     when both lie at |latitude| ≤ ``max_abs_lat`` + eps."""
     e = math.radians(eps_deg)
-    phi = min(math.radians(max_abs_lat) + e, math.radians(89.999))
+    phi = math.radians(max_abs_lat) + e
+    if phi >= math.pi / 2:
+        return 180.0
     s = min(1.0, math.sin(e / 2) / math.cos(phi))
     return math.degrees(2 * math.asin(s))
 
 
+def columns_around(cell: float) -> int:
+    """Grid columns of one width, at most ``cell`` degrees, around the circle: a
+    multiple of ``2 ** block_levels(cell)``."""
+    unit = 1 << block_levels(cell)
+    return math.ceil(math.ceil(360.0 / cell) / unit) * unit
+
+
+def block_levels(cell: float) -> int:
+    """Columns are looked up in blocks of up to ``2 ** block_levels(cell)``, of
+    which the circle has one or two thousand."""
+    return max(0, math.ceil(360.0 / cell).bit_length() - 11)
+
+
+def grid(points: DataFrame, cell: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``points`` plus ``x`` (longitude in [-180, 180)) and its grid cell: row
+    ``ci``, column ``cj`` in 0..n-1 with column n-1 next to column 0."""
+    n = columns_around(cell)
+    x = F.when((F.col(lon) >= -180.0) & (F.col(lon) < 180.0), F.col(lon)).otherwise(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) - 180.0)
+    column = F.floor((F.col("x") + 180.0) * n / 360.0)
+    return (points.withColumn("x", x)
+                  .withColumns({"ci": F.floor(F.col(lat) / cell), "cj": F.least(column, F.lit(n - 1).cast("long"))}))
+
+
+def ring_join(left: DataFrame, right: DataFrame, eps_deg: float, cell: float) -> DataFrame:
+    """Rows of ``left(ci, cj, …)`` with the rows of ``right(ci, cj, …)`` whose grid
+    cells may hold points within eps, the 3×3 block left out.
+
+    ``ai``/``aj`` is the left cell, ``ci``/``cj`` the right one, ``di``/``dj`` the
+    offset, and ``shift`` the degrees to add to the right cell's longitudes so that
+    they continue the left one's.  How many columns to look at follows from the
+    left row's own latitudes; where they are many (towards a pole) they are
+    looked up in blocks of columns, so one record there costs at most some
+    thousand lookups and widens no other row's ring."""
+    n, ki, top = columns_around(cell), math.ceil(eps_deg / cell), block_levels(cell)
+
+    def reach(row):
+        high = F.greatest(F.abs(row), F.abs(row + 1)) * cell + eps_deg * (1 + 1e-9)
+        s = math.sin(math.radians(eps_deg) / 2) / F.greatest(F.cos(F.radians(F.least(high, F.lit(90.0)))), F.lit(1e-15))
+        return F.ceil(F.degrees(F.asin(F.least(s, F.lit(1.0))) * 2) * (1 + 1e-9) * n / 360.0)
+
+    def width(row):
+        return F.pow(F.lit(2.0), F.least(F.greatest(F.ceil(F.log2(reach(row) / 8)), F.lit(0).cast("long")), F.lit(top).cast("long")))
+
+    back, ahead = F.least(reach(F.col("ai")), F.lit(n // 2).cast("long")), F.least(reach(F.col("ai")), F.lit(n - 1 - n // 2).cast("long"))
+    probe = (left.withColumnsRenamed({"ci": "ai", "cj": "aj"})
+                 .withColumns({"_w": width(F.col("ai")), "_back": back, "_ahead": ahead})
+                 .withColumns({"_lo": F.floor((F.col("aj") - F.col("_back")) / F.col("_w")),
+                               "_hi": F.floor((F.col("aj") + F.col("_ahead")) / F.col("_w")), "_n": (n / F.col("_w")).cast("long")})
+                 .withColumn("di", F.explode(F.array(*[F.lit(d).cast("long") for d in range(-ki, ki + 1)])))
+                 .withColumn("_b", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.col("_lo") + F.col("_n") - 1))))
+                 .withColumns({"ci": F.col("ai") + F.col("di"), "_b": F.pmod(F.col("_b"), F.col("_n"))}).drop("_lo", "_hi", "_n"))
+    # a row shows its cells in the blocks of every width its neighbour rows use (one, nearly everywhere)
+    shown = (right.withColumn("_w", F.explode(F.array_distinct(F.array(*[width(F.col("ci") + d) for d in range(-ki, ki + 1)]))))
+                  .withColumn("_b", F.floor(F.col("cj") / F.col("_w"))))
+    return (probe.join(shown, ["ci", "_w", "_b"])
+                 .withColumn("dj", F.pmod(F.col("cj") - F.col("aj") + n // 2, F.lit(n)) - n // 2)
+                 .filter((F.col("dj") >= -F.col("_back")) & (F.col("dj") <= F.col("_ahead")) & (F.greatest(F.abs("di"), F.abs("dj")) >= 2))
+                 .withColumn("shift", F.floor((F.col("aj") + F.col("dj")) / n) * 360.0)
+                 .drop("_w", "_b", "_back", "_ahead"))
+
+
 def max_abs_lat(points: DataFrame, lat: str = "latitude") -> float:
     """One-row aggregate (a single scalar reaches the driver)."""
     v = points.agg(F.max(F.abs(F.col(lat)))).first()[0]

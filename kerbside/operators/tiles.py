@@ -66,13 +66,17 @@ def tile_local_labels(ccells: DataFrame, tile: int = TILE) -> DataFrame:
     return local.join(cells, "node").checkpoint(eager=True)
 
 
-def cross_tile_edges(local: DataFrame) -> DataFrame:
+def cross_tile_edges(local: DataFrame, around: int | None = None) -> DataFrame:
     """Adjacency edges that cross a tile border, as edges between tile-local
-    components (``src``, ``dst``)."""
+    components (``src``, ``dst``).  With ``around`` columns on a circle, the last
+    column is next to the first."""
+    column = F.col("cj") + F.col("o.dj")
+    if around:
+        column = F.pmod(column, F.lit(around))
     offs = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di, dj in _NEIGHBOURS])
     return (local.withColumn("o", F.explode(offs))
                  .select(F.col("local").alias("src"), F.col("ti").alias("ati"), F.col("tj").alias("atj"),
-                         (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"))
+                         (F.col("ci") + F.col("o.di")).alias("ci"), column.alias("cj"))
                  .join(local.select("ci", "cj", F.col("local").alias("dst"), F.col("ti").alias("bti"),
                                     F.col("tj").alias("btj")), ["ci", "cj"])
                  .filter((F.col("ati") != F.col("bti")) | (F.col("atj") != F.col("btj")))

@@ -1,13 +1,18 @@
 """Result snapshots: JSON-lines folders per section, published atomically.
 
 A run writes every section under ``<root>/runs/<run_id>/<section>/`` and then
-the pointer ``<root>/CURRENT`` naming the run; readers follow the pointer, so
-they see either the old or the new run as a whole.  All writes are Spark
-writes (distributed, retried on executor loss)."""
+appends a numbered pointer (run, schemas of its sections) to ``<root>/CURRENT``.
+Nothing there is overwritten: a pointer appears when its file is committed, and
+readers take the highest number, so they see either the old or the new run as a
+whole.  One publisher at a time is assumed.  All writes are Spark writes
+(distributed, retried on executor loss)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +42,31 @@ def publish(spark: SparkSession, root: str, run_id: str, sections: dict[str, Dat
     base = f"{root.rstrip('/')}/runs/{run_id}"
     for name, df in sections.items():
         write_section(df, f"{base}/{name}")
-    spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/CURRENT")
+    last = _pointer(spark, root)
+    schemas = {name: _json_ready(df).schema.json() for name, df in sections.items()}
+    row = spark.createDataFrame([((last["number"] if last else 0) + 1, run_id, schemas)], _POINTER)
+    row.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/CURRENT")
     return base
 
 
-def current_run(spark: SparkSession, root: str) -> str:
-    return spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
+_POINTER = "number long, run_id string, schemas map<string,string>"
+
+
+def _pointer(spark: SparkSession, root: str) -> Row | None:
+    try:
+        return spark.read.schema(_POINTER).json(f"{root.rstrip('/')}/CURRENT").orderBy(F.desc("number")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current_run(spark: SparkSession, root: str) -> Row:
+    """The pointer of the last published run."""
+    last = _pointer(spark, root)
+    if last is None:
+        raise FileNotFoundError(f"no run is published under {root}")
+    return last
 
 
 def read_section(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -53,8 +77,11 @@ def read_section(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 
 def read_published(spark: SparkSession, root: str, section: str) -> DataFrame:
+    """A section of the current run, with the schema it was written with (so an
+    empty section keeps its columns)."""
     run = current_run(spark, root)
-    return read_section(spark, f"{root.rstrip('/')}/runs/{run}/{section}")
+    schema = T.StructType.fromJson(json.loads(run["schemas"][section]))
+    return read_section(spark, f"{root.rstrip('/')}/runs/{run['run_id']}/{section}", schema)
 
 
 def backfill_clusters(clusters: DataFrame) -> DataFrame:

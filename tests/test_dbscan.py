@@ -252,3 +252,41 @@ def test_empty_and_single_record_inputs(spark):
     lab = violations(spark, "/root/testdata/sf0.001", "live").limit(0)
     summ = cluster_summary(dbscan(lab, EPS, 5), "live")
     assert summ.count() == 0 and score_live(summ).count() == 0
+
+
+def _spot(lat, lon, n, step=1e-5):
+    return [(lat + i * step, lon) for i in range(n)]
+
+
+def test_ids_only_order_clusters(spark):
+    a, b = _spot(12.9, 77.5, 12), _spot(12.9, 78.1, 12)
+    for ids in ([*range(12), *range(12)], [None] * 24, [*range(50, 62), *range(12)]):
+        rows = [(i, x, y) for i, (x, y) in zip(ids, a + b)]
+        got = dbscan(pts(spark, rows), EPS, 5).collect()
+        first = 1 if ids[0] == 50 else 0
+        assert sorted((r.longitude, r.cluster_label) for r in got) == sorted([(77.5, first)] * 12 + [(78.1, 1 - first)] * 12)
+
+
+def test_text_ids_survive_cleaning(spark):
+    from kerbside.operators.clean import clean
+    raw = spark.createDataFrame([(f"KA-{i}", str(12.9 + i * 1e-5), "77.5", "2024-01-01 08:00:00", "VALID") for i in range(6)],
+                                "id string, latitude string, longitude string, created_datetime string, validation_status string")
+    assert [r.cluster_label for r in dbscan(clean(raw), EPS, 5).collect()] == [0] * 6
+
+
+def test_wrap_and_outlier_latitudes(spark):
+    from kerbside.operators.density import neighbor_counts as dense_counts
+    rows = [(i, 10.0, lon) for i, lon in enumerate([179.9999, 179.99995, 180.0, -180.0, -179.9999, -179.99995, 179.9994, -179.9994])]
+    rows += [(100 + i, 10.0, -179.9 + i * 1e-5) for i in range(5)]
+    rows += [(200 + i, 85.0, 20.0 + i * 4e-3) for i in range(6)] + [(300 + i, 89.9, -179.8 + i * 72.0) for i in range(5)]
+    rows += [(400 + i, 89.9997, i * 72.0) for i in range(5)]
+    df = pts(spark, rows)
+    assert labels(dbscan(df, EPS, 4)) == brute_dbscan(rows, EPS, 4)
+    e = math.radians(EPS)
+
+    def near(p, q):
+        a, b = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * math.asin(math.sqrt(h)) <= e
+
+    assert {r.id: r.neighbor_count for r in dense_counts(df, EPS, dense_cell=2).collect()} == {p[0]: sum(near(p, q) for q in rows) for p in rows}

@@ -59,6 +59,9 @@ def test_snapshot_publish_read_backfill(spark, tmp_path):
     assert back[2].impact_score == 30.0 and back[2].priority_tier == "Low"
     publish(spark, root, "run2", {"clusters": df.filter("cluster_id = 1")})
     assert read_published(spark, root, "clusters").count() == 1
+    publish(spark, root, "run3", {"clusters": df.filter("cluster_id = 9")})
+    none = backfill_clusters(read_published(spark, root, "clusters"))
+    assert none.count() == 0 and {"violation_count", "impact_score", "priority_color"} <= set(none.columns)
 
 
 def test_report_rows_written_as_lines(spark, tmp_path):
@@ -82,3 +85,12 @@ def test_csv_position_order_key(spark, tmp_path):
     rows = read_records_csv(spark, str(p), order_key="position").orderBy("id").collect()
     assert [r.latitude for r in rows] == ["12.9", "12.91", "12.92"]
     assert [r.id for r in rows] == sorted(r.id for r in rows)
+
+
+def test_csv_position_follows_file_order_not_split_sizes(spark, tmp_path):
+    p = tmp_path / "pos2"
+    p.mkdir()
+    (p / "a.csv").write_text("latitude,longitude\n1,1\n2,1\n")
+    (p / "b.csv").write_text("latitude,longitude\n" + "".join(f"{i},2\n" for i in range(3, 5000)))
+    rows = read_records_csv(spark, str(p), order_key="position").select("id", "latitude").collect()
+    assert all(str(r.id) == r.latitude for r in rows) and len(rows) == 4999
