@@ -22,6 +22,14 @@ def shuffle_parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def one_of_equals(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row of ``rows`` for each value of ``keys``: the first by a hash of ``columns``,
+    the columns returned (maps cannot be hashed and do not count)."""
+    known = [F.col(f"`{f.name}`") for f in rows.select(*[F.col(f"`{c}`") for c in columns]).schema if "map<" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return rows.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*known)).alias("__row")).select(*[F.col("__row").getField(c).alias(c) for c in columns])
+
+
 def learn_fold(id_col: str, mod: int):
     """crc32 of the id's decimal text modulo ``mod`` (null id: fold of the empty text, 0)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import mix64, read_table, shingle_sets, shuffle_parts, text_chunks
+from kerbside.llm.common import mix64, one_of_equals, read_table, shingle_sets, shuffle_parts, text_chunks
 from kerbside.operators.components import connected_components
 from kerbside.session import materialize
 
@@ -360,15 +360,20 @@ def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: s
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one per class of linked documents (the first by id, null
-    ids last, then by text hash); columns unchanged.  Rows without words are in classes of their own."""
+    ids last, then by text hash, then by a hash of the row); columns unchanged.  Rows
+    without words are in classes of their own."""
     named = classes(docs, id_col=id_col, text_col=text_col, with_text_hash=True)
-    kept = (named.filter("n_shingles > 0").groupBy("class_node").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("th"))).alias("k"))
-                 .select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th")).distinct())
-    none = named.filter("n_shingles = 0").select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
-    kept = kept.unionByName(none)
+    # how many rows share an id and a text: only the chosen ones that several share need a choice among rows
+    equal = named.filter("n_shingles > 0").groupBy("class_node", F.col(id_col).alias("id"), "th").agg(F.count("*").alias("rows"))
+    first = equal.groupBy("class_node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rows")).alias("k"))
+    kept = first.select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"), (F.col("k.rows") > 1).alias("__several"))
+    none = named.filter("n_shingles = 0").select(F.col(id_col).alias("__id"), F.col("th").alias("__th"), F.lit(False).alias("__several")).distinct()
+    kept = materialize(kept.unionByName(none), "kept")
     own = docs.withColumn("__t", F.xxhash64(text_col))
-    one = own.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi").drop("__t")
-    return one
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))
+    one = own.join(kept.filter("NOT __several"), same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = own.join(kept.filter("__several"), same)
+    return one.unionByName(one_of_equals(several, ["__id", "__th"], docs.columns))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,3 +266,33 @@ def test_pipeline_stages(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns and len(corpus_pipeline.STAGES) == 5
+
+
+def repeated_rows(spark):
+    """Groups of equal rows: with an id, without any id, near copies without ids, and blank texts."""
+    base, other = (" ".join(f"{p}{i}" for i in range(60)) + f"\n{p} last line of it" for p in "wv")
+    near = other.replace("v30", "changed")
+    r = [*[(1, base, "a")] * 4, (1, base, "b"), *[(None, other, "a")] * 30, *[(None, near, "a")] * 9, (7, "", "a"), (7, "", "a"), (None, None, "a"), (None, None, "a"), (9, "quite alone\nhere", "a")]
+    return spark.createDataFrame(r, "doc_id long, text string, source string").repartition(3), base, other, near
+
+
+def test_one_of_repeated_rows_stays(spark):
+    docs, base, other, near = repeated_rows(spark)
+    out = ngram_join.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert got[1, base] == 1 and got[None, other] + got[None, near] == 1
+    assert got[7, ""] == 2 and got[None, None] == 2 and got[9, "quite alone\nhere"] == 1 and sum(got.values()) == 7
+
+
+def test_one_line_of_repeated_rows_stays(spark):
+    docs, base, other, near = repeated_rows(spark)
+    got = fuzzy_lines.line_components(docs).collect()
+    assert len(got) == sum(WORD.search(x) is not None for r in docs.collect() for x in (r.text or "").split("\n"))
+    kept = collections.Counter(g.component_id for g in got if g.kept)
+    assert set(kept) == {g.component_id for g in got} and set(kept.values()) == {1}
+    out = fuzzy_lines.dedupe_lines(docs)
+    lines = collections.Counter(x for r in out.collect() for x in (r.text or "").split("\n") if WORD.search(x))
+    assert out.columns == docs.columns and len(lines) == len(kept) and set(lines.values()) == {1}
+    blank = collections.Counter((r.doc_id, r.text) for r in out.collect() if not r.text)
+    assert blank == {(7, ""): 2, (None, None): 2}
