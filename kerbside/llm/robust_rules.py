@@ -9,11 +9,14 @@ Every document gives counts (words, characters, symbols, repeated lines and
 * share of words inside repeated 3-word windows.
 
 Per (lang, source) the minimum covariance determinant is searched from a fixed
-start (coordinate medians, distances in units of ``FLOOR``): concentration steps
+start (coordinate medians, distances in units of ``START``): concentration steps
 refit mean and covariance on the share ``SUPPORT`` of documents with the smallest
-distances.  The covariance is scaled for consistency and regularised by
-``FLOOR``² on its diagonal, since most groups have statistics that are constant
-(no symbols at all).  A document whose squared Mahalanobis distance exceeds
+distances.  The covariance is scaled for consistency.  Most groups have statistics
+that are constant in their core (no symbols at all), so a pivot of the covariance
+(the variance a statistic has besides the ones before it) is at least the square of
+a small floor, which only keeps the matrix invertible: ``PART`` of the corpus's
+spread (quartiles) of the statistic, or half an event (symbol, repeated line,
+shortest repeat) in a document of median length, whichever is more.  A document whose squared Mahalanobis distance exceeds
 ``CUTOFF`` (chi-square, 4 degrees, 0.9999) is rejected.  Groups below
 ``LEAST`` documents use the estimate of their language, languages below it that
 of the corpus; a corpus below it uses the start.
@@ -29,6 +32,8 @@ other row; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +42,10 @@ from kerbside.session import materialize
 
 #: Fixed-point units per 1.0 of a vector element.
 SCALE = 1000
-#: Least standard deviation taken for each vector element.
-FLOOR = (0.3, 0.04, 0.12, 0.12)
+#: Units of the start's distances; spreads of a corpus that is too small for an estimate.
+START = (0.3, 0.04, 0.12, 0.12)
+#: Part of the corpus's spread that is the least spread of a group.
+PART = 0.1
 SUPPORT = 0.75
 #: Consistency factor of a covariance from the central 75 % in 4 dimensions.
 CONSISTENCY = 1.486
@@ -46,7 +53,7 @@ CUTOFF = 23.51
 STEPS = 3
 LEAST = 30
 
-_P = len(FLOOR)
+_P = len(START)
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -95,14 +102,25 @@ def _distance(x: list[Column], mean: list[Column], chol: list[list[Column]]) ->
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _cholesky(cov: list[list[Column]], frame: DataFrame) -> DataFrame:
+def floors(vectors: DataFrame) -> list[float]:
+    """Least spread of each vector element, in fixed point: four numbers for the corpus."""
+    quartiles = [F.percentile(f"x_{i}", F.array(F.lit(0.25), F.lit(0.75))) for i in range(_P)]
+    words, *spans = vectors.agg(F.percentile("words", F.lit(0.5)), *quartiles).first()
+    if words is None:
+        return [c * SCALE for c in START]
+    # a word's length is no count; the shortest repeat of three words has four
+    event = [1 / (words + 50), math.log1p(1 / words), math.log1p(10 / words), 4 / words]
+    return [max(PART * (high - low) / 1.349, 0.5 * e * SCALE) for (low, high), e in zip(spans, event)]
+
+
+def _cholesky(cov: list[list[Column]], frame: DataFrame, least: list[float]) -> DataFrame:
     """Add the factor's elements ``l_i_j`` (each a column of its own, so later ones refer to it)."""
     for i in range(_P):
         for j in range(i + 1):
             s = cov[i][j]
             for k in range(j):
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            frame = frame.withColumn(f"l_{i}_{j}", F.sqrt(s) if i == j else s / F.col(f"l_{j}_{j}"))
+            frame = frame.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(least[i] ** 2))) if i == j else s / F.col(f"l_{j}_{j}"))
     return frame
 
 
@@ -119,18 +137,19 @@ _CHOL = [f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)]
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
-    """``vectors(lang, source, x_0 …)`` → one row per group: key, n, mean, factor."""
+    """``vectors(lang, source, words, x_0 …)`` → one row per group: key, n, mean, factor."""
+    least = floors(vectors)
     levels = F.explode(F.array(*[F.struct(*_keys(k)) for k in range(3)]))
     rows = vectors.select(levels.alias("k"), *[f"x_{i}" for i in range(_P)]).select("k.*", *[f"x_{i}" for i in range(_P)])
     x = [F.col(f"x_{i}") for i in range(_P)]
     start = rows.groupBy(*_KEY).agg(F.count("*").alias("n"), *[F.percentile(f"x_{i}", F.lit(0.5)).alias(f"m_{i}") for i in range(_P)])
-    est = start.withColumns({f"l_{i}_{j}": F.lit(FLOOR[i] * SCALE if i == j else 0.0) for i in range(_P) for j in range(i + 1)})
+    est = start.withColumns({f"l_{i}_{j}": F.lit(START[i] * SCALE if i == j else 0.0) for i in range(_P) for j in range(i + 1)})
     est = materialize(est, "mcd")
     for _ in range(STEPS):
         near = rows.join(est, _KEY)
         d = _distance(x, [F.col(c) for c in _MEAN], [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in range(_P)])
-        # distances in fixed point: the quantile is exact and needs one counter per distinct value
-        near = near.select(*_KEY, "n", *[f"x_{i}" for i in range(_P)], F.least(F.round(d * 64), F.lit(1e6)).cast("long").alias("d"))
+        # logarithms of distances in fixed point: the quantile needs one counter per distinct value, of which there are few
+        near = near.select(*_KEY, "n", *[f"x_{i}" for i in range(_P)], F.round(F.log1p(d) * 1024).cast("long").alias("d"))
         # written, so that its known size decides how it is joined (a sort-merge join would send a hot group to one task)
         limit = materialize(near.groupBy(*_KEY).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "mcd")
         inner = near.join(limit, _KEY).filter(F.col("d") <= F.col("limit"))
@@ -138,9 +157,8 @@ def estimate(vectors: DataFrame) -> DataFrame:
             F.first("n").alias("n"), F.count("*").alias("h"), *[F.sum(x[i]).alias(f"s_{i}") for i in range(_P)],
             *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in range(_P) for j in range(i + 1)])
         sums = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("h") for i in range(_P)})
-        cov = [[(F.col(f"q_{i}_{j}") / F.col("h") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENCY
-                + F.lit((FLOOR[i] * SCALE) ** 2 if i == j else 0.0) for j in range(i + 1)] for i in range(_P)]
-        fitted = _cholesky(cov, sums).select(*_KEY, "n", *_MEAN, *_CHOL)
+        cov = [[(F.col(f"q_{i}_{j}") / F.col("h") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENCY for j in range(i + 1)] for i in range(_P)]
+        fitted = _cholesky(cov, sums, least).select(*_KEY, "n", *_MEAN, *_CHOL)
         # a group that is too small keeps its start; it is only used when the whole corpus is
         small = est.filter(F.col("n") < LEAST)
         est = materialize(fitted.filter(F.col("n") >= LEAST).unionByName(small.select(*fitted.columns)), "mcd")
@@ -164,7 +182,7 @@ def judge(stats: DataFrame, est: DataFrame) -> DataFrame:
 
 
 def _vectors(stats: DataFrame) -> DataFrame:
-    return stats.filter(~F.col("base_failed")).select("lang", "source", *[c.alias(f"x_{i}") for i, c in enumerate(_vector())])
+    return stats.filter(~F.col("base_failed")).select("lang", "source", F.col("n_words").alias("words"), *[c.alias(f"x_{i}") for i, c in enumerate(_vector())])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -296,3 +296,24 @@ def test_one_line_of_repeated_rows_stays(spark):
     assert out.columns == docs.columns and len(lines) == len(kept) and set(lines.values()) == {1}
     blank = collections.Counter((r.doc_id, r.text) for r in out.collect() if not r.text)
     assert blank == {(7, ""): 2, (None, None): 2}
+
+
+def test_rules_reject_one_outlier_of_each_statistic(spark):
+    rng = np.random.default_rng(5)
+
+    def prose(n, letters=(3, 4, 5, 6, 7)):
+        """Different words, so that no three of them come back."""
+        return [f"{k:03d}".translate(str.maketrans("0123456789", "abcdefghij")) + "o" * int(rng.choice(letters) - 3) for k in rng.permutation(1000)[:n]]
+
+    def broken(w):
+        return "\n".join(" ".join(w[i:i + 20]) for i in range(0, len(w), 20))
+
+    clean = [(i, broken(prose(int(rng.integers(260, 340))))) for i in range(200)]
+    w = prose(300)
+    planted = [(1000, broken(prose(300, (4, 5, 6, 7, 8)))), (1001, broken([x + "#" if i % 15 == 0 else x for i, x in enumerate(w)])),
+               (1002, broken(w) + "\nend" * 6), (1003, broken(w[:240] + w[:60]))]
+    table = spark.createDataFrame([(*x, "en", "a") for x in clean + planted], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in robust_rules.quality_rules(table).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in range(1000, 1004)), [got[i].distance for i in range(1000, 1004)]
+    assert sum(got[i].kept for i in range(200)) >= 198
