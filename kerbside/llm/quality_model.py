@@ -225,8 +225,9 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
                    .filter(learn_fold("id", folds) != held).groupBy("id").agg(F.max("label").alias("label"))
                    .orderBy(F.xxhash64("id"), "id").limit(sample))
     shared = sc.broadcast(vectors)
-    got = (rows.join(F.broadcast(known), "id").select("label", "text")  # at most `sample` rows of two numbers
-               .mapInArrow(_features(shared), "label int, x array<double>").limit(sample).collect())
+    # one row of each id, so at most `sample` rows
+    one = rows.join(F.broadcast(known), "id").groupBy("id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = one.select("label", "text").mapInArrow(_features(shared), "label int, x array<double>").collect()
     got.sort(key=lambda r: (r["label"], r["x"]))
     net = Network(np.array([r["x"] for r in got]).reshape(len(got), 2 * DIM), np.array([r["label"] for r in got], dtype=np.float64))
     both = sc.broadcast((vectors, net))

@@ -317,3 +317,13 @@ def test_rules_reject_one_outlier_of_each_statistic(spark):
     assert not any(r.base_failed for r in got.values())
     assert not any(got[i].kept for i in range(1000, 1004)), [got[i].distance for i in range(1000, 1004)]
     assert sum(got[i].kept for i in range(200)) >= 198
+
+
+def test_classifier_learns_from_one_row_of_each_id(spark, monkeypatch):
+    docs = spark.createDataFrame([*[(2, f"good words number {i}") for i in range(60)], *[(i, f"text of {i} here") for i in range(3, 60)]], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i == 2)) for i in range(2, 60)], "doc_id long, quality int")
+    seen, plain = [], quality_model.Network.__init__
+    monkeypatch.setattr(quality_model.Network, "__init__", lambda own, x, y: seen.append(y) or plain(own, x, y))
+    assert quality_model.classify(docs, lab, sample=58).count() == 117
+    learned = [i for i in range(2, 60) if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen[0]) == len(learned) and seen[0].sum() == (2 in learned) == 1
