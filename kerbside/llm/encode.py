@@ -162,13 +162,17 @@ def _pieces(data: np.ndarray, offs: np.ndarray):
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def tokenizer_file(name_or_path: str) -> str:
+    """A bare name is looked up among the public tokenizer files."""
+    if os.sep in name_or_path:
+        return name_or_path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name_or_path))
+
+
 def encoder(name_or_path: str) -> Encoder:
-    """The worker's encoder; a bare name is looked up among the public tokenizer files."""
+    """The worker's encoder."""
     if name_or_path not in _ENCODERS:
-        path = name_or_path
-        if os.sep not in path:
-            import public_tokenizers
-
-            path = public_tokenizers.path(path)
-        _ENCODERS[name_or_path] = Encoder(path)
+        _ENCODERS[name_or_path] = Encoder(tokenizer_file(name_or_path))
     return _ENCODERS[name_or_path]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbside.llm.bpe_backtrack import op11_bpe
 from kerbside.llm.fuzzy_lines import op10_fuzzy_lines
 from kerbside.llm.langid import op5_language_id
 from kerbside.llm.ngram_join import op1_ngram_jaccard_join
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_bpe": op11_bpe,
 }
 
 #: DuckDB SQL where SQL can state the whole result; the others are held against
