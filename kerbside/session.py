@@ -65,4 +65,18 @@ def materialize(df, name: str, compression: str | None = None):
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path, compression=compression)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.kerbside_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete the files of tables that ``materialize`` returned, once nothing that is
+    still to run reads them (a frame that is no such table is left alone)."""
+    for df in tables:
+        path = getattr(df, "kerbside_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            df.kerbside_path = None
