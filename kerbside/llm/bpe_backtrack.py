@@ -36,8 +36,8 @@ from kerbside.llm.common import read_table, text_chunks
 from kerbside.llm.encode import _PLAIN, Encoder, tokenizer_file
 
 TOKENIZER = "word_bpe_49k.json"
-#: Verdicts a worker keeps in its pair table before it starts anew (memory bound only).
-PAIR_TABLE = 2_000_000
+#: Verdicts and pieces that a worker keeps before it starts its tables anew (memory bounds only).
+PAIR_TABLE, PIECES = 400_000, 250_000
 #: Ids decoded at once inside a task.
 DECODE_IDS = 1 << 20
 #: Added to the code point of a word's last symbol when the vocabulary marks word ends.
@@ -65,7 +65,8 @@ class Merges:
         self.rank = dict.fromkeys(vocab.values(), -1)
         self.parts: dict[int, tuple[int, int]] = {}
         self.join: dict[tuple[int, int], int] = {}
-        self.verdicts: dict[tuple[int, int], bool] = {}
+        self.verdicts: dict[int, bool] = {}
+        self.wide = max(vocab.values(), default=0) + 1
         made = set()
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
@@ -114,11 +115,11 @@ class Merges:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        got = self.verdicts.get((a, b))
+        got = self.verdicts.get(a * self.wide + b)
         if got is None:
             if len(self.verdicts) >= PAIR_TABLE:
                 self.verdicts.clear()
-            got = self.verdicts[a, b] = self._undo(a, b, float("inf"))
+            got = self.verdicts[a * self.wide + b] = self._undo(a, b, float("inf"))
         return got
 
     def encode(self, piece: str) -> list[int]:
@@ -128,7 +129,7 @@ class Merges:
         text = self.word(piece)
         if text in self.single:
             return [self.single[text]]
-        n, width, shorter = len(text), self.width, self.shorter
+        n, width, shorter, verdicts, wide = len(text), self.width, self.shorter, self.verdicts, self.wide
         longest: list[int | None] = [None] * n
         for end, token in self.automaton.iter(text):
             longest[end + 1 - width[token]] = token  # ends ascend: the last one is the longest
@@ -136,8 +137,12 @@ class Merges:
         token = longest[0]
         while at < n:
             while token is not None:
-                if not dead[at + width[token]] and (not out or self.compatible(out[-1], token)):
-                    break
+                if not dead[at + width[token]]:
+                    if not out:
+                        break
+                    fits = verdicts.get(out[-1] * wide + token)
+                    if self.compatible(out[-1], token) if fits is None else fits:
+                        break
                 token = shorter[token]
             if token is not None:
                 out.append(token)
@@ -156,6 +161,8 @@ class Merges:
 class BacktrackEncoder(Encoder):
     """``Encoder`` whose distinct pieces are encoded by ``Merges``."""
 
+    keep = PIECES
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 

@@ -38,6 +38,9 @@ CACHE_WORDS = 1_500_000
 
 
 class Encoder:
+    #: Pieces kept by a worker.
+    keep = CACHE_WORDS
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -101,7 +104,7 @@ class Encoder:
         arr = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(at), pa.py_buffer(buf)])
         coded = arr.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > self.keep:
             self.clear()
         get = self.index.get
         new = [w for w in words if get(w) is None]
