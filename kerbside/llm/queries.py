@@ -11,6 +11,8 @@ from kerbside.llm.fuzzy_lines import op10_fuzzy_lines
 from kerbside.llm.hard_negatives import SQL as NEGATIVES_SQL
 from kerbside.llm.hard_negatives import op13_hard_negatives
 from kerbside.llm.langid import op5_language_id
+from kerbside.llm.merkle import SQL as MERKLE_SQL
+from kerbside.llm.merkle import op12_merkle_manifest
 from kerbside.llm.ngram_join import op1_ngram_jaccard_join
 from kerbside.llm.quality_model import op3_quality_classifier
 from kerbside.llm.robust_rules import op4_quality_rules
@@ -33,9 +35,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_bpe": op11_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL where SQL can state the whole result; the others are held against
 #: brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {"op8_url_filters": URL_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+ORACLES: dict[str, str] = {"op8_url_filters": URL_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_hard_negatives": NEGATIVES_SQL}
