@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str | None = None, app: str = "kerbside", shuffle_partitions: int = 8,
                   extra: dict | None = None) -> SparkSession:
@@ -64,12 +67,25 @@ def materialize(df, name: str, compression: str | None = None):
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path, compression=compression)
+    with tidy_shuffles(spark):
+        df.write.mode("overwrite").parquet(path, compression=compression)
     out = spark.read.parquet(path)
     out.kerbside_path = path
     return out
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Actions inside drop their shuffle files as they end: what they have written
+    is read from the table, so nothing fetches those files again."""
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def discard(*tables) -> None:
     """Delete the files of tables that ``materialize`` returned, once nothing that is
     still to run reads them (a frame that is no such table is left alone)."""
