@@ -35,6 +35,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.session import tidy_shuffles
+
 
 def _directed(e: DataFrame) -> DataFrame:
     """Each undirected edge once, from larger to smaller end; no self loops."""
@@ -72,14 +74,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
                          checkpoint_every: int = 1) -> DataFrame:
     """``nodes(node long)``, ``edges(src long, dst long)`` → ``(node, label)``
     with ``label`` = smallest node id of the node's component."""
-    e = _directed(edges).checkpoint(eager=True)
+    spark = edges.sparkSession
+    with tidy_shuffles(spark):
+        e = _directed(edges).checkpoint(eager=True)
     rounds = 0
     for r in range(max_rounds):
         if _converged(e):
             break
         e2 = _small_star(_large_star(e))
         if (r + 1) % checkpoint_every == 0:
-            e2 = e2.checkpoint(eager=True)
+            with tidy_shuffles(spark):
+                e2 = e2.checkpoint(eager=True)
         else:
             e2 = e2.persist(StorageLevel.MEMORY_AND_DISK)
         e.unpersist()
