@@ -20,25 +20,23 @@ Spark design (grid DBSCAN, after Gan & Tao 2015):
    * a location whose 3×3 block weighs ≥ min_samples is core — no distance
      test at all;
    * only locations in sparse blocks (< min_samples records in the 3×3 block,
-     so few per block) count their outer-ring neighbours exactly — ring
-     sub-cells whose box lies within eps add their weight, those beyond add
-     nothing, only straddling ones are enumerated;
+     so few per block) count their outer-ring neighbours, down the quadtrees of the
+     ring sub-cells and no further than to min_samples;
    * all core points of one sub-cell form one graph node, and core sub-cells
      that are adjacent are joined by an edge without a test.
 3. Components over sub-cells: adjacency components inside tiles of 32×32
    sub-cells come from a bounded union-find; outer-ring sub-cell pairs whose
    tile-local components differ and that no straight path of core sub-cells
-   bridges are tested — by bounding boxes, then on micro-cells, and by exact
-   point pairs only where neither can decide; one distributed components run
-   joins cross-tile adjacency and ring edges.
+   bridges are searched for one pair of core points within eps, by halving both
+   sides' quadtrees until a witness settles the pair; one distributed components
+   run joins cross-tile adjacency and ring edges.
 4. Cluster numbers come from a distributed global index of component roots.
+5. A border location takes the smallest label of a block or ring sub-cell with a core
+   point within eps; boxes whose label is no improvement are not looked into.
 
-Joins that pair the locations of two sub-cells are salted by the sub-cell's
-location count, so no task receives an unbounded group; joins that attach a
-one-row-per-cell value to all locations send hot sub-cells through a
-size-checked broadcast (``join_per_cell``), and hot locations are attached to
-records the same way.  Intermediate
-tables are checkpointed to the cluster checkpoint folder.
+Joins that attach a one-row-per-cell value to all locations, and locations to records,
+are plain equi-joins with hot keys on one side only, which adaptive execution splits.
+Intermediate tables go to the cluster's checkpoint folder.
 """
 
 from __future__ import annotations
@@ -50,13 +48,13 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions.geo import haversine
 from kerbside.functions.ordering import global_index
 from kerbside.operators.components import connected_components
+from kerbside.operators.density import SUB_FRACTION, block_weights
+from kerbside.operators.quadtree import LEAF, build_tree, linked_pairs, nearest_labels, point_weights, with_morton
+from kerbside.operators.spatial import attach_by_location, columns_around, eps_pairs, grid, ring_join
 from kerbside.operators.tiles import TILE, cross_tile_edges, tile_local_labels
-from kerbside.operators.spatial import (HOT_BROADCAST_MAX, HOT_CELL, HOT_ROWS, attach_by_location, eps_pairs,
-                                       columns_around, grid, join_per_cell, ring_join)
-from kerbside.session import ensure_checkpoint_dir
+from kerbside.session import ensure_checkpoint_dir, materialize, spread
 
 _TIMING = os.environ.get("KERBSIDE_TIMING") == "1"
 
@@ -72,17 +70,6 @@ class _Clock:
             self.t = now
 
 
-SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
-SALT_TARGET = 20_000  # points of one sub-cell handled by one task in salted joins
-MICRO = 8  # micro-cells per sub-cell side in the pair refinement
-
-
-def _hav_bound(dlat_deg: Column, dlon_deg: Column, cos2: Column) -> Column:
-    """Central angle for the given coordinate gaps and cos φ1·cos φ2 bound."""
-    h = F.pow(F.sin(F.radians(dlat_deg) / 2), 2) + cos2 * F.pow(F.sin(F.radians(F.least(dlon_deg, F.lit(180.0))) / 2), 2)
-    return F.lit(2.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
-
-
 def _offsets(ki: int, kj: int, min_cheb: int, max_cheb: int | None = None) -> Column:
     pairs = [(di, dj) for di in range(-ki, ki + 1) for dj in range(-kj, kj + 1)
              if max(abs(di), abs(dj)) >= min_cheb and (max_cheb is None or max(abs(di), abs(dj)) <= max_cheb)]
@@ -90,14 +77,12 @@ def _offsets(ki: int, kj: int, min_cheb: int, max_cheb: int | None = None) -> Co
 
 
 def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id", lat: str = "latitude",
-           lon: str = "longitude", salt_target: int = SALT_TARGET, hot_rows: int = HOT_ROWS,
-           hot_broadcast_max: int = HOT_BROADCAST_MAX, tile: int = TILE, hot_cell: int = HOT_CELL) -> DataFrame:
+           lon: str = "longitude", tile: int = TILE, leaf: int = LEAF) -> DataFrame:
     """``df`` plus ``cluster_label`` (int, −1 = noise)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     m = int(min_samples)
     eps_rad = math.radians(eps_deg)
-    eps_in = F.lit(eps_rad)
     a = eps_deg * SUB_FRACTION
     clock = _Clock()
 
@@ -106,80 +91,37 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     n = columns_around(a)
     loc = (df.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
              .agg(F.count(F.lit(1)).alias("w"), F.min(F.col(id_col)).alias("oid")))
-    loc = grid(loc, a).withColumn("pid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    loc = materialize(spread(with_morton(grid(loc, a), a)).withColumn("pid", F.monotonically_increasing_id()), "dbscan_locations")
     clock("locations")
 
     # 2. sub-cell weights and 3×3 block weights
-    cells = loc.groupBy("ci", "cj").agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("npts"),
-                                        F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                                        F.min("x").alias("lon0"), F.max("x").alias("lon1"))
-    block = (cells.withColumn("o", F.explode(_offsets(1, 1, 0)))
-                  .select((F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(n)).alias("cj"), "W")
-                  .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
-    cells = (cells.join(block, ["ci", "cj"])
-                  .withColumn("nsalt", F.greatest(F.lit(1), F.ceil(F.col("npts") / F.lit(salt_target))).cast("int"))
-                  .checkpoint(eager=True))
-    hot_cells = cells.filter(F.col("npts") >= hot_cell).select("ci", "cj")
-    n_hot = hot_cells.count()
+    tree = build_tree(loc, leaf=leaf)
+    block = block_weights(tree.boxes, n)
     clock("cells")
 
-    # 3. sparse-block locations count outer-ring neighbours exactly: a ring
-    #    sub-cell whose box lies within eps adds its weight, one beyond eps
-    #    adds nothing, and only straddling sub-cells are enumerated (salted)
-    sparse = loc.join(cells.filter(F.col("B") < m).select("ci", "cj", "B"), ["ci", "cj"])
-    sparse = sparse.select("ci", "cj", F.col("pid").alias("p"), F.col("lat").alias("plat"), F.col("x").alias("plon"))
-    probe = (ring_join(sparse, cells.select("ci", "cj", "W", "nsalt", "lat0", "lat1", "lon0", "lon1"), eps_deg, a)
-                   .withColumns({"lon0": F.col("lon0") + F.col("shift"), "lon1": F.col("lon1") + F.col("shift")}))
-    gap_lat = F.greatest(F.lit(0.0), F.col("lat0") - F.col("plat"), F.col("plat") - F.col("lat1"))
-    gap_lon = F.greatest(F.lit(0.0), F.col("lon0") - F.col("plon"), F.col("plon") - F.col("lon1"))
-    far_lat = F.greatest(F.abs(F.col("plat") - F.col("lat0")), F.abs(F.col("plat") - F.col("lat1")))
-    far_lon = F.greatest(F.abs(F.col("plon") - F.col("lon0")), F.abs(F.col("plon") - F.col("lon1")))
-    p_cos2 = F.pow(F.cos(F.radians(F.greatest(F.abs("plat"), F.abs("lat0"), F.abs("lat1")))), 2)
-    probe = (probe.withColumns({"lower": _hav_bound(gap_lat, gap_lon, p_cos2),
-                                "upper": _hav_bound(far_lat, far_lon, F.lit(1.0))})
-                  .filter(F.col("lower") <= eps_in * (1 + 1e-9))
-                  .checkpoint(eager=True))
-    # ring sub-cells wholly within eps of p: (p, cell, weight)
-    ring_full = probe.filter(F.col("upper") <= eps_in * (1 - 1e-9)).select("p", "ci", "cj", "W")
-    straddle = (probe.filter(F.col("upper") > eps_in * (1 - 1e-9))
-                     .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
-                     .select("p", "plat", "plon", "ci", "cj", "salt"))
-    salted_loc = (join_per_cell(loc, cells.select("ci", "cj", "nsalt"), ["ci", "cj"], hot_cells, n_hot)
-                     .withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("nsalt")).cast("int"))
-                     .select("ci", "cj", "salt", F.col("pid").alias("q"), F.col("lat").alias("qlat"),
-                             F.col("x").alias("qlon"), F.col("w").alias("wq")))
-    ring_pairs = (straddle.join(salted_loc, ["ci", "cj", "salt"])
-                          .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= eps_in)
-                          .select("p", "q", "wq")
-                          .checkpoint(eager=True))
-    ring_w = (ring_pairs.select("p", "wq").union(ring_full.select("p", F.col("W").alias("wq")))
-                        .groupBy("p").agg(F.sum("wq").alias("ring_w")))
-    pts = (join_per_cell(loc, cells.select("ci", "cj", "B"), ["ci", "cj"], hot_cells, n_hot)
-              .join(ring_w, F.col("pid") == F.col("p"), "left")
-              .select("pid", "oid", "lat", "lon", "x", "ci", "cj",
-                      ((F.col("B") >= m) | ((F.col("B") + F.coalesce(F.col("ring_w"), F.lit(0))) >= m)).alias("core"))
-              .checkpoint(eager=True))
+    # 3. locations in sparse blocks count their outer-ring neighbours, until the count
+    #    has reached min_samples or no longer can
+    sparse = loc.join(block.filter(F.col("B") < m), ["ci", "cj"])
+    sparse = sparse.select("ci", "cj", F.col("pid").alias("p"), F.col("B").alias("known"), F.col("lat").alias("plat"), F.col("x").alias("plon"))
+    ring_w = point_weights(ring_join(sparse, tree.boxes, eps_deg, a), tree, eps_rad, limit=m)
+    pts = (loc.join(block, ["ci", "cj"]).join(ring_w, F.col("pid") == F.col("p"), "left")
+              .select("pid", "oid", "lat", "lon", "x", "w", "ci", "cj", "morton",
+                      ((F.col("B") + F.coalesce(F.col("ring_w"), F.lit(0))) >= m).alias("core")))
+    pts = materialize(spread(pts), "dbscan_points")
     clock("core test")
 
     # 4. core sub-cells (graph nodes) and free adjacency edges
-    ccells = (pts.filter("core").groupBy("ci", "cj")
-                 .agg(F.min("pid").alias("node"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                      F.min("x").alias("lon0"), F.max("x").alias("lon1"),
-                      F.min(F.struct(F.col("oid").isNull().alias("without"), "oid", "lat", "lon")).alias("first"))
-                 .checkpoint(eager=True))
+    core_tree = build_tree(pts.filter("core").drop("core"), [
+        F.min("pid").alias("node"), F.min(F.struct(F.col("oid").isNull().alias("without"), "oid", "lat", "lon")).alias("first")], leaf=leaf)
+    ccells = core_tree.boxes.select("ci", "cj", "node", "first")
     local = tile_local_labels(ccells, tile)
     c0 = ccells.join(local.select("node", F.col("local").alias("c0")), "node")
     clock("tile components")
 
     # 5. outer-ring sub-cell pairs whose tile-local components differ
-    A = c0.select(F.col("node").alias("src"), F.col("c0").alias("c0a"), F.col("lat0").alias("alat0"),
-                  F.col("lat1").alias("alat1"), F.col("lon0").alias("alon0"), F.col("lon1").alias("alon1"),
-                  "ci", "cj")
-    Bc = c0.select(F.col("node").alias("dst"), F.col("c0").alias("c0b"), F.col("lat0").alias("blat0"),
-                   F.col("lat1").alias("blat1"), F.col("lon0").alias("blon0"), F.col("lon1").alias("blon1"),
-                   "ci", "cj")
+    A = c0.select(F.col("node").alias("src"), F.col("c0").alias("c0a"), "ci", "cj")
+    Bc = c0.select(F.col("node").alias("dst"), F.col("c0").alias("c0b"), "ci", "cj")
     cand = (ring_join(A, Bc, eps_deg, a)
-             .withColumns({"blon0": F.col("blon0") + F.col("shift"), "blon1": F.col("blon1") + F.col("shift")})
              .filter(F.col("c0a") < F.col("c0b")))
     # a pair joined by a straight king path of core sub-cells is already
     # connected through adjacency (every step moves ≤ 1 in each direction):
@@ -196,63 +138,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                     .filter(F.col("n") == F.col("k") - 1)
                     .select("src", "dst"))
     cand = cand.join(bridged, ["src", "dst"], "left_anti")
-    gap_lat = F.greatest(F.lit(0.0), F.col("blat0") - F.col("alat1"), F.col("alat0") - F.col("blat1"))
-    gap_lon = F.greatest(F.lit(0.0), F.col("blon0") - F.col("alon1"), F.col("alon0") - F.col("blon1"))
-    span_lat = F.greatest(F.col("blat1") - F.col("alat0"), F.col("alat1") - F.col("blat0"))
-    span_lon = F.greatest(F.col("blon1") - F.col("alon0"), F.col("alon1") - F.col("blon0"))
-    maxabs = F.greatest(F.abs("alat0"), F.abs("alat1"), F.abs("blat0"), F.abs("blat1"))
-    cos2_lo = F.pow(F.cos(F.radians(maxabs)), 2)
-    lower = _hav_bound(gap_lat, gap_lon, cos2_lo)
-    upper = _hav_bound(span_lat, span_lon, F.lit(1.0))
-    cand = cand.withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_in * (1 + 1e-9))
-    cand = cand.checkpoint(eager=True)
-    sure = cand.filter(F.col("upper") <= eps_in * (1 - 1e-9)).select("c0a", "c0b")
-    open_pairs = cand.filter(F.col("upper") > eps_in * (1 - 1e-9)).select("src", "dst", "c0a", "c0b", "shift")
-
-    # 5b. undecided sub-cell pairs are refined on micro-cells (side a/MICRO):
-    #     at most MICRO² micro-cells per sub-cell, so at most MICRO⁴ micro pairs
-    #     per sub-cell pair whatever the density; exact point pairs are tested
-    #     only inside micro pairs whose boxes straddle eps (salted by size)
-    mu = a / MICRO
-    core_pts = (join_per_cell(pts.filter("core"), ccells.select("ci", "cj", "node"), ["ci", "cj"], hot_cells, n_hot)
-                   .select("node", "pid", "lat", F.col("x").alias("lon"),
-                           F.floor(F.col("lat") / mu).alias("mi"), F.floor(F.col("x") / mu).alias("mj")))
-    micro = (core_pts.groupBy("node", "mi", "mj")
-                     .agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"),
-                          F.max("lon").alias("lon1"), F.count(F.lit(1)).alias("npts")))
-    ma = micro.select(F.col("node").alias("src"), F.col("mi").alias("ami"), F.col("mj").alias("amj"),
-                      F.col("lat0").alias("alat0"), F.col("lat1").alias("alat1"),
-                      F.col("lon0").alias("alon0"), F.col("lon1").alias("alon1"))
-    mb = micro.select(F.col("node").alias("dst"), F.col("mi").alias("bmi"), F.col("mj").alias("bmj"),
-                      F.col("lat0").alias("blat0"), F.col("lat1").alias("blat1"),
-                      F.col("lon0").alias("blon0"), F.col("lon1").alias("blon1"), F.col("npts").alias("bnpts"))
-    mpairs = (open_pairs.join(ma, "src").join(mb, "dst")
-                        .withColumns({"blon0": F.col("blon0") + F.col("shift"), "blon1": F.col("blon1") + F.col("shift")})
-                        .withColumns({"lower": lower, "upper": upper})
-                        .filter(F.col("lower") <= eps_in * (1 + 1e-9))
-                        .checkpoint(eager=True))
-    sure_micro = mpairs.filter(F.col("upper") <= eps_in * (1 - 1e-9)).select("c0a", "c0b")
-    open_micro = (mpairs.filter(F.col("upper") > eps_in * (1 - 1e-9))
-                        .select("src", "dst", "c0a", "c0b", "ami", "amj", "bmi", "bmj",
-                                F.greatest(F.lit(1), F.ceil(F.col("bnpts") / F.lit(salt_target))).cast("int").alias("nsalt")))
-    left = (open_micro.join(core_pts.select(F.col("node").alias("src"), F.col("mi").alias("ami"), F.col("mj").alias("amj"),
-                                            F.col("lat").alias("plat"), F.col("lon").alias("plon")),
-                            ["src", "ami", "amj"])
-                      .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1))))
-    right = core_pts.select(F.col("node").alias("dst"), F.col("mi").alias("bmi"), F.col("mj").alias("bmj"),
-                            F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.col("pid").alias("qid"))
-    right = (right.join(micro.select(F.col("node").alias("dst"), F.col("mi").alias("bmi"), F.col("mj").alias("bmj"),
-                                     F.greatest(F.lit(1), F.ceil(F.col("npts") / F.lit(salt_target))).cast("int").alias("nsalt")),
-                        ["dst", "bmi", "bmj"])
-                  .withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("nsalt")).cast("int")).drop("nsalt"))
-    tested = (left.join(right, ["dst", "bmi", "bmj", "salt"])
-                  .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= eps_in)
-                  .select("c0a", "c0b"))
-    sure = sure.union(sure_micro)
-    if _TIMING:
-        print(f"[dbscan] undecided cell pairs={open_pairs.count()} micro pairs={mpairs.count()} "
-              f"open micro pairs={open_micro.count()}", flush=True)
-    ring_edges = sure.union(tested).distinct()
+    ring_edges = linked_pairs(cand.select("c0a", "c0b", "ai", "aj", F.col("ci").alias("bi"), F.col("cj").alias("bj"), "shift"), core_tree, eps_rad, ["c0a", "c0b"])
     edges = ring_edges.select(F.col("c0a").alias("src"), F.col("c0b").alias("dst")).union(cross_tile_edges(local, n))
     comp1 = connected_components(c0.select(F.col("c0").alias("node")).distinct(), edges)
     roots = c0.join(comp1.select(F.col("node").alias("c0"), F.col("label").alias("root")), "c0")
@@ -266,34 +152,23 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
                        .checkpoint(eager=True))
     clock("numbering")
 
-    # 7. labels of locations: core → own sub-cell; border → smallest label of a
-    #    core neighbour (whole 3×3 block, exact ring neighbours); else −1
-    core_lab = join_per_cell(pts.filter("core"), cell_label, ["ci", "cj"], hot_cells, n_hot).select("pid", "cluster_label")
-    noncore = pts.filter(~F.col("core"))
+    # 7. labels of locations: core → own sub-cell; border → smallest label of a core
+    #    neighbour (the whole 3×3 block; ring sub-cells by their boxes); else −1
+    core_lab = pts.filter("core").join(cell_label, ["ci", "cj"]).select("pid", "cluster_label")
+    noncore = pts.filter(~F.col("core")).select("ci", "cj", F.col("pid").alias("p"), F.col("lat").alias("plat"), F.col("x").alias("plon"))
     block_lab = (noncore.withColumn("o", F.explode(_offsets(1, 1, 0)))
-                        .select("pid", (F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(n)).alias("cj"))
-                        .join(cell_label, ["ci", "cj"])
-                        .select("pid", "cluster_label"))
-    ring_lab = (ring_pairs.join(noncore.select(F.col("pid").alias("p")), "p")
-                          .join(pts.filter("core").select(F.col("pid").alias("q"), "ci", "cj"), "q")
-                          .join(cell_label, ["ci", "cj"])
-                          .select(F.col("p").alias("pid"), "cluster_label"))
-    full_lab = (ring_full.join(noncore.select(F.col("pid").alias("p")), "p")
-                         .join(cell_label, ["ci", "cj"])
-                         .select(F.col("p").alias("pid"), "cluster_label"))
-    border_lab = (block_lab.union(ring_lab).union(full_lab)
-                           .groupBy("pid").agg(F.min("cluster_label").alias("cluster_label")))
+                        .select("p", (F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(n)).alias("cj"))
+                        .join(cell_label, ["ci", "cj"]).select("p", F.col("cluster_label").alias("label")))
+    labelled = core_tree.boxes.drop("node", "first").join(cell_label.withColumnRenamed("cluster_label", "label"), ["ci", "cj"])
+    border_lab = nearest_labels(ring_join(noncore, labelled, eps_deg, a), block_lab, core_tree, eps_rad)
     loc_label = (pts.select("pid", "lat", "lon")
-                    .join(core_lab.union(border_lab), "pid", "left")
+                    .join(core_lab.union(border_lab.select("p", "label")), "pid", "left")
                     .select("lat", "lon", F.coalesce(F.col("cluster_label"), F.lit(-1)).cast("int").alias("cluster_label"))
                     .checkpoint(eager=True))
     clock("labels")
 
-    # 8. back to records (records of one location share its label); hot
-    #    locations are attached by a size-checked broadcast
-    loc_w = loc_label.join(loc.select("lat", "lon", "w"), ["lat", "lon"])
-    out = attach_by_location(df, loc_w, ["cluster_label"], lat, lon, hot_rows=hot_rows,
-                             hot_broadcast_max=hot_broadcast_max)
+    # 8. back to records (records of one location share its label)
+    out = attach_by_location(df, loc_label, ["cluster_label"], lat, lon)
     clock("attach")
     return out.withColumn("cluster_label", F.coalesce(F.col("cluster_label"), F.lit(-1)).cast("int"))
 

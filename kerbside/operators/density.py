@@ -11,12 +11,9 @@ bounded by geometry:
 * each outer-ring sub-cell (Chebyshev distance 2..k) is first compared with
   the location's whole sub-cell by bounding boxes: entirely within eps → its
   weight is added to every location of the sub-cell; entirely beyond →
-  nothing; otherwise it is compared with each location the same way, and
-  where it straddles eps, sub-cells with few locations are tested point by
-  point while dense ones are first refined on micro-cells (side a/8), so only
-  locations inside straddling micro-cells are tested.
-
-Joins keyed by a micro-cell are salted by its location count.
+  nothing; otherwise it is the root of a quadtree that each location walks down
+  (``operators/quadtree.py``): whole boxes count by weight, and only the few
+  locations of leaves that eps cuts through are tested.
 """
 
 from __future__ import annotations
@@ -26,114 +23,43 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions.geo import haversine
-from kerbside.operators.spatial import (HOT_CELL, HOT_ROWS, attach_by_location, columns_around, grid, join_per_cell,
-                                       ring_join)
+from kerbside.operators.quadtree import LEAF, box_bounds, build_tree, point_weights, with_morton
+from kerbside.operators.spatial import attach_by_location, columns_around, grid, ring_join
+from kerbside.session import materialize, spread
 
 SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
-MICRO = 8
-DENSE_CELL = 64      # sub-cells with more locations are refined on micro-cells
-SALT_TARGET = 20_000
-
 
-def _bound(dlat, dlon, cos2):
-    h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cos2 * F.pow(F.sin(F.radians(F.least(dlon, F.lit(180.0))) / 2), 2)
-    return F.lit(2.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
-
-def _point_box_bounds(df: DataFrame) -> DataFrame:
-    """Lower/upper central angle between point (plat, plon) and box
-    (lat0..lat1, lon0..lon1)."""
-    gap_lat = F.greatest(F.lit(0.0), F.col("lat0") - F.col("plat"), F.col("plat") - F.col("lat1"))
-    gap_lon = F.greatest(F.lit(0.0), F.col("lon0") - F.col("plon"), F.col("plon") - F.col("lon1"))
-    far_lat = F.greatest(F.abs(F.col("plat") - F.col("lat0")), F.abs(F.col("plat") - F.col("lat1")))
-    far_lon = F.greatest(F.abs(F.col("plon") - F.col("lon0")), F.abs(F.col("plon") - F.col("lon1")))
-    maxabs = F.greatest(F.abs("plat"), F.abs("lat0"), F.abs("lat1"))
-    return df.withColumns({"lower": _bound(gap_lat, gap_lon, F.pow(F.cos(F.radians(maxabs)), 2)),
-                           "upper": _bound(far_lat, far_lon, F.lit(1.0))})
+def block_weights(cells: DataFrame, around: int) -> DataFrame:
+    """``cells(ci, cj, W)`` → ``(ci, cj, B)``: weight of each cell's 3×3 block."""
+    near = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (-1, 0, 1) for dj in (-1, 0, 1)])
+    return (cells.withColumn("o", F.explode(near))
+                 .select((F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(around)).alias("cj"), "W")
+                 .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
 
 
 def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat: str = "latitude",
-                    lon: str = "longitude", dense_cell: int = DENSE_CELL, salt_target: int = SALT_TARGET,
-                    hot_rows: int = HOT_ROWS, hot_cell: int = HOT_CELL) -> DataFrame:
+                    lon: str = "longitude", leaf: int = LEAF) -> DataFrame:
     """``(id, neighbor_count)`` for every record of ``points``."""
     eps = math.radians(eps_deg)
-    lo_ok, hi_ok = F.lit(eps * (1 + 1e-9)), F.lit(eps * (1 - 1e-9))
     a = eps_deg * SUB_FRACTION
-    mu = a / MICRO
     loc = (points.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
                  .agg(F.count(F.lit(1)).alias("w")))
-    loc = (grid(loc, a).withColumns({"mi": F.floor(F.col("lat") / mu), "mj": F.floor(F.col("x") / mu),
-                                     "pid": F.monotonically_increasing_id()})
-                       .checkpoint(eager=True))
-
-    cells = (loc.groupBy("ci", "cj")
-                .agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("npts"),
-                     F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                     F.min("x").alias("lon0"), F.max("x").alias("lon1"))
-                .checkpoint(eager=True))
-    near = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (-1, 0, 1) for dj in (-1, 0, 1)])
-    block = (cells.withColumn("o", F.explode(near))
-                  .select((F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(columns_around(a))).alias("cj"), "W")
-                  .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
+    loc = materialize(spread(with_morton(grid(loc, a), a)).withColumn("pid", F.monotonically_increasing_id()), "density_locations")
+    tree = build_tree(loc, leaf=leaf)
+    cells = tree.boxes
     # sub-cell pairs first: decided for all locations of the source cell at once
-    src = cells.select("ci", "cj", F.col("lat0").alias("slat0"),
-                       F.col("lat1").alias("slat1"), F.col("lon0").alias("slon0"), F.col("lon1").alias("slon1"))
-    cpairs = (ring_join(src, cells, eps_deg, a).withColumnsRenamed({"ai": "si", "aj": "sj"})
-                 .withColumns({"lon0": F.col("lon0") + F.col("shift"), "lon1": F.col("lon1") + F.col("shift")}))
-    gap_lat = F.greatest(F.lit(0.0), F.col("lat0") - F.col("slat1"), F.col("slat0") - F.col("lat1"))
-    gap_lon = F.greatest(F.lit(0.0), F.col("lon0") - F.col("slon1"), F.col("slon0") - F.col("lon1"))
-    span_lat = F.greatest(F.col("lat1") - F.col("slat0"), F.col("slat1") - F.col("lat0"))
-    span_lon = F.greatest(F.col("lon1") - F.col("slon0"), F.col("slon1") - F.col("lon0"))
-    maxabs = F.greatest(F.abs("lat0"), F.abs("lat1"), F.abs("slat0"), F.abs("slat1"))
-    cpairs = (cpairs.withColumns({"lower": _bound(gap_lat, gap_lon, F.pow(F.cos(F.radians(maxabs)), 2)),
-                                  "upper": _bound(span_lat, span_lon, F.lit(1.0))})
-                    .filter(F.col("lower") <= lo_ok))
-    cell_full = (cpairs.filter(F.col("upper") <= hi_ok)
-                       .groupBy(F.col("si").alias("ci"), F.col("sj").alias("cj")).agg(F.sum("W").alias("cell_w")))
-    open_cells = cpairs.filter(F.col("upper") > hi_ok).select("si", "sj", "ci", "cj", "W", "npts", "lat0", "lat1",
-                                                              "lon0", "lon1", "shift")
-    probe = (loc.select(F.col("ci").alias("si"), F.col("cj").alias("sj"), "pid",
+    src = cells.select("ci", "cj", *[F.col(c).alias(f"s{c}") for c in ("lat0", "lat1", "lon0", "lon1")])
+    pairs = ring_join(src, cells, eps_deg, a).withColumns({"tlon0": F.col("lon0") + F.col("shift"), "tlon1": F.col("lon1") + F.col("shift")})
+    pairs = box_bounds(pairs, ["slat0", "slat1", "slon0", "slon1"], ["lat0", "lat1", "tlon0", "tlon1"]).filter(F.col("lower") <= eps * (1 + 1e-9))
+    whole = pairs.filter(F.col("upper") <= eps * (1 - 1e-9)).groupBy(F.col("ai").alias("ci"), F.col("aj").alias("cj")).agg(F.sum("W").alias("cell_w"))
+    cut = pairs.filter(F.col("upper") > eps * (1 - 1e-9)).select("ai", "aj", *cells.columns, "shift")
+    probe = (loc.select(F.col("ci").alias("ai"), F.col("cj").alias("aj"), F.col("pid").alias("p"), F.lit(0).alias("known"),
                         F.col("lat").alias("plat"), F.col("x").alias("plon"))
-                .join(open_cells, ["si", "sj"]))
-    probe = _point_box_bounds(probe).filter(F.col("lower") <= lo_ok)
-    full = probe.filter(F.col("upper") <= hi_ok).select("pid", F.col("W").alias("wq"))
-    straddle = probe.filter(F.col("upper") > hi_ok)
-
-    # straddling sub-cells with few locations: test their locations directly
-    few = straddle.filter(F.col("npts") <= dense_cell).select("pid", "plat", "plon", "ci", "cj")
-    few_w = (few.join(loc.select("ci", "cj", F.col("lat").alias("qlat"), F.col("x").alias("qlon"), F.col("w").alias("wq")),
-                      ["ci", "cj"])
-                .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= F.lit(eps))
-                .select("pid", "wq"))
-    # dense straddling sub-cells: refine on micro-cells first
-    micro = (loc.groupBy("ci", "cj", "mi", "mj")
-                .agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("mpts"),
-                     F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-                     F.min("x").alias("lon0"), F.max("x").alias("lon1")))
-    many = straddle.filter(F.col("npts") > dense_cell).select("pid", "plat", "plon", "ci", "cj", "shift").join(micro, ["ci", "cj"])
-    many = many.withColumns({"lon0": F.col("lon0") + F.col("shift"), "lon1": F.col("lon1") + F.col("shift")})
-    mprobe = _point_box_bounds(many).filter(F.col("lower") <= lo_ok)
-    mfull = mprobe.filter(F.col("upper") <= hi_ok).select("pid", F.col("W").alias("wq"))
-    mpart = (mprobe.filter(F.col("upper") > hi_ok)
-                   .withColumn("nsalt", F.greatest(F.lit(1), F.ceil(F.col("mpts") / F.lit(salt_target))).cast("int"))
-                   .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
-                   .select("pid", "plat", "plon", "ci", "cj", "mi", "mj", "salt"))
-    msalt = (loc.join(micro.select("ci", "cj", "mi", "mj", "mpts"), ["ci", "cj", "mi", "mj"])
-                .withColumn("salt", F.pmod(F.xxhash64("pid"), F.greatest(F.lit(1), F.ceil(F.col("mpts") / F.lit(salt_target))))
-                            .cast("int"))
-                .select("ci", "cj", "mi", "mj", "salt", F.col("lat").alias("qlat"), F.col("x").alias("qlon"),
-                        F.col("w").alias("wq")))
-    mpart_w = (mpart.join(msalt, ["ci", "cj", "mi", "mj", "salt"])
-                    .filter(haversine(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon")) <= F.lit(eps))
-                    .select("pid", "wq"))
-    ring_w = full.union(few_w).union(mfull).union(mpart_w).groupBy("pid").agg(F.sum("wq").alias("ring_w"))
-    # per-cell weights to every location: hot sub-cells by size-checked broadcast
-    cell_vals = block.join(cell_full, ["ci", "cj"], "left")
-    hot_cells = cells.filter(F.col("npts") >= hot_cell).select("ci", "cj")
-    per_loc = (join_per_cell(loc, cell_vals, ["ci", "cj"], hot_cells, hot_cells.count())
-                  .join(ring_w, "pid", "left")
-                  .select("lat", "lon", "w", (F.col("B") + F.coalesce(F.col("cell_w"), F.lit(0))
-                                              + F.coalesce(F.col("ring_w"), F.lit(0))).alias("neighbor_count")))
+                .join(cut, ["ai", "aj"]).drop("ai", "aj"))
+    ring = point_weights(probe, tree, eps)
+    own = block_weights(cells, columns_around(a)).join(whole, ["ci", "cj"], "left")
+    per_loc = (loc.join(own, ["ci", "cj"]).join(ring, F.col("pid") == F.col("p"), "left")
+                  .select("lat", "lon", (F.col("B") + F.coalesce("cell_w", F.lit(0)) + F.coalesce("ring_w", F.lit(0))).alias("neighbor_count")))
     recs = points.select(F.col(id_col).alias("id"), F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
-    return attach_by_location(recs, per_loc, ["neighbor_count"], hot_rows=hot_rows).select("id", "neighbor_count")
+    return attach_by_location(recs, per_loc, ["neighbor_count"]).select("id", "neighbor_count")

@@ -116,71 +116,29 @@ def eps_pairs(points: DataFrame, eps_deg: float, id_col: str = "id", lat: str =
              .select("id_a", "id_b"))
 
 
-HOT_ROWS = 1_000_000          # records at one location that make it a hot join key
-HOT_BROADCAST_MAX = 200_000   # most hot locations attached by broadcast
-
-
 def attach_by_location(df: DataFrame, loc_values: DataFrame, value_cols: list[str], lat: str = "latitude",
-                       lon: str = "longitude", weight: str = "w", hot_rows: int = HOT_ROWS,
-                       hot_broadcast_max: int = HOT_BROADCAST_MAX) -> DataFrame:
-    """Left-join per-location values (``loc_values``: ``lat``, ``lon``,
-    ``weight``, value columns) back to the records of ``df``.
-
-    A location holding very many records is a hot join key.  Locations with
-    ≥ ``hot_rows`` records number at most rows/``hot_rows``; when their count
-    passes the size check they are joined by broadcast and only the other
-    records go through the shuffle join (AQE splits any remaining skew)."""
-    vals = loc_values.select(F.col("lat").alias("_l"), F.col("lon").alias("_n"), F.col(weight).alias("_w"), *value_cols)
-    rl, rn = F.col(lat), F.col(lon)
-    cond = (rl == F.col("_l")) & (rn == F.col("_n"))
-    hot = vals.filter(F.col("_w") >= hot_rows)
-    n_hot = hot.count()
-    if 0 < n_hot <= hot_broadcast_max:
-        hot_v = hot.select("_l", "_n", *[F.col(c).alias(f"_h_{c}") for c in value_cols], F.lit(True).alias("_hit"))
-        step = df.join(F.broadcast(hot_v), cond, "left")
-        done = step.filter(F.col("_hit")).select(*df.columns, *[F.col(f"_h_{c}").alias(c) for c in value_cols])
-        rest = step.filter(F.col("_hit").isNull()).select(*df.columns)
-        cold = vals.filter(F.col("_w") < hot_rows)
-        rest = rest.join(cold, cond, "left").select(*df.columns, *value_cols)
-        return done.unionByName(rest)
-    return df.join(vals, cond, "left").select(*df.columns, *value_cols)
+                       lon: str = "longitude") -> DataFrame:
+    """Left-join per-location values (``loc_values``: ``lat``, ``lon``, value columns)
+    back to the records of ``df``.  A location holding very many records is a hot key
+    on the record side only; adaptive execution splits it over tasks."""
+    vals = loc_values.select(F.col("lat").alias("_l"), F.col("lon").alias("_n"), *value_cols)
+    return df.join(vals, (F.col(lat) == F.col("_l")) & (F.col(lon) == F.col("_n")), "left").select(*df.columns, *value_cols)
 
 
 def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat: str = "latitude",
-                    lon: str = "longitude", hot_rows: int = HOT_ROWS) -> DataFrame:
+                    lon: str = "longitude") -> DataFrame:
     """``(id, neighbor_count)``: number of records within eps of each record
     (itself included) — the quantity DBSCAN's core test compares.
 
     Equal coordinates collapse into one weighted location first, so the pair
     join runs over distinct locations (a location holding a third of all
-    records adds one row, not a third squared pairs); counts are attached back
-    to records with the hot-location split."""
+    records adds one row, not a third squared pairs)."""
     loc = (points.groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
                  .agg(F.count(F.lit(1)).alias("w"), F.min(F.col(id_col)).alias("pid")))
     pairs = eps_pairs(loc.select(F.col("pid").alias("id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")),
                       eps_deg)
     wb = loc.select(F.col("pid").alias("id_b"), F.col("w").alias("wb"))
     counts = pairs.join(wb, "id_b").groupBy("id_a").agg(F.sum("wb").alias("neighbor_count"))
-    per_loc = loc.join(counts, loc.pid == counts.id_a).select("lat", "lon", "w", "neighbor_count")
+    per_loc = loc.join(counts, loc.pid == counts.id_a).select("lat", "lon", "neighbor_count")
     recs = points.select(F.col(id_col).alias("id"), F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
-    return attach_by_location(recs, per_loc, ["neighbor_count"], hot_rows=hot_rows).select("id", "neighbor_count")
-
-
-HOT_CELL = 200_000  # locations in one sub-cell that make it a hot join key
-
-
-def join_per_cell(rows: DataFrame, values: DataFrame, keys: list[str], hot_keys: DataFrame | None,
-                  n_hot: int, hot_broadcast_max: int = HOT_BROADCAST_MAX) -> DataFrame:
-    """Inner join of many rows per cell with one row of ``values`` per cell.
-
-    A cell holding very many locations is a hot key.  ``hot_keys`` lists the
-    cells over the threshold (``n_hot`` of them, at most rows/threshold); when
-    that count passes the size check their values are joined by broadcast and
-    only the other rows go through the shuffle join."""
-    if hot_keys is None or not (0 < n_hot <= hot_broadcast_max):
-        return rows.join(values, keys)
-    hk = F.broadcast(hot_keys.select(*keys))
-    hot_vals = values.join(hk, keys)
-    hot_part = rows.join(F.broadcast(hot_vals), keys)
-    cold_part = rows.join(hk, keys, "left_anti").join(values.join(hk, keys, "left_anti"), keys)
-    return hot_part.unionByName(cold_part)
+    return attach_by_location(recs, per_loc, ["neighbor_count"]).select("id", "neighbor_count")

@@ -74,6 +74,12 @@ def materialize(df, name: str, compression: str | None = None):
     return out
 
 
+def spread(df):
+    """``df`` over as many partitions as the session shuffles to: a table that is small
+    but whose rows are costly to work on is not read back as one split."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
+
+
 @contextmanager
 def tidy_shuffles(spark: SparkSession):
     """Actions inside drop their shuffle files as they end: what they have written

@@ -89,11 +89,11 @@ def test_random_points_match_textbook(spark):
 
 
 def test_hot_location_skew(spark):
-    """A third of the records on one location: collapsed to one weighted point,
-    salted joins still give the textbook result."""
+    """A third of the records on one location: collapsed to one weighted point;
+    quadtrees several levels deep still give the textbook result."""
     rows = [(i, 12.9, 77.5) for i in range(300)]
     rows += [(1000 + i, 12.9 + 0.0001 * (i % 30), 77.5 + 0.0001 * (i // 30)) for i in range(600)]
-    got = labels(dbscan(pts(spark, rows), EPS, 5, salt_target=50, hot_rows=100, hot_cell=5))
+    got = labels(dbscan(pts(spark, rows), EPS, 5, leaf=3))
     assert len(got) == 900
     assert got == brute_dbscan(rows, EPS, 5)
 
@@ -150,9 +150,8 @@ def test_dense_clusters_across_a_gap_use_micro_refinement(spark):
 def test_neighbor_counts_with_duplicates(spark):
     from kerbside.operators.spatial import neighbor_counts
     rows = [(i, 12.9, 77.5) for i in range(50)] + [(100, 12.9, 77.5005), (101, 12.9, 77.502)]
-    for hot in (10, 10**6):
-        got = {r.id: r.neighbor_count for r in neighbor_counts(pts(spark, rows), EPS, hot_rows=hot).collect()}
-        assert got[0] == 51 and got[49] == 51 and got[100] == 51 and got[101] == 1
+    got = {r.id: r.neighbor_count for r in neighbor_counts(pts(spark, rows), EPS).collect()}
+    assert got[0] == 51 and got[49] == 51 and got[100] == 51 and got[101] == 1
 
 
 def test_tile_contraction_matches_plain_components(spark):
@@ -185,14 +184,14 @@ def test_tile_contraction_matches_plain_components(spark):
 
 
 def test_density_counts_match_pair_counts(spark):
-    """Bounded-work neighbour counts equal plain pair counts, with dense
-    sub-cells forced through the micro-cell path."""
+    """Bounded-work neighbour counts equal plain pair counts, with
+    quadtrees down to single locations."""
     from kerbside.operators.density import neighbor_counts as dense_counts
     from kerbside.operators.spatial import neighbor_counts as pair_counts
     v = violations(spark, "/root/testdata/sf0.001", "live").select("id", "latitude", "longitude")
     want = {r.id: r.neighbor_count for r in pair_counts(v, EPS).collect()}
-    for dense, hot in ((64, 10**9), (1, 3)):
-        got = {r.id: r.neighbor_count for r in dense_counts(v, EPS, dense_cell=dense, salt_target=3, hot_cell=hot).collect()}
+    for leaf in (32, 1):
+        got = {r.id: r.neighbor_count for r in dense_counts(v, EPS, leaf=leaf).collect()}
         assert got == want
 
 
@@ -289,4 +288,46 @@ def test_wrap_and_outlier_latitudes(spark):
         h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
         return 2 * math.asin(math.sqrt(h)) <= e
 
-    assert {r.id: r.neighbor_count for r in dense_counts(df, EPS, dense_cell=2).collect()} == {p[0]: sum(near(p, q) for q in rows) for p in rows}
+    assert {r.id: r.neighbor_count for r in dense_counts(df, EPS, leaf=2).collect()} == {p[0]: sum(near(p, q) for q in rows) for p in rows}
+
+
+def test_labels_do_not_depend_on_the_leaves(spark):
+    """Dense sub-cells around sparse ones: core test, edges and border labels by
+    quadtrees down to single locations equal the textbook."""
+    import random
+    rnd = random.Random(8)
+    rows = []
+    for x in (0.0, 7.6e-4, 1.7e-3):
+        rows += [(len(rows) + i, 12.9 + rnd.random() * 1e-4, 77.5 + x + rnd.random() * 1e-4) for i in range(60)]
+    rows += [(1000 + i, 12.9 + rnd.uniform(-1e-3, 1e-3), 77.5 + rnd.uniform(-1e-3, 2.7e-3)) for i in range(60)]
+    for m in (5, 40):
+        want = brute_dbscan(rows, EPS, m)
+        assert labels(dbscan(pts(spark, rows), EPS, m, leaf=2)) == want
+        assert labels(dbscan(pts(spark, rows), EPS, m)) == want
+
+
+def test_frontier_grows_slower_than_the_pairs(spark, monkeypatch):
+    """Ten times as many locations in one place: the pairs of a location and a box or
+    another location that are looked at grow about with n^1.5, the eps pairs with n²."""
+    import random
+
+    from kerbside.operators import quadtree
+    from kerbside.operators.density import neighbor_counts as dense_counts
+
+    def work(n):
+        rnd = random.Random(n)
+        rows = [(i, 12.9 + rnd.random() * 9e-4, 77.5 + rnd.random() * 9e-4) for i in range(n)]
+        looked = []
+        plain, tested = quadtree._verdicts, quadtree._tested
+        monkeypatch.setattr(quadtree, "_verdicts", lambda probe, eps: looked.append(probe) or plain(probe, eps))
+        leaves = []
+        monkeypatch.setattr(quadtree, "_tested", lambda cut, tree, keep, eps: leaves.append((cut, tree)) or tested(cut, tree, keep, eps))
+        dense_counts(pts(spark, rows), EPS, leaf=8).count()
+        monkeypatch.setattr(quadtree, "_verdicts", plain)
+        monkeypatch.setattr(quadtree, "_tested", tested)
+        boxes = sum(p.count() for p in looked)
+        return boxes + sum(c.join(t.leaves, ["ci", "cj", "level", "q"]).count() for c, t in leaves)
+
+    few, many = work(400), work(4000)
+    assert many / few < 10 ** 1.7  # the pairs themselves: 10 ** 2
+    assert many < 0.25 * 4000 ** 2
