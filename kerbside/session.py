@@ -71,9 +71,29 @@ def materialize(df, name: str, compression: str | None = None):
         df.write.mode("overwrite").parquet(path, compression=compression)
     out = spark.read.parquet(path)
     out.kerbside_path = path
+    if spark.sparkContext.applicationId not in _WRITTEN:
+        _WRITTEN.clear()
+        _WRITTEN[spark.sparkContext.applicationId] = set()
+    _WRITTEN[spark.sparkContext.applicationId].add(path)
     return out
 
 
+#: Tables written and not yet discarded, of the running application.
+_WRITTEN: dict[str, set[str]] = {}
+
+
+def written_tables(spark: SparkSession) -> set[str]:
+    """Paths of the tables that ``materialize`` has written and nothing has discarded."""
+    return set(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def discard_paths(spark: SparkSession, paths) -> None:
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def spread(df):
     """``df`` over as many partitions as the session shuffles to: a table that is small
     but whose rows are costly to work on is not read back as one split."""
@@ -98,7 +118,5 @@ def discard(*tables) -> None:
     for df in tables:
         path = getattr(df, "kerbside_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            discard_paths(df.sparkSession, [path])
             df.kerbside_path = None
