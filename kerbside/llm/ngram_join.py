@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.common import mix64, one_of_equals, read_table, shingle_sets, shuffle_parts, text_chunks
 from kerbside.operators.components import connected_components
-from kerbside.session import materialize
+from kerbside.session import discard, materialize
 
 WORDS, PERCENT = 5, 80
 #: Shingles in at least HEAVY documents go last in the order, the DEMOTED most frequent ones.
@@ -319,6 +319,7 @@ def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: s
         mixed = own.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("list")
         own = materialize(own.join(mixed, "list"), "mixed")
         if own.isEmpty():
+            discard(own)
             break
         if r < HUB_ROUNDS:
             turn = F.xxhash64("node", F.pmod("list", F.lit(2)), F.lit(r))
@@ -342,15 +343,17 @@ def classes(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: s
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = materialize(ends.join(nodes.select("node", "th"), "node").select("th"), "wanted")
         texts = rows.select("th", "text").join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-        sets = materialize(texts.select("text").mapInArrow(_blobs(k), "node long, n long, blob binary"), "sets").dropDuplicates(["node"])
-        links = verify(pairs, sets, parts)
+        blobs = materialize(texts.select("text").mapInArrow(_blobs(k), "node long, n long, blob binary"), "sets")
+        links = verify(pairs, blobs.dropDuplicates(["node"]), parts)
         # components of the components found so far
         edges = (links.join(label.select(F.col("node").alias("a"), F.col("comp").alias("src")), "a")
                       .join(label.select(F.col("node").alias("b"), F.col("comp").alias("dst")), "b").select("src", "dst").distinct())
         edges = materialize(edges, "links")
         ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node")))
         joined = connected_components(ends, edges).select(F.col("node").alias("comp"), F.col("label").alias("to"))
-        label = materialize(label.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), *_MAP), "labels")
+        before, label = label, materialize(label.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), *_MAP), "labels")
+        discard(before, own, wanted, blobs, edges)
+    discard(lists)
     least = label.join(nodes.select("node", "id"), "node").groupBy("comp").agg(F.min("id").alias("component_id"))
     names = label.join(least, "comp").select("node", "component_id", F.col("comp").alias("class_node"))
     return (described.join(names, "node", "left")

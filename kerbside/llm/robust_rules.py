@@ -6,24 +6,33 @@ Every document gives counts (words, characters, symbols, repeated lines and
 * mean word length, shrunk towards 5 by 50 words of prior weight,
 * ln(1 + symbols per word),
 * ln(1 + 10 · repeated lines per word),
-* share of words inside repeated 3-word windows.
-
-Per (lang, source) the minimum covariance determinant is searched from a fixed
-start (coordinate medians, distances in units of ``START``): concentration steps
-refit mean and covariance on the share ``SUPPORT`` of documents with the smallest
-distances.  The covariance is scaled for consistency.  Most groups have statistics
-that are constant in their core (no symbols at all), so a pivot of the covariance
-(the variance a statistic has besides the ones before it) is at least the square of
-a small floor, which only keeps the matrix invertible: ``PART`` of the corpus's
-spread (quartiles) of the statistic, or half an event (symbol, repeated line,
-shortest repeat) in a document of median length, whichever is more.  A document whose squared Mahalanobis distance exceeds
-``CUTOFF`` (chi-square, 4 degrees, 0.9999) is rejected.  Groups below
-``LEAST`` documents use the estimate of their language, languages below it that
-of the corpus; a corpus below it uses the start.
+* share of words inside repeated 3-word windows
+(the last three shrunk towards 0 by ``PRIOR`` words: one event weighs less in a short text).
+
+Per (lang, source) the minimum covariance determinant is searched from ``STARTS``
+fixed starts (coordinate medians, distances in differently weighted units):
+concentration steps refit mean and covariance on the share ``SUPPORT`` of documents with
+the smallest distances, all starts and groups in one aggregate, until no determinant
+falls any more; the start with the smallest determinant is the group's estimate.  The
+covariance is scaled for consistency.  Most groups have statistics that are constant
+in their core (no symbols at all), so a pivot of the covariance (the variance a
+statistic has besides the ones before it) is at least the square of a small floor,
+which only keeps the matrix invertible: ``PART`` of the corpus's spread (quartiles)
+of the statistic, or half an event (symbol, repeated line, shortest repeat) in a
+document of median length, whichever is more.  A document is rejected if its squared
+Mahalanobis distance exceeds ``CUTOFF`` (chi-square, 4 degrees, 0.9999) and the outer
+fence of the corpus's own distances (third quartile plus ``FENCE`` quartile ranges,
+of logarithms): statistics that count rare events are far from normal, and by
+chi-square alone one repeated notice would reject a good document.
+Groups below ``LEAST`` documents use the estimate of their language, languages below
+it that of the corpus; a corpus below it uses the start.  Estimates of languages or
+the corpus are made only where some group needs them.
 
 All of it is DataFrame expressions: a step is one partial aggregate per group
 and a small join; vectors are fixed-point integers, so sums do not depend on
-the partitioning.  A hot source is one row after the map-side aggregate.
+the partitioning.  A hot source is one row after the map-side aggregate, and estimates
+are sent to the rows where they are counted to be at most ``FEW`` (else joined), so no
+row is dealt out by its group.
 
 Defined results: a null text has no words and fails the base rules; null lang
 or source is a group of its own; null ids and repeated rows are judged like any
@@ -38,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import read_table
-from kerbside.session import materialize
+from kerbside.session import discard, materialize
 
 #: Fixed-point units per 1.0 of a vector element.
 SCALE = 1000
@@ -50,8 +59,17 @@ SUPPORT = 0.75
 #: Consistency factor of a covariance from the central 75 % in 4 dimensions.
 CONSISTENCY = 1.486
 CUTOFF = 23.51
-STEPS = 3
+#: Quartile ranges of log(1 + distance) above the third quartile.
+FENCE = 2.5
+#: Words without events that a document's shares are counted with.
+PRIOR = 100
+#: Weights of the units in the starts' distances.
+STARTS = ((1.0, 1.0, 1.0, 1.0), (0.25, 1.0, 1.0, 1.0), (1.0, 1.0, 0.25, 0.25), (4.0, 1.0, 1.0, 0.25))
+#: A determinant has fallen if it is lower by more than this part; steps end after MOST at the latest.
+FALL, MOST = 1e-6, 25
 LEAST = 30
+#: Estimates that are broadcast (some hundred bytes each).
+FEW = 100_000
 
 _P = len(START)
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -87,7 +105,8 @@ def with_statistics(docs: DataFrame, text: Column) -> DataFrame:
 
 def _vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    raw = [(F.col("word_chars") + 250) / (n + 50), F.log1p(F.col("n_symbols") / n), F.log1p(10 * F.col("n_dup_lines") / n), F.col("n_repeat_words") / n]
+    m = n + PRIOR
+    raw = [(F.col("word_chars") + 250) / (n + 50), F.log1p(F.col("n_symbols") / m), F.log1p(10 * F.col("n_dup_lines") / m), F.col("n_repeat_words") / m]
     return [F.round(c * SCALE).cast("long") for c in raw]
 
 
@@ -109,7 +128,7 @@ def floors(vectors: DataFrame) -> list[float]:
     if words is None:
         return [c * SCALE for c in START]
     # a word's length is no count; the shortest repeat of three words has four
-    event = [1 / (words + 50), math.log1p(1 / words), math.log1p(10 / words), 4 / words]
+    event = [1 / (words + 50), math.log1p(1 / (words + PRIOR)), math.log1p(10 / (words + PRIOR)), 4 / (words + PRIOR)]
     return [max(PART * (high - low) / 1.349, 0.5 * e * SCALE) for (low, high), e in zip(spans, event)]
 
 
@@ -136,49 +155,90 @@ _MEAN = [f"m_{i}" for i in range(_P)]
 _CHOL = [f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)]
 
 
+def _sent(est: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(est) if count <= FEW else est
+
+
+def _levels(vectors: DataFrame) -> list[int]:
+    """Levels that some group needs: its own, or the next one up where it is small."""
+    sizes = materialize(vectors.groupBy(*_keys(0)).agg(F.count("*").alias("n")), "mcd_sizes")
+    small = sizes.filter(F.col("n") < LEAST).count()
+    langs = sizes.groupBy("kl").agg(F.sum("n").alias("n")).filter(F.col("n") < LEAST).count()
+    discard(sizes)
+    return [0] + [1] * (small > 0) + [2] * (langs > 0)
+
+
 def estimate(vectors: DataFrame) -> DataFrame:
     """``vectors(lang, source, words, x_0 …)`` → one row per group: key, n, mean, factor."""
     least = floors(vectors)
-    levels = F.explode(F.array(*[F.struct(*_keys(k)) for k in range(3)]))
+    levels = F.explode(F.array(*[F.struct(*_keys(k)) for k in _levels(vectors)]))
     rows = vectors.select(levels.alias("k"), *[f"x_{i}" for i in range(_P)]).select("k.*", *[f"x_{i}" for i in range(_P)])
     x = [F.col(f"x_{i}") for i in range(_P)]
+    # the factor of start s: its units on the diagonal
     start = rows.groupBy(*_KEY).agg(F.count("*").alias("n"), *[F.percentile(f"x_{i}", F.lit(0.5)).alias(f"m_{i}") for i in range(_P)])
-    est = start.withColumns({f"l_{i}_{j}": F.lit(START[i] * SCALE if i == j else 0.0) for i in range(_P) for j in range(i + 1)})
-    est = materialize(est, "mcd")
-    for _ in range(STEPS):
-        near = rows.join(est, _KEY)
+    units = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), *[F.lit(w[i] * START[i] * SCALE).alias(f"l_{i}_{i}") for i in range(_P)]) for s, w in enumerate(STARTS)]))
+    est = start.withColumn("u", units).select("*", "u.*").withColumns({f"l_{i}_{j}": F.lit(0.0) for i in range(_P) for j in range(i)})
+    est = materialize(est.select(*_KEY, "start", "n", *_MEAN, *_CHOL, F.lit(float("inf")).alias("det"), F.lit(True).alias("falls")), "mcd")
+    count = est.count()
+    for _ in range(MOST):
+        moving = est.filter(F.col("falls") & (F.col("n") >= LEAST))
+        if moving.isEmpty():
+            break
+        near = rows.join(_sent(moving, count), _KEY)
         d = _distance(x, [F.col(c) for c in _MEAN], [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in range(_P)])
         # logarithms of distances in fixed point: the quantile needs one counter per distinct value, of which there are few
-        near = near.select(*_KEY, "n", *[f"x_{i}" for i in range(_P)], F.round(F.log1p(d) * 1024).cast("long").alias("d"))
-        # written, so that its known size decides how it is joined (a sort-merge join would send a hot group to one task)
-        limit = materialize(near.groupBy(*_KEY).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "mcd")
-        inner = near.join(limit, _KEY).filter(F.col("d") <= F.col("limit"))
-        sums = inner.groupBy(*_KEY).agg(
+        near = near.select(*_KEY, "start", "n", *[f"x_{i}" for i in range(_P)], F.round(F.log1p(d) * 1024).cast("long").alias("d"))
+        limit = materialize(near.groupBy(*_KEY, "start").agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "mcd_limits")
+        inner = near.join(_sent(limit, count), [*_KEY, "start"]).filter(F.col("d") <= F.col("limit"))
+        sums = inner.groupBy(*_KEY, "start").agg(
             F.first("n").alias("n"), F.count("*").alias("h"), *[F.sum(x[i]).alias(f"s_{i}") for i in range(_P)],
             *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in range(_P) for j in range(i + 1)])
         sums = sums.withColumns({f"m_{i}": F.col(f"s_{i}") / F.col("h") for i in range(_P)})
         cov = [[(F.col(f"q_{i}_{j}") / F.col("h") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENCY for j in range(i + 1)] for i in range(_P)]
-        fitted = _cholesky(cov, sums, least).select(*_KEY, "n", *_MEAN, *_CHOL)
-        # a group that is too small keeps its start; it is only used when the whole corpus is
-        small = est.filter(F.col("n") < LEAST)
-        est = materialize(fitted.filter(F.col("n") >= LEAST).unionByName(small.select(*fitted.columns)), "mcd")
-    return est
+        det = F.lit(1.0)
+        for i in range(_P):
+            det = det * F.col(f"l_{i}_{i}") * F.col(f"l_{i}_{i}")
+        fitted = _cholesky(cov, sums, least).select(*_KEY, "start", "n", *_MEAN, *_CHOL, det.alias("det"))
+        old = est.select(*_KEY, "start", F.struct(*_MEAN, *_CHOL, "det").alias("old"))
+        # a step that does not lower the determinant is not taken, and ends its start
+        less = F.col("det") < F.col("old.det") * (1 - FALL)
+        taken = fitted.join(_sent(old, count), [*_KEY, "start"]).select(
+            *_KEY, "start", "n", *[F.when(less, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c) for c in [*_MEAN, *_CHOL, "det"]], less.alias("falls"))
+        rest = est.filter(~(F.col("falls") & (F.col("n") >= LEAST))).withColumn("falls", F.lit(False))
+        before, est = est, materialize(taken.unionByName(rest.select(*taken.columns)), "mcd")
+        discard(before, limit)
+    # a group that is too small keeps its first start; it is only used when the whole corpus is
+    best = F.min_by(F.struct(*_MEAN, *_CHOL), F.struct("det", "start"))
+    return est.groupBy(*_KEY).agg(F.first("n").alias("n"), best.alias("b")).select(*_KEY, "n", "b.*")
 
 
 def judge(stats: DataFrame, est: DataFrame) -> DataFrame:
     """``stats`` (lang, source, counts, base_failed) plus ``distance`` and ``kept``."""
     cols = [F.col(c) for c in stats.columns]
     rows = stats
+    est = materialize(est, "mcd")
+    count = est.count()
     for level in range(3):
         own = est.filter(F.col("level") == level).select(
             F.col("kl").alias(f"__kl{level}"), F.col("ks").alias(f"__ks{level}"),
             F.when((F.col("n") >= LEAST) | F.lit(level == 2), F.struct(*_MEAN, *_CHOL)).alias(f"__e{level}"))
         _, kl, ks = _keys(level)
-        rows = rows.join(own, (kl == F.col(f"__kl{level}")) & (ks == F.col(f"__ks{level}")), "left")
+        rows = rows.join(_sent(own, count), (kl == F.col(f"__kl{level}")) & (ks == F.col(f"__ks{level}")), "left")
     rows = rows.withColumn("__e", F.coalesce("__e0", "__e1", "__e2"))
     d = _distance(_vector(), [F.col(f"__e.{c}") for c in _MEAN], [[F.col(f"__e.l_{i}_{j}") for j in range(i + 1)] for i in range(_P)])
-    return rows.select(*cols, F.when(~F.col("base_failed"), d).alias("distance"),
-                       (~F.col("base_failed") & (d <= CUTOFF)).alias("kept"))
+    judged = rows.select(*cols, F.when(~F.col("base_failed"), d).alias("distance"))
+    cut = cutoff(judged)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cut))
+
+
+def cutoff(judged: DataFrame) -> float:
+    """The larger of CUTOFF and the outer fence of the distances: two numbers of the corpus."""
+    log = F.round(F.log1p("distance") * 1024).cast("long")
+    got = judged.filter("distance IS NOT NULL").agg(F.percentile(log, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    if got is None:
+        return CUTOFF
+    low, high = (v / 1024 for v in got)
+    return max(CUTOFF, math.expm1(high + FENCE * (high - low)))
 
 
 def _vectors(stats: DataFrame) -> DataFrame:
