@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.profiles import Profile
 
@@ -69,3 +70,34 @@ def junction_label(c: Column) -> Column:
 def finite_or_null(c: Column) -> Column:
     """NaN and ±Infinity become null (JSON has no such numbers)."""
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(c)
+
+
+def finite_tree(c: Column, kind: T.DataType) -> Column:
+    """``c`` with every NaN or ±Infinity inside it (structs, arrays, maps, at any depth)
+    turned to null.  The expression follows the type: parts without floating numbers
+    are passed on as they are."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast(kind)).otherwise(c)
+    if not _has_floats(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[finite_tree(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(c.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: finite_tree(x, kind.elementType))
+    return F.transform_values(c, lambda k, v: finite_tree(v, kind.valueType))
+
+
+def _has_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_floats(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_floats(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_floats(kind.valueType)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def finite_columns(df: DataFrame) -> DataFrame:
+    """``df`` as every sink writes it: no column holds NaN or an infinity at any depth."""
+    return df.select(*[finite_tree(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

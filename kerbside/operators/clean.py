@@ -47,8 +47,8 @@ def clean(raw: DataFrame, profile: Profile | str = "live", extra_formats: tuple[
 
     parse = parse_utc if p.timestamps_to_utc else parse_local_wall_clock
     df = df.withColumns({
-        # only whole numbers stay: an id orders records, nothing is joined on it
-        "id": F.col("id").cast("string").try_cast("long"),
+        # ids come out as they are; seq orders the records ("first seen")
+        "seq": F.col("seq") if "seq" in df.columns else F.col("id").cast("string").try_cast("long"),
         "latitude": _num("latitude"),
         "longitude": _num("longitude"),
         "created_datetime": parse(F.col("created_datetime").cast("string"), tuple(extra_formats)),

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from kerbside.functions.numeric import COORD_SCALE, MICROS_PER_MINUTE, exact_mean, ratio
 from kerbside.operators.dbscan import dbscan
 from kerbside.profiles import JUNCTION_SENTINELS, SENTINEL_TEXT, Profile, get_profile
-from kerbside.schema import CLUSTER_SCHEMA
+from kerbside.schema import CLUSTER_SCHEMA, order_key
 
 
 def label_points(df: DataFrame, profile: Profile | str = "live") -> DataFrame:
     """Cleaned records + ``cluster_label`` using the profile's eps/min_samples."""
     p = get_profile(profile)
-    return dbscan(df, p.eps_deg, p.min_samples)
+    return dbscan(df, p.eps_deg, p.min_samples, id_col="seq" if "seq" in df.columns else "id")
 
 
 def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> DataFrame:
@@ -70,7 +70,7 @@ def cluster_summary(labeled: DataFrame, profile: Profile | str = "live") -> Data
         junctions.alias("junctions_covered"),
         F.min("created_datetime").alias("first_seen"),
         F.max("created_datetime").alias("last_seen"),
-        F.min("id").alias("first_id"),
+        F.min(order_key(keyed)).alias("first_id"),
         F.grouping("_vt").alias("g_vt"),
         F.grouping("_st").alias("g_st"),
     ]

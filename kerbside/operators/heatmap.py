@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.ordering import global_index
-from kerbside.schema import with_alias_columns
+from kerbside.schema import order_key, with_alias_columns
 
 HEAT_POINT_CAP = 5000     # fixed value: most heat points returned
 MAP_SAMPLE_SIZE = 3000    # fixed value: map sample size
@@ -71,9 +71,9 @@ def round_decimal(c, places: int):
 
 
 def map_sample(df: DataFrame, n: int = MAP_SAMPLE_SIZE, seed: int = MAP_SAMPLE_SEED) -> DataFrame:
-    """Exactly ``min(n, rows)`` records, chosen by a seeded hash of the id —
+    """Exactly ``min(n, rows)`` records, chosen by a seeded hash of their order key —
     the same rows under any partitioning.  Top-k per partition, then merge."""
-    pick = df.orderBy(sample_hash(F.col("id"), seed), F.col("id")).limit(n)
+    pick = df.orderBy(sample_hash(order_key(df), seed), order_key(df)).limit(n)
     j = F.col("junction_name")
     return pick.select(
         round_decimal(F.col("latitude"), 6).alias("latitude"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from kerbside.functions.text import finite_columns
 from kerbside.functions.numeric import MICROS_PER_MINUTE, exact_mean
 from kerbside.profiles import DAY_ORDER, Profile, get_profile
 
@@ -60,6 +61,7 @@ def geojson_features(scored: DataFrame) -> DataFrame:
     """One GeoJSON Feature per cluster (``cluster_id``, ``feature`` text):
     Point at ``[lon, lat]`` with 13 properties.  Written one feature per line
     (GeoJSON text sequence), so no step holds the whole collection."""
+    scored = finite_columns(scored)
     props = F.struct(
         F.col("cluster_id"), F.col("violation_count"),
         F.coalesce(F.col("dominant_violation_type"), F.lit("")).alias("dominant_violation_type"),
@@ -186,4 +188,4 @@ def insight_context_json(labeled: DataFrame, clusters: DataFrame, hourly: DataFr
         "top_junctions", "vehicle_types", "violation_types",
         F.map_from_entries(F.col("resolution_time_distribution")).alias("resolution_time_distribution"),
     )
-    return out.select(F.to_json(ctx, JSON_OPTS).alias("context"))
+    return finite_columns(out.select(ctx.alias("ctx"))).select(F.to_json("ctx", JSON_OPTS).alias("context"))

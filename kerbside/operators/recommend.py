@@ -104,14 +104,15 @@ def recommend_from_templates(scored: DataFrame, n: int = 5) -> DataFrame:
 
 
 def extract_json_array(text_col) -> "F.Column":
-    """First JSON array in a model response: inside a ```json fence when
-    present, from the first ``[``; ``from_json`` stops at the end of the
-    array (trailing text is ignored).  No array or invalid JSON → null."""
-    fenced = F.regexp_extract(text_col, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    body = F.when(fenced != "", F.trim(fenced)).otherwise(text_col)
-    start = F.instr(body, "[")
-    arr_text = F.when(start > 0, F.substring(body, start, 1 << 30))
-    return F.from_json(arr_text, RESPONSE_SCHEMA, {"allowSingleQuotes": "false"})
+    """First JSON array in a model response: of the fenced block where there is a
+    closed one (its language tag goes), else of the whole text; from the first ``[``.
+    ``from_json`` stops at the end of the array, so text after it does not matter.
+    No array or invalid JSON → null."""
+    blocks = F.split(text_col, "```", 3)
+    inside = F.regexp_replace(F.get(blocks, 1), "^json", "")
+    body = F.when((F.size(blocks) == 3) & (F.trim(inside) != ""), inside).otherwise(text_col)
+    begin = F.instr(body, "[")
+    return F.from_json(F.when(begin > 0, F.substr(body, begin)), RESPONSE_SCHEMA, {"allowSingleQuotes": "false"})
 
 
 def parse_responses(responses: DataFrame, text: str = "response") -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from kerbside.functions.numeric import COORD_SCALE, exact_mean, ratio_half_even, ratio_half_up
 from kerbside.profiles import DAY_ORDER, JUNCTION_SENTINELS, PEAK_HOURS, Profile, get_profile
+from kerbside.schema import order_key
+from kerbside.session import materialize
 
 
 def _spark(df: DataFrame) -> SparkSession:
@@ -69,14 +72,14 @@ def top_junctions(df: DataFrame, profile: Profile | str = "live", n: int | None
     if p.name == "batch":
         base = base.filter(~F.col("junction_name").isin(*[s for s in JUNCTION_SENTINELS if s]))
         n = n or 15
-        g = base.groupBy("junction_name").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("_first"))
+        g = base.groupBy("junction_name").agg(F.count(F.lit(1)).alias("count"), F.min(order_key(df)).alias("_first"))
         return g.orderBy(F.desc("count"), "_first").limit(n).select("junction_name", "count")
     n = n or 10
     g = base.groupBy("junction_name").agg(
         F.count(F.lit(1)).alias("count"),
         exact_mean(F.col("latitude"), COORD_SCALE).alias("lat"),
         exact_mean(F.col("longitude"), COORD_SCALE).alias("lon"),
-        F.min("id").alias("_first"),
+        F.min(order_key(df)).alias("_first"),
     )
     extra = [F.col("_first").alias("first_id")] if keep_first_id else []
     return g.orderBy(F.desc("count"), "_first").limit(n).select("junction_name", "count", "lat", "lon", *extra)
@@ -87,13 +90,13 @@ def vehicle_mix(df: DataFrame, profile: Profile | str = "live", keep_first_id: b
     included in the denominator, at least 1), 1 decimal; batch: top 8 and the
     key named ``type``.  Order: count desc, then first appearance."""
     p = get_profile(profile)
-    g = (df.filter(F.col("vehicle_type").isNotNull())
-           .groupBy("vehicle_type")
-           .agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("_first")))
+    g = df.groupBy("vehicle_type").agg(F.count(F.lit(1)).alias("count"), F.min(order_key(df)).alias("_first"))
     if p.name == "batch":
-        return g.orderBy(F.desc("count"), "_first").limit(8).select(F.col("vehicle_type").alias("type"), "count")
-    total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_total"))
-    return (g.crossJoin(F.broadcast(total))
+        return (g.filter(F.col("vehicle_type").isNotNull()).orderBy(F.desc("count"), "_first").limit(8)
+                 .select(F.col("vehicle_type").alias("type"), "count"))
+    # the groups (a handful, the null one among them) add up to the total: no second scan
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    return (g.withColumn("_total", total).filter(F.col("vehicle_type").isNotNull())
              .select("vehicle_type", "count",
                      ratio_half_even(F.col("count") * 100, F.col("_total"), 10).alias("percentage"), "_first")
              .orderBy(F.desc("count"), "_first")
@@ -106,7 +109,7 @@ def violation_mix(df: DataFrame, profile: Profile | str = "live", keep_first_id:
     p = get_profile(profile)
     g = (df.filter(F.col("violation_type").isNotNull())
            .groupBy("violation_type")
-           .agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("_first")))
+           .agg(F.count(F.lit(1)).alias("count"), F.min(order_key(df)).alias("_first")))
     out = g.orderBy(F.desc("count"), "_first")
     if p.name == "batch":
         out = out.limit(10)
@@ -151,13 +154,13 @@ def resolution_buckets(df: DataFrame, profile: Profile | str = "live") -> DataFr
 def data_profile(df: DataFrame) -> DataFrame:
     """One-row data profile: rows, date range, distinct junctions and the five
     most common violation types (as ``type:count`` text, count desc)."""
-    head = df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.min("created_datetime").alias("date_from"),
-        F.max("created_datetime").alias("date_to"),
-        F.countDistinct("junction_name").alias("unique_junctions"),
-    )
-    top5 = (violation_mix(df, "live").limit(5)
+    # one aggregate by (type) and in all: the few groups are written, the five most common read from them
+    agg = materialize(df.groupingSets([["violation_type"], []], "violation_type").agg(
+        F.count(F.lit(1)).alias("count"), F.min("created_datetime").alias("date_from"), F.max("created_datetime").alias("date_to"),
+        F.when(F.grouping("violation_type") == 1, F.countDistinct("junction_name")).alias("unique_junctions"),
+        F.min(order_key(df)).alias("_first"), F.grouping("violation_type").alias("_all")), "data_profile")
+    head = agg.filter("_all = 1").select(F.col("count").alias("total_records"), "date_from", "date_to", "unique_junctions")
+    top5 = (agg.filter("_all = 0 AND violation_type IS NOT NULL").orderBy(F.desc("count"), "_first").limit(5)
             .agg(F.collect_list(F.struct(F.col("count"), F.col("violation_type"))).alias("_t")))
     top5 = top5.select(F.array_join(F.transform(
         F.array_sort(F.col("_t"), lambda a, b: F.when(a["count"] > b["count"], -1).when(a["count"] < b["count"], 1)
@@ -214,8 +217,6 @@ def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFram
     grand total.  The aggregate is tiny (one row per distinct key) and is
     materialised once; each statistic is derived from it and equals the
     single-statistic functions above."""
-    from kerbside.session import materialize
-
     p = get_profile(profile)
     junction = F.col("junction_name")
     if p.name == "batch":
@@ -224,7 +225,7 @@ def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFram
         F.col("hour_of_day").cast("int").alias("hour"), F.col("day_of_week").alias("day"),
         F.col("week_number").cast("int").alias("week"), F.col("vehicle_type").alias("vehicle"),
         F.col("violation_type").alias("violation"), junction.alias("junction"),
-        _bucket_index(p).alias("bucket"), "latitude", "longitude", "id")
+        _bucket_index(p).alias("bucket"), "latitude", "longitude", order_key(df).alias("id"))
     sets = [[d] for d in _DIMS] + [[]]
     agg = (base.groupingSets(sets, *_DIMS)
                .agg(F.count(F.lit(1)).alias("count"), exact_mean(F.col("latitude"), COORD_SCALE).alias("lat"),
@@ -262,7 +263,7 @@ def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFram
     if p.name == "batch":
         out["vehicle_types"] = v.limit(8).select(F.col("vehicle").alias("type"), "count")
     else:
-        out["vehicle_types"] = (v.crossJoin(F.broadcast(total))
+        out["vehicle_types"] = (one("vehicle").crossJoin(F.broadcast(total)).orderBy(F.desc("count"), "first_id")
                                  .select(F.col("vehicle").alias("vehicle_type"), "count",
                                          ratio_half_even(F.col("count") * 100, F.greatest(F.col("_total"), F.lit(1)), 10)
                                          .alias("percentage")))

@@ -16,18 +16,21 @@ from kerbside.operators.outputs import dashboard, geojson_features, ingest_summa
 from kerbside.operators.recommend import recommend_from_templates, recommend_with_responses
 from kerbside.operators.score import score
 from kerbside.profiles import get_profile
+from kerbside.schema import with_sequence
 from kerbside.session import ensure_checkpoint_dir, materialize
 from kerbside.sources.snapshot import publish
 
 
 def run_job(spark: SparkSession, raw: DataFrame, profile: str = "live", out_root: str | None = None,
-                 run_id: str | None = None, responses: DataFrame | None = None, top_n: int = 5) -> dict[str, DataFrame]:
-    """Run every stage on raw records.  Labels and scored clusters are
+                 run_id: str | None = None, responses: DataFrame | None = None, top_n: int = 5,
+                 time_formats: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Run every stage on raw records, in the order of ``schema.with_sequence``;
+    ``time_formats`` are tried before the written forms of timestamps.  Labels and scored clusters are
     checkpointed once and reused by every later output.  With ``out_root``
     the sections are written as one run and the run pointer is moved last."""
     p = get_profile(profile)
     ensure_checkpoint_dir(spark)
-    records = clean(raw, p)
+    records = clean(with_sequence(raw), p, time_formats)
     labeled = materialize(label_points(records, p), f"labeled_{p.name}")
     scored = materialize(score(cluster_summary(labeled, p), p), f"scored_{p.name}")
     recs = (recommend_with_responses(scored, responses, top_n) if responses is not None
@@ -66,9 +69,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--profile", default="live", choices=["live", "batch"])
     ap.add_argument("--run-id", default=None)
     ap.add_argument("--master", default=None)
+    ap.add_argument("--order", default="file", choices=["file", "id", "position"], help="what orders the records")
+    ap.add_argument("--time-format", action="append", default=[], help="timestamp pattern, may be repeated")
+    ap.add_argument("--one-line-rows", action="store_true", help="no newlines inside cells: large files are split")
     args = ap.parse_args(argv)
     spark = build_session(args.master)
-    out = run_job(spark, read_records_csv(spark, args.input), args.profile, out_root=args.out, run_id=args.run_id)
+    out = run_job(spark, read_records_csv(spark, args.input, multi_line=not args.one_line_rows, order_key=args.order), args.profile,
+                  out_root=args.out, run_id=args.run_id, time_formats=tuple(args.time_format))
     for r in out["summary"].collect():
         print(r.asDict())
 

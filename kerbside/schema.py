@@ -55,3 +55,29 @@ def with_alias_columns(df: DataFrame) -> DataFrame:
     if "longitude" not in df.columns and "lon" in df.columns:
         df = df.withColumnRenamed("lon", "longitude")
     return df
+
+
+def order_key(df: DataFrame):
+    """The column that orders records in every "first seen" rule: ``seq`` (position in
+    the input, see ``with_sequence``), or ``id`` of frames that have none."""
+    return F.col("seq") if "seq" in df.columns else F.col("id")
+
+
+def with_sequence(raw: DataFrame) -> DataFrame:
+    """``raw`` plus ``seq``, the long that orders its records.  A frame that has one (a
+    reader's file positions) keeps it; whole-number ids are their own order; other ids
+    are ranked over the whole table, whole numbers first by value, then texts, then
+    missing ids (a distributed sort; equal ids in the order of all their columns)."""
+    if "seq" in raw.columns:
+        return raw
+    if "id" not in raw.columns:
+        return raw.withColumn("seq", F.lit(None).cast("long"))
+    text = F.nullif(F.col("id").cast("string"), F.lit(""))
+    number = text.try_cast("long")
+    if not isinstance(raw.schema["id"].dataType, T.StringType) or raw.filter(number.isNull() & text.isNotNull()).isEmpty():
+        return raw.withColumn("seq", number)
+    from kerbside.functions.ordering import global_index
+
+    # maps cannot be ordered or hashed and do not count
+    plain = [F.col(f"`{f.name}`") for f in raw.schema.fields if "map<" not in f.dataType.simpleString()]
+    return global_index(raw, [number.asc_nulls_last(), text.asc_nulls_last(), F.xxhash64(*plain)], "seq")

@@ -23,7 +23,8 @@ def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True, or
     Record order decides cluster numbering and tie rules.  ``order_key="id"``
     uses the numeric ``id`` column; ``order_key="position"`` replaces ``id``
     by the position in the files (1, 2, … by file path, then row), for inputs
-    without a numeric id."""
+    without a numeric id; ``order_key="file"`` keeps ids of any kind as they are and
+    adds that position as ``seq``, which then orders the records."""
     df = (spark.read
                .option("header", True)
                .option("multiLine", multi_line)
@@ -35,7 +36,7 @@ def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True, or
                .option("recursiveFileLookup", True)
                .csv(path))
     cells = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns if not (order_key == "position" and c == "id")]
-    if order_key != "position":
+    if order_key not in ("position", "file"):
         return ensure_columns(df.select(*cells))
     # Spark deals splits to tasks by size: number the rows of each split, and add the rows of the splits before it
     tagged = df.select(*cells, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
@@ -43,5 +44,5 @@ def read_records_csv(spark: SparkSession, path: str, multi_line: bool = True, or
     splits = tagged.groupBy("__file", "__start").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__rows"))
     before = F.sum("__rows").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("__file", "__start", "__first", F.coalesce(before, F.lit(0)).alias("__before"))  # one row per split
-    numbered = tagged.join(splits, ["__file", "__start"]).withColumn("id", F.col("__before") + F.col("__row") - F.col("__first") + 1)
+    numbered = tagged.join(splits, ["__file", "__start"]).withColumn("id" if order_key == "position" else "seq", F.col("__before") + F.col("__row") - F.col("__first") + 1)
     return ensure_columns(numbered.drop("__file", "__start", "__row", "__first", "__before"))

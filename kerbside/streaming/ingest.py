@@ -5,8 +5,9 @@ Cleaning is stateless, so it runs inside the stream; clustering needs all
 records at once (a location's neighbours may arrive in any file), so it runs
 as a batch job over the table after each ingest (as the original re-runs the
 pipeline after every upload).  ``Trigger.AvailableNow`` processes whatever has
-landed and stops; the stream checkpoint records processed files, so a restart
-after a failure neither loses nor duplicates a file."""
+landed and stops; the stream checkpoint records processed files, and each batch is
+written to a folder of its own number, so a batch that is replayed after a failure
+replaces what it had written: a restart neither loses nor duplicates a file."""
 
 from __future__ import annotations
 
@@ -39,7 +40,8 @@ def ingest_available(spark: SparkSession, landing: str, table: str, checkpoint:
     cleaned = clean(stream_records(spark, landing, columns), profile)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(table)
+        # a batch that is replayed after a failure replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     q = (cleaned.writeStream.foreachBatch(append)
                 .option("checkpointLocation", checkpoint)
@@ -60,7 +62,7 @@ def refresh(spark: SparkSession, landing: str, table: str, checkpoint: str, out_
     import uuid
 
     ingest_available(spark, landing, table, checkpoint, profile, columns)
-    records = spark.read.parquet(table)
+    records = spark.read.parquet(table).drop("batch_id")
     labeled = label_points(records, profile).checkpoint(eager=True)
     scored = score(cluster_summary(labeled, profile), profile).checkpoint(eager=True)
     out = {"clusters": scored, "recommendations": recommend_from_templates(scored)}

@@ -78,4 +78,6 @@ def test_declared_extra_formats(spark):
     c = parse_local_wall_clock(F.col("s"), ("dd/MM/yyyy HH:mm",))
     assert one(spark, c, "20/11/2023 00:28") == dt.datetime(2023, 11, 20, 0, 28)
     assert one(spark, c, "2023-11-20 00:28:46") == dt.datetime(2023, 11, 20, 0, 28, 46)
-    assert one(spark, parse_local_wall_clock(F.col("s")), "20/11/2023 00:28") is None
+    assert one(spark, parse_local_wall_clock(F.col("s")), "20/11/2023 00:28") == dt.datetime(2023, 11, 20, 0, 28)
+    assert one(spark, parse_local_wall_clock(F.col("s"), ("yyyy~MM~dd",)), "2023~11~20") == dt.datetime(2023, 11, 20)
+    assert one(spark, parse_local_wall_clock(F.col("s")), "2023~11~20") is None
