@@ -81,6 +81,13 @@ def geojson_features(scored: DataFrame) -> DataFrame:
     return scored.select("cluster_id", F.to_json(feat, JSON_OPTS).alias("feature"))
 
 
+def _totals(labeled: DataFrame, totals: DataFrame | None) -> DataFrame:
+    """Record count and date range: of the statistics bundle where it is given, else one scan."""
+    if totals is not None:
+        return totals
+    return labeled.agg(F.count(F.lit(1)).alias("total_violations"), F.min("created_datetime").alias("date_from"), F.max("created_datetime").alias("date_to"))
+
+
 def _ranked_text(df: DataFrame, order: list[Column], item: Column, n: int | None, name: str) -> DataFrame:
     """First ``n`` items of a small ranked table as one ``|``-joined text.
     With ``n`` the window runs after the top-k; without ``n`` the input is a
@@ -95,16 +102,14 @@ def _ranked_text(df: DataFrame, order: list[Column], item: Column, n: int | None
 
 def insight_context(labeled: DataFrame, clusters: DataFrame, hourly: DataFrame, dow: DataFrame,
                     junctions: DataFrame, vehicles: DataFrame, violations: DataFrame,
-                    buckets: DataFrame) -> DataFrame:
+                    buckets: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """One row of context for a question about the data: totals, date range,
     the first five clusters (violation count order), the five busiest hours,
     busiest hour and weekday (ties: calendar order), the first 10 junctions and
     6 vehicle/violation types (count order, ties by first appearance via the
     ``first_id`` column) and the resolution histogram.  Every part is a small
     aggregate joined to a one-row result."""
-    base = labeled.agg(F.count(F.lit(1)).alias("total_violations"),
-                       ts_text(F.min("created_datetime")).alias("date_from"),
-                       ts_text(F.max("created_datetime")).alias("date_to"))
+    base = _totals(labeled, totals).select("total_violations", ts_text(F.col("date_from")).alias("date_from"), ts_text(F.col("date_to")).alias("date_to"))
     by_count_hour = [F.desc("count"), F.asc("hour")]
     parts = [
         _ranked_text(clusters, [F.desc("violation_count"), F.asc("cluster_id")],
@@ -148,15 +153,13 @@ def _top_list(df: DataFrame, order: list[Column], n: int | None, item: Column) -
 
 def insight_context_json(labeled: DataFrame, clusters: DataFrame, hourly: DataFrame, dow: DataFrame,
                          junctions: DataFrame, vehicles: DataFrame, violations: DataFrame,
-                         buckets: DataFrame) -> DataFrame:
+                         buckets: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """The question context as one JSON document (``context`` column):
     totals, date range, the first five clusters (8 fields each), the five
     busiest hours, busiest hour and day, the weekday breakdown, the first 10
     junctions, 6 vehicle and 6 violation types and the resolution histogram.
     Each list is a top-k or a fixed dimension, so the document is bounded."""
-    base = labeled.agg(F.count(F.lit(1)).alias("total_violations"),
-                       F.struct(ts_text(F.min("created_datetime")).alias("from"),
-                                ts_text(F.max("created_datetime")).alias("to")).alias("date_range"))
+    base = _totals(labeled, totals).select("total_violations", F.struct(ts_text(F.col("date_from")).alias("from"), ts_text(F.col("date_to")).alias("to")).alias("date_range"))
     cl_item = F.struct("cluster_id", "violation_count",
                        F.coalesce("dominant_violation_type", F.lit("")).alias("dominant_violation_type"),
                        "impact_score", "priority_tier", "avg_resolution_minutes", "peak_hour_ratio",

@@ -209,14 +209,15 @@ def _bucket_index(p: Profile):
 _DIMS = ("hour", "day", "week", "vehicle", "violation", "junction", "bucket")
 
 
-def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFrame]:
+def bundle(df: DataFrame, profile: Profile | str = "live", keep_first_id: bool = False, totals: bool = False) -> dict[str, DataFrame]:
     """All temporal/categorical statistics from **one scan**: a single
     ``GROUPING SETS`` aggregate (one Expand, map-side partial aggregation, one
     shuffle of at most #groups rows per task) over hour, weekday, week,
     vehicle type, violation type, junction and resolution bucket, plus the
     grand total.  The aggregate is tiny (one row per distinct key) and is
     materialised once; each statistic is derived from it and equals the
-    single-statistic functions above."""
+    single-statistic functions above.  ``keep_first_id`` keeps the order key of first
+    appearance, ``totals`` adds a one-row table of the record count and date range."""
     p = get_profile(profile)
     junction = F.col("junction_name")
     if p.name == "batch":
@@ -225,20 +226,23 @@ def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFram
         F.col("hour_of_day").cast("int").alias("hour"), F.col("day_of_week").alias("day"),
         F.col("week_number").cast("int").alias("week"), F.col("vehicle_type").alias("vehicle"),
         F.col("violation_type").alias("violation"), junction.alias("junction"),
-        _bucket_index(p).alias("bucket"), "latitude", "longitude", order_key(df).alias("id"))
+        _bucket_index(p).alias("bucket"), "latitude", "longitude", "created_datetime", order_key(df).alias("id"))
     sets = [[d] for d in _DIMS] + [[]]
     agg = (base.groupingSets(sets, *_DIMS)
                .agg(F.count(F.lit(1)).alias("count"), exact_mean(F.col("latitude"), COORD_SCALE).alias("lat"),
                     exact_mean(F.col("longitude"), COORD_SCALE).alias("lon"),
-                    F.min("id").alias("first_id"), *[F.grouping(d).alias(f"g_{d}") for d in _DIMS]))
+                    F.min("id").alias("first_id"), F.min("created_datetime").alias("date_from"), F.max("created_datetime").alias("date_to"),
+                    *[F.grouping(d).alias(f"g_{d}") for d in _DIMS]))
     agg = materialize(agg, f"stats_bundle_{p.name}")
 
     def one(d):
         return agg.filter((F.col(f"g_{d}") == 0) & F.col(d).isNotNull())
 
-    total = agg.filter(sum(F.col(f"g_{d}") for d in _DIMS) == len(_DIMS)).select(F.col("count").alias("_total"))
+    whole = agg.filter(sum(F.col(f"g_{d}") for d in _DIMS) == len(_DIMS))
+    total = whole.select(F.col("count").alias("_total"))
     spark = df.sparkSession
-    out = {}
+    extra = ["first_id"] if keep_first_id else []
+    out = {"totals": whole.select(F.col("count").alias("total_violations"), "date_from", "date_to")} if totals else {}
     hours = one("hour").select("hour", "count")
     if p.name == "batch":
         out["hourly"] = hours.orderBy("hour")
@@ -258,7 +262,7 @@ def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFram
     out["weekly_trend"] = one("week").select("week", "count").orderBy("week")
     j = one("junction").orderBy(F.desc("count"), "first_id")
     out["top_junctions"] = (j.limit(15).select(F.col("junction").alias("junction_name"), "count") if p.name == "batch"
-                            else j.limit(10).select(F.col("junction").alias("junction_name"), "count", "lat", "lon"))
+                            else j.limit(10).select(F.col("junction").alias("junction_name"), "count", "lat", "lon", *extra))
     v = one("vehicle").orderBy(F.desc("count"), "first_id")
     if p.name == "batch":
         out["vehicle_types"] = v.limit(8).select(F.col("vehicle").alias("type"), "count")
@@ -266,9 +270,9 @@ def bundle(df: DataFrame, profile: Profile | str = "live") -> dict[str, DataFram
         out["vehicle_types"] = (one("vehicle").crossJoin(F.broadcast(total)).orderBy(F.desc("count"), "first_id")
                                  .select(F.col("vehicle").alias("vehicle_type"), "count",
                                          ratio_half_even(F.col("count") * 100, F.greatest(F.col("_total"), F.lit(1)), 10)
-                                         .alias("percentage")))
+                                         .alias("percentage"), *extra))
     vio = one("violation").orderBy(F.desc("count"), "first_id")
-    out["violation_types"] = (vio.limit(10) if p.name == "batch" else vio).select(F.col("violation").alias("violation_type"), "count")
+    out["violation_types"] = (vio.limit(10) if p.name == "batch" else vio).select(F.col("violation").alias("violation_type"), "count", *(extra if p.name == "live" else []))
     labels = spark.createDataFrame([(i, lbl) for i, (lbl, _, _) in enumerate(p.res_buckets)], "bucket_index int, bucket string")
     bcount = one("bucket").select(F.col("bucket").alias("bucket_index"), "count")
     out["resolution_buckets"] = (labels.join(F.broadcast(bcount), "bucket_index", "left")

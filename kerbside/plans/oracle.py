@@ -649,3 +649,67 @@ FROM (SELECT *, (((h1 * h1) % {p}) * 48271 + h1 * 16807 + 42) % {p} AS k
       FROM (SELECT *, {h1} AS h1 FROM v))
 ORDER BY k, id LIMIT 3000"""
     return q("batch", body)
+
+
+@oracle("prompt_rows")
+def _():
+    return scored_q("live", """SELECT rank, cluster_id, violation_count, dominant_violation_type, round_even(peak_hour_ratio, 4) AS peak_hour_ratio,
+  round_even(avg_resolution_minutes, 2) AS avg_resolution_minutes, unique_vehicle_types, round_even(impact_score, 2) AS impact_score,
+  priority_tier, recommended_enforcement_time, junctions_covered FROM top5""", TOP5)
+
+
+@oracle("job_sections")
+def _():
+    return scored_q("live", """SELECT 'labeled' AS section, count(*) AS rows FROM v
+UNION ALL SELECT 'clusters', count(*) FROM sc UNION ALL SELECT 'features', count(*) FROM sc
+UNION ALL SELECT 'recommendations', least(5, count(*)) FROM sc UNION ALL SELECT 'hourly', 24
+UNION ALL SELECT 'weekly_trend', count(DISTINCT week_number) FROM v UNION ALL SELECT 'vehicle_types', count(DISTINCT vehicle_type) FROM v
+UNION ALL SELECT 'violation_types', count(DISTINCT violation_type) FROM v
+UNION ALL SELECT 'heat_points', least(5000, (SELECT count(*) FROM (SELECT DISTINCT round_even(latitude * 1e4, 0), round_even(longitude * 1e4, 0) FROM v)))
+UNION ALL SELECT 'summary.records_processed', count(*) FROM v UNION ALL SELECT 'summary.clusters_found', count(*) FROM sc
+UNION ALL SELECT 'summary.critical_zones', count(*) FROM sc WHERE priority_tier = 'Critical'""")
+
+
+@oracle("clean_missing_columns")
+def _():
+    return q("live", "SELECT id, latitude, longitude, CAST(NULL AS VARCHAR) AS vehicle_type, CAST(NULL AS VARCHAR) AS police_station, hour_of_day FROM v")
+
+
+@oracle("csv_records")
+def _():
+    return q("live", "SELECT id, latitude, longitude, violation_type, created_datetime, closed_datetime, junction_name, resolution_minutes FROM v")
+
+
+@oracle("junction_count_text")
+def _():
+    return f"""WITH {violations_cte('live').split(',' + chr(10) + 'c0 AS')[0]}
+SELECT id, CAST(CASE WHEN violation_type IS NULL OR violation_type = '' THEN 0
+  WHEN violation_type LIKE '[%]' THEN json_array_length(replace(violation_type, chr(39), '"')) ELSE 1 END AS INTEGER) AS items FROM raw"""
+
+
+@oracle("insight_document")
+def _():
+    days = "('Monday',0),('Tuesday',1),('Wednesday',2),('Thursday',3),('Friday',4),('Saturday',5),('Sunday',6)"
+    parts = f"""hr AS (SELECT CAST(h.range AS INTEGER) AS hour, count(v.id) AS n FROM range(24) h LEFT JOIN v ON v.hour_of_day = h.range GROUP BY 1),
+dw AS (SELECT d.i, d.n AS day, count(v.id) AS n FROM (VALUES {days}) d(n, i) LEFT JOIN v ON v.day_of_week = d.n GROUP BY 1, 2),
+bk AS (SELECT b.i, b.l, count(v.id) AS n FROM (VALUES ('<30min',0,0,30),('30-60min',1,30,60),('1-2hrs',2,60,120),('2-6hrs',3,120,360),('>6hrs',4,360,1000000000)) b(l, i, lo, hi)
+       LEFT JOIN v ON v.resolution_minutes >= b.lo AND v.resolution_minutes < b.hi GROUP BY 1, 2),
+tj AS (SELECT junction_name, count(*) AS n, {xmean('latitude', '1e7')} AS lat, {xmean('longitude', '1e7')} AS lon, min(id) AS f FROM v
+       WHERE junction_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 10),
+vt AS (SELECT vehicle_type, count(*) AS n, min(id) AS f, {_half_even_pct('count(*) * 100', '(SELECT count(*) FROM v)', 10)} AS pct FROM v
+       WHERE vehicle_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 6),
+vi AS (SELECT violation_type, count(*) AS n, min(id) AS f FROM v WHERE violation_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, f LIMIT 6),
+tc AS (SELECT * FROM sc ORDER BY violation_count DESC, cluster_id LIMIT 5)"""
+    listed = lambda item, order, table: f"(SELECT '[' || string_agg(CAST(to_json({item}) AS VARCHAR), ',' ORDER BY {order}) || ']' FROM {table})"
+    body = f"""SELECT '{{"total_violations":' || (SELECT count(*) FROM v)
+  || ',"date_range":' || CAST(to_json({{'from': (SELECT {_ts_text('min(created_datetime)')} FROM v), 'to': (SELECT {_ts_text('max(created_datetime)')} FROM v)}}) AS VARCHAR)
+  || ',"top_clusters":' || {listed("{'cluster_id': cluster_id, 'violation_count': violation_count, 'dominant_violation_type': dominant_violation_type, 'impact_score': impact_score, 'priority_tier': priority_tier, 'avg_resolution_minutes': avg_resolution_minutes, 'peak_hour_ratio': peak_hour_ratio, 'junctions_covered': COALESCE(string_split(NULLIF(junctions_covered, ''), '|'), [])}", 'violation_count DESC, cluster_id', 'tc')}
+  || ',"top_5_hours":' || {listed("{'hour': format('{}:00-{}:59', hour, hour), 'violations': n}", 'n DESC, hour', '(SELECT * FROM hr ORDER BY n DESC, hour LIMIT 5)')}
+  || ',"peak_hour":"' || (SELECT format('{{}}:00 with {{}} violations', hour, n) FROM hr ORDER BY n DESC, hour LIMIT 1)
+  || '","peak_day":"' || (SELECT format('{{}} with {{}} violations', day, n) FROM dw ORDER BY n DESC, i LIMIT 1)
+  || '","day_of_week_breakdown":{{' || (SELECT string_agg('"' || day || '":' || n, ',' ORDER BY i) FROM dw)
+  || '}},"top_junctions":' || {listed("{'junction_name': junction_name, 'count': n, 'lat': lat, 'lon': lon}", 'n DESC, f', 'tj')}
+  || ',"vehicle_types":' || {listed("{'vehicle_type': vehicle_type, 'count': n, 'percentage': pct}", 'n DESC, f', 'vt')}
+  || ',"violation_types":' || {listed("{'violation_type': violation_type, 'count': n}", 'n DESC, f', 'vi')}
+  || ',"resolution_time_distribution":{{' || (SELECT string_agg('"' || l || '":' || n, ',' ORDER BY i) FROM bk) || '}}}}' AS context"""
+    return scored_q("live", body, parts)

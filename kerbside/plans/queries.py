@@ -289,14 +289,84 @@ def geojson_features(spark, sf_dir):
     return gj(_rounded_scored(scored(spark, sf_dir, "live")))
 
 
+def _context_parts(spark, sf_dir):
+    """Statistics of the labelled records from one scan, with totals and order keys."""
+    from kerbside.plans.inputs import labeled
+    lab = labeled(spark, sf_dir, "live")
+    b = ts.bundle(lab, "live", keep_first_id=True, totals=True)
+    return lab, [b[k] for k in ("hourly", "day_of_week", "top_junctions", "vehicle_types", "violation_types", "resolution_buckets")], b["totals"]
+
+
 @query("insight_context")
 def insight_context(spark, sf_dir):
     from kerbside.operators.outputs import insight_context as ic
-    from kerbside.plans.inputs import clusters, labeled
-    lab = labeled(spark, sf_dir, "live")
-    return ic(lab, clusters(spark, sf_dir, "live"), ts.hourly(lab, "live"), ts.day_of_week(lab, "live"),
-              ts.top_junctions(lab, "live", keep_first_id=True), ts.vehicle_mix(lab, "live", keep_first_id=True),
-              ts.violation_mix(lab, "live", keep_first_id=True), ts.resolution_buckets(lab, "live"))
+    from kerbside.plans.inputs import scored
+    lab, parts, totals = _context_parts(spark, sf_dir)
+    return ic(lab, scored(spark, sf_dir, "live"), *parts, totals=totals)
+
+
+@query("insight_document")
+def insight_document(spark, sf_dir):
+    """The question context as its JSON document."""
+    from kerbside.operators.outputs import insight_context_json
+    from kerbside.plans.inputs import scored
+    lab, parts, totals = _context_parts(spark, sf_dir)
+    return insight_context_json(lab, scored(spark, sf_dir, "live"), *parts, totals=totals)
+
+
+@query("prompt_rows")
+def prompt_rows_q(spark, sf_dir):
+    """The rounded projection of the top clusters that a model is asked about."""
+    from kerbside.operators.recommend import prompt_rows, top_clusters
+    from kerbside.plans.inputs import scored
+    return prompt_rows(top_clusters(scored(spark, sf_dir, "live"), 5)).withColumn("junctions_covered", F.array_join("junctions_covered", "|"))
+
+
+@query("job_sections")
+def job_sections(spark, sf_dir):
+    """The whole job on raw records: rows of each of its sections, and the summary."""
+    from kerbside.plans.inputs import raw_records
+    from kerbside.plans.job import run_job
+    out = run_job(spark, raw_records(spark, sf_dir), "live")
+    rows = None
+    for name in ("labeled", "clusters", "recommendations", "hourly", "weekly_trend", "vehicle_types", "violation_types", "heat_points", "features"):
+        part = out[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows")
+        rows = part if rows is None else rows.unionByName(part)
+    summary = out["summary"].select(F.explode(F.array(*[F.struct(F.lit(f"summary.{c}").alias("section"), F.col(c).alias("rows")) for c in (
+        "records_processed", "clusters_found", "critical_zones")])).alias("s")).select("s.*")
+    return rows.unionByName(summary)
+
+
+@query("clean_missing_columns")
+def clean_missing_columns(spark, sf_dir):
+    """Raw records whose coordinates go by short names and that lack columns."""
+    from kerbside.plans.inputs import raw_records
+    raw = raw_records(spark, sf_dir).drop("vehicle_type", "police_station").withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
+    return clean_ops.clean(raw, "live").select("id", "latitude", "longitude", "vehicle_type", "police_station", "hour_of_day")
+
+
+@query("junction_count_text")
+def junction_count_text_q(spark, sf_dir):
+    """Items of list-valued text cells (the violation types of the raw records)."""
+    from kerbside.operators.score import junction_count_text
+    from kerbside.plans.inputs import raw_records
+    return raw_records(spark, sf_dir).select("id", junction_count_text(F.col("violation_type")).alias("items"))
+
+
+@query("csv_records")
+def csv_records(spark, sf_dir):
+    """Raw records written as CSV files (quotes doubled inside cells) beside a file that
+    is no CSV, read back as records and cleaned."""
+    import uuid
+    from kerbside.plans.inputs import raw_records
+    from kerbside.session import ensure_checkpoint_dir
+    from kerbside.sources.csv import read_records_csv
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    raw = raw_records(spark, sf_dir)
+    raw.write.option("header", True).option("escape", '"').csv(f"{root}/csv")
+    raw.select("id").write.json(f"{root}/json")
+    return clean_ops.clean(read_records_csv(spark, root), "live").select(
+        F.col("seq").alias("id"), "latitude", "longitude", "violation_type", "created_datetime", "closed_datetime", "junction_name", "resolution_minutes")
 
 
 @query("snapshot_backfill")
@@ -323,15 +393,10 @@ def report_sections(spark, sf_dir):
     from kerbside.sources.report import report_rows
     lab = labeled(spark, sf_dir, "live")
     sc = _rounded_scored(scored(spark, sf_dir, "live"))
-    stats = {
-        "hourly": (ts.hourly(lab, "live"), "hour"),
-        "day_of_week": (ts.day_of_week(lab, "live"), "day_of_week"),
-        "weekly_trend": (ts.weekly_trend(lab), "week"),
-        "top_junctions": (ts.top_junctions(lab, "live"), "junction_name"),
-        "vehicle_types": (ts.vehicle_mix(lab, "live"), "vehicle_type"),
-        "violation_types": (ts.violation_mix(lab, "live"), "violation_type"),
-        "resolution_buckets": (ts.resolution_buckets(lab, "live"), "bucket"),
-    }
+    b = ts.bundle(lab, "live")  # one scan for all statistics
+    keys = {"hourly": "hour", "day_of_week": "day_of_week", "weekly_trend": "week", "top_junctions": "junction_name", "vehicle_types": "vehicle_type",
+            "violation_types": "violation_type", "resolution_buckets": "bucket"}
+    stats = {k: (b[k], key) for k, key in keys.items()}
     return report_rows(dashboard(lab, sc, "live"), sc, stats, recommend_from_templates(sc, 5))
 
 
