@@ -2,8 +2,10 @@
 
 Each document's ids (plus an end id) become pieces of at most ``capacity``
 tokens; a sequence with room left is open and N(g) counts open sequences with
-gap g.  A piece goes where the sum of N(g)² becomes smallest (a new sequence is
-one of the choices); ties take the smaller gap.
+gap g.  A piece goes to the open sequence with which the sum of N(g)² becomes smallest;
+ties take the smaller gap.  A new sequence is begun only for a piece that fits into no
+open one: as one choice among the others it left 4 to 6 % over the bound on uniform
+lengths, this way 0.2 to 2 % (README).
 
 Level 1 packs inside each input partition, in windows of ``WINDOW_TOKENS``
 tokens, longest piece first; ids stay where they were read.  Sequences that end
@@ -49,11 +51,8 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np
             have = np.flatnonzero(count[s:capacity]) + s
             # change of the sum of squares when a sequence moves from gap g to gap g - s
             change = 2 * np.where(have > s, count[have - s], 0) + (have > s) - 2 * count[have] + 1
-            fresh = 2 * count[capacity - s] + 1
             if len(have):
-                best = int(np.argmin(change))
-                if change[best] <= fresh:
-                    gap = int(have[best])
+                gap = int(have[int(np.argmin(change))])
         if gap < 0:
             k, at = len(fill), 0
             fill.append(0)
