@@ -37,8 +37,16 @@ def exact_mean(c: Column, scale: float) -> Column:
     count), and divided once.  A floating ``avg`` changes in its last bits
     with partitioning; this gives the same double on every run and engine.
     Null when there are no non-null values."""
-    q = F.round(c * F.lit(scale)).cast("decimal(38,0)")
-    return F.sum(q).cast("double") / F.count(c).cast("double") / F.lit(scale)
+    return mean_of_parts(exact_sum(c, scale), F.count(c), scale)
+
+
+def exact_sum(c: Column, scale: float) -> Column:
+    """The sum part of ``exact_mean``; parts of several groups may be added up."""
+    return F.sum(F.round(c * F.lit(scale)).cast("decimal(38,0)"))
+
+
+def mean_of_parts(total: Column, count: Column, scale: float) -> Column:
+    return total.cast("double") / count.cast("double") / F.lit(scale)
 
 
 def ratio(num: Column, den: Column) -> Column:
