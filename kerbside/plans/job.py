@@ -71,10 +71,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--master", default=None)
     ap.add_argument("--order", default="file", choices=["file", "id", "position"], help="what orders the records")
     ap.add_argument("--time-format", action="append", default=[], help="timestamp pattern, may be repeated")
-    ap.add_argument("--one-line-rows", action="store_true", help="no newlines inside cells: large files are split")
+    ap.add_argument("--rows", default="file", choices=["file", "split", "line"],
+                    help="newlines inside cells: each file by one task, in splits (two scans), or none (one scan, in splits)")
     args = ap.parse_args(argv)
     spark = build_session(args.master)
-    out = run_job(spark, read_records_csv(spark, args.input, multi_line=not args.one_line_rows, order_key=args.order), args.profile,
+    out = run_job(spark, read_records_csv(spark, args.input, multi_line={"file": True, "split": "split", "line": False}[args.rows], order_key=args.order), args.profile,
                   out_root=args.out, run_id=args.run_id, time_formats=tuple(args.time_format))
     for r in out["summary"].collect():
         print(r.asDict())
