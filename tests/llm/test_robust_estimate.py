@@ -10,16 +10,16 @@ def plain_mcd(x, least, starts=300, seed=1):
     rng, best = np.random.default_rng(seed), None
     floor = np.diag(np.square(least))
     for _ in range(starts):
-        own = rng.choice(len(x), 6, replace=False)
-        last = np.inf
-        while True:
-            mean = x[own].mean(axis=0)
-            cov = np.cov(x[own].T, bias=True) * rr.CONSISTENCY + 1e-3 * floor
-            det = np.linalg.det(cov)
-            if det >= last * (1 - rr.FALL):
-                break
-            last = det
-            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        own, last, mean, cov = rng.choice(len(x), 6, replace=False), np.inf, None, None
+        for step in range(100):
+            m = x[own].mean(axis=0)
+            c = np.cov(x[own].T, bias=True) * rr.CONSISTENCY + 1e-3 * floor
+            # the six first ones are no share of SUPPORT: their determinant does not count
+            if step:
+                if np.linalg.det(c) >= last * (1 - rr.FALL):
+                    break
+                last, mean, cov = np.linalg.det(c), m, c
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
             own = np.flatnonzero(d <= np.quantile(d, rr.SUPPORT))
         if best is None or last < best[0]:
             best = (last, mean, cov)
