@@ -25,7 +25,7 @@ Spark design (grid DBSCAN, after Gan & Tao 2015):
    * all core points of one sub-cell form one graph node, and core sub-cells
      that are adjacent are joined by an edge without a test.
 3. Components over sub-cells: adjacency components inside tiles of 32×32
-   sub-cells come from a bounded union-find; outer-ring sub-cell pairs whose
+   sub-cells come from bounded array steps; outer-ring sub-cell pairs whose
    tile-local components differ and that no straight path of core sub-cells
    bridges are searched for one pair of core points within eps, by halving both
    sides' quadtrees until a witness settles the pair; one distributed components
@@ -96,7 +96,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
 
     # 2. sub-cell weights and 3×3 block weights
     tree = build_tree(loc, leaf=leaf)
-    block = block_weights(tree.boxes, n)
+    block = materialize(block_weights(tree.boxes, n), "dbscan_blocks")
     clock("cells")
 
     # 3. locations in sparse blocks count their outer-ring neighbours, until the count
@@ -121,8 +121,7 @@ def dbscan(df: DataFrame, eps_deg: float, min_samples: int, id_col: str = "id",
     # 5. outer-ring sub-cell pairs whose tile-local components differ
     A = c0.select(F.col("node").alias("src"), F.col("c0").alias("c0a"), "ci", "cj")
     Bc = c0.select(F.col("node").alias("dst"), F.col("c0").alias("c0b"), "ci", "cj")
-    cand = (ring_join(A, Bc, eps_deg, a)
-             .filter(F.col("c0a") < F.col("c0b")))
+    cand = materialize(ring_join(A, Bc, eps_deg, a).filter(F.col("c0a") < F.col("c0b")), "dbscan_candidates")
     # a pair joined by a straight king path of core sub-cells is already
     # connected through adjacency (every step moves ≤ 1 in each direction):
     # drop it.  Bounded work (≤ k−1 lookups per pair); inside dense areas every

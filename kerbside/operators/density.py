@@ -30,12 +30,29 @@ from kerbside.session import materialize, spread
 SUB_FRACTION = (1.0 / (2.0 * math.sqrt(2.0))) * (1.0 - 1e-6)
 
 
+_SIDE = 8  # cells of a block of cells, each way
+
+
 def block_weights(cells: DataFrame, around: int) -> DataFrame:
-    """``cells(ci, cj, W)`` → ``(ci, cj, B)``: weight of each cell's 3×3 block."""
-    near = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj")) for di in (-1, 0, 1) for dj in (-1, 0, 1)])
-    return (cells.withColumn("o", F.explode(near))
-                 .select((F.col("ci") + F.col("o.di")).alias("ci"), F.pmod(F.col("cj") + F.col("o.dj"), F.lit(around)).alias("cj"), "W")
-                 .groupBy("ci", "cj").agg(F.sum("W").alias("B")))
+    """``cells(ci, cj, W)`` → ``(ci, cj, B)``: weight of each cell's 3×3 block.
+
+    A cell goes to the blocks of cells its neighbourhood touches (one, or up to four at
+    a border) and is added to its neighbours there: nine rows per cell are never shuffled."""
+    near = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1)]
+
+    def there(di, dj):
+        return F.col("ci") + di, F.pmod(F.col("cj") + dj, F.lit(around))
+
+    def home(row, column):
+        return F.struct(F.floor(row / _SIDE).alias("ti"), F.floor(column / _SIDE).alias("tj"))
+
+    shown = (cells.select("ci", "cj", "W", F.explode(F.array_distinct(F.array(*[home(*there(*o)) for o in near]))).alias("t"))
+                  .select("ci", "cj", "W", "t.ti", "t.tj").repartition("ti", "tj"))
+    moved = F.array(*[F.struct(there(di, dj)[0].alias("ci"), there(di, dj)[1].alias("cj"), F.lit((di, dj) == (0, 0)).alias("own")) for di, dj in near])
+    return (shown.select("ti", "tj", "W", F.explode(moved).alias("o")).select("ti", "tj", "W", "o.*")
+                 .filter((F.floor(F.col("ci") / _SIDE) == F.col("ti")) & (F.floor(F.col("cj") / _SIDE) == F.col("tj")))
+                 .groupBy("ti", "tj", "ci", "cj").agg(F.sum("W").alias("B"), F.max("own").alias("own"))
+                 .filter("own").select("ci", "cj", "B"))
 
 
 def neighbor_counts(points: DataFrame, eps_deg: float, id_col: str = "id", lat: str = "latitude",

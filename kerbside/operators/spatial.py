@@ -53,6 +53,9 @@ def grid(points: DataFrame, cell: float, lat: str = "lat", lon: str = "lon") ->
                   .withColumns({"ci": F.floor(F.col(lat) / cell), "cj": F.least(column, F.lit(n - 1).cast("long"))}))
 
 
+_ROWS = 8  # grid rows of one block of cells
+
+
 def ring_join(left: DataFrame, right: DataFrame, eps_deg: float, cell: float) -> DataFrame:
     """Rows of ``left(ci, cj, …)`` with the rows of ``right(ci, cj, …)`` whose grid
     cells may hold points within eps, the 3×3 block left out.
@@ -60,9 +63,27 @@ def ring_join(left: DataFrame, right: DataFrame, eps_deg: float, cell: float) ->
     ``ai``/``aj`` is the left cell, ``ci``/``cj`` the right one, ``di``/``dj`` the
     offset, and ``shift`` the degrees to add to the right cell's longitudes so that
     they continue the left one's.  How many columns to look at follows from the
-    left row's own latitudes; where they are many (towards a pole) they are
-    looked up in blocks of columns, so one record there costs at most some
+    left row's own latitudes.  Cells are looked up in blocks of ``_ROWS`` rows and of
+    columns about twice as many as the reach (the cells of a block that lie too far
+    are left out after the join), so a row costs two to four lookups nearly everywhere,
+    not one per cell of its ring; towards a pole a record costs at most some
     thousand lookups and widens no other row's ring."""
+    n, ki = columns_around(cell), math.ceil(eps_deg / cell)
+    probe, width = ring_lookups(left, eps_deg, cell)
+    # a row shows its cells in the blocks of every width its neighbour rows use (one, nearly everywhere)
+    shown = (right.withColumn("_w", F.explode(F.array_distinct(F.array(*[width(F.col("ci") + d) for d in range(-ki, ki + 1)]))))
+                  .withColumns({"_r": F.floor(F.col("ci") / _ROWS), "_b": F.floor(F.col("cj") / F.col("_w"))}))
+    return (probe.join(shown, ["_r", "_w", "_b"])
+                 .withColumns({"di": F.col("ci") - F.col("ai"), "dj": F.pmod(F.col("cj") - F.col("aj") + n // 2, F.lit(n)) - n // 2})
+                 .filter((F.abs("di") <= ki) & (F.col("dj") >= -F.col("_back")) & (F.col("dj") <= F.col("_ahead"))
+                         & (F.greatest(F.abs("di"), F.abs("dj")) >= 2))
+                 .withColumn("shift", F.floor((F.col("aj") + F.col("dj")) / n) * 360.0)
+                 .drop("_r", "_w", "_b", "_back", "_ahead"))
+
+
+def ring_lookups(left: DataFrame, eps_deg: float, cell: float):
+    """One row per row of ``left`` and block (``_r``, ``_w``, ``_b``) of cells its ring may
+    touch, and the function that gives the blocks' width in a grid row."""
     n, ki, top = columns_around(cell), math.ceil(eps_deg / cell), block_levels(cell)
 
     def reach(row):
@@ -71,24 +92,17 @@ def ring_join(left: DataFrame, right: DataFrame, eps_deg: float, cell: float) ->
         return F.ceil(F.degrees(F.asin(F.least(s, F.lit(1.0))) * 2) * (1 + 1e-9) * n / 360.0)
 
     def width(row):
-        return F.pow(F.lit(2.0), F.least(F.greatest(F.ceil(F.log2(reach(row) / 8)), F.lit(0).cast("long")), F.lit(top).cast("long")))
+        return F.pow(F.lit(2.0), F.least(F.greatest(F.ceil(F.log2(reach(row) * 2)), F.lit(0).cast("long")), F.lit(top).cast("long")))
 
     back, ahead = F.least(reach(F.col("ai")), F.lit(n // 2).cast("long")), F.least(reach(F.col("ai")), F.lit(n - 1 - n // 2).cast("long"))
     probe = (left.withColumnsRenamed({"ci": "ai", "cj": "aj"})
                  .withColumns({"_w": width(F.col("ai")), "_back": back, "_ahead": ahead})
                  .withColumns({"_lo": F.floor((F.col("aj") - F.col("_back")) / F.col("_w")),
                                "_hi": F.floor((F.col("aj") + F.col("_ahead")) / F.col("_w")), "_n": (n / F.col("_w")).cast("long")})
-                 .withColumn("di", F.explode(F.array(*[F.lit(d).cast("long") for d in range(-ki, ki + 1)])))
+                 .withColumn("_r", F.explode(F.sequence(F.floor((F.col("ai") - ki) / _ROWS), F.floor((F.col("ai") + ki) / _ROWS))))
                  .withColumn("_b", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_hi"), F.col("_lo") + F.col("_n") - 1))))
-                 .withColumns({"ci": F.col("ai") + F.col("di"), "_b": F.pmod(F.col("_b"), F.col("_n"))}).drop("_lo", "_hi", "_n"))
-    # a row shows its cells in the blocks of every width its neighbour rows use (one, nearly everywhere)
-    shown = (right.withColumn("_w", F.explode(F.array_distinct(F.array(*[width(F.col("ci") + d) for d in range(-ki, ki + 1)]))))
-                  .withColumn("_b", F.floor(F.col("cj") / F.col("_w"))))
-    return (probe.join(shown, ["ci", "_w", "_b"])
-                 .withColumn("dj", F.pmod(F.col("cj") - F.col("aj") + n // 2, F.lit(n)) - n // 2)
-                 .filter((F.col("dj") >= -F.col("_back")) & (F.col("dj") <= F.col("_ahead")) & (F.greatest(F.abs("di"), F.abs("dj")) >= 2))
-                 .withColumn("shift", F.floor((F.col("aj") + F.col("dj")) / n) * 360.0)
-                 .drop("_w", "_b", "_back", "_ahead"))
+                 .withColumn("_b", F.pmod(F.col("_b"), F.col("_n"))).drop("_lo", "_hi", "_n"))
+    return probe, width
 
 
 def max_abs_lat(points: DataFrame, lat: str = "latitude") -> float:
