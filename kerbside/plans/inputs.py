@@ -32,9 +32,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     real input is a file scan with many splits)."""
     k = _key(spark, sf_dir, "raw")
     if k not in _MEMO:
-        raw = load_violations_raw(spark, sf_dir)
         n = max(spark.sparkContext.defaultParallelism, 1)
-        _MEMO[k] = materialize(raw.repartition(n), "raw_records")
+        _MEMO[k] = materialize(load_violations_raw(spark, sf_dir, n), "raw_records")
     return _MEMO[k]
 
 

@@ -79,7 +79,10 @@ def violations_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
     return spark.sql(_render(_SPARK, name))
 
 
-def load_violations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw records for a test-data folder (reads ``events.parquet``)."""
+def load_violations_raw(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """Raw records for a test-data folder (reads ``events.parquet``).  With ``partitions``
+    the events are spread first, before they become the wider text records."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if partitions:
+        events = events.select("event_id", "ts", "user_id", "event_type", "value", "props").repartition(partitions)
     return violations_from_events(spark, events)
