@@ -9,6 +9,12 @@ from pyspark.sql import types as T
 from kerbside.profiles import Profile
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, as the element of an array (and the
+    whole as one interpreted expression, however often ``use`` refers to it)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def py_strip(c: Column) -> Column:
     """Leading/trailing whitespace removal like Python's ``str.strip()``
     (Spark's ``trim`` removes spaces only)."""
@@ -37,29 +43,33 @@ def normalize_violation_type(c: Column, profile: Profile) -> Column:
 
     ``from_json`` ignores trailing text and by default accepts single quotes;
     the text must end in ``]`` and single quotes are refused, as in strict
-    JSON.  The choice of text comes first and title-casing runs once."""
-    s = py_strip(c)
-    starts = s.startswith("[")
-    arr = F.from_json(F.when(starts & s.endswith("]"), s), "array<string>",
-                      {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    valid = arr.isNotNull()
-    first = F.get(arr, 0)
+    JSON.  The choice of text comes first and title-casing runs once; the stripped
+    text and its array are made once per value and only text with a bracket is parsed."""
     if profile.type_fallback == "strip":
-        stripped = F.regexp_replace(s, r"^[\[\]]+|[\[\]]+$", "")
-        stripped = py_strip(F.substring_index(stripped, ",", 1))
-        stripped = F.regexp_replace(F.regexp_replace(stripped, '^"+|"+$', ""), "^'+|'+$", "")
-        chosen = (F.when(valid & first.isNotNull(), first)
-                   .when(valid, s)
-                   .when(starts, F.nullif(stripped, F.lit("")))
-                   .otherwise(F.nullif(s, F.lit(""))))
-        return F.coalesce(title_case(chosen), F.lit("Unknown"))
-    quoted = F.regexp_extract(s, r'"([^"]+)"', 1)
-    chosen = (F.when(valid & first.isNotNull(), first)
-               .when(starts & ~valid & (quoted != ""), quoted)
-               .otherwise(s))
+        return F.coalesce(title_case(bound(py_strip(c), _first_or_stripped)), F.lit("Unknown"))
+    chosen = bound(py_strip(c), _first_or_quoted)
     return F.when(c.isNull() | c.isin("nan", "NULL", ""), F.lit("Unknown")).otherwise(title_case(chosen))
 
 
+def _array_of(s: Column) -> Column:
+    return F.from_json(F.when(s.startswith("[") & s.endswith("]"), s), "array<string>",
+                       {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+
+
+def _first_or_stripped(s: Column) -> Column:
+    stripped = F.regexp_replace(s, r"^[\[\]]+|[\[\]]+$", "")
+    stripped = py_strip(F.substring_index(stripped, ",", 1))
+    stripped = F.regexp_replace(F.regexp_replace(stripped, '^"+|"+$', ""), "^'+|'+$", "")
+    return F.when(s.startswith("["), bound(_array_of(s), lambda arr: F.when(arr.isNotNull(), F.coalesce(F.get(arr, 0), s))
+                                           .otherwise(F.nullif(stripped, F.lit(""))))).otherwise(F.nullif(s, F.lit("")))
+
+
+def _first_or_quoted(s: Column) -> Column:
+    quoted = F.regexp_extract(s, r'"([^"]+)"', 1)
+    return F.when(s.startswith("["), bound(_array_of(s), lambda arr: F.when(arr.isNotNull(), F.coalesce(F.get(arr, 0), s))
+                                           .otherwise(F.coalesce(F.nullif(quoted, F.lit("")), s)))).otherwise(s)
+
+
 def junction_label(c: Column) -> Column:
     """Short junction label for charts: drop a ``BTPnnn - `` prefix, keep the
     text before the first comma, trim."""

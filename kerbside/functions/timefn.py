@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kerbside.functions.text import bound
+
 # offset only after a clock time, so a bare date ``2024-01-01`` has none
 _OFFSET_RE = r"\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(Z|[+-]\d{2}(?::?\d{2})?)$"
 
@@ -45,19 +47,13 @@ def parse_written(c: Column) -> Column:
     with or without weekday, seconds and offset (discarded).  Two-digit years are the
     nearest ones.  Anything else → null.  One expression over regular expressions:
     nothing is looked up and no second pass is needed."""
-    return _bound(F.regexp_replace(F.lower(F.trim(c)), _WEEKDAY, ""), _written)
-
-
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, as the element of an array (and the
-    whole as one interpreted expression, however often ``use`` refers to it)."""
-    return F.get(F.transform(F.array(value), use), 0)
+    return bound(F.regexp_replace(F.lower(F.trim(c)), _WEEKDAY, ""), _written)
 
 
 def _written(text: Column) -> Column:
     out = F.lit(None).cast("timestamp_ntz")
     for shape, groups in reversed(_DATES):
-        out = F.when(text.rlike(shape), _bound(F.regexp_replace(text, shape, ""), lambda rest: _dated(text, shape, groups, rest))).otherwise(out)  # noqa: B023
+        out = F.when(text.rlike(shape), bound(F.regexp_replace(text, shape, ""), lambda rest: _dated(text, shape, groups, rest))).otherwise(out)  # noqa: B023
     return out
 
 
@@ -98,14 +94,16 @@ def parse_utc(c: Column, formats: tuple[str, ...] = ()) -> Column:
     offset is taken as UTC.  Independent of the session time zone.  Declared
     ``formats`` are tried after ISO text (without offset)."""
     wall = parse_local_wall_clock(c, formats)
-    off = F.regexp_extract(c, _OFFSET_RE, 1)
+    return F.timestamp_add("SECOND", -bound(F.regexp_extract(c, _OFFSET_RE, 1), _offset_seconds), wall)
+
+
+def _offset_seconds(off: Column) -> Column:
     sign = F.when(F.substring(off, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     hh = F.substring(off, 2, 2).try_cast("int")
     mm = F.regexp_extract(off, r"^[+-]\d{2}:?(\d{2})$", 1).try_cast("int")
-    secs = F.when(off.isin("", "Z"), F.lit(0)).otherwise(
+    return F.when(off.isin("", "Z"), F.lit(0)).otherwise(
         sign * (F.coalesce(hh, F.lit(0)) * 3600 + F.coalesce(mm, F.lit(0)) * 60)
     )
-    return F.timestamp_add("SECOND", -secs, wall)
 
 
 def minutes_between(start: Column, end: Column) -> Column:
